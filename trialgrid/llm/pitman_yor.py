@@ -26,7 +26,7 @@ from .store import keep, shuffle_partitions
 
 CONTEXTS = 1 << 16
 BLOCK_BYTES = 8 << 20
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 900_000
 _END, _START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
@@ -37,17 +37,20 @@ def _stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     word = bt.span_hash(bt.prefix_sums(low), starts, ends)
     docs = len(bounds) - 1
     full = np.insert(word, at[1:], _END)
+    del word, starts, ends
     at = at + np.arange(docs + 1)
     before = np.empty(len(full), np.uint64)
     before[1:] = full[:-1]
     before[at[:-1]] = _START
-    return full, (bt.mix(before) & np.uint64(CONTEXTS - 1)).astype(np.int64), at
+    return full, (bt.mix(before) & np.uint64(CONTEXTS - 1)).astype(np.uint16), at
 
 
 def _distinct(word: np.ndarray, context: np.ndarray, train: np.ndarray | None):
     """Distinct words in order, contexts of each, and training counts of the pairs."""
     words, code = np.unique(word, return_inverse=True)
-    pair, back = np.unique(code.astype(np.int64) * CONTEXTS + context, return_inverse=True)
+    code = code.astype(np.int32)
+    pair, back = np.unique(code * np.int64(CONTEXTS) + context, return_inverse=True)
+    back = back.astype(np.int32)
     counts = None if train is None else np.bincount(back, weights=train, minlength=len(pair)).astype(np.int64)
     owner = pair // CONTEXTS
     return words, np.bincount(owner, minlength=len(words)), (pair % CONTEXTS).astype(np.uint16), counts, code, back
@@ -83,7 +86,7 @@ def _asking(buckets: int):
         count = 0
         for batch in batches:
             block = batch.column(2).to_numpy(zero_copy_only=False)
-            train = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+            train = batch.column(3).to_numpy(zero_copy_only=False)
             for row, data, bounds in bt.slices(batch.column(1)):
                 full, context, at = _stream(data, bounds)
                 size = np.diff(at)
@@ -116,7 +119,7 @@ def _merging(table: pa.Table) -> pa.Table:
     count = [np.frombuffer(x, np.int32) for x in rows["counts"]]
     words, sizes, contexts, counts, _, back = _distinct(
         np.concatenate([np.repeat(w, s) for w, s in zip(word, size, strict=True)]),
-        np.concatenate(context).astype(np.int64),
+        np.concatenate(context),
         np.concatenate(count).astype(np.float64),
     )
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -143,6 +146,13 @@ def _merging(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=_STATE_NAMES)
 
 
+def _rows(batches):
+    """The rows of all batches, unpacked one at a time: each holds a whole bucket."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 class Totals:
     """What a bucket needs to know of all others: customers and tables by context, and scalars."""
 
@@ -233,42 +243,39 @@ class Bucket:
 
 def _counting(batches):
     """By context the customers, and under keys below 0 what the discounts and the base need."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Bucket(row)
-            customers = np.bincount(b.contexts, b.counts, CONTEXTS).astype(np.int64)
-            held = np.flatnonzero(customers)
-            kinds = np.bincount(b.owner, b.counts > 0, len(b.words))
-            extra = [(b.word_counts > 0).sum(), b.word_counts.sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
-            keys = np.concatenate([held, -1 - np.arange(len(extra))])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([customers[held], np.array(extra, np.int64)]))], names=["key", "n"])
+    for row in _rows(batches):
+        b = Bucket(row)
+        customers = np.bincount(b.contexts, b.counts, CONTEXTS).astype(np.int64)
+        held = np.flatnonzero(customers)
+        kinds = np.bincount(b.owner, b.counts > 0, len(b.words))
+        extra = [(b.word_counts > 0).sum(), b.word_counts.sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
+        keys = np.concatenate([held, -1 - np.arange(len(extra))])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([customers[held], np.array(extra, np.int64)]))], names=["key", "n"])
 
 
 def _sweeping(shared, number: int, seed: int):
     def run(batches):
         totals = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket(row)
-                seats, parents = b.sweep(totals, np.random.default_rng([seed, number, row["bucket"]]))
-                row["seats"] = [*row["seats"], seats.astype(np.int32).tobytes()]
-                row["parents"] = [*row["parents"], parents.astype(np.int32).tobytes()]
-                types = [pa.int64(), *[pa.binary()] * 9, pa.list_(pa.binary()), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_STATE_NAMES, types, strict=True)], names=_STATE_NAMES)
+        for row in _rows(batches):
+            b = Bucket(row)
+            seats, parents = b.sweep(totals, np.random.default_rng([seed, number, row["bucket"]]))
+            row["seats"] = [*row["seats"], seats.astype(np.int32).tobytes()]
+            row["parents"] = [*row["parents"], parents.astype(np.int32).tobytes()]
+            types = [pa.int64(), *[pa.binary()] * 9, pa.list_(pa.binary()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_STATE_NAMES, types, strict=True)], names=_STATE_NAMES)
 
     return run
 
 
 def _tables(batches):
     """Tables by context after the last sweep; under -1 the parent's customers, under -2 its tables."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = Bucket(row)
-            seats, parents = b.state(-1)
-            tables = np.bincount(b.contexts, seats, CONTEXTS).astype(np.int64)
-            held = np.flatnonzero(tables)
-            keys, n = np.concatenate([held, [-1, -2]]), np.concatenate([tables[held], [seats.sum(), parents.sum()]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+    for row in _rows(batches):
+        b = Bucket(row)
+        seats, parents = b.state(-1)
+        tables = np.bincount(b.contexts, seats, CONTEXTS).astype(np.int64)
+        held = np.flatnonzero(tables)
+        keys, n = np.concatenate([held, [-1, -2]]), np.concatenate([tables[held], [seats.sum(), parents.sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 def _answering(shared, first: int):
@@ -276,19 +283,18 @@ def _answering(shared, first: int):
 
     def run(batches):
         states = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket(row)
-                value = b.log10(states, first).astype(np.float32)
-                at = word_at = 0
-                blocks = np.frombuffer(row["blocks"], np.int64).tolist()
-                steps, word_steps = np.frombuffer(row["places"], np.int32), np.frombuffer(row["word_places"], np.int32)
-                out = []
-                for block, n, m in zip(blocks, np.frombuffer(row["place_sizes"], np.int64).tolist(), np.frombuffer(row["word_sizes"], np.int64).tolist(), strict=True):
-                    places, words = np.cumsum(steps[at : at + n]), np.cumsum(word_steps[word_at : word_at + m])
-                    out.append((block, row["bucket"], value[places].tobytes(), b.word_counts[words].tobytes()))
-                    at, word_at = at + n, word_at + m
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "bucket", "values", "counts"])
+        for row in _rows(batches):
+            b = Bucket(row)
+            value = b.log10(states, first).astype(np.float32)
+            at = word_at = 0
+            blocks = np.frombuffer(row["blocks"], np.int64).tolist()
+            steps, word_steps = np.frombuffer(row["places"], np.int32), np.frombuffer(row["word_places"], np.int32)
+            out = []
+            for block, n, m in zip(blocks, np.frombuffer(row["place_sizes"], np.int64).tolist(), np.frombuffer(row["word_sizes"], np.int64).tolist(), strict=True):
+                places, words = np.cumsum(steps[at : at + n]), np.cumsum(word_steps[word_at : word_at + m])
+                out.append((block, row["bucket"], value[places].tobytes(), b.word_counts[words].tobytes()))
+                at, word_at = at + n, word_at + m
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "bucket", "values", "counts"])
 
     return run
 
@@ -375,7 +381,7 @@ def score_documents(
     rows = max(1, math.ceil(size.n / blocks))
     block = F.coalesce(F.pmod(F.floor(F.col("doc_id") / rows), F.lit(blocks)), F.lit(0)).cast("long")
     plain = plain.withColumn("block", block)
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = 4 * shuffle_partitions(spark)
     asked = plain.select("doc_id", "text", "block", (~F.col("held_out")).alias("train")).mapInArrow(_asking(buckets), _ASK)
     state = keep(asked.groupBy("bucket").applyInArrow(_merging, _STATE), "pitman-yor-counts")
     customers, extra = _collected(state.mapInArrow(_counting, "key long, n long"))
