@@ -106,8 +106,11 @@ def _asking(buckets: int):
     return run
 
 
-_STATE = "bucket long, words binary, sizes binary, contexts binary, counts binary, blocks binary, places binary, place_sizes binary, word_places binary, word_sizes binary, seats array<binary>, parents array<binary>"
+_MERGED = "bucket long, sizes binary, contexts binary, counts binary, blocks binary, places binary, place_sizes binary, word_places binary, word_sizes binary"
+_MERGED_NAMES = [p.split()[0] for p in _MERGED.split(", ")]
+_STATE = "bucket long, sizes binary, contexts binary, counts binary, seats array<binary>, parents array<binary>"
 _STATE_NAMES = [p.split()[0] for p in _STATE.split(", ")]
+_STATE_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.binary()), pa.list_(pa.binary())]
 
 
 def _merging(table: pa.Table) -> pa.Table:
@@ -139,11 +142,10 @@ def _merging(table: pa.Table) -> pa.Table:
         return np.array([len(p) for p in parts], np.int64).tobytes()
 
     row = [
-        table["bucket"][0].as_py(), words.tobytes(), sizes.astype(np.int32).tobytes(), contexts.tobytes(), counts.tobytes(),
-        np.array(blocks, np.int64).tobytes(), steps(places), lengths(places), steps(word_places), lengths(word_places), [], [],
+        table["bucket"][0].as_py(), sizes.astype(np.int32).tobytes(), contexts.tobytes(), counts.astype(np.int32).tobytes(),
+        np.array(blocks, np.int64).tobytes(), steps(places), lengths(places), steps(word_places), lengths(word_places),
     ]
-    types = [pa.int64(), *[pa.binary()] * 9, pa.list_(pa.binary()), pa.list_(pa.binary())]
-    return pa.table([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=_STATE_NAMES)
+    return pa.table([pa.array([v], pa.binary() if k else pa.int64()) for k, v in enumerate(row)], names=_MERGED_NAMES)
 
 
 def _rows(batches):
@@ -188,31 +190,34 @@ def seat(counts: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.ra
 
 
 class Bucket:
-    """One bucket's words, contexts and counts, unpacked."""
+    """One bucket's contexts and counts, unpacked. Tables are kept for pairs that occur more than once."""
 
     def __init__(self, row: dict):
         self.row = row
-        self.words = np.frombuffer(row["words"], np.uint64)
         self.sizes = np.frombuffer(row["sizes"], np.int32)
-        self.contexts = np.frombuffer(row["contexts"], np.uint16).astype(np.int64)
-        self.counts = np.frombuffer(row["counts"], np.int64)
-        self.owner = np.repeat(np.arange(len(self.words)), self.sizes)
-        self.word_counts = np.bincount(self.owner, self.counts, len(self.words)).astype(np.int64)
+        self.contexts = np.frombuffer(row["contexts"], np.uint16)
+        self.counts = np.frombuffer(row["counts"], np.int32)
+        self.words = len(self.sizes)
+        self.owner = np.repeat(np.arange(self.words, dtype=np.int32), self.sizes)
+        self.word_counts = np.bincount(self.owner, self.counts, self.words).astype(np.int64)
+        self.several = np.flatnonzero(self.counts > 1)
 
     def state(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Tables by pair and by word after sweep ``k``."""
-        return np.frombuffer(self.row["seats"][k], np.int32).astype(np.int64), np.frombuffer(self.row["parents"][k], np.int32).astype(np.int64)
+        seats = np.minimum(self.counts, 1)
+        seats[self.several] = np.frombuffer(self.row["seats"][k], np.int32)
+        return seats, np.frombuffer(self.row["parents"][k], np.int32)
 
     def parent(self, seats: np.ndarray, parents: np.ndarray, totals: Totals) -> np.ndarray:
         """Predictive probability of each word in the parent restaurant."""
-        customers = np.bincount(self.owner, seats, len(self.words))
+        customers = np.bincount(self.owner, seats, self.words)
         d, th = totals.parent_discount, totals.strength
         base = 1.0 / (totals.vocabulary + 1)
         return (np.maximum(customers - d * parents, 0) + (th + d * totals.parent_tables) * base) / (th + totals.parent_customers)
 
     def sweep(self, totals: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Seat every word of every context again, given the tables of the last sweep elsewhere."""
-        some = np.flatnonzero(self.counts > 1)
+        some = self.several
         seats = np.minimum(self.counts, 1)
         if self.row["seats"]:
             old, parents = self.state(-1)
@@ -223,7 +228,7 @@ class Bucket:
         elsewhere = np.maximum(totals.tables[self.contexts[some]] - old[some], 0)
         weight = np.stack([(totals.strength + d * elsewhere) * p[self.owner[some]], d * p[self.owner[some]]], 1)
         seats[some] = seat(self.counts[some], weight, d, rng)
-        customers = np.bincount(self.owner, seats, len(self.words)).astype(np.int64)
+        customers = np.bincount(self.owner, seats, self.words).astype(np.int64)
         base = 1.0 / (totals.vocabulary + 1)
         d = totals.parent_discount
         weight = np.stack([np.full(len(customers), (totals.strength + d * totals.parent_tables) * base), np.full(len(customers), d * base)], 1)
@@ -247,7 +252,7 @@ def _counting(batches):
         b = Bucket(row)
         customers = np.bincount(b.contexts, b.counts, CONTEXTS).astype(np.int64)
         held = np.flatnonzero(customers)
-        kinds = np.bincount(b.owner, b.counts > 0, len(b.words))
+        kinds = np.bincount(b.owner, b.counts > 0, b.words)
         extra = [(b.word_counts > 0).sum(), b.word_counts.sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
         keys = np.concatenate([held, -1 - np.arange(len(extra))])
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([customers[held], np.array(extra, np.int64)]))], names=["key", "n"])
@@ -259,10 +264,9 @@ def _sweeping(shared, number: int, seed: int):
         for row in _rows(batches):
             b = Bucket(row)
             seats, parents = b.sweep(totals, np.random.default_rng([seed, number, row["bucket"]]))
-            row["seats"] = [*row["seats"], seats.astype(np.int32).tobytes()]
+            row["seats"] = [*row["seats"], seats[b.several].astype(np.int32).tobytes()]
             row["parents"] = [*row["parents"], parents.astype(np.int32).tobytes()]
-            types = [pa.int64(), *[pa.binary()] * 9, pa.list_(pa.binary()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_STATE_NAMES, types, strict=True)], names=_STATE_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_STATE_NAMES, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
 
     return run
 
@@ -383,7 +387,9 @@ def score_documents(
     plain = plain.withColumn("block", block)
     buckets = 4 * shuffle_partitions(spark)
     asked = plain.select("doc_id", "text", "block", (~F.col("held_out")).alias("train")).mapInArrow(_asking(buckets), _ASK)
-    state = keep(asked.groupBy("bucket").applyInArrow(_merging, _STATE), "pitman-yor-counts")
+    merged = keep(asked.groupBy("bucket").applyInArrow(_merging, _MERGED), "pitman-yor-counts")
+    empty = F.array().cast("array<binary>")
+    state = merged.select(*_STATE_NAMES[:4], empty.alias("seats"), empty.alias("parents"))
     customers, extra = _collected(state.mapInArrow(_counting, "key long, n long"))
     vocabulary, tokens, n1, n2, m1, m2 = (extra.get(-1 - k, 0) for k in range(6))
     discounts = tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ((n1, n2), (m1, m2)))
@@ -397,5 +403,6 @@ def score_documents(
         totals.tables, totals.parent_customers, totals.parent_tables = tables, parent.get(-1, 0), parent.get(-2, 0)
         if k >= burn_in:
             kept.append(totals)
-    answers = state.mapInArrow(_answering(spark.sparkContext.broadcast(kept), burn_in), "block long, bucket long, values binary, counts binary")
+    final = state.join(merged.select("bucket", *_MERGED_NAMES[4:]), "bucket")
+    answers = final.mapInArrow(_answering(spark.sparkContext.broadcast(kept), burn_in), "block long, bucket long, values binary, counts binary")
     return plain.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(tokens, vocabulary), _SCORE)
