@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .store import keep, shuffle_partitions
+from .store import forget, keep, shuffle_partitions
 
 CONTEXTS = 1 << 16
 BLOCK_BYTES = 8 << 20
@@ -30,6 +30,16 @@ FLUSH_TOKENS = 900_000
 _END, _START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as bytes, first all lowest bytes, then all second ones: planes of equal bytes compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpack(body: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def _stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids with an end after each document, the context before each, and bounds by document."""
     low = bt.LOWER[data]
@@ -78,7 +88,7 @@ def _asking(buckets: int):
             edges = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 s, e = cut[a], cut[b]
-                rows.append((int(home[a]), block, words[a:b].tobytes(), sizes[a:b].astype(np.int32).tobytes(), contexts[s:e].tobytes(), counts[s:e].astype(np.int32).tobytes()))
+                rows.append((int(home[a]), block, words[a:b].tobytes(), pack(sizes[a:b].astype(np.int32)), contexts[s:e].tobytes(), pack(counts[s:e].astype(np.int32))))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=_ASK_NAMES)
 
     def run(batches):
@@ -117,9 +127,9 @@ def _merging(table: pa.Table) -> pa.Table:
     """A bucket's pairs with their counts over all blocks, and which of them each block asked for."""
     rows = {n: table[n].to_pylist() for n in _ASK_NAMES}
     word = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-    size = [np.frombuffer(x, np.int32) for x in rows["sizes"]]
+    size = [unpack(x, np.int32) for x in rows["sizes"]]
     context = [np.frombuffer(x, np.uint16) for x in rows["contexts"]]
-    count = [np.frombuffer(x, np.int32) for x in rows["counts"]]
+    count = [unpack(x, np.int32) for x in rows["counts"]]
     words, sizes, contexts, counts, _, back = _distinct(
         np.concatenate([np.repeat(w, s) for w, s in zip(word, size, strict=True)]),
         np.concatenate(context),
@@ -136,13 +146,13 @@ def _merging(table: pa.Table) -> pa.Table:
     word_places = [np.unique(owner[p]) for p in places]
 
     def steps(parts):
-        return np.concatenate([np.diff(p, prepend=0) for p in parts]).astype(np.int32).tobytes()
+        return pack(np.concatenate([np.diff(p, prepend=0) for p in parts]).astype(np.int32))
 
     def lengths(parts):
         return np.array([len(p) for p in parts], np.int64).tobytes()
 
     row = [
-        table["bucket"][0].as_py(), sizes.astype(np.int32).tobytes(), contexts.tobytes(), counts.astype(np.int32).tobytes(),
+        table["bucket"][0].as_py(), pack(sizes.astype(np.int32)), contexts.tobytes(), pack(counts.astype(np.int32)),
         np.array(blocks, np.int64).tobytes(), steps(places), lengths(places), steps(word_places), lengths(word_places),
     ]
     return pa.table([pa.array([v], pa.binary() if k else pa.int64()) for k, v in enumerate(row)], names=_MERGED_NAMES)
@@ -194,9 +204,9 @@ class Bucket:
 
     def __init__(self, row: dict):
         self.row = row
-        self.sizes = np.frombuffer(row["sizes"], np.int32)
+        self.sizes = unpack(row["sizes"], np.int32)
         self.contexts = np.frombuffer(row["contexts"], np.uint16)
-        self.counts = np.frombuffer(row["counts"], np.int32)
+        self.counts = unpack(row["counts"], np.int32)
         self.words = len(self.sizes)
         self.owner = np.repeat(np.arange(self.words, dtype=np.int32), self.sizes)
         self.word_counts = np.bincount(self.owner, self.counts, self.words).astype(np.int64)
@@ -205,8 +215,8 @@ class Bucket:
     def state(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Tables by pair and by word after sweep ``k``."""
         seats = np.minimum(self.counts, 1)
-        seats[self.several] = np.frombuffer(self.row["seats"][k], np.int32)
-        return seats, np.frombuffer(self.row["parents"][k], np.int32)
+        seats[self.several] = unpack(self.row["seats"][k], np.int32)
+        return seats, unpack(self.row["parents"][k], np.int32)
 
     def parent(self, seats: np.ndarray, parents: np.ndarray, totals: Totals) -> np.ndarray:
         """Predictive probability of each word in the parent restaurant."""
@@ -264,8 +274,8 @@ def _sweeping(shared, number: int, seed: int):
         for row in _rows(batches):
             b = Bucket(row)
             seats, parents = b.sweep(totals, np.random.default_rng([seed, number, row["bucket"]]))
-            row["seats"] = [*row["seats"], seats[b.several].astype(np.int32).tobytes()]
-            row["parents"] = [*row["parents"], parents.astype(np.int32).tobytes()]
+            row["seats"] = [*row["seats"], pack(seats[b.several].astype(np.int32))]
+            row["parents"] = [*row["parents"], pack(parents.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_STATE_NAMES, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
 
     return run
@@ -292,11 +302,11 @@ def _answering(shared, first: int):
             value = b.log10(states, first).astype(np.float32)
             at = word_at = 0
             blocks = np.frombuffer(row["blocks"], np.int64).tolist()
-            steps, word_steps = np.frombuffer(row["places"], np.int32), np.frombuffer(row["word_places"], np.int32)
+            steps, word_steps = unpack(row["places"], np.int32), unpack(row["word_places"], np.int32)
             out = []
             for block, n, m in zip(blocks, np.frombuffer(row["place_sizes"], np.int64).tolist(), np.frombuffer(row["word_sizes"], np.int64).tolist(), strict=True):
                 places, words = np.cumsum(steps[at : at + n]), np.cumsum(word_steps[word_at : word_at + m])
-                out.append((block, row["bucket"], value[places].tobytes(), b.word_counts[words].tobytes()))
+                out.append((block, row["bucket"], pack(value[places]), pack(b.word_counts[words])))
                 at, word_at = at + n, word_at + m
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "bucket", "values", "counts"])
 
@@ -315,8 +325,8 @@ def _scoring(tokens: int, vocabulary: int):
             return pa.table({p.split()[0]: pa.array([], pa.float64() if "double" in p else pa.bool_() if "bool" in p else pa.int64()) for p in _SCORE.split(", ")})
         order = np.argsort(answers["bucket"].to_numpy())
         values, counts = answers["values"].to_pylist(), answers["counts"].to_pylist()
-        value = np.concatenate([np.frombuffer(values[k], np.float32) for k in order])
-        count = np.concatenate([np.frombuffer(counts[k], np.int64) for k in order])
+        value = np.concatenate([unpack(values[k], np.float32) for k in order])
+        count = np.concatenate([unpack(counts[k], np.int64) for k in order])
         parts = [_stream(data, bounds) for _, data, bounds in bt.slices(texts["text"].combine_chunks())]
         word, context = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
@@ -397,7 +407,9 @@ def score_documents(
     kept = []
     for k in range(burn_in + sweeps):
         # a restart: the parent's totals before any sweep are those of one table for each pair
-        state = keep(state.mapInArrow(_sweeping(spark.sparkContext.broadcast(totals), k, seed), _STATE), "pitman-yor-seats")
+        before, state = state, keep(state.mapInArrow(_sweeping(spark.sparkContext.broadcast(totals), k, seed), _STATE), "pitman-yor-seats")
+        if k:
+            forget(before)  # its seats are in the new table too
         tables, parent = _collected(state.mapInArrow(_tables, "key long, n long"))
         totals = Totals(customers, vocabulary, tokens, discounts, strength)
         totals.tables, totals.parent_customers, totals.parent_tables = tables, parent.get(-1, 0), parent.get(-2, 0)

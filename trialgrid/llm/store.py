@@ -36,5 +36,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that :func:`keep` wrote and that a later one has replaced."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not path.startswith(("file:" + shared_dir(spark).removeprefix("file://"), shared_dir(spark), "file://" + shared_dir(spark).removeprefix("file://"))):
+            raise ValueError(f"not a kept table: {path}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
