@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from .store import keep
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:int,end:int>>, contaminated boolean"
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -230,27 +231,22 @@ def benchmark_hits(
     equal items under two ids are both listed; rows that repeat an id are
     judged one by one; other columns of either table play no part.
     """
-    parts = [
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_matching(shard, window), REPORT)
-        for shard in _shards(items, item_id, item_text, shard_words)
-    ] or [docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_matching([], window), REPORT)]
-    if len(parts) == 1:
-        return parts[0]
-    return _combined(docs, parts, doc_id, text)
-
-
-def _combined(docs: DataFrame, parts: list[DataFrame], doc_id: str, text: str) -> DataFrame:
-    """One row per document from several shards; spans that overlap count once."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id").agg(
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shards = list(_shards(items, item_id, item_text, shard_words))
+    if len(shards) <= 1:
+        return plain.mapInArrow(_matching(shards[0] if shards else [], window), REPORT)
+    # rows keep a number of their own, so that those that repeat an id stay apart
+    numbered = keep(plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text")), "benchmark-rows")
+    by_row = numbered.select(F.col("row").alias("doc_id"), "text")
+    every = by_row.mapInArrow(_matching(shards[0], window), REPORT)
+    for shard in shards[1:]:
+        every = every.unionByName(by_row.mapInArrow(_matching(shard, window), REPORT))
+    merged = every.groupBy(F.col("doc_id").alias("row")).agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).dropDuplicates()
-    return merged.join(whole, F.col("doc_id").eqNullSafe(whole["doc_id"])).drop(whole["doc_id"]).mapInArrow(_recount, REPORT)
+    return merged.join(numbered, "row").select("doc_id", "text", "n_words", "items", "spans").mapInArrow(_recount, REPORT)
 
 
 def _row(name, size: int, hit: int, spans: list[tuple[int, int]], names) -> tuple:

@@ -32,7 +32,7 @@ _END, _START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as bytes, first all lowest bytes, then all second ones: planes of equal bytes compress well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unpack(body: bytes, kind: type) -> np.ndarray:

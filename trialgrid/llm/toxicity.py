@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_c
     shape = "features binary, __id long, __h long, " + ", ".join(f"__{c} int" for c in categories)
     table = rows.mapInArrow(_gathering, shape).toArrow()
     order = sorted(range(table.num_rows), key=lambda i: (table["__h"][i].as_py(), table["__id"][i].as_py()))
-    table = table.take(order)
+    table = table.take(pa.array(order, pa.int64()))
     if len(set(table[f"__{target}"].to_pylist())) < 2:
         return None
     columns = [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
