@@ -38,13 +38,30 @@ def test_soft_range():
 
 
 def test_box_and_maze(spark):
-    faces = surfaces.box_faces((-7.5, 2.5, -2.5, 7.5), 0.1, 0.1, 3.0)
+    faces = surfaces.box_faces((-7.5, 2.5, -2.5, 7.5), 0.1, 0.1, 3.0, 0.1)
     assert len(faces[0][0]) == 51 and faces[0][1] == [2.4, 2.6]
     arena = surfaces.arena_surfaces(spark)
     assert arena.count() == 30
     size = surfaces.physical_size(arena).first()
     assert (size.size_x, size.size_y, size.size_z) == pytest.approx((25.0, 25.0, 4.93))
-    assert surfaces.surface_bins(arena).count() == surfaces.bin_count(arena).first().n_bins
+    assert surfaces.surface_bins(arena).count() == surfaces.bin_count(arena).first().n_bins == 5186
+
+
+def test_point_labels(spark):
+    points = [(2.5, 7.51, 1.5), (7.51, -2.5, 1.5), (-2.5, -7.51, 1.5), (-7.51, 2.5, 1.5), (-2.5, -2.49, 1.5), (2.5, 2.49, 1.5), (0.0, 0.0, 4.93), (-2.72, 12.63, 1.5), (-2.72, -12.37, 1.5), (0.0, 0.0, 0.0)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k int, x double, y double, z double")
+    out = surfaces.label_points(df, surfaces.arena_surfaces(spark), ["k"]).orderBy("k").collect()
+    assert [r.kind for r in out] == ["pillars"] * 6 + ["ceiling", "walls", "walls", "floor"]
+
+
+def test_known_ray(spark):
+    import numpy as np
+
+    vx, vy = (float((np.float32(v) - np.float32(n / 2)) / np.float32(n)) for v, n in ((950.4, 1919.0), (1069.1, 1079.0)))
+    df = spark.createDataFrame([(vx, vy, 0.0, 0.0, -10.0, surfaces.CAMERA_HEIGHT)], "vx double, vy double, dir double, px double, py double, pz double")
+    dx, dy, dz = gaze.gaze_direction(F.col("vx"), F.col("vy"), F.col("dir"))
+    r = gaze.ray_hit(df.withColumns({"dx": dx, "dy": dy, "dz": dz})).first()
+    assert (r.gx, r.gy, r.gz) == pytest.approx((-0.0608161026648, -3.7602963690846, 4.9267642104094), abs=1e-6)
 
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
@@ -110,7 +127,7 @@ def test_ray_against_steps(spark):
         while True:
             x, y, z = r.px + n * 0.01 * r.dx, r.py + n * 0.01 * r.dy, r.pz + n * 0.01 * r.dz
             inside = -12.5 <= x <= 12.5 and -12.5 <= y <= 12.5 and 0 <= z <= 4.93
-            if not inside or any(b[0] <= x <= b[2] and b[1] <= y <= b[3] and z <= 3.0 for b in surfaces.PILLARS):
+            if not inside or any(b[0] <= x <= b[2] and b[1] <= y <= b[3] and z <= 3.11 for b in surfaces.PILLARS):
                 break
             n += 1
         last = max(n - 1, 0) * 0.01

@@ -38,7 +38,7 @@ def viewport(gaze: Column, size: float, low: float = 0.0) -> Column:
 
 
 def to_sensor(x: Column, sensor_width: float, screen_width: float) -> Column:
-    return x * sensor_width / screen_width
+    return sensor_width * (x - 0.5 * screen_width) / screen_width
 
 
 def focal_plane_width(fov_degrees: Column | float, focal: Column | float) -> Column:
@@ -64,7 +64,7 @@ def impacts(x: Column, y: Column, z: Column, pillars: Sequence[tuple[float, floa
     """Whether a point is inside a pillar below its height, or not inside the arena."""
     hit = ~(inside_box(x, y, arena) & z.between(0.0, height))
     for box in pillars:
-        hit = hit | (inside_box(x, y, box) & (z <= pillar_height))
+        hit = hit | (inside_box(x, y, box) & (z < pillar_height))
     return hit
 
 

@@ -8,19 +8,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .surfaces import ARENA, PILLAR_HEIGHT, PILLARS, WALL_HEIGHT, Box
+from .surfaces import BOUNDS, PILLAR_HEIGHT, PILLARS, WALL_HEIGHT, Box
 
 INFINITY = float("inf")
 
 
-def gaze_direction(vx: Column, vy: Column, heading_degrees: Column, fov_degrees: float = 60.0, near: float = 0.3, aspect: float = 9 / 16) -> tuple[Column, Column, Column]:
-    """Unit direction of a gaze at (vx, vy) on the screen, from -0.5 to 0.5, for a head at ``heading_degrees``."""
-    width = 2 * near * math.tan(math.radians(fov_degrees) / 2)
-    right, up = vx * width, vy * width * aspect
-    a = F.radians(heading_degrees)
-    x, y = right * F.cos(a) + near * F.sin(a), near * F.cos(a) - right * F.sin(a)
-    length = F.sqrt(x * x + y * y + up * up)
-    return x / length, y / length, up / length
+def gaze_direction(vx: Column, vy: Column, heading_degrees: Column, fov_degrees: float = 60.0, near: float = 0.3, aspect: float = 1.78) -> tuple[Column, Column, Column]:
+    """Direction (dx, dy, dz) of a gaze at (vx, vy) on the screen, from -0.5 to 0.5, for a head at ``heading_degrees``.
+
+    The horizontal part has length 1; the vertical part is the sine of the elevation.
+    """
+    height = 2 * near * math.tan(math.radians(fov_degrees) / 2)
+    turn = F.atan2(vx * height * aspect, F.lit(near)) + F.radians(heading_degrees)
+    return F.sin(turn), F.cos(turn), F.sin(F.atan2(vy * height, F.lit(near)))
 
 
 def _enter(p: Sequence[Column], d: Sequence[Column], low: Sequence[float], high: Sequence[float]) -> Column:
@@ -41,14 +41,14 @@ def _leave(p: Sequence[Column], d: Sequence[Column], low: Sequence[float], high:
     return F.least(*ends)
 
 
-def ray_hit(df: DataFrame, position: Sequence[str] = ("px", "py", "pz"), direction: Sequence[str] = ("dx", "dy", "dz"), pillars: Sequence[Box] = PILLARS, arena: Box = ARENA, pillar_height: float = PILLAR_HEIGHT, height: float = WALL_HEIGHT, step: float = 0.01) -> DataFrame:
+def ray_hit(df: DataFrame, position: Sequence[str] = ("px", "py", "pz"), direction: Sequence[str] = ("dx", "dy", "dz"), pillars: Sequence[Box] = PILLARS, arena: Box = BOUNDS, pillar_height: float = PILLAR_HEIGHT, height: float = WALL_HEIGHT, step: float = 0.01) -> DataFrame:
     """The last free point (gx, gy, gz) of a ray that goes in steps until one lies in an obstacle.
 
     The step is found in closed form: the least entry over all obstacles, in
     steps, rounded up, less one. Nothing is looped over.
     """
     p, d = [F.col(c) for c in position], [F.col(c) for c in direction]
-    entries = [_enter(p, d, (b[0], b[1], 0.0), (b[2], b[3], pillar_height)) for b in pillars]
+    entries = [_enter(p, d, (b[0], b[1], -1.0), (b[2], b[3], pillar_height)) for b in pillars]
     leave = _leave(p, d, (arena[0], arena[1], 0.0), (arena[2], arena[3], height))
     hit = F.least(*[F.ceil(e / step) for e in entries], F.floor(leave / step) + 1) if entries else F.floor(leave / step) + 1
     length = F.greatest(hit - 1, F.lit(0)) * step

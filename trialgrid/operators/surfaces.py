@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import bin_left_closed, soft_range
+from ..functions.bins import bin_left_closed, mean_step, soft_range
 
 SURFACE_SCHEMA = "surface_id int, kind string, obj int, side int, ex array<double>, ey array<double>, ez array<double>, normal array<float>"
 
-# The default arena.
-ARENA = (-12.5, -12.5, 12.5, 12.5)
-PILLARS = ((-7.5, 2.5, -2.5, 7.5), (2.5, 2.5, 7.5, 7.5), (2.5, -7.5, 7.5, -2.5), (-7.5, -7.5, -2.5, -2.5))
-WALL_HEIGHT, PILLAR_HEIGHT, THIN = 4.93, 3.0, 0.1
+# The default arena, as (x0, y0, x1, y1) and heights.
+BOUNDS = (-12.5, -12.5, 12.5, 12.5)
+ARENA = (-12.72, -12.37, 12.28, 12.63)
+PILLARS = ((-7.5, 2.5, -2.5, 7.5), (2.5, 2.5, 7.5, 7.5), (-7.5, -7.5, -2.5, -2.5), (2.5, -7.5, 7.5, -2.5))
+FLOOR = (
+    (-12.72, -12.37, -7.55, 12.63), (-2.45, -12.37, 2.55, 12.63), (7.55, -12.37, 12.28, 12.63),
+    (-7.55, -12.37, -2.45, -7.55), (-7.55, -2.45, -2.45, 2.45), (-7.55, 7.55, -2.45, 12.63),
+    (2.45, -12.37, 7.55, -7.55), (2.45, -2.45, 7.55, 2.45), (2.45, 7.55, 7.55, 12.63),
+)
+WALL_HEIGHT, PILLAR_HEIGHT, CAMERA_HEIGHT, PILLAR_BOTTOM, THIN = 4.93, 3.11, 1.85, 0.05, 0.05
+FLOOR_STEP, PILLAR_STEP = 25.0 / 39, 5.0 / 7
 
 #: Of several surfaces that hold a point, the kind named first labels it.
 PRIORITY = ("pillars", "walls", "ceiling", "floor")
@@ -22,10 +29,10 @@ PRIORITY = ("pillars", "walls", "ceiling", "floor")
 Box = tuple[float, float, float, float]
 
 
-def box_faces(box: Box, step: float, vertical_step: float, height: float, thin: float = THIN, bottom: float = 0.0, inward: bool = False) -> list[tuple]:
+def box_faces(box: Box, step: float, vertical_step: float, top: float, thin: float = THIN, bottom: float = 0.0, inward: bool = False) -> list[tuple]:
     """Four faces of an upright box as (ex, ey, ez, normal): front, back, left, right."""
     x0, y0, x1, y1 = box
-    across, along, up = soft_range(x0, x1, step), soft_range(y0, y1, step), soft_range(bottom, bottom + height, vertical_step)
+    across, along, up = soft_range(x0, x1, step), soft_range(y0, y1, step), soft_range(bottom, top, vertical_step)
     flip = -1.0 if inward else 1.0
     return [
         (across, [y0 - thin, y0 + thin], up, [0.0, -flip, 0.0]),
@@ -35,11 +42,21 @@ def box_faces(box: Box, step: float, vertical_step: float, height: float, thin:
     ]
 
 
-def arena_surfaces(spark: SparkSession, step: float = 0.625, pillars: Sequence[Box] = PILLARS, arena: Box = ARENA, pillar_height: float = PILLAR_HEIGHT, wall_height: float = WALL_HEIGHT, thin: float = THIN) -> DataFrame:
+def arena_surfaces(
+    spark: SparkSession,
+    step: float = FLOOR_STEP,
+    first_pillar_step: float = PILLAR_STEP,
+    pillars: Sequence[Box] = PILLARS,
+    arena: Box = ARENA,
+    floor: Sequence[Box] = FLOOR,
+    thin: float = THIN,
+    pillar_layers: int = 4,
+    wall_layers: int = 7,
+) -> DataFrame:
     """The surfaces of an arena with pillars: a small table, one row per face.
 
-    The floor is cut into slabs along the pillars' sides, and slabs under
-    pillars are left out.
+    Only the first pillar has a bin width of its own; the others share the
+    floor's. The floor is given as slabs, which leave out what pillars stand on.
     """
     rows: list[tuple] = []
 
@@ -48,36 +65,32 @@ def arena_surfaces(spark: SparkSession, step: float = 0.625, pillars: Sequence[B
             rows.append((len(rows) + 1, kind, obj, side, *face))
 
     for k, box in enumerate(pillars, 1):
-        add("pillars", k, box_faces(box, step, step, pillar_height, thin))
-    for k, face in enumerate(box_faces(arena, step, step, wall_height, thin, inward=True), 1):
+        add("pillars", k, box_faces(box, first_pillar_step if k == 1 else step, PILLAR_HEIGHT / pillar_layers, PILLAR_HEIGHT, thin, PILLAR_BOTTOM))
+    for k, face in enumerate(box_faces(arena, step, WALL_HEIGHT / wall_layers, WALL_HEIGHT, thin, inward=True), 1):
         add("walls", k, [face])
-    xs = sorted({arena[0], arena[2], *(v for b in pillars for v in (b[0], b[2]))})
-    ys = sorted({arena[1], arena[3], *(v for b in pillars for v in (b[1], b[3]))})
-    slab = 0
-    for y0, y1 in zip(ys, ys[1:], strict=False):
-        run: list[float] = []
-        for x0, x1 in [*zip(xs, xs[1:], strict=False), (None, None)]:
-            under = x0 is None or any(b[0] <= x0 and x1 <= b[2] and b[1] <= y0 and y1 <= b[3] for b in pillars)
-            if not under:
-                run += [x0, x1]
-            elif run:
-                slab += 1
-                add("floor", slab, [(soft_range(run[0], run[-1], step), soft_range(y0, y1, step), [-thin, thin], [0.0, 0.0, 1.0])])
-                run = []
-    add("ceiling", 1, [(soft_range(arena[0], arena[2], step), soft_range(arena[1], arena[3], step), [wall_height - thin, wall_height + thin], [0.0, 0.0, -1.0])])
+    flat = lambda b, z, up: (soft_range(b[0], b[2], step), soft_range(b[1], b[3], step), [z - thin, z + thin], [0.0, 0.0, up])
+    for k, slab in enumerate(floor, 1):
+        add("floor", k, [flat(slab, 0.0, 1.0)])
+    add("ceiling", 1, [flat(arena, WALL_HEIGHT, -1.0)])
     return spark.createDataFrame(rows, SURFACE_SCHEMA)
 
 
+def _bins_along(e: str) -> Column:
+    """Bins of an axis: one for each edge, as one is appended, and a single one across a thin axis."""
+    return F.when(F.size(e) > 2, F.size(e)).otherwise(F.lit(1))
+
+
 def surface_bins(surfaces: DataFrame) -> DataFrame:
     """One row per bin of every surface: its numbers and its centre (cx, cy, cz)."""
-    number = lambda e: F.sequence(F.lit(1), F.size(e) - 1)
-    out = surfaces.select("*", F.explode(number("ex")).alias("ix")).select("*", F.explode(number("ey")).alias("iy")).select("*", F.explode(number("ez")).alias("iz"))
-    centre = lambda e, i: (F.element_at(e, F.col(i)) + F.element_at(e, F.col(i) + 1)) / 2
-    return out.select("surface_id", "kind", "obj", "side", "ix", "iy", "iz", centre("ex", "ix").alias("cx"), centre("ey", "iy").alias("cy"), centre("ez", "iz").alias("cz"))
+    out = surfaces
+    for c in "xyz":
+        out = out.select("*", F.explode(F.sequence(F.lit(1), _bins_along(f"e{c}"))).alias(f"i{c}"))
+    centre = lambda c: F.element_at(f"e{c}", F.col(f"i{c}")) + mean_step(F.col(f"e{c}")) / 2
+    return out.select("surface_id", "kind", "obj", "side", "ix", "iy", "iz", *[centre(c).alias(f"c{c}") for c in "xyz"])
 
 
 def bin_count(surfaces: DataFrame) -> DataFrame:
-    return surfaces.agg(F.sum((F.size("ex") - 1) * (F.size("ey") - 1) * (F.size("ez") - 1)).cast("long").alias("n_bins"))
+    return surfaces.agg(F.sum(_bins_along("ex") * _bins_along("ey") * _bins_along("ez")).cast("long").alias("n_bins"))
 
 
 def physical_size(surfaces: DataFrame) -> DataFrame:

@@ -394,7 +394,7 @@ def disk_smooth(spark, d):
     return out.withColumn("smooth", F.round("smooth", 8))
 
 
-_PILLAR_SQL = " OR ".join(f"(x BETWEEN {b[0]} AND {b[2]} AND y BETWEEN {b[1]} AND {b[3]} AND z <= 3.0)" for b in surfaces.PILLARS)
+_PILLAR_SQL = " OR ".join(f"(x BETWEEN {b[0]} AND {b[2]} AND y BETWEEN {b[1]} AND {b[3]} AND z <= 3.11)" for b in surfaces.PILLARS)
 
 
 @query(f"""WITH {_SPACE}, r AS (SELECT event_id, event_id % 24 - 12.03 AS px, -9.97 AS py, 1.5::DOUBLE AS pz, sin(radians(event_id % 360 + 0.37::DOUBLE)) AS dx, cos(radians(event_id % 360 + 0.37::DOUBLE)) AS dy, (event_id % 7) / 20.3::DOUBLE AS dz FROM sp WHERE event_id % 4 = 0),
@@ -409,7 +409,7 @@ def ray_hit(spark, d):
 
 
 @query(f"""WITH {_BASE} SELECT event_id, round(480 - x, 6) AS flipped, round(sin(radians(x)), 8) AS hx, round(cos(radians(x)), 8) AS hy,
-CASE WHEN y BETWEEN 0 AND 80 THEN round((y - 40) / 80, 8) END AS view_y, round(2 * 0.3 * tan(radians(60.0) / 2), 8) AS width, round(x * 36 / 1920, 8) AS sensor,
+CASE WHEN y BETWEEN 0 AND 80 THEN round((y - 40) / 80, 8) END AS view_y, round(2 * 0.3 * tan(radians(60.0) / 2), 8) AS width, round(36 * (x - 960) / 1920, 8) AS sensor,
 CASE WHEN x < 400 THEN x END AS cleaned, cos(atan2(x, y) - radians(x)) < cos(radians(30)) AS outside FROM ev WHERE y IS NOT NULL""")
 def gaze_columns(spark, d):
     e = _events(spark, d).where("y is not null")
