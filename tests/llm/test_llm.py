@@ -84,10 +84,14 @@ def test_secret_network(spark):
     texts = [f'{_prose(rng, 5)} token = "{made()}" {_prose(rng, 5)}' for _ in range(150)]
     texts += [f"{_prose(rng, 5)} see host{rng.randrange(9)}.mail.example.com {_prose(rng, 5)}" for _ in range(150)]
     dashed = lambda: "-".join(made()[:8] for _ in range(5))
-    texts += [f'{_prose(rng, 3)} key "{dashed()}" end' for _ in range(20)]
-    out = scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sum(r.n_cnn > 0 for r in out if r.doc_id >= 300) >= 12
-    assert sum(r.n_cnn > 0 for r in out if 150 <= r.doc_id < 300) <= 15
+    new = [f'{_prose(rng, 3)} key "{dashed()}" end' for _ in range(20)]
+    new += [f"{_prose(rng, 5)} see host{rng.randrange(9)}.mail.example.com {_prose(rng, 5)}" for _ in range(60)]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    out = scan_secrets(frame(new), learn_from=frame(texts)).collect()
+    assert sum(r.n_cnn > 0 for r in out if r.doc_id < 20) >= 18
+    assert sum(r.n_cnn > 0 for r in out if r.doc_id >= 20) <= 3
+    model = secret_scan.train(secret_scan._found(frame(texts), "doc_id", "text"))
+    assert 0.5 <= model.threshold <= 1
 
 
 def test_pitman_yor_base_and_perplexity(docs, rows):
