@@ -77,6 +77,18 @@ def test_secret_spans(spark, docs):
     assert cleaned[0] == 'é [SECRET]" x' and cleaned[1] == texts[1] and cleaned[5] is None and cleaned[7].endswith("[SECRET]")
 
 
+def test_redaction_goes_by_text(spark):
+    """Null ids, ids that repeat with other texts, overlapping kinds and wide characters."""
+    key, hexed = "AKIA" + "ABCDEFGH12345678", "0123456789abcdef" * 2
+    rows = [
+        (None, f"ключ {key} end", 3, None), (7, f"a {hexed} b", 4, "x"), (7, f"password={hexed} ü", 5, "y"), (7, "plain", 5, "z"), (8, None, None, "q"), (9, "", 0, ""),
+    ]
+    out = redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars int, __id string")).collect()
+    expected = [(None, "ключ [SECRET] end", None), (7, "a [SECRET] b", "x"), (7, "[SECRET] ü", "y"), (7, "plain", "z"), (8, None, "q"), (9, "", "")]
+    assert sorted(map(str, ((r.doc_id, r.text, r["__id"]) for r in out))) == sorted(map(str, expected))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
+
+
 def test_secret_network(spark):
     """Held-out recall of the network, and keys that no rule knows."""
     rng = random.Random(2)
