@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialgrid.functions import bins, columns
-from trialgrid.operators import asof, gaze, intervals, maps, surfaces, trials, units
+from trialgrid.operators import asof, gaze, intervals, maps, ordered, surfaces, trials, units
 from trialgrid.sources import io
 
 
@@ -84,12 +84,53 @@ def test_asof_against_index_rule(spark, direction, bucket):
     assert sorted((r.k, r.t, r.t_match) for r in out.collect()) == sorted(expected)
 
 
+def test_asof_without_match(spark):
+    """Null times and null keys: nothing is lost, and a null time matches nothing."""
+    events = spark.createDataFrame([(1, 5), (1, None), (1, 99), (None, 3)], "k int, t int")
+    samples = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, None, 3), (None, 60, 4), (2, 5, 5)], "k int, t int, x int")
+    for direction, found in [("forward", [(None, 3, 60), (1, None, None), (1, 5, 7), (1, 99, None)]), ("backward", [(None, 3, None), (1, None, None), (1, 5, None), (1, 99, 7)])]:
+        for bucket in (None, 10):
+            out = asof.asof_join(events, samples, ["k"], values=["x"], direction=direction, bucket=bucket, drop_unmatched=False).collect()
+            assert sorted(map(str, [(r.k, r.t, r.t_match) for r in out])) == sorted(map(str, found))
+            assert {r.x for r in out if r.t_match == 7} == {1 if direction == "forward" else 2}
+
+
+@pytest.mark.parametrize("bucket", [None, 9])
+def test_slices_against_rule(spark, bucket):
+    rng = random.Random(8)
+    samples = sorted(rng.sample(range(300), 40))
+    bounds = [(n, a, a + rng.randrange(40)) for n, a in enumerate(range(-20, 320, 17))]
+    df = spark.createDataFrame([(1, t, "v") for t in samples] + [(2, 1, "v"), (2, None, "v")], "k int, t int, __row string")
+    spans = spark.createDataFrame([(1, *b) for b in bounds] + [(1, 99, None, 5), (3, 1, 1, 2)], "k int, trial int, t1 int, t3 int")
+    cut = trials.trial_slice(df, spans, ["k"], bucket=bucket)
+    assert sorted(cut.columns) == ["__row", "k", "t", "trial"]
+    expected = [(n, t) for n, a, b in bounds for k, t in enumerate(samples) if t >= a and (k == 0 or samples[k - 1] < b)]
+    assert sorted((r.trial, r.t) for r in cut.collect()) == sorted(expected)
+    around = trials.trial_window(df, spans, ["k"], pre=3, post=4, bucket=bucket)
+    assert sorted((r.trial, r.t) for r in around.collect()) == sorted((n, t - a) for n, a, b in bounds for t in samples if a - 3 <= t <= b + 4)
+    clock = trials.cumulative_clock(df.withColumn("dt", F.col("t") * 2), ["k"], order="t", name="clock", bucket=bucket).where("k = 1")
+    assert {r.t: r.clock for r in clock.collect()} == {t: 2 * sum(samples[: k + 1]) for k, t in enumerate(samples)}
+    for later in (False, True):
+        beside = ordered.neighbour(df, ["k"], "t", "other", later=later, bucket=bucket).where("k = 1").collect()
+        step = 1 if later else -1
+        assert {r.t: r.other for r in beside} == {t: samples[k + step] if 0 <= k + step < len(samples) else None for k, t in enumerate(samples)}
+
+
+@pytest.mark.parametrize("bucket", [None, 9])
+def test_interval_mask_ties_and_nulls(spark, bucket):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, None, "c"), (1, 40, "d"), (1, 40, "e"), (2, 5, "f")], "k int, t int, fixated string")
+    spans = spark.createDataFrame([(1, 3, 6), (1, None, 80), (2, 9, 4)], "k int, t_start int, t_end int")
+    out = intervals.interval_mask(df, spans, ["k"], bucket=bucket)
+    assert sorted(map(str, [(r.k, r.t, r.fixated) for r in out.collect()])) == sorted(map(str, [(1, 5, True), (1, 5, True), (1, None, False), (1, 40, True), (1, 40, True), (2, 5, False)]))
+
+
+@pytest.mark.parametrize("bucket", [None, 9])
 @pytest.mark.parametrize("strict", [False, True])
-def test_interval_mask_against_rule(spark, strict):
+def test_interval_mask_against_rule(spark, strict, bucket):
     rng = random.Random(5)
     samples = sorted(rng.sample(range(200), 40))
     spans = [(a, a + rng.randrange(15)) for a in range(0, 200, 20)]
-    out = intervals.interval_mask(spark.createDataFrame([(1, t) for t in samples], "k int, t int"), spark.createDataFrame([(1, a, b) for a, b in spans], "k int, t_start int, t_end int"), ["k"], strict=strict)
+    out = intervals.interval_mask(spark.createDataFrame([(1, t) for t in samples], "k int, t int"), spark.createDataFrame([(1, a, b) for a, b in spans], "k int, t_start int, t_end int"), ["k"], strict=strict, bucket=bucket)
     for r in out.collect():
         at = samples.index(r.t)
         rule = any(a <= r.t and ((at == 0 and not strict) or (at > 0 and samples[at - 1] < b)) for a, b in spans)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import between_join, in_buckets
+
 
 def asof_join(
     events: DataFrame,
@@ -25,7 +27,7 @@ def asof_join(
     last at or before it. Both streams go through one window; nothing is paired
     that does not match. With ``bucket``, a width in units of time, a key's rows
     are dealt into time buckets, so that a long session does not stand in one
-    task; a bucket's edge row comes from a summary of the others.
+    task (see :func:`~trialgrid.operators.ordered.in_buckets`).
 
     Events without a match are dropped unless told otherwise. Of samples at the
     same time, the one with the greatest values is taken going backward, the
@@ -39,31 +41,15 @@ def asof_join(
     sample = F.struct(F.col(time).alias("t_match"), *values)
     left = events.select(*keys, F.col(time).alias("__t"), F.struct(F.lit(1).alias("__one"), *extra).alias("__event"))
     right = samples.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("__t"), sample.alias("__sample"))
-    both = left.unionByName(right, allowMissingColumns=True)
-    parts = keys
+    both, parts = left.unionByName(right, allowMissingColumns=True), keys
     if bucket is not None:
-        both = both.withColumn("__bucket", F.floor(F.col("__t") / bucket))
+        both = in_buckets(both, keys, "__t", bucket, ["__sample"], pick=F.min if forward else F.max, later=forward)
         parts = [*keys, "__bucket"]
-    # a sample at the event's time counts: it has to come first going backward, last going forward
-    first = F.col("__event").isNotNull().cast("int")
-    order = [F.col("__t"), first if not forward else -first, F.col("__sample")]
-    w = Window.partitionBy(*parts).orderBy(*order)
-    if forward:
-        found = F.first("__sample", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("__sample", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__found", found).where("__event is not null")
-    if bucket is not None:
-        edge = F.min("__sample") if forward else F.max("__sample")
-        summary = both.groupBy(*parts).agg(edge.alias("__edge"))
-        w = Window.partitionBy(*keys).orderBy("__bucket")
-        if forward:
-            carried = F.first("__edge", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-        else:
-            carried = F.last("__edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        summary = summary.select(*parts, carried.alias("__carried"))
-        out = out.join(summary, parts).withColumn("__found", F.coalesce("__found", "__carried"))
-    out = out.withColumn("__found", F.when(F.col("__t").isNotNull(), F.col("__found")))
+    # the window runs towards the event, so a running value is enough; a sample at the event's time comes before it
+    event = F.col("__event").isNotNull()
+    order = [F.col("__t").desc_nulls_first(), event, F.col("__sample").desc()] if forward else [F.col("__t"), event, F.col("__sample")]
+    so_far = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__found", F.last("__sample", ignorenulls=True).over(so_far)).where("__event is not null")
     if drop_unmatched:
         out = out.where("__found is not null")
     return out.select(
@@ -71,14 +57,14 @@ def asof_join(
     )
 
 
-def spikes_at_positions(spikes: DataFrame, trials: DataFrame, samples: DataFrame, session: str = "session", values: Sequence[str] = ("x", "y"), direction: str = "forward", *, exclude_last: bool = False) -> DataFrame:
+def spikes_at_positions(spikes: DataFrame, trials: DataFrame, samples: DataFrame, session: str = "session", values: Sequence[str] = ("x", "y"), direction: str = "forward", *, exclude_last: bool = False, bucket: float | None = None) -> DataFrame:
     """Spikes of every trial, zeroed at its start, with the position then held.
 
     ``trials`` has (session, trial, t1, t3) on the spikes' clock; ``samples`` has
     (session, trial, t, values) zeroed at the trial's start. With
     ``exclude_last`` a trial's final sample matches nothing.
     """
-    inside = spikes.join(trials.select(session, "trial", "t1", "t3"), session).where(F.col("t").between(F.col("t1"), F.col("t3")))
+    inside = between_join(spikes, trials.select(session, "trial", "t1", "t3"), [session], "t", "t1", "t3", bucket=bucket)
     inside = inside.withColumn("t", F.col("t") - F.col("t1")).drop("t1", "t3")
     if exclude_last:
         last = Window.partitionBy(session, "trial")

@@ -7,26 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import in_buckets, packed, unpacked
 
-def interval_mask(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str = "t", *, strict: bool = False, name: str = "fixated") -> DataFrame:
+
+def interval_mask(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str = "t", *, strict: bool = False, name: str = "fixated", bucket: float | None = None) -> DataFrame:
     """Flag samples that lie in an interval of the same keys.
 
     Sample k is flagged if an interval [t_start, t_end] begins at or before it
     and ends after the sample before it; a key's first sample needs no such end,
     unless ``strict``. Of the intervals that begin at or before a sample only the
-    latest end matters, a running maximum over both streams in order of time: no
-    sample is paired with an interval.
+    latest end matters, so one window over both streams holds two running maxima,
+    and no sample is paired with an interval. ``bucket``, a width in units of
+    time, deals long keys into buckets.
+
+    Samples at the same time are flagged alike, by the sample before all of
+    them. A null time is never flagged; an interval with a null bound, or that
+    ends before it begins, flags nothing.
     """
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(time)
-    marked = samples.withColumn("__before", F.lag(time).over(order))
+    rows = packed(samples, keys, time).withColumn("__at", F.col(time))
     starts = intervals.where("t_end >= t_start").select(*keys, F.col("t_start").alias(time), F.col("t_end").alias("__end"))
-    latest = starts.withColumn("__s", F.lit(1)).unionByName(marked.select(*keys, time, "__before"), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy(time, F.col("__s").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    latest = latest.withColumn("__latest", F.max("__end").over(upto)).where("__s is null")
-    flag = F.when(F.col("__before").isNull(), F.lit(False) if strict else F.col("__latest").isNotNull()).otherwise(F.coalesce(F.col("__latest") > F.col("__before"), F.lit(False)))
-    hits = latest.select(*keys, time, F.coalesce(flag, F.lit(False)).alias(name)).dropDuplicates([*keys, time])
-    return samples.join(hits, [*keys, time], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    both, parts = rows.unionByName(starts, allowMissingColumns=True), keys
+    if bucket is not None:
+        both, parts = in_buckets(both, keys, time, bucket, ["__at", "__end"]), [*keys, "__bucket"]
+    w = Window.partitionBy(*parts).orderBy(time, F.col("__row").isNotNull())
+    both = both.withColumns({"__before": F.max("__at").over(w.rowsBetween(Window.unboundedPreceding, -1)), "__latest": F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    tied = Window.partitionBy(*parts, time)
+    first = F.count("__before").over(tied) < F.count("*").over(tied)
+    both = both.where("__row is not null").withColumn("__before", F.when(~first, F.min("__before").over(tied)))
+    flag = F.when(F.col("__before").isNull(), F.lit(False) if strict else F.col("__latest").isNotNull()).otherwise(F.col("__latest") > F.col("__before"))
+    return unpacked(both.withColumn(name, F.coalesce(flag & F.col(time).isNotNull(), F.lit(False))), samples, keys, time, name)
 
 
 def band_self_join(points: DataFrame, keys: Sequence[str], width: float, time: str = "t") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import Edges, bin_left_closed, bin_right_closed, in_bins
+from .ordered import neighbour
 
 
 def bin_xy(df: DataFrame, xedges: Sequence[float], yedges: Sequence[float], x: str = "x", y: str = "y", *, right_closed: bool = False) -> DataFrame:
@@ -17,10 +18,10 @@ def bin_xy(df: DataFrame, xedges: Sequence[float], yedges: Sequence[float], x: s
     return out.where(in_bins(F.col("ix"), len(xedges) - 1) & in_bins(F.col("iy"), len(yedges) - 1))
 
 
-def occupancy(samples: DataFrame, keys: Sequence[str], xedges: Sequence[float], yedges: Sequence[float], time: str = "t", by: Sequence[str] = ()) -> DataFrame:
-    """Time spent by bin (by..., ix, iy, occ): a sample holds until the next of its key."""
-    step = F.lead(time).over(Window.partitionBy(*keys).orderBy(time)) - F.col(time)
-    held = samples.withColumn("__dt", step).where("__dt is not null")
+def occupancy(samples: DataFrame, keys: Sequence[str], xedges: Sequence[float], yedges: Sequence[float], time: str = "t", by: Sequence[str] = (), *, bucket: float | None = None) -> DataFrame:
+    """Time spent by bin (by..., ix, iy, occ): a sample holds until the next of its key; ``bucket`` deals out long keys."""
+    held = neighbour(samples, keys, time, "__next", later=True, bucket=bucket)
+    held = held.withColumn("__dt", F.col("__next") - F.col(time)).where("__dt is not null")
     return bin_xy(held, xedges, yedges).groupBy(*by, "ix", "iy").agg(F.sum("__dt").alias("occ"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_left_closed, mean_step, soft_range
+from .ordered import neighbour
 
 SURFACE_SCHEMA = "surface_id int, kind string, obj int, side int, ex array<double>, ey array<double>, ez array<double>, normal array<float>"
 
@@ -125,10 +126,10 @@ def label_points(points: DataFrame, surfaces: DataFrame, keys: Sequence[str]) ->
     return locate(points, surfaces).groupBy(*keys).agg(best.alias("l")).select(*keys, "l.*")
 
 
-def dwell_histogram(gaze: DataFrame, surfaces: DataFrame, keys: Sequence[str], time: str = "t", *, fixations_only: bool = False, by: Sequence[str] = ()) -> DataFrame:
+def dwell_histogram(gaze: DataFrame, surfaces: DataFrame, keys: Sequence[str], time: str = "t", *, fixations_only: bool = False, by: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """:func:`surface_histogram` weighted by the time to the next sample; a key's last sample has none."""
-    step = F.lead(time).over(Window.partitionBy(*keys).orderBy(time)) - F.col(time)
-    held = gaze.withColumn("__dt", step).where("__dt is not null")
+    held = neighbour(gaze, keys, time, "__next", later=True, bucket=bucket)
+    held = held.withColumn("__dt", F.col("__next") - F.col(time)).where("__dt is not null")
     if fixations_only:
         held = held.where("fixated")
     return surface_histogram(held, surfaces, "__dt", by).withColumnRenamed("weight", "occ")

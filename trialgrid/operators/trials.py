@@ -8,12 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import marker_class
+from .asof import asof_join
+from .ordered import between_join, in_buckets, neighbour, packed, unpacked
 
 
-def cumulative_clock(df: DataFrame, keys: Sequence[str], dt: str = "dt", order: str = "seq", name: str = "t") -> DataFrame:
-    """Running sum of time steps."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(dt).over(w))
+def cumulative_clock(df: DataFrame, keys: Sequence[str], dt: str = "dt", order: str = "seq", name: str = "t", *, bucket: float | None = None) -> DataFrame:
+    """Running sum of time steps; ``bucket``, a width of the order column, deals out long keys."""
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(dt).over(w))
+    rows = packed(df, keys, order).withColumn("__dt", F.col(f"__row.{dt}"))
+    dealt = in_buckets(rows, keys, order, bucket, ["__dt"], pick=F.sum)
+    w = Window.partitionBy(*keys, "__bucket").orderBy(order, F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return unpacked(dealt.withColumn(name, F.sum("__dt").over(w)), df, keys, order, name)
 
 
 def _wide(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,40 +65,47 @@ def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker",
     return out.withColumn("trial", judged)
 
 
-def trial_slice(samples: DataFrame, trials: DataFrame, keys: Sequence[str], time: str = "t", start: str = "t1", end: str = "t3") -> DataFrame:
+def trial_slice(samples: DataFrame, trials: DataFrame, keys: Sequence[str], time: str = "t", start: str = "t1", end: str = "t3", *, bucket: float | None = None) -> DataFrame:
     """Samples from the first at or after a trial's start up to and with the first at or after its end.
 
-    Past the data the last sample ends the trial. Times stay as they are.
+    Past the data the last sample ends the trial. Times stay as they are. With
+    ``bucket``, a width in units of time, long keys are dealt into buckets, and
+    a trial meets the samples of the buckets it touches alone.
     """
-    marked = samples.withColumn("__before", F.lag(time).over(Window.partitionBy(*keys).orderBy(time)))
+    marked = neighbour(samples, keys, time, "__before", bucket=bucket)
     bounds = trials.select(*keys, "trial", F.col(start).alias("__start"), F.col(end).alias("__end"))
-    inside = (F.col(time) >= F.col("__start")) & F.coalesce(F.col("__before") < F.col("__end"), F.lit(True))
-    return marked.join(bounds, list(keys)).where(inside).drop("__before", "__start", "__end")
+    before_end = F.coalesce(F.col("__before") < F.col("__end"), F.col("__end").isNotNull())
+    if bucket is None:
+        return marked.join(bounds, list(keys)).where((F.col(time) >= F.col("__start")) & before_end).drop("__before", "__start", "__end")
+    # the sample that ends a trial may lie in a later bucket
+    last = asof_join(bounds.withColumnRenamed("__end", time), samples.select(*keys, time), keys, time, (), bucket=bucket, drop_unmatched=False)
+    last = last.withColumnRenamed(time, "__end").withColumn("__stop", F.coalesce("t_match", "__end")).drop("t_match")
+    return between_join(marked, last, keys, time, "__start", "__stop", before_end, bucket=bucket).drop("__before", "__start", "__end", "__stop")
 
 
-def trial_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], time: str = "t", pre: float = 0, post: float = 0, start: str = "t1", end: str = "t3") -> DataFrame:
+def trial_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], time: str = "t", pre: float = 0, post: float = 0, start: str = "t1", end: str = "t3", *, bucket: float | None = None) -> DataFrame:
     """Samples in [start - pre, end + post], time relative to the trial's start; overlapping trials repeat rows."""
-    bounds = trials.select(*keys, "trial", F.col(start).alias("__start"), F.col(end).alias("__end"))
-    inside = F.col(time).between(F.col("__start") - pre, F.col("__end") + post)
-    return samples.join(bounds, list(keys)).where(inside).withColumn(time, F.col(time) - F.col("__start")).drop("__start", "__end")
+    bounds = trials.select(*keys, "trial", F.col(start).alias("__start"), (F.col(start) - pre).alias("__low"), (F.col(end) + post).alias("__high"))
+    out = between_join(samples, bounds, keys, time, "__low", "__high", bucket=bucket)
+    return out.withColumn(time, F.col(time) - F.col("__start")).drop("__start", "__low", "__high")
 
 
-def index_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], index: str = "seq", time: str = "t", pre: float = 0, post: float = 0) -> DataFrame:
+def index_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], index: str = "seq", time: str = "t", pre: float = 0, post: float = 0, *, bucket: float | None = None) -> DataFrame:
     """:func:`trial_window` for triggers that are row numbers, with the end rule of :func:`trial_slice`."""
     at = samples.select(*keys, F.col(index).alias("__i"), F.col(time).alias("__at"))
     found = trials
     for name in ("t1", "t3"):
         found = found.join(at.withColumnRenamed("__i", name).withColumnRenamed("__at", f"__{name}"), [*keys, name])
     found = found.select(*keys, "trial", (F.col("__t1") - pre).alias("t1"), (F.col("__t3") + post).alias("t3"), F.col("__t1").alias("__zero"))
-    out = trial_slice(samples, found, keys, time)
+    out = trial_slice(samples, found, keys, time, bucket=bucket)
     return out.join(found.select(*keys, "trial", "__zero"), [*keys, "trial"]).withColumn(time, F.col(time) - F.col("__zero")).drop("__zero")
 
 
-def clamped_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], index: str = "idx", margin: int = 1000, start: str = "i1", end: str = "i3") -> DataFrame:
+def clamped_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], index: str = "idx", margin: int = 1000, start: str = "i1", end: str = "i3", *, bucket: float | None = None) -> DataFrame:
     """Rows whose number lies within ``margin`` of a trial's rows, cut at the ends of the data."""
     limits = samples.groupBy(*keys).agg(F.min(index).alias("__lo"), F.max(index).alias("__hi"))
     bounds = trials.join(limits, list(keys)).select(*keys, "trial", F.greatest(F.col(start) - margin, "__lo").alias("__a"), F.least(F.col(end) + margin, "__hi").alias("__b"))
-    return samples.join(bounds, list(keys)).where(F.col(index).between(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    return between_join(samples, bounds, keys, index, "__a", "__b", bucket=bucket).drop("__a", "__b")
 
 
 def shift_clock(samples: DataFrame, keys: Sequence[str], time: str = "t") -> DataFrame:

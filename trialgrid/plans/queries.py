@@ -18,6 +18,8 @@ from ..functions.bins import mean_step, soft_range, soft_range_column
 from ..operators import asof, gaze, intervals, maps, signals, surfaces, trials, units
 
 HOUR = 3_600_000_000
+#: Long sessions are dealt out by 30 days.
+BUCKET = 24 * 30 * HOUR
 XEDGES = [50.0 * k for k in range(11)]
 YEDGES = [10.0 * k for k in range(11)]
 
@@ -81,21 +83,21 @@ def query(sql: str | None = None):
 
 @query(f"WITH {_BASE} SELECT s.user_id, s.t, p.t AS t_match, p.x, p.y FROM spk s ASOF JOIN pos p ON s.user_id = p.user_id AND s.t <= p.t")
 def asof_forward(spark, d):
-    return asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], bucket=24 * 30 * HOUR)
+    return asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], bucket=BUCKET)
 
 
 @query(f"WITH {_BASE} SELECT s.user_id, s.t, p.t AS t_match, p.x, p.y FROM spk s ASOF JOIN pos p ON s.user_id = p.user_id AND s.t >= p.t")
 def asof_backward(spark, d):
-    return asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], direction="backward")
+    return asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], direction="backward", bucket=BUCKET)
 
 
 @query(f"WITH {_MAPS} SELECT * FROM occ")
 def occupancy_2d(spark, d):
-    return maps.occupancy(positions(spark, d), ["user_id"], XEDGES, YEDGES)
+    return maps.occupancy(positions(spark, d), ["user_id"], XEDGES, YEDGES, bucket=BUCKET)
 
 
 def _rates(spark, d):
-    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"])
+    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], bucket=BUCKET)
     return maps.rate_map(maps.event_map(hit, XEDGES, YEDGES), occupancy_2d(spark, d))
 
 
@@ -131,7 +133,7 @@ def sample_fraction_map(spark, d):
 sa AS (SELECT *, n / sum(n) OVER () AS share FROM a), sb AS (SELECT *, n / sum(n) OVER () AS share FROM b)
 SELECT sb.ix, sb.iy, sb.n, round(sb.share / sa.share, 8) AS preference FROM sb JOIN sa ON sa.ix = sb.ix AND sa.iy = sb.iy""")
 def spike_fraction_map(spark, d):
-    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"])
+    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], bucket=BUCKET)
     base = maps.fraction_map(positions(spark, d), XEDGES, YEDGES)
     return maps.preference_map(maps.fraction_map(hit, XEDGES, YEDGES), base).select("ix", "iy", "n", F.round("preference", 8).alias("preference"))
 
@@ -184,13 +186,13 @@ _SHORT = f"{_TRIALS}, sh AS (SELECT * FROM tr WHERE t3 BETWEEN t1 AND t1 + {24 *
 @query(f"""WITH {_SHORT}, lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM pos)
 SELECT sh.user_id, sh.trial, count(*) AS n, min(lg.t) AS first_t, max(lg.t) AS last_t FROM sh JOIN lg ON sh.user_id = lg.user_id AND lg.t >= sh.t1 AND coalesce(lg.b < sh.t3, true) GROUP BY ALL""")
 def trial_slice(spark, d):
-    out = trials.trial_slice(positions(spark, d), _short_trials(spark, d), ["user_id"])
+    out = trials.trial_slice(positions(spark, d), _short_trials(spark, d), ["user_id"], bucket=BUCKET)
     return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 @query(f"""WITH {_SHORT} SELECT sh.user_id, sh.trial, count(*) AS n, CAST(sum(pos.t - sh.t1) AS BIGINT) AS total FROM sh JOIN pos ON sh.user_id = pos.user_id AND pos.t BETWEEN sh.t1 - {HOUR} AND sh.t3 + {2 * HOUR} GROUP BY ALL""")
 def trial_buffered(spark, d):
-    out = trials.trial_window(positions(spark, d), _short_trials(spark, d), ["user_id"], pre=HOUR, post=2 * HOUR)
+    out = trials.trial_window(positions(spark, d), _short_trials(spark, d), ["user_id"], pre=HOUR, post=2 * HOUR, bucket=BUCKET)
     return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
 
 
@@ -206,13 +208,13 @@ def clock_consistency(spark, d):
 @query(f"WITH {_BASE} SELECT event_id, CAST(sum(CAST(round(x * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY t) AS BIGINT) AS clock FROM ev")
 def cumulative_clock(spark, d):
     df = _events(spark, d).withColumn("dt", F.round(F.col("x") * 100).cast("long"))
-    return trials.cumulative_clock(df, ["user_id"], order="t", name="clock").select("event_id", "clock")
+    return trials.cumulative_clock(df, ["user_id"], order="t", name="clock", bucket=BUCKET).select("event_id", "clock")
 
 
 @query(f"""WITH {_BASE}, lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM pos)
 SELECT user_id, t, EXISTS (SELECT 1 FROM fix WHERE fix.user_id = lg.user_id AND fix.t_start <= lg.t AND (lg.b IS NULL OR lg.b < fix.t_end)) AS fixated FROM lg""")
 def fixation_mask(spark, d):
-    return intervals.interval_mask(positions(spark, d), fixations(spark, d), ["user_id"]).select("user_id", "t", "fixated")
+    return intervals.interval_mask(positions(spark, d), fixations(spark, d), ["user_id"], bucket=BUCKET).select("user_id", "t", "fixated")
 
 
 LAGS = [6.0 * HOUR * k for k in range(9)]
@@ -368,7 +370,7 @@ def surface_labels(spark, d):
 @query(f"""WITH {_surface_sql()}, st AS (SELECT event_id, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS dt FROM sp)
 SELECT surface_id, ix, iy, iz, CAST(sum(dt) AS BIGINT) AS occ FROM ins JOIN st USING (event_id) WHERE dt IS NOT NULL GROUP BY ALL""")
 def surface_dwell(spark, d):
-    return surfaces.dwell_histogram(_space(spark, d), surfaces.arena_surfaces(spark, 1.25), ["user_id"])
+    return surfaces.dwell_histogram(_space(spark, d), surfaces.arena_surfaces(spark, 1.25), ["user_id"], bucket=BUCKET)
 
 
 @query(f"""WITH {_SPACE}, w(wall_id, cx, cy) AS (VALUES (1, 0.0, -12.5), (2, 0.0, 12.5), (3, -12.5, 0.0), (4, 12.5, 0.0))
@@ -381,7 +383,7 @@ def nearest_surface(spark, d):
 @query(f"""WITH {_MAPS}, b AS (SELECT ix * 100 + iy AS bin_id, 50.0 * ix AS cx, 10.0 * iy AS cy, weight FROM cnt)
 SELECT i.bin_id, round(sum(exp(-((i.cx - j.cx) ** 2 + (i.cy - j.cy) ** 2) / (2 * 40.0 * 40.0)) * j.weight), 6) AS smooth FROM b i, b j WHERE sqrt((i.cx - j.cx) ** 2 + (i.cy - j.cy) ** 2) <= 120 GROUP BY i.bin_id""")
 def kernel_smooth(spark, d):
-    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"])
+    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], bucket=BUCKET)
     bins = maps.event_map(hit, XEDGES, YEDGES).select((F.col("ix") * 100 + F.col("iy")).alias("bin_id"), (50.0 * F.col("ix")).alias("cx"), (10.0 * F.col("iy")).alias("cy"), F.lit(0.0).alias("cz"), "weight")
     return surfaces.kernel_smooth(bins, surfaces.bin_distances(bins, 120.0), 40.0).withColumn("smooth", F.round("smooth", 6))
 
@@ -389,7 +391,7 @@ def kernel_smooth(spark, d):
 @query(f"""WITH {_MAPS}, k(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)), g AS (SELECT a.i AS ix, b.i AS iy FROM range(1, 11) a(i), range(1, 11) b(i))
 SELECT CAST(g.ix AS INTEGER) AS ix, CAST(g.iy AS INTEGER) AS iy, round(sum(0.2 * weight), 8) AS smooth FROM g, k JOIN cnt ON cnt.ix = greatest(1, least(10, g.ix + dx)) AND cnt.iy = greatest(1, least(10, g.iy + dy)) GROUP BY ALL""")
 def disk_smooth(spark, d):
-    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"])
+    hit = asof.asof_join(spikes(spark, d), positions(spark, d), ["user_id"], bucket=BUCKET)
     out = maps.smooth_map(maps.event_map(hit, XEDGES, YEDGES), 10, 10, maps.disk_kernel(1))
     return out.withColumn("smooth", F.round("smooth", 8))
 
