@@ -415,6 +415,8 @@ def score_documents(
         totals.tables, totals.parent_customers, totals.parent_tables = tables, parent.get(-1, 0), parent.get(-2, 0)
         if k >= burn_in:
             kept.append(totals)
-    final = state.join(merged.select("bucket", *_MERGED_NAMES[4:]), "bucket")
+    # a stated number keeps few buckets, each of some MB, in a task: joined partitions would go to Python as one batch
+    places = merged.select("bucket", *_MERGED_NAMES[4:]).repartition(buckets, "bucket")
+    final = state.repartition(buckets, "bucket").join(places, "bucket")
     answers = final.mapInArrow(_answering(spark.sparkContext.broadcast(kept), burn_in), "block long, bucket long, values binary, counts binary")
     return plain.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(tokens, vocabulary), _SCORE)
