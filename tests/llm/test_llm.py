@@ -140,6 +140,22 @@ def test_pitman_yor_sums_to_one():
     assert parent.sum() + unseen == pytest.approx(1)
 
 
+def test_pitman_yor_keeps_contexts_apart(spark):
+    """Two words whose hashes agree in 16 bits: as contexts, each predicts its own follower."""
+    import numpy as np
+
+    from trialgrid.llm import pitman_yor as py
+
+    words = [f"c{k}" for k in range(2000)]
+    keys = py._stream(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))[0][:-1]
+    first: dict[int, str] = {}
+    low = (bytetext.mix(keys) & np.uint64(0xFFFF)).tolist()
+    a, b = next((first[h], w) for w, h in zip(words, low, strict=True) if first.setdefault(h, w) != w)
+    rows = [(k, " ".join(f"{x} f{x} pad{k % 5}" for x in (a, b))) for k in range(60)] + [(1000, f"{a} f{b}"), (1001, f"{a} f{a}")]
+    out = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1001] - out[1000] > 1.5
+
+
 def test_suffix_dedup(docs, rows):
     out = {r.doc_id: r for r in suffix_dedup(docs).collect()}
     seen = set()

@@ -1,15 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Words are dishes. Each context, a hash of the previous word, has a restaurant in
-which a word's occurrences sit at tables; the tables of all contexts are the
-customers of one parent restaurant, whose base is uniform over the known words
-and one more. Seats are sampled by Gibbs sweeps, and the probabilities that the
-sampled seatings predict are averaged.
+Words are dishes. Each context, the previous word, has a restaurant in which a
+word's occurrences sit at tables; the tables of all contexts are the customers of
+one parent restaurant, whose base is uniform over the known words and one more.
+Seats are sampled by Gibbs sweeps, and the probabilities that the sampled seatings
+predict are averaged.
 
 All that belongs to a word lies in one bucket: its counts by context, its tables
-and its parent's customers. A bucket needs of the rest only the totals by context,
-65,536 numbers. Documents are dealt into blocks; a block asks the buckets for the
-(word, context) pairs it holds, each once, and gets their log-probabilities back.
+and its parent's customers. A bucket needs of the rest only the totals of the
+contexts it holds; these are summed in parts by context, to which the buckets send
+their own shares, and come back as rows. Documents are dealt into blocks; a block
+asks the buckets for the (word, context) pairs it holds, each once, and gets their
+log-probabilities back.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from . import bytetext as bt
 from .store import forget, keep, shuffle_partitions
 
+#: Contexts are told apart by all 64 bits; a bucket numbers those it holds, and so many numbers fit the low half of one.
 CONTEXTS = 1 << 16
 BLOCK_BYTES = 8 << 20
 FLUSH_TOKENS = 900_000
@@ -52,18 +55,19 @@ def _stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before = np.empty(len(full), np.uint64)
     before[1:] = full[:-1]
     before[at[:-1]] = _START
-    return full, (bt.mix(before) & np.uint64(CONTEXTS - 1)).astype(np.uint16), at
+    return full, before, at
 
 
 def _distinct(word: np.ndarray, context: np.ndarray, train: np.ndarray | None):
-    """Distinct words in order, contexts of each, and training counts of the pairs."""
+    """Distinct words in order, the number of contexts of each, distinct contexts in order, and their places and training counts by pair."""
     words, code = np.unique(word, return_inverse=True)
     code = code.astype(np.int32)
-    pair, back = np.unique(code * np.int64(CONTEXTS) + context, return_inverse=True)
+    keys, at = np.unique(context, return_inverse=True)
+    n = max(1, len(keys))
+    pair, back = np.unique(code * np.int64(n) + at, return_inverse=True)
     back = back.astype(np.int32)
     counts = None if train is None else np.bincount(back, weights=train, minlength=len(pair)).astype(np.int64)
-    owner = pair // CONTEXTS
-    return words, np.bincount(owner, minlength=len(words)), (pair % CONTEXTS).astype(np.uint16), counts, code, back
+    return words, np.bincount(pair // n, minlength=len(words)), keys, (pair % n).astype(np.int32), counts, code, back
 
 
 def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -71,8 +75,8 @@ def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-_ASK = "bucket long, block long, words binary, sizes binary, contexts binary, counts binary"
-_ASK_NAMES = ["bucket", "block", "words", "sizes", "contexts", "counts"]
+_ASK = "bucket long, block long, words binary, sizes binary, keys binary, contexts binary, counts binary"
+_ASK_NAMES = ["bucket", "block", "words", "sizes", "keys", "contexts", "counts"]
 
 
 def _asking(buckets: int):
@@ -82,13 +86,14 @@ def _asking(buckets: int):
         rows = []
         for block, parts in held.items():
             word, context, train = (np.concatenate(x) for x in zip(*parts, strict=True))
-            words, sizes, contexts, counts, _, _ = _distinct(word, context, train)
+            words, sizes, keys, contexts, counts, _, _ = _distinct(word, context, train)
             cut = np.concatenate([[0], np.cumsum(sizes)])
             home = _bucket(words, buckets)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 s, e = cut[a], cut[b]
-                rows.append((int(home[a]), block, words[a:b].tobytes(), pack(sizes[a:b].astype(np.int32)), contexts[s:e].tobytes(), pack(counts[s:e].astype(np.int32))))
+                own, place = np.unique(contexts[s:e], return_inverse=True)
+                rows.append((int(home[a]), block, words[a:b].tobytes(), pack(sizes[a:b].astype(np.int32)), keys[own].tobytes(), pack(place.astype(np.int32)), pack(counts[s:e].astype(np.int32))))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=_ASK_NAMES)
 
     def run(batches):
@@ -116,21 +121,29 @@ def _asking(buckets: int):
     return run
 
 
-_MERGED = "bucket long, sizes binary, contexts binary, counts binary, blocks binary, places binary, place_sizes binary, word_places binary, word_sizes binary"
+_MERGED = "bucket long, sizes binary, contexts binary, high binary, counts binary, parts binary, keys binary, blocks binary, places binary, place_sizes binary, word_places binary, word_sizes binary"
 _MERGED_NAMES = [p.split()[0] for p in _MERGED.split(", ")]
-_STATE = "bucket long, sizes binary, contexts binary, counts binary, seats array<binary>, parents array<binary>"
+_STATE = "bucket long, sizes binary, contexts binary, high binary, counts binary, parts binary, seats array<binary>, parents array<binary>"
 _STATE_NAMES = [p.split()[0] for p in _STATE.split(", ")]
-_STATE_TYPES = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.binary()), pa.list_(pa.binary())]
+_STATE_TYPES = [pa.int64(), *[pa.binary()] * 5, pa.list_(pa.binary()), pa.list_(pa.binary())]
 
 
-def _merging(table: pa.Table) -> pa.Table:
+def _merging(parts: int):
     """A bucket's pairs with their counts over all blocks, and which of them each block asked for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _merged(table, parts)
+
+    return run
+
+
+def _merged(table: pa.Table, parts: int) -> pa.Table:
     rows = {n: table[n].to_pylist() for n in _ASK_NAMES}
     word = [np.frombuffer(x, np.uint64) for x in rows["words"]]
     size = [unpack(x, np.int32) for x in rows["sizes"]]
-    context = [np.frombuffer(x, np.uint16) for x in rows["contexts"]]
+    context = [np.frombuffer(k, np.uint64)[unpack(x, np.int32)] for k, x in zip(rows["keys"], rows["contexts"], strict=True)]
     count = [unpack(x, np.int32) for x in rows["counts"]]
-    words, sizes, contexts, counts, _, back = _distinct(
+    words, sizes, keys, contexts, counts, _, back = _distinct(
         np.concatenate([np.repeat(w, s) for w, s in zip(word, size, strict=True)]),
         np.concatenate(context),
         np.concatenate(count).astype(np.float64),
@@ -152,8 +165,8 @@ def _merging(table: pa.Table) -> pa.Table:
         return np.array([len(p) for p in parts], np.int64).tobytes()
 
     row = [
-        table["bucket"][0].as_py(), pack(sizes.astype(np.int32)), contexts.tobytes(), pack(counts.astype(np.int32)),
-        np.array(blocks, np.int64).tobytes(), steps(places), lengths(places), steps(word_places), lengths(word_places),
+        table["bucket"][0].as_py(), pack(sizes.astype(np.int32)), (contexts % CONTEXTS).astype(np.uint16).tobytes(), pack((contexts // CONTEXTS).astype(np.uint16)), pack(counts.astype(np.int32)),
+        pack(np.bincount(_bucket(keys, parts), minlength=parts).astype(np.int32)), keys.tobytes(), np.array(blocks, np.int64).tobytes(), steps(places), lengths(places), steps(word_places), lengths(word_places),
     ]
     return pa.table([pa.array([v], pa.binary() if k else pa.int64()) for k, v in enumerate(row)], names=_MERGED_NAMES)
 
@@ -166,14 +179,14 @@ def _rows(batches):
 
 
 class Totals:
-    """What a bucket needs to know of all others: customers and tables by context, and scalars."""
+    """What a bucket needs to know of all others: customers and tables of the contexts it holds, and scalars."""
 
-    def __init__(self, customers, vocabulary, tokens, discounts, strength):
+    def __init__(self, customers, vocabulary, tokens, discounts, strength, parent_customers=0, parent_tables=0):
         self.customers, self.vocabulary, self.tokens = customers, vocabulary, tokens
         self.context_discount, self.parent_discount = discounts
         self.strength = strength
         self.tables = np.minimum(customers, 1)
-        self.parent_customers = self.parent_tables = 0
+        self.parent_customers, self.parent_tables = parent_customers, parent_tables
 
 
 def seat(counts: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -205,7 +218,9 @@ class Bucket:
     def __init__(self, row: dict):
         self.row = row
         self.sizes = unpack(row["sizes"], np.int32)
-        self.contexts = np.frombuffer(row["contexts"], np.uint16)
+        self.contexts = np.frombuffer(row["contexts"], np.uint16).astype(np.int32)
+        if row.get("high"):
+            self.contexts += unpack(row["high"], np.uint16).astype(np.int32) * CONTEXTS
         self.counts = unpack(row["counts"], np.int32)
         self.words = len(self.sizes)
         self.owner = np.repeat(np.arange(self.words, dtype=np.int32), self.sizes)
@@ -225,6 +240,12 @@ class Bucket:
         base = 1.0 / (totals.vocabulary + 1)
         return (np.maximum(customers - d * parents, 0) + (th + d * totals.parent_tables) * base) / (th + totals.parent_customers)
 
+    def shares(self, values: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """Sums over this bucket's pairs by context, cut by the part that a context belongs to."""
+        parts = unpack(self.row["parts"], np.int32)
+        sums = np.bincount(self.contexts, values, int(parts.sum())).astype(np.int64)
+        return [(k, self.row["bucket"], pack(x)) for k, x in enumerate(np.split(sums, np.cumsum(parts)[:-1])) if len(x)]
+
     def sweep(self, totals: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Seat every word of every context again, given the tables of the last sweep elsewhere."""
         some = self.several
@@ -256,59 +277,124 @@ class Bucket:
         return np.log10(mean / len(states))
 
 
+_SHARE = "part long, bucket long, values binary"
+_SHARE_NAMES = ["part", "bucket", "values"]
+
+
+def _blobs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.binary() if n in ("keys", "codes", "values", "counts") else pa.int64() for n in names]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _knowing(batches):
+    """A bucket's contexts, cut by the part they belong to."""
+    for row in _rows(batches):
+        keys, cut = np.frombuffer(row["keys"], np.uint64), np.cumsum(unpack(row["parts"], np.int32))[:-1]
+        yield _blobs([(k, row["bucket"], x.tobytes()) for k, x in enumerate(np.split(keys, cut)) if len(x)], ["part", "bucket", "keys"])
+
+
+def _coding(table: pa.Table) -> pa.Table:
+    """The contexts of a part numbered, as each bucket has them."""
+    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    code = np.unique(np.concatenate(keys), return_inverse=True)[1].astype(np.int32)
+    codes = [pack(c) for c in np.split(code, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"part": table["part"], "bucket": table["bucket"], "codes": pa.array(codes, pa.binary())})
+
+
+def _summing(shares: pa.Table, directory: pa.Table) -> pa.Table:
+    """Sums by context over all buckets, given back to each in its own order."""
+    if not shares.num_rows:
+        return pa.Table.from_batches([_blobs([], _SHARE_NAMES)])
+    codes = {b: unpack(c, np.int32) for b, c in zip(directory["bucket"].to_pylist(), directory["codes"].to_pylist(), strict=True)}
+    sums = np.zeros(1 + max(int(c.max()) for c in codes.values()), np.int64)
+    for bucket, values in zip(shares["bucket"].to_pylist(), shares["values"].to_pylist(), strict=True):
+        sums[codes[bucket]] += unpack(values, np.int64)
+    part = shares["part"][0].as_py()
+    return pa.Table.from_batches([_blobs([(part, b, pack(sums[c])) for b, c in codes.items()], _SHARE_NAMES)])
+
+
+def _exchange(shares: DataFrame, directory: DataFrame, label: str) -> DataFrame:
+    return keep(shares.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(_summing, _SHARE), label)
+
+
+def _aligned(table: pa.Table) -> np.ndarray:
+    """The totals of a bucket's contexts, in the bucket's order."""
+    order = np.argsort(table["part"].to_numpy())
+    values = table["values"].to_pylist()
+    return np.concatenate([unpack(values[k], np.int64) for k in order]) if len(order) else np.zeros(0, np.int64)
+
+
+def _own_shares(kind: str):
+    """What a bucket's pairs add to each context: training counts or, after a sweep, tables."""
+
+    def run(batches):
+        for row in _rows(batches):
+            b = Bucket(row)
+            yield _blobs(b.shares(b.counts if kind == "customers" else b.state(-1)[0]), _SHARE_NAMES)
+
+    return run
+
+
 def _counting(batches):
-    """By context the customers, and under keys below 0 what the discounts and the base need."""
+    """What the discounts and the base need, by name."""
     for row in _rows(batches):
         b = Bucket(row)
-        customers = np.bincount(b.contexts, b.counts, CONTEXTS).astype(np.int64)
-        held = np.flatnonzero(customers)
         kinds = np.bincount(b.owner, b.counts > 0, b.words)
         extra = [(b.word_counts > 0).sum(), b.word_counts.sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
-        keys = np.concatenate([held, -1 - np.arange(len(extra))])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([customers[held], np.array(extra, np.int64)]))], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(extra))), pa.array(np.array(extra, np.int64))], names=["key", "n"])
 
 
-def _sweeping(shared, number: int, seed: int):
-    def run(batches):
-        totals = shared.value
-        for row in _rows(batches):
+def _given(shares: pa.Table, sweep: int, scalars: tuple) -> Totals:
+    """A bucket's totals as they were after ``sweep``; before any, each context has one table."""
+    kinds = shares["sweep"].to_numpy()
+    totals = Totals(_aligned(shares.filter(pa.array(kinds == -1))), *scalars)
+    if sweep >= 0:
+        totals.tables = _aligned(shares.filter(pa.array(kinds == sweep)))
+    return totals
+
+
+def _sweeping(scalars: tuple, number: int, seed: int):
+    def run(states: pa.Table, shares: pa.Table) -> pa.Table:
+        out, totals = [], _given(shares, number - 1, scalars)
+        for row in _rows(states.to_batches()):
             b = Bucket(row)
             seats, parents = b.sweep(totals, np.random.default_rng([seed, number, row["bucket"]]))
             row["seats"] = [*row["seats"], pack(seats[b.several].astype(np.int32))]
             row["parents"] = [*row["parents"], pack(parents.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(_STATE_NAMES, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
+            out.append(row)
+        return pa.table([pa.array([r[n] for r in out], t) for n, t in zip(_STATE_NAMES, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
 
     return run
 
 
-def _tables(batches):
-    """Tables by context after the last sweep; under -1 the parent's customers, under -2 its tables."""
+def _parents(batches):
+    """After the last sweep, under 0 the parent's customers, under 1 its tables."""
     for row in _rows(batches):
-        b = Bucket(row)
-        seats, parents = b.state(-1)
-        tables = np.bincount(b.contexts, seats, CONTEXTS).astype(np.int64)
-        held = np.flatnonzero(tables)
-        keys, n = np.concatenate([held, [-1, -2]]), np.concatenate([tables[held], [seats.sum(), parents.sum()]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+        seats, parents = Bucket(row).state(-1)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([int(seats.sum()), int(parents.sum())])], names=["key", "n"])
 
 
-def _answering(shared, first: int):
+_ANSWER_NAMES = ["block", "bucket", "values", "counts"]
+
+
+def _answering(kept: list[tuple], first: int):
     """For each block the log-probabilities of its pairs and the counts of its words, in its own order."""
 
-    def run(batches):
-        states = shared.value
-        for row in _rows(batches):
+    def run(rows: pa.Table, shares: pa.Table) -> pa.Table:
+        out = []
+        states = [_given(shares, first + k, scalars) for k, scalars in enumerate(kept)]
+        for row in _rows(rows.to_batches()):
             b = Bucket(row)
             value = b.log10(states, first).astype(np.float32)
             at = word_at = 0
             blocks = np.frombuffer(row["blocks"], np.int64).tolist()
             steps, word_steps = unpack(row["places"], np.int32), unpack(row["word_places"], np.int32)
-            out = []
             for block, n, m in zip(blocks, np.frombuffer(row["place_sizes"], np.int64).tolist(), np.frombuffer(row["word_sizes"], np.int64).tolist(), strict=True):
                 places, words = np.cumsum(steps[at : at + n]), np.cumsum(word_steps[word_at : word_at + m])
                 out.append((block, row["bucket"], pack(value[places]), pack(b.word_counts[words])))
                 at, word_at = at + n, word_at + m
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "bucket", "values", "counts"])
+        return pa.Table.from_batches([_blobs(out, _ANSWER_NAMES)])
 
     return run
 
@@ -331,7 +417,7 @@ def _scoring(tokens: int, vocabulary: int):
         word, context = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
         del parts
-        words, _, contexts, _, code, back = _distinct(word, context, None)
+        words, _, _, contexts, _, code, back = _distinct(word, context, None)
         if len(words) != len(count) or len(contexts) != len(value):
             raise RuntimeError("a block's answers do not fit its documents")
         seen = count[code]
@@ -353,13 +439,8 @@ def _scoring(tokens: int, vocabulary: int):
     return run
 
 
-def _collected(rows: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """Sums by key: an array over the contexts, and those below 0 by name."""
-    table = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = table["key"].to_numpy(), table["n"].to_numpy()
-    by_context = np.zeros(CONTEXTS, np.int64)
-    by_context[key[key >= 0]] = n[key >= 0]
-    return by_context, {int(k): int(v) for k, v in zip(key[key < 0], n[key < 0], strict=True)}
+def _collected(rows: DataFrame) -> dict[int, int]:
+    return {r.key: r.n for r in rows.groupBy("key").agg(F.sum("n").alias("n")).collect()}
 
 
 def score_documents(
@@ -395,28 +476,36 @@ def score_documents(
     rows = max(1, math.ceil(size.n / blocks))
     block = F.coalesce(F.pmod(F.floor(F.col("doc_id") / rows), F.lit(blocks)), F.lit(0)).cast("long")
     plain = plain.withColumn("block", block)
-    buckets = 4 * shuffle_partitions(spark)
+    buckets, parts = 4 * shuffle_partitions(spark), math.ceil(blocks / 4)
     asked = plain.select("doc_id", "text", "block", (~F.col("held_out")).alias("train")).mapInArrow(_asking(buckets), _ASK)
-    merged = keep(asked.groupBy("bucket").applyInArrow(_merging, _MERGED), "pitman-yor-counts")
+    merged = keep(asked.groupBy("bucket").applyInArrow(_merging(parts), _MERGED), "pitman-yor-counts")
+    known = merged.select("bucket", "parts", "keys").mapInArrow(_knowing, "part long, bucket long, keys binary")
+    directory = keep(known.groupBy("part").applyInArrow(_coding, "part long, bucket long, codes binary"), "pitman-yor-contexts")
     empty = F.array().cast("array<binary>")
-    state = merged.select(*_STATE_NAMES[:4], empty.alias("seats"), empty.alias("parents"))
-    customers, extra = _collected(state.mapInArrow(_counting, "key long, n long"))
-    vocabulary, tokens, n1, n2, m1, m2 = (extra.get(-1 - k, 0) for k in range(6))
+    state = merged.select(*_STATE_NAMES[:6], empty.alias("seats"), empty.alias("parents"))
+    extra = _collected(state.mapInArrow(_counting, "key long, n long"))
+    vocabulary, tokens, n1, n2, m1, m2 = (extra.get(k, 0) for k in range(6))
     discounts = tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ((n1, n2), (m1, m2)))
-    totals = Totals(customers, vocabulary, tokens, discounts, strength)
-    kept = []
+    model = (vocabulary, tokens, discounts, strength)
+    customers = _exchange(state.mapInArrow(_own_shares("customers"), _SHARE), directory, "pitman-yor-customers").withColumn("sweep", F.lit(-1))
+    scalars, shares, kept, every = model, customers, [], customers
     for k in range(burn_in + sweeps):
         # a restart: the parent's totals before any sweep are those of one table for each pair
-        before, state = state, keep(state.mapInArrow(_sweeping(spark.sparkContext.broadcast(totals), k, seed), _STATE), "pitman-yor-seats")
+        swept = state.groupBy("bucket").cogroup(shares.groupBy("bucket")).applyInArrow(_sweeping(scalars, k, seed), _STATE)
+        before, state = state, keep(swept, "pitman-yor-seats")
         if k:
             forget(before)  # its seats are in the new table too
-        tables, parent = _collected(state.mapInArrow(_tables, "key long, n long"))
-        totals = Totals(customers, vocabulary, tokens, discounts, strength)
-        totals.tables, totals.parent_customers, totals.parent_tables = tables, parent.get(-1, 0), parent.get(-2, 0)
+        else:  # the state holds the counts from now on
+            places = keep(merged.select("bucket", *_MERGED_NAMES[7:]), "pitman-yor-places")
+            forget(merged)
+        parent = _collected(state.mapInArrow(_parents, "key long, n long"))
+        scalars = (*model, parent.get(0, 0), parent.get(1, 0))
+        tables = _exchange(state.mapInArrow(_own_shares("tables"), _SHARE), directory, "pitman-yor-tables").withColumn("sweep", F.lit(k))
+        shares = customers.unionByName(tables)
         if k >= burn_in:
-            kept.append(totals)
-    # a stated number keeps few buckets, each of some MB, in a task: joined partitions would go to Python as one batch
-    places = merged.select("bucket", *_MERGED_NAMES[4:]).repartition(buckets, "bucket")
-    final = state.repartition(buckets, "bucket").join(places, "bucket")
-    answers = final.mapInArrow(_answering(spark.sparkContext.broadcast(kept), burn_in), "block long, bucket long, values binary, counts binary")
+            every = every.unionByName(tables)
+            kept.append(scalars)
+    # a stated number keeps few buckets, each of some MB, in a task
+    final = state.repartition(buckets, "bucket").join(places.repartition(buckets, "bucket"), "bucket")
+    answers = final.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(_answering(kept, burn_in), "block long, bucket long, values binary, counts binary")
     return plain.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(tokens, vocabulary), _SCORE)
