@@ -479,3 +479,61 @@ def wavelet_band(spark, d):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("t"))
     spec = signals.spectrum(per_user.select("user_id", n.alias("t"), "v"), ["user_id"], fs=32.0)
     return signals.band(signals.up_to(spec, 12.0), 4.0, ["user_id"]).withColumn("v", F.round("v", 6))
+
+
+# The queries above that take a part of the points, trials or events keep their SQL; those below take all of them.
+# A trial that ends before it starts has no interval.
+
+
+def _whole_trials(spark, d):
+    return _trials(spark, d).where("t3 >= t1")
+
+
+_WHOLE = f"{_TRIALS}, sh AS (SELECT * FROM tr WHERE t3 >= t1)"
+
+
+@query(ORACLES["trial_slice"].replace(_SHORT, _WHOLE))
+def trial_slice_all(spark, d):
+    out = trials.trial_slice(positions(spark, d), _whole_trials(spark, d), ["user_id"], bucket=BUCKET)
+    return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query(ORACLES["trial_buffered"].replace(_SHORT, _WHOLE))
+def trial_buffered_all(spark, d):
+    out = trials.trial_window(positions(spark, d), _whole_trials(spark, d), ["user_id"], pre=HOUR, post=2 * HOUR, bucket=BUCKET)
+    return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
+
+
+@query(ORACLES["clock_consistency"].replace(_SHORT, f"{_TRIALS}, sh AS (SELECT * FROM tr)"))
+def clock_consistency_all(spark, d):
+    own = _trials(spark, d)
+    other = own.where("trial % 5 != 0").withColumn("trig1", F.when(F.col("user_id") % 10 == 0, 12).otherwise(F.col("trig1")))
+    return trials.compare_clocks(own, other, ["user_id"]).select("user_id", "trial", F.col("b").isNull().alias("missing"))
+
+
+@query(f"""WITH {_SERIES}, f AS (SELECT session, idx, CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END AS unit FROM se),
+k AS (SELECT *, idx - 1 - unit + unnest([1, 2, 3, 4, 5]) AS spot FROM f), w AS (SELECT k.*, v FROM k JOIN se ON se.session = k.session AND se.idx = k.spot)
+SELECT session, unit, idx, count(*) AS points, list(v ORDER BY spot)[1] AS first_v, list(v ORDER BY spot)[5] AS last_v, CAST(sum(v) AS BIGINT) AS total FROM w GROUP BY ALL HAVING count(*) = 5""")
+def waveform_windows_all(spark, d):
+    series = _series(spark, d)
+    unit = F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(2)
+    triggers = spark.createDataFrame([(1, 2, 5), (2, 3, 5)], "unit int, trigger int, points int")
+    waves = units.cut_waveforms(series.select("session", "idx", unit.alias("unit")), series.select("session", F.lit(1).alias("channel"), "idx", "v"), triggers)
+    total = F.aggregate("wave", F.lit(0).cast("long"), lambda s, x: s + x)
+    return waves.select("session", "unit", "idx", F.size("wave").cast("long").alias("points"), F.element_at("wave", 1).alias("first_v"), F.element_at("wave", -1).alias("last_v"), total.alias("total"))
+
+
+@query()
+def ray_hit_all(spark, d):
+    a = F.radians(F.col("event_id") % 360 + 0.37)
+    rays = _space(spark, d).select("event_id", (F.col("event_id") % 24 - 12.03).alias("px"), F.lit(-9.97).alias("py"), F.lit(1.5).alias("pz"), F.sin(a).alias("dx"), F.cos(a).alias("dy"), (F.col("event_id") % 7 / 20.3).alias("dz"))
+    return gaze.ray_hit(rays).select("event_id", *[F.round(c, 4).alias(c) for c in ("gx", "gy", "gz")])
+
+
+@query(f"""WITH {_SERIES}, o AS (SELECT session, idx AS onset, unnest(range(-4, 4)) AS k FROM se), w AS (SELECT CAST(k AS INTEGER) AS "offset", v FROM o JOIN se ON se.session = o.session AND se.idx = o.onset + o.k)
+SELECT "offset", count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM w GROUP BY ALL""")
+def event_windows_all(spark, d):
+    s = _series(spark, d)
+    found = s.select("session", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
+    out = trials.event_windows(s.select("session", "idx", "v"), found, ["session"], 4, 4)
+    return out.groupBy("offset").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
