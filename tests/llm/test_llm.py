@@ -207,6 +207,13 @@ def test_toxicity(spark):
     assert not any(r.toxic for r in score_toxicity(docs, labels.where("false")).collect())
 
 
+def test_toxicity_share_is_that_of_all_labels(spark):
+    """Texts that say nothing have the share of all labels as their probability, also where the sample is even."""
+    docs = spark.createDataFrame([(k, "the same few words") for k in range(1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, int(k % 10 == 0)) for k in range(1000)], "doc_id long, quality int, toxic int")
+    assert all(r.p_toxic == pytest.approx(0.1, abs=0.03) for r in score_toxicity(docs, labels, per_class=50).collect())
+
+
 def test_decontamination(spark, docs, rows):
     passage = rows[-1][1].split()
     items = [(1, " ".join(passage[2:14])), (12, "two words"), (3, None), (4, "..."), (5, "One"), (6, rows[3][1])]

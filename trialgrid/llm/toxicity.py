@@ -44,9 +44,10 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Chain:
     """Logistic models in the order of their categories."""
 
-    def __init__(self, columns: list[np.ndarray], labels: dict[str, np.ndarray], most: int = 400, folds: int = 4, ridge: float = 0.3):
+    def __init__(self, columns: list[np.ndarray], labels: dict[str, np.ndarray], most: int = 400, folds: int = 4, ridge: float = 0.3, weights: np.ndarray | None = None):
         self.categories = list(labels)
         n = len(columns)
+        weights = np.ones(n) if weights is None else weights * (n / weights.sum())
         chosen = {c: self._choose(columns, y, most) for c, y in labels.items()}
         self.known = np.unique(np.concatenate(list(chosen.values()) or [np.zeros(0, np.uint64)]))
         x = np.zeros((n, len(self.known)), np.float32)
@@ -58,11 +59,11 @@ class Chain:
         for c, y in labels.items():
             own = np.searchsorted(self.known, chosen[c])
             inputs = np.concatenate([x[:, own], earlier, np.ones((n, 1))], 1)
-            self.models.append((own, self._fit(inputs, y, ridge)))
+            self.models.append((own, self._fit(inputs, y, ridge, weights)))
             unseen = np.zeros(n)
             for f in range(folds):
                 test = fold == f
-                unseen[test] = self._p(inputs[test], self._fit(inputs[~test], y[~test], ridge))
+                unseen[test] = self._p(inputs[test], self._fit(inputs[~test], y[~test], ridge, weights[~test]))
             earlier = np.concatenate([earlier, unseen[:, None]], 1)
 
     @staticmethod
@@ -84,14 +85,14 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
 
     @classmethod
-    def _fit(cls, x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    def _fit(cls, x: np.ndarray, y: np.ndarray, ridge: float, weights: np.ndarray) -> np.ndarray:
         w = np.zeros(x.shape[1])
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-3
         for _ in range(15):
             p = cls._p(x, w)
-            hessian = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(penalty)
-            change = np.linalg.solve(hessian, x.T @ (p - y) + penalty * w)
+            hessian = (x.T * (weights * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(penalty)
+            change = np.linalg.solve(hessian, x.T @ (weights * (p - y)) + penalty * w)
             w -= change
             if np.abs(change).max() < 1e-6:
                 break
@@ -129,13 +130,18 @@ def _gathering(batches):
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_class: int = 1500, target: str = "toxic") -> Chain | None:
     """A chain fitted on at most ``per_class`` labelled documents for each value of ``target``.
 
-    Those are the ones of least hash. Rows with a null label or text are left
+    Those are the ones of least hash. Each stands for as many labels of its value
+    as there are for one in the sample, so that probabilities are those of all
+    labels, whatever their number. Rows with a null label or text are left
     out; without both values of the target there is no chain.
     """
     told = labels.select(F.col("doc_id").alias("__id"), *[F.col(c).cast("int").alias(f"__{c}") for c in categories]).dropna()
-    told = told.withColumn("__h", F.xxhash64("__id"))
+    # of several labels for an id the greatest counts, in the sample as in the shares
+    names = [f"__{c}" for c in categories]
+    told = told.groupBy("__id").agg(F.max(F.struct(*names)).alias("__s")).select("__id", "__s.*").withColumn("__h", F.xxhash64("__id"))
+    total = {r[0]: r[1] for r in told.groupBy(f"__{target}").count().collect()}
     few = [told.where(F.col(f"__{target}") == v).orderBy("__h", "__id").limit(per_class) for v in (0, 1)]
-    sample = few[0].unionByName(few[1]).dropDuplicates(["__id"])
+    sample = few[0].unionByName(few[1])
     joined = docs.where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
     rows = joined.select("text", "__id", "__h", *[f"__{c}" for c in categories])
     shape = "features binary, __id long, __h long, " + ", ".join(f"__{c} int" for c in categories)
@@ -145,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_c
     if len(set(table[f"__{target}"].to_pylist())) < 2:
         return None
     columns = [np.frombuffer(x, np.uint64) for x in table["features"].to_pylist()]
-    return Chain(columns, {c: table[f"__{c}"].to_numpy().astype(np.float64) for c in categories})
+    weights = np.array([total[v] / min(total[v], per_class) for v in table[f"__{target}"].to_pylist()])
+    return Chain(columns, {c: table[f"__{c}"].to_numpy().astype(np.float64) for c in categories}, weights=weights)
 
 
 def _predicting(shared, categories: tuple[str, ...], limit: float, target: str):
