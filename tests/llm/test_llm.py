@@ -214,6 +214,21 @@ def test_toxicity_share_is_that_of_all_labels(spark):
     assert all(r.p_toxic == pytest.approx(0.1, abs=0.03) for r in score_toxicity(docs, labels, per_class=50).collect())
 
 
+def test_copies_and_leaks_go_by_row(spark):
+    rng = random.Random(8)
+    a, b, c, leak = (_prose(rng, 40) for _ in range(4))
+    rows = [(3, b), (5, a), (5, b), (None, b + " more"), (None, c), (None, c), (None, leak), (6, leak + " x"), (6, _prose(rng, 40)), (7, ""), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in drop_near_copies(df).collect())
+    assert kept == Counter([(3, b), (5, a), (None, c), (6, rows[7][1]), rows[8], (7, ""), (8, None)])
+    items = spark.createDataFrame([(1, leak), (2, c)], "item_id long, text string")
+    for shard in (200_000, 10):
+        left = Counter((r.doc_id, r.text) for r in decontaminate(df, items, shard_words=shard).collect())
+        assert left == Counter(r for r in rows if r[1] is None or (leak not in r[1] and c not in r[1]))
+        cut = Counter((r.doc_id, r.text) for r in decontaminate(df, items, max_coverage=0.99, shard_words=shard).collect())
+        assert cut == left + Counter([(6, " x")])
+
+
 def test_decontamination(spark, docs, rows):
     passage = rows[-1][1].split()
     items = [(1, " ".join(passage[2:14])), (12, "two words"), (3, None), (4, "..."), (5, "One"), (6, rows[3][1])]

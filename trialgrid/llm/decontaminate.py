@@ -274,21 +274,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+def _count_words(body: str) -> int:
+    data = bt.LOWER[np.frombuffer(body.encode(), np.uint8)]
+    return len(bt.tokens(data, np.array([0, len(data)]), bt.ALNUM)[0])
+
+
+def _covered(spans: list[dict], body: str) -> tuple[list[list[int]], int]:
+    """Spans in order of their starts joined where they meet, and the words in them."""
+    merged: list[list[int]] = []
+    for s in spans:
+        if merged and s["start"] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], s["end"])
+        else:
+            merged.append([s["start"], s["end"]])
+    return merged, sum(_count_words(body[s:e]) for s, e in merged)
+
+
 def _recount(batches):
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            merged: list[list[int]] = []
-            for s in r["spans"]:
-                if merged and s["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"]])
-            body = r["text"] or ""
-            hit = 0
-            for s, e in merged:
-                data = bt.LOWER[np.frombuffer(body[s:e].encode(), np.uint8)]
-                hit += len(bt.tokens(data, np.array([0, len(data)]), bt.ALNUM)[0])
+            merged, hit = _covered(r["spans"], r["text"] or "")
             rows.append(_row(r["doc_id"], r["n_words"], hit, merged, r["items"]))
         yield _batch(rows)
 
@@ -311,31 +317,79 @@ def _matching(items: list[tuple[str, str]], window: int):
     return run
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _dropping(items: list[tuple[str, str]], window: int, at: int):
+    def run(batches):
+        matcher = Matcher(items, window)
+        for batch in batches:
+            keep_ = np.ones(batch.num_rows, bool)
+            for first, data, bounds in bt.slices(batch.column(at)):
+                for k, (_, hit, _, _) in enumerate(matcher.match(data, bounds)):
+                    keep_[first + k] = not hit
+            yield batch.filter(pa.array(keep_))
+
+    return run
+
+
+def _marking(items: list[tuple[str, str]], window: int, at: int):
+    """Adds what this shard's windows cover, in code points, to the last column."""
+    find = _matching(items, window)
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            more = [r for found in find([texts]) for r in found.column(6).to_pylist()]
+            spans = [(a or []) + b for a, b in zip(batch.columns[-1].to_pylist(), more, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, batch.columns[-1].type)], schema=batch.schema)
+
+    return run
+
+
+def _cutting(at: int, max_coverage: float):
+    def run(batches):
+        for batch in batches:
+            texts, keep_ = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            for k, spans in enumerate(batch.columns[-1].to_pylist()):
+                if not spans:
+                    continue
+                merged, hit = _covered(sorted(spans, key=lambda s: (s["start"], s["end"])), texts[k])
+                keep_[k] = hit / _count_words(texts[k]) <= max_coverage
+                edges = [0, *[e for span in merged for e in span], len(texts[k])]
+                texts[k] = "".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : -1]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep_))
+
+    return run
+
+
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.0, *, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 10,
+    max_coverage: float = 0.0,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    shard_words: int = 200_000,
 ) -> DataFrame:
     """Documents without what :func:`benchmark_hits` finds, all columns kept.
 
     A document of which windows cover more than ``max_coverage`` of its words is
     dropped; from the others the covered text is cut out. With the default 0
-    every contaminated document goes. Rows are told apart by id: if rows repeat
-    an id and one is contaminated, all go. Null ids cannot be told apart and stay.
+    every contaminated document goes. Rows are judged one by one by their texts;
+    ids, null or repeated, play no part.
     """
-    hits = benchmark_hits(docs, items, window, doc_id=doc_id, text=text).where("contaminated")
-    hits = hits.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.col("n_hit") / F.col("n_words")).alias("__share"), F.first("spans").alias("__spans")
-    )
-    joined = docs.join(hits, F.col(doc_id) == F.col("__id"), "left")
-    if max_coverage > 0:
-        joined = joined.where(F.coalesce(F.col("__share") <= max_coverage, F.lit(True)))
-        starts = F.transform("__spans", lambda s: s["start"])
-        ends = F.transform("__spans", lambda s: s["end"])
-        kept = F.zip_with(
-            F.concat(F.array(F.lit(0)), ends),
-            F.concat(starts, F.array(F.char_length(F.col(text)))),
-            lambda a, b: F.substring(F.col(text), a + 1, b - a),
-        )
-        joined = joined.withColumn(text, F.when(F.col("__id").isNull(), F.col(text)).otherwise(F.array_join(kept, "")))
-    else:
-        joined = joined.where(F.col("__id").isNull())
-    return joined.select(*docs.columns)
+    at = docs.columns.index(text)
+    shards = list(_shards(items, item_id, item_text, shard_words))
+    if max_coverage <= 0:
+        for shard in shards:
+            docs = docs.mapInArrow(_dropping(shard, window, at), docs.schema)
+        return docs
+    schema, marked = docs.schema, docs.withColumn("__spans", F.lit(None).cast(_SPANS))
+    for shard in shards:
+        marked = marked.mapInArrow(_marking(shard, window, at), marked.schema)
+    return marked.mapInArrow(_cutting(at, max_coverage), schema)

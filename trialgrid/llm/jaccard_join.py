@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -294,13 +294,20 @@ def jaccard_join(
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class of :func:`jaccard_join`, the one of least id; all columns kept.
 
-    Rows that repeat that id with the same text count once. Rows with a null id
-    stay, as no decision can name them.
+    Rows are told apart by a key of their own, whatever their ids: rows that
+    repeat an id, or have none, are compared by their texts like all others. Null
+    ids come after all ids. Texts without words stay; those that repeat an id
+    with the same text count once.
     """
-    classes = jaccard_join(docs, similarity, words, doc_id=doc_id, text=text)
-    losers = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(losers, F.col(doc_id) == F.col("__id"), "left_anti")
-    repeated = kept.groupBy(F.col(doc_id).alias("__id")).count().where("count > 1 and __id is not null").select("__id")
-    again = kept.join(repeated, F.col(doc_id) == F.col("__id"), "left_semi")
-    again = again.withColumn("__row", F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(text)))
-    return kept.join(repeated, F.col(doc_id) == F.col("__id"), "left_anti").unionByName(again.where("__row = 1").drop("__row"))
+    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
+    classes = jaccard_join(rows, similarity, words, doc_id="__row", text=text)
+    members = classes.where("n_links > 0 or n_shingles = 0").select(F.col("doc_id").alias("__row"), "class_id", "n_links")
+    members = members.join(rows.select("__row", F.col(doc_id).alias("__id"), F.col(text).alias("__text")), "__row")
+    linked = F.col("n_links") > 0
+    keys = [F.when(linked | F.col("__id").isNull(), F.col("class_id")), *[F.when(~linked, F.col(c)) for c in ("__id", "__text")]]
+    members = members.select("__row", "__id", *[k.alias(f"__k{n}") for n, k in enumerate(keys)])
+    least = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row")))["__row"]
+    members = keep(members, "near-copies-members")
+    first = members.groupBy("__k0", "__k1", "__k2").agg(least.alias("__row")).select("__row")
+    losers = members.select("__row").join(first, "__row", "left_anti")
+    return rows.join(losers, "__row", "left_anti").select(*docs.columns)
