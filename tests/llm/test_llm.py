@@ -342,6 +342,34 @@ def test_fingerprint_likeness_is_exact(spark):
     assert all(r.d.done and sorted(r.d.a) == r.a and sorted(r.d.b) == r.b for r in out)
 
 
+def test_fingerprint_likeness_is_that_of_the_digests(spark, docs):
+    """Likenesses equal set Jaccard, and one more character leaves nearly all paragraphs as they are."""
+    out = {r.doc_id: r for r in compare_with_edits(docs).collect()}
+    sets = {r.doc_id: set(r.digests) for r in document_fingerprints(docs).collect()}
+    order = sorted(sets, reverse=True)
+    for k, after in zip(order, order[1:] + order[:1], strict=True):
+        either = sets[k] | sets[after]
+        assert out[k].near_next == pytest.approx(len(sets[k] & sets[after]) / len(either) if either else 1) and out[k].peeled
+    text = _prose(random.Random(5), 1000)
+    pair = spark.createDataFrame([(2, text), (1, "x" + text), (0, text[:2500] + "x" + text[2500:])], "doc_id long, text string")
+    assert all(r.near_next > 0.9 for r in compare_with_edits(pair).collect())
+
+
+def test_fingerprint_order_with_crowded_ids(spark):
+    """Ids that many rows share, and null ones, still follow each other in one ring."""
+    rows = [(k % 3 if k < 300 else None if k < 500 else k, f"text {k}") for k in range(700)]
+    out = compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in out) == Counter(k for k, _ in rows)
+    edits = Counter(r.edited_sha256 for r in out)
+    ids, hashes = zip(*[(r[0], r[1]) for r in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "struct(shiftrightunsigned(xxhash64(text), 1) AS h, text AS t)").collect()], strict=True)
+    ring = sorted(zip(ids, hashes, strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), -r[1].h))
+    expected = Counter()
+    for (_, a), (_, b) in zip(ring, ring[1:] + ring[:1], strict=True):
+        half = len(a.t) // 2
+        expected[hashlib.sha256((a.t[: len(a.t) - half] + b.t[:half]).encode()).hexdigest()] += 1
+    assert edits == expected
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")

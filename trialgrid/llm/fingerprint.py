@@ -4,10 +4,10 @@ A sketch has cells in three sub-tables. Every paragraph digest goes to one cell
 of each, which keeps the number of digests and the XOR of the digests and of
 their check hashes. The cells of two versions subtract; a cell left with a
 single digest gives it away, and taking that out of its other cells frees more.
-If cells stay full, the digests are dealt into parts of a few each, and every
-part that fails is sketched again with twice the cells.
+If cells stay full, both versions are sketched again with four times the cells.
 
-Everything is Spark SQL over the arrays of one row.
+Everything is Spark SQL over the arrays of one row. Cells are kept sparse, as
+entries (place, number, digests, checks); entries of one place add up.
 """
 
 from __future__ import annotations
@@ -17,137 +17,110 @@ from pyspark.sql import functions as F
 
 from .store import shuffle_partitions
 
-#: A paragraph is a line; a longer one counts as several, each of so many characters.
-#: The first ``PIECE`` characters of a text are cut finer, so that short texts have several.
-PIECE, FINE = 160, 20
-#: Cells of each sub-table of the fingerprint itself, and of the first retry.
-WIDTH, RETRY_WIDTH = 4, 8
-PART, RETRIES, ROUNDS = 12, 9, 6
-
-_CELL = "struct<n:int,k:bigint,c:bigint>"
+#: Paragraphs are lines. A longer one is cut wherever a word of some endings meets one of some
+#: beginnings, so that a cut depends on the two words alone and not on what stands before; if there
+#: is no such place, after so many characters. The first ``HEAD`` pieces are finer, so that short
+#: texts have several.
+FINE, COARSE, HEAD = (r"[nteo.]\s+(?=[a-mA-M])", 160), (r"[teo.]\s+(?=[dlmDLM])", 400), 6
+#: Cells of each sub-table of the fingerprint itself; retries have GROWTH times as many each.
+WIDTH, GROWTH, RETRIES, ROUNDS = 8, 4, 9, 20
+#: Entries folded at a time.
+FOLD = 1024
+
+_CELL = "struct<p:int,n:int,k:bigint,c:bigint>"
+_CELLS = f"array<{_CELL}>"
+_FOUND = "struct<a:array<bigint>,b:array<bigint>,done:boolean>"
 _NONE = "cast(array() as array<bigint>)"
 
 
+def _piece(cut: str, most: int) -> str:
+    return rf"[^\n]{{1,{most}}}?{cut}|[^\n]{{1,{most}}}"
+
+
 def paragraph_digests(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs, in ascending order."""
-    head = F.regexp_extract_all(F.left(text, F.lit(PIECE)), F.lit(r"([^\n]{1,%d})" % FINE), F.lit(1))
-    tail = F.regexp_extract_all(F.substring(text, PIECE + 1, 1 << 30), F.lit(r"([^\n]{1,%d})" % PIECE), F.lit(1))
-    pieces = F.concat(head, tail)
-    return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
+    """Distinct 64-bit digests of a text's paragraphs."""
+    head = F.regexp_extract(text, rf"^(?:\n*(?:{_piece(*FINE)})){{0,{HEAD}}}", 0)
+    tail = F.substring(text, F.char_length(head) + 1, F.lit((1 << 31) - 1))
+    every = [F.regexp_extract_all(part, F.lit(f"({_piece(*size)})"), F.lit(1)) for part, size in ((head, FINE), (tail, COARSE))]
+    return F.array_distinct(F.transform(F.concat(*every), lambda p: F.xxhash64(p)))
 
 
-def _place(h: str, table: int, width: str) -> str:
-    """The cell of sub-table ``table`` for a digest of which ``h`` is the hash."""
-    return f"cast({table} * {width} + pmod(shiftright({h}, {20 * table}), {width}) as int)"
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _check(key: str) -> str:
-    return f"xxhash64({key}, 1)"
+def _entries(items: str, key: str, number: str, width: str) -> str:
+    """The entries of digests in their three cells; ``f`` is the item."""
+    cell = f"cast(named_struct('p', cast({{t}} * {width} + pmod(shiftright(u.h, 20 * {{t}}), {width}) as int), 'n', {number}, 'k', {key}, 'c', u.c) as {_CELL})"
+    cells = ", ".join(cell.format(t=t) for t in range(3))
+    each = _let("u", f"named_struct('h', xxhash64({key}, {width}), 'c', xxhash64({key}, 1))", f"array({cells})")
+    return f"flatten(transform({items}, f -> {each}))"
 
 
-def _placed(rows: str, key: str, more: str, width: str) -> str:
-    """An array with the three cells of each element's digest."""
-    p0, p1, p2 = (_place("h", t, width) for t in range(3))
-    return (
-        f"flatten(transform({rows}, f -> transform(array(xxhash64({key}, {width})), h -> "
-        f"named_struct({more}, 'p0', {p0}, 'p1', {p1}, 'p2', {p2}))))"
-    )
+def _fold(entries: str) -> str:
+    """Entries of one place added up; those that come to nothing go. Long lists are dealt by place first."""
+    state = f"struct<out:{_CELLS},cur:{_CELL}>"
+    empty = "s.cur.n = 0 and s.cur.k = 0 and s.cur.c = 0"
+    out = f"if({empty}, s.out, concat(s.out, array(s.cur)))"
+    added = f"named_struct('p', e.p, 'n', s.cur.n + e.n, 'k', s.cur.k ^ e.k, 'c', s.cur.c ^ e.c)"
+    step = f"if(s.cur.p = e.p, cast(named_struct('out', s.out, 'cur', {added}) as {state}), cast(named_struct('out', {out}, 'cur', e) as {state}))"
+    start = f"cast(named_struct('out', cast(array() as {_CELLS}), 'cur', named_struct('p', -1, 'n', 0, 'k', 0L, 'c', 0L)) as {state})"
 
+    def run(some: str) -> str:
+        return f"aggregate(array_sort({some}), {start}, (s, e) -> {step}, s -> {out})"
 
-def _cells(items: str, width: str) -> str:
-    """The sketch of an array of digests."""
-    zero = f"cast(named_struct('n', 0, 'k', 0L, 'c', 0L) as {_CELL})"
-    add = f"(s, x) -> cast(named_struct('n', s.n + 1, 'k', s.k ^ x.k, 'c', s.c ^ x.c) as {_CELL})"
-    tables = ", ".join(
-        f"transform(sequence({t} * {width}, {t + 1} * {width} - 1), i -> aggregate(filter(placed, x -> x.p{t} = i), {zero}, {add}))"
-        for t in range(3)
-    )
-    placed = _placed(items, "f", f"'k', f, 'c', {_check('f')}", width)
-    return f"element_at(transform(array({placed}), placed -> concat({tables})), 1)"
+    dealt = f"flatten(transform(sequence(0, groups - 1), g -> {run('filter(es, x -> pmod(x.p, groups) = g)')}))"
+    many = _let("groups", f"cast(ceil(size(es) / {FOLD}) as int)", dealt)
+    return _let("es", entries, f"if(size(es) <= {FOLD}, {run('es')}, {many})")
 
 
 def _minus(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> cast(named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'c', p.c ^ q.c) as {_CELL}))"
+    negative = f"transform({b}, y -> cast(named_struct('p', y.p, 'n', -y.n, 'k', y.k, 'c', y.c) as {_CELL}))"
+    return _fold(f"concat({a}, {negative})")
 
 
 def _peel(cells: str, width: str) -> str:
     """Digests only in the first and only in the second version, and whether no cell is left full.
 
     A round takes the digests of all cells that hold a single one out of the
-    others. What is not empty after ``ROUNDS`` rounds counts as a failure.
+    others; rounds without any change nothing.
     """
-    state = f"struct<cells:array<{_CELL}>,a:array<bigint>,b:array<bigint>>"
-    single = f"array_distinct(filter(s.cells, c -> abs(c.n) = 1 and {_check('c.k')} = c.c))"
-    placed = _placed(single, "f.k", "'n', f.n, 'k', f.k, 'c', f.c", width)
-    mine = f"filter(fs, f -> if(i < {width}, f.p0, if(i < 2 * {width}, f.p1, f.p2)) = i)"
-    taken = (
-        f"transform(s.cells, (c, i) -> aggregate({mine}, c, (c, f) -> "
-        f"cast(named_struct('n', c.n - f.n, 'k', c.k ^ f.k, 'c', c.c ^ f.c) as {_CELL})))"
-    )
+    state = f"struct<cells:{_CELLS},a:array<bigint>,b:array<bigint>>"
+    single = "array_distinct(transform(filter(q.cells, x -> abs(x.n) = 1 and xxhash64(x.k, 1) = x.c), x -> named_struct('n', x.n, 'k', x.k)))"
+    left = _fold(f"concat(q.cells, {_entries('fs', 'f.k', '-f.n', width)})")
     after = (
-        f"cast(named_struct('cells', {taken}, "
-        "'a', concat(s.a, transform(filter(fs, f -> f.n = 1), f -> f.k)), "
-        f"'b', concat(s.b, transform(filter(fs, f -> f.n = -1), f -> f.k))) as {state})"
+        f"cast(named_struct('cells', {left}, 'a', concat(q.a, transform(filter(fs, f -> f.n = 1), f -> f.k)), "
+        f"'b', concat(q.b, transform(filter(fs, f -> f.n = -1), f -> f.k))) as {state})"
     )
-    step = f"element_at(transform(array({placed}), fs -> if(size(fs) = 0, s, {after})), 1)"
+    step = _let("fs", single, f"if(size(fs) = 0, q, {after})")
     start = f"cast(named_struct('cells', {cells}, 'a', {_NONE}, 'b', {_NONE}) as {state})"
-    return (
-        f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, "
-        "s -> named_struct('a', s.a, 'b', s.b, 'done', not exists(s.cells, c -> c.n != 0 or c.k != 0 or c.c != 0)))"
-    )
-
-
-def _retry(a: str, b: str) -> str:
-    """Peel sketches of two small arrays, each time twice as large, until none is left full."""
-    result = "struct<a:array<bigint>,b:array<bigint>,done:boolean>"
-    attempt = (
-        f"element_at(transform(array(cast({RETRY_WIDTH} * power(2, r) as int)), w -> "
-        + _peel(_minus(_cells(a, "w"), _cells(b, "w")), "w")
-        + "), 1)"
-    )
-    return (
-        f"aggregate(sequence(0, {RETRIES}), cast(named_struct('a', {_NONE}, 'b', {_NONE}, 'done', false) as {result}), "
-        f"(t, r) -> if(t.done, t, cast({attempt} as {result})))"
-    )
-
-
-def _parts(a: str, b: str) -> str:
-    """Two arrays of digests dealt by hash into parts of about ``PART``, retried one by one."""
-    count = f"cast(ceil((size({a}) + size({b})) / {PART}) as int)"
-    part = "filter({}, x -> pmod(shiftrightunsigned(x, 17), parts) = j)"
-    each = f"element_at(transform(array(named_struct('a', {part.format('u.a')}, 'b', {part.format('u.b')})), q -> {_retry('q.a', 'q.b')}), 1)"
-    # two levels, so that a long document's parts do not each search all of its digests
-    coarse = "filter({}, x -> pmod(pmod(shiftrightunsigned(x, 17), parts), wide) = g)"
-    inner = (
-        f"transform(filter(sequence(0, parts - 1), j -> pmod(j, wide) = g), j -> {each})"
-    )
-    group = f"element_at(transform(array(named_struct('a', {coarse.format(a)}, 'b', {coarse.format(b)})), u -> {inner}), 1)"
-    return (
-        f"element_at(transform(array(greatest(1, {count})), parts -> element_at(transform(array(cast(ceil(sqrt(parts)) as int)), wide -> "
-        f"flatten(transform(sequence(0, wide - 1), g -> {group}))), 1)), 1)"
-    )
+    end = f"q -> cast(named_struct('a', q.a, 'b', q.b, 'done', size(q.cells) = 0) as {_FOUND})"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (q, r) -> if(size(q.cells) = 0, q, {step}), {end})"
 
 
 def sketch(digests: str) -> Column:
     """The fingerprint's cells for a column of digests."""
-    return F.expr(_cells(digests, str(WIDTH)))
+    return F.expr(_fold(_entries(digests, "f", "1", str(WIDTH))))
 
 
 def fingerprint_text(cells: str) -> Column:
-    """Cells as text: number, digests and checks of each in hexadecimal."""
-    return F.expr(
-        f"array_join(transform({cells}, c -> concat(hex(cast(c.n as bigint)), '.', hex(c.k), '.', hex(c.c & 4294967295L))), '-')"
-    )
+    """Cells as text: place, number, digests and checks of each in hexadecimal."""
+    return F.expr(f"array_join(transform({cells}, c -> concat(hex(cast(c.p as bigint)), ':', hex(cast(c.n as bigint)), '.', hex(c.k), '.', hex(c.c))), '-')")
 
 
 def difference(digests_a: str, cells_a: str, digests_b: str, cells_b: str) -> Column:
-    """What two versions' sketches tell apart: struct(a, b, done) of digests on one side only."""
+    """What two versions' sketches tell apart: struct(a, b, done) of digests on one side only.
+
+    The fingerprints are tried first, then larger sketches of both versions.
+    ``done`` is false only if the largest failed too; the digests themselves are
+    compared then, so ``a`` and ``b`` are exact in any case.
+    """
     first = _peel(_minus(cells_a, cells_b), str(WIDTH))
-    joined = (
-        f"element_at(transform(array({_parts(digests_a, digests_b)}), all -> named_struct("
-        "'a', flatten(transform(all, p -> p.a)), 'b', flatten(transform(all, p -> p.b)), 'done', forall(all, p -> p.done))), 1)"
-    )
-    return F.expr(f"element_at(transform(array({first}), d -> if(d.done, d, {joined})), 1)")
+    both = f"concat({_entries(digests_a, 'f', '1', 'w')}, {_entries(digests_b, 'f', '-1', 'w')})"
+    larger = _let("w", f"cast({WIDTH} * power({GROWTH}, z) as int)", _peel(_fold(both), "w"))
+    tried = f"aggregate(sequence(1, {RETRIES}), {first}, (d, z) -> if(d.done, d, {larger}))"
+    exact = f"cast(named_struct('a', array_except({digests_a}, {digests_b}), 'b', array_except({digests_b}, {digests_a}), 'done', false) as {_FOUND})"
+    return F.expr(_let("d", tried, f"if(d.done, d, {exact})"))
 
 
 def likeness(found: str, size_a: str, size_b: str) -> Column:
@@ -156,40 +129,56 @@ def likeness(found: str, size_a: str, size_b: str) -> Column:
     return F.expr(f"coalesce(try_divide({size_a} + {size_b} - {apart}, cast({size_a} + {size_b} + {apart} as double)), 1D)")
 
 
+def _sketched(df: DataFrame) -> DataFrame:
+    out = df.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("digests", paragraph_digests(F.col("text")))
+    return out.withColumn("cells", sketch("digests"))
+
+
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
 def _following(docs: DataFrame) -> DataFrame:
-    """Each row with ``next``, the row that follows in descending (doc_id, text); after the last comes the first.
+    """Each row sketched, with ``next``, the row that follows in descending (doc_id, hash of text, text); after the last comes the first.
 
-    Rows are dealt into ranges of ids, whose limits are quantiles; a range's last
-    row takes the first row of the next range that has any.
+    Rows are dealt into ranges of ids, whose limits are quantiles. Ids that take
+    up a whole range by themselves, and null ones, are cut into 64 ranges by the
+    hash. A range's last row takes the first row of the next range that has any.
     """
-    ranges = 4 * shuffle_partitions(docs.sparkSession)
-    limits = sorted(set(docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
-    above = F.filter(F.array(*[F.lit(int(x)) for x in limits]), lambda x: x > F.col("doc_id")) if limits else F.array()
-    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(limits) + 1)).otherwise(F.size(above)))
+    ranges = 2 * shuffle_partitions(docs.sparkSession)
+    cuts = [int(x) for x in docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)]
+    limits, hot = sorted(set(cuts)), sorted({x for x in cuts if cuts.count(x) > 1})
+    above = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x > F.col("doc_id"))) if limits else F.lit(0)
+    spread = F.col("doc_id").isNull() | (F.col("doc_id").isin(hot) if hot else F.lit(False))
+    docs = docs.withColumn("hash", F.expr("shiftrightunsigned(xxhash64(text), 1)"))
+    # rows of a spread id come after the greater ids of their range and before the smaller ones
+    spot = F.when(F.col("doc_id").isNull(), F.lit(len(limits) + 1)).otherwise(above)
+    side = F.lit(0)
+    for x in hot:
+        side = F.when(above == sum(y > x for y in limits), F.when(F.col("doc_id") > x, 0).when(F.col("doc_id") == x, 1).otherwise(2)).otherwise(side)
+    slot = F.when(spread, 63 - F.shiftright("hash", 57)).otherwise(F.lit(0))
+    docs = docs.withColumn("range", spot * 256 + side * 64 + slot)
     row = F.struct("text", "n_chars", "digests", "cells")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    inside = docs.withColumn("next", F.lead(row).over(Window.partitionBy("range").orderBy(*order)))
-    tops = docs.groupBy("range").agg(F.max("doc_id").alias("top"))
-    heads = docs.join(F.broadcast(tops), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc()]
+    inside = _sketched(docs.repartition("range")).withColumn("next", F.lead(row).over(Window.partitionBy("range").orderBy(*order)))
+    tops = docs.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("top"))
+    heads = docs.join(tops, "range").where(F.struct("doc_id", "hash").eqNullSafe(F.col("top")))
     heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("nth = 1")
+    heads = _sketched(heads.select("range", "text"))
     ring = Window.orderBy("range")  # one row per range
     first = F.first(row).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("range", F.coalesce(F.lead(row).over(ring), first).alias("head"))
-    return inside.join(heads, "range").withColumn("next", F.coalesce("next", "head")).drop("head", "range")
+    return inside.join(heads, "range").withColumn("next", F.coalesce("next", "head")).drop("head", "range", "hash")
 
 
 def document_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sketches of every text (doc_id, text, n_chars, digests, cells, fingerprint).
 
-    Null and empty texts have no paragraphs and the sketch of empty cells.
-    Equal texts have equal fingerprints. A paragraph that occurs twice counts
-    once. Other columns play no part.
+    Null and empty texts have no paragraphs and no cells. Equal texts have equal
+    fingerprints. A paragraph that occurs twice counts once. Other columns play
+    no part.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
-    out = out.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("digests", paragraph_digests(F.col("text")))
-    out = out.withColumn("cells", sketch("digests"))
-    return out.withColumn("fingerprint", fingerprint_text("cells"))
+    return _sketched(_plain(docs, doc_id, text)).withColumn("fingerprint", fingerprint_text("cells"))
 
 
 def compare_with_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,15 +188,14 @@ def compare_with_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     code points (or all) of the next document in descending id; the last is
     followed by the first, and a single document by itself. Returns (doc_id,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, edited_apart, next_apart): the likenesses, and the numbers of
-    paragraph digests that peeling recovered.
+    near_next, edited_apart, next_apart, peeled): the likenesses, the numbers of
+    paragraph digests that were recovered, and whether peeling recovered all.
 
     Null texts count as empty; two versions without paragraphs are alike (1);
-    rows that repeat an id follow each other in descending order of text, and
-    rows without an id come last; no rows give no rows.
+    rows that repeat an id follow each other in descending order of a hash of
+    the text, and rows without an id come last; no rows give no rows.
     """
-    base = document_fingerprints(docs, doc_id=doc_id, text=text)
-    rows = _following(base.drop("fingerprint"))
+    rows = _following(_plain(docs, doc_id, text))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.left(F.col("next.text"), half))
     rows = rows.withColumn("edited", edited).select(
@@ -229,4 +217,5 @@ def compare_with_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         likeness("to_next", "size(digests)", "size(n_digests)").alias("near_next"),
         F.expr("size(to_edited.a) + size(to_edited.b)").alias("edited_apart"),
         F.expr("size(to_next.a) + size(to_next.b)").alias("next_apart"),
+        F.expr("to_edited.done and to_next.done").alias("peeled"),
     )

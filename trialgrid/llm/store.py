@@ -13,12 +13,14 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    stands in for it.
+    Only where the session has none and runs in one process a temporary folder
+    stands in for it; a cluster without one is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
