@@ -4,7 +4,7 @@ A sketch has cells in three sub-tables. Every paragraph digest goes to one cell
 of each, which keeps the number of digests and the XOR of the digests and of
 their check hashes. The cells of two versions subtract; a cell left with a
 single digest gives it away, and taking that out of its other cells frees more.
-If cells stay full, both versions are sketched again with four times the cells.
+If cells stay full, both versions are sketched again with more cells.
 
 Everything is Spark SQL over the arrays of one row. Cells are kept sparse, as
 entries (place, number, digests, checks); entries of one place add up.
@@ -21,15 +21,15 @@ from .store import shuffle_partitions
 #: beginnings, so that a cut depends on the two words alone and not on what stands before; if there
 #: is no such place, after so many characters. The first ``HEAD`` pieces are finer, so that short
 #: texts have several.
-FINE, COARSE, HEAD = (r"[nteo.]\s+(?=[a-mA-M])", 160), (r"[teo.]\s+(?=[dlmDLM])", 400), 6
-#: Cells of each sub-table of the fingerprint itself; retries have GROWTH times as many each.
-WIDTH, GROWTH, RETRIES, ROUNDS = 8, 4, 9, 20
-#: Entries folded at a time.
-FOLD = 1024
+FINE, COARSE, HEAD = (r"[nteo.]\s+(?=[a-mA-M])", 160), (r"[te.]\s+(?=[dlDL])", 600), 6
+#: Cells of each sub-table of the fingerprint itself. The first retry has room for ROOM times all
+#: digests, as empty cells cost nothing; any further one has GROWTH times as many.
+WIDTH, ROOM, GROWTH, RETRIES, ROUNDS = 8, 16, 4, 4, 20
+#: Entries folded in one go.
+FOLD = 24
 
 _CELL = "struct<p:int,n:int,k:bigint,c:bigint>"
 _CELLS = f"array<{_CELL}>"
-_FOUND = "struct<a:array<bigint>,b:array<bigint>,done:boolean>"
 _NONE = "cast(array() as array<bigint>)"
 
 
@@ -51,51 +51,66 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _entries(items: str, key: str, number: str, width: str) -> str:
     """The entries of digests in their three cells; ``f`` is the item."""
-    cell = f"cast(named_struct('p', cast({{t}} * {width} + pmod(shiftright(u.h, 20 * {{t}}), {width}) as int), 'n', {number}, 'k', {key}, 'c', u.c) as {_CELL})"
+    cell = f"named_struct('p', cast({{t}} * {width} + pmod(shiftright(u.h, 20 * {{t}}), {width}) as int), 'n', {number}, 'k', {key}, 'c', u.c)"
     cells = ", ".join(cell.format(t=t) for t in range(3))
     each = _let("u", f"named_struct('h', xxhash64({key}, {width}), 'c', xxhash64({key}, 1))", f"array({cells})")
     return f"flatten(transform({items}, f -> {each}))"
 
 
 def _fold(entries: str) -> str:
-    """Entries of one place added up; those that come to nothing go. Long lists are dealt by place first."""
+    """Entries of one place added up; those that come to nothing go.
+
+    Most have a place of their own; long lists of the others are dealt by place first.
+    """
     state = f"struct<out:{_CELLS},cur:{_CELL}>"
     empty = "s.cur.n = 0 and s.cur.k = 0 and s.cur.c = 0"
     out = f"if({empty}, s.out, concat(s.out, array(s.cur)))"
     added = f"named_struct('p', e.p, 'n', s.cur.n + e.n, 'k', s.cur.k ^ e.k, 'c', s.cur.c ^ e.c)"
-    step = f"if(s.cur.p = e.p, cast(named_struct('out', s.out, 'cur', {added}) as {state}), cast(named_struct('out', {out}, 'cur', e) as {state}))"
+    step = f"if(s.cur.p = e.p, named_struct('out', s.out, 'cur', {added}), named_struct('out', {out}, 'cur', e))"
     start = f"cast(named_struct('out', cast(array() as {_CELLS}), 'cur', named_struct('p', -1, 'n', 0, 'k', 0L, 'c', 0L)) as {state})"
 
     def run(some: str) -> str:
-        return f"aggregate(array_sort({some}), {start}, (s, e) -> {step}, s -> {out})"
+        return f"aggregate({some}, {start}, (s, e) -> {step}, s -> {out})"
 
+    beside = "coalesce(get(z, i - 1).p = x.p, false) or coalesce(get(z, i + 1).p = x.p, false)"
     dealt = f"flatten(transform(sequence(0, groups - 1), g -> {run('filter(es, x -> pmod(x.p, groups) = g)')}))"
-    many = _let("groups", f"cast(ceil(size(es) / {FOLD}) as int)", dealt)
-    return _let("es", entries, f"if(size(es) <= {FOLD}, {run('es')}, {many})")
+    many = _let("groups", "cast(ceil(sqrt(size(es)) / 2) as int)", dealt)
+    shared = _let("es", f"filter(z, (x, i) -> {beside})", f"if(size(es) <= {FOLD}, {run('es')}, {many})")
+    return _let("z", f"sort_array({entries})", f"concat(filter(z, (x, i) -> not ({beside})), {shared})")
 
 
 def _minus(a: str, b: str) -> str:
-    negative = f"transform({b}, y -> cast(named_struct('p', y.p, 'n', -y.n, 'k', y.k, 'c', y.c) as {_CELL}))"
+    negative = f"transform({b}, y -> named_struct('p', y.p, 'n', -y.n, 'k', y.k, 'c', y.c))"
     return _fold(f"concat({a}, {negative})")
 
 
+def _sum(items: str, more: str, start: str = "named_struct('k', 0L, 'c', 0L)") -> str:
+    return f"aggregate({items}, {start}, (s, x) -> {more})"
+
+
 def _peel(cells: str, width: str) -> str:
-    """Digests only in the first and only in the second version, and whether no cell is left full.
+    """Digests only in the first and only in the second version, and whether that is all.
 
-    A round takes the digests of all cells that hold a single one out of the
-    others; rounds without any change nothing.
+    A round takes the digests of all cells that hold a single one. If they add
+    up to the first sub-table they are all there is; or else they are taken out
+    of the other cells, and the next round follows. A round that finds none ends it.
     """
-    state = f"struct<cells:{_CELLS},a:array<bigint>,b:array<bigint>>"
-    single = "array_distinct(transform(filter(q.cells, x -> abs(x.n) = 1 and xxhash64(x.k, 1) = x.c), x -> named_struct('n', x.n, 'k', x.k)))"
-    left = _fold(f"concat(q.cells, {_entries('fs', 'f.k', '-f.n', width)})")
-    after = (
-        f"cast(named_struct('cells', {left}, 'a', concat(q.a, transform(filter(fs, f -> f.n = 1), f -> f.k)), "
-        f"'b', concat(q.b, transform(filter(fs, f -> f.n = -1), f -> f.k))) as {state})"
-    )
-    step = _let("fs", single, f"if(size(fs) = 0, q, {after})")
-    start = f"cast(named_struct('cells', {cells}, 'a', {_NONE}, 'b', {_NONE}) as {state})"
-    end = f"q -> cast(named_struct('a', q.a, 'b', q.b, 'done', size(q.cells) = 0) as {_FOUND})"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (q, r) -> if(size(q.cells) = 0, q, {step}), {end})"
+    state = f"struct<cells:{_CELLS},a:array<bigint>,b:array<bigint>,end:int>"
+    single = "array_distinct(transform(filter(q.cells, x -> x.n = {} and xxhash64(x.k, 1) = x.c), x -> x.k))"
+    whole = _sum("q.cells", f"if(x.p < {width}, named_struct('k', s.k ^ x.k, 'c', s.c ^ x.c), s)")
+    found = _sum("concat(g.a, g.b)", "named_struct('k', s.k ^ x, 'c', s.c ^ xxhash64(x, 1))")
+    out = "'a', concat(q.a, g.a), 'b', concat(q.b, g.b)"
+    gone = f"concat({_entries('g.a', 'f', '-1', width)}, {_entries('g.b', 'f', '1', width)})"
+    after = _let("left", _fold(f"concat(q.cells, {gone})"), f"named_struct('cells', left, {out}, 'end', if(size(left) = 0, 1, 0))")
+    all_ = f"named_struct('cells', q.cells, {out}, 'end', 1)"
+    none = "named_struct('cells', q.cells, 'a', q.a, 'b', q.b, 'end', 2)"
+    step = _let(
+        "g", f"named_struct('a', {single.format(1)}, 'b', {single.format(-1)})",
+        f"if(size(g.a) + size(g.b) = 0, {none}, if({whole} = {found}, {all_}, {after}))",
+    )
+    start = _let("cs", cells, f"named_struct('cells', cs, 'a', {_NONE}, 'b', {_NONE}, 'end', if(size(cs) = 0, 1, 0))")
+    end = "q -> named_struct('a', q.a, 'b', q.b, 'done', q.end = 1)"
+    return f"aggregate(sequence(1, {ROUNDS}), cast({start} as {state}), (q, r) -> if(q.end > 0, q, {step}), {end})"
 
 
 def sketch(digests: str) -> Column:
@@ -117,9 +132,9 @@ def difference(digests_a: str, cells_a: str, digests_b: str, cells_b: str) -> Co
     """
     first = _peel(_minus(cells_a, cells_b), str(WIDTH))
     both = f"concat({_entries(digests_a, 'f', '1', 'w')}, {_entries(digests_b, 'f', '-1', 'w')})"
-    larger = _let("w", f"cast({WIDTH} * power({GROWTH}, z) as int)", _peel(_fold(both), "w"))
+    larger = _let("w", f"cast((size({digests_a}) + size({digests_b})) * {ROOM} * power({GROWTH}, z - 1) as bigint)", _peel(_fold(both), "w"))
     tried = f"aggregate(sequence(1, {RETRIES}), {first}, (d, z) -> if(d.done, d, {larger}))"
-    exact = f"cast(named_struct('a', array_except({digests_a}, {digests_b}), 'b', array_except({digests_b}, {digests_a}), 'done', false) as {_FOUND})"
+    exact = f"named_struct('a', array_except({digests_a}, {digests_b}), 'b', array_except({digests_b}, {digests_a}), 'done', false)"
     return F.expr(_let("d", tried, f"if(d.done, d, {exact})"))
 
 
