@@ -11,22 +11,30 @@ The buckets left hold suffixes that agree for q bytes and may differ later. For
 these the bytes of each kind are fetched once and sorted: buckets of 8-grams are
 refined by the bucket identifiers of later offsets, and each round's buckets are
 the next round's identifiers, until they stand for ``length`` bytes.
+
+A document is a pair of its id and a hash of its text, and comes in this order.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .store import keep, shuffle_partitions
+from .store import forget, keep, shuffle_partitions
 
 Q = 32
-FLUSH = 1_500_000
-#: A q-gram is dealt out by whole strings if the sample of documents holds it so often.
-HOT_RUNS, HOT_SHARE, HOT_MOST = 256, 64, 4096
+FLUSH = 1_200_000
+#: Text bytes for each part that records are dealt into.
+PART_BYTES = 4 << 20
+#: A sample of one document in so many tells which q-grams are so frequent that one would take up
+#: a part: those with a share of 1 in so many parts of all runs, at least so many of them. Shares
+#: add up to 1, so there are no more of these than parts. They are dealt out by whole strings.
+SAMPLE, HOT_SHARE, HOT_RUNS = 64, 4, 16
 
 
 def _least_positions(h: np.ndarray, span: int) -> np.ndarray:
@@ -46,6 +54,10 @@ def _least_positions(h: np.ndarray, span: int) -> np.ndarray:
     return (best & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
+def _q(length: int) -> int:
+    return min(Q, (length + 1) // 2)
+
+
 def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of string starts with one least q-gram: (document, start, starts more, bucket, kind), and prefix sums."""
     sums = bt.prefix_sums(data)
@@ -53,8 +65,9 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), sums
-    at = np.arange(len(data) - Q + 1)
-    anchor = _least_positions(bt.span_hash(sums, at, at + Q), length - Q + 1)
+    q = _q(length)
+    at = np.arange(len(data) - q + 1)
+    anchor = _least_positions(bt.span_hash(sums, at, at + q), length - q + 1)
     valid = np.zeros(n + 1, np.int32)
     sizes = np.diff(bounds)
     for lo, hi in zip(bounds[:-1][sizes >= length].tolist(), bounds[1:][sizes >= length].tolist(), strict=True):
@@ -69,30 +82,33 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
     stop[:-1] = fresh[1:] | ~valid[1:]
     first, last = np.flatnonzero(fresh & valid), np.flatnonzero(stop & valid)
     doc = np.searchsorted(bounds, first, "right") - 1
-    bucket = bt.span_hash(sums, anchor[first], anchor[first] + Q, 1)
+    bucket = bt.span_hash(sums, anchor[first], anchor[first] + q, 1)
     kind = bt.mix(bt.span_hash(sums, first, last + length, 2) + (anchor[first] - first).astype(np.uint64))
     return doc, first, last - first, bucket, kind, sums
 
 
-def _strings(sums: np.ndarray, doc: np.ndarray, first: np.ndarray, more: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs taken apart into single strings; the bucket is the string's own hash."""
+def _strings(sums: np.ndarray, doc: np.ndarray, first: np.ndarray, more: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs taken apart into single strings; the bucket is the string's own hash and the kind is the q-gram's."""
     times = more + 1
     at = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    return np.repeat(doc, times), at, np.zeros(len(at), np.int64), bt.span_hash(sums, at, at + length, 3), bt.span_hash(sums, at, at + length, 4)
+    return np.repeat(doc, times), at, np.zeros(len(at), np.int64), bt.span_hash(sums, at, at + length, 3), np.repeat(bt.mix(bucket), times)
 
 
-def _firsts(bucket, kind, ids, start) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (bucket, kind, document, start), and which rows are the first of their kind."""
-    order = np.lexsort((start, ids, kind, bucket))
-    first = np.ones(len(order), bool)
-    first[1:] = (np.diff(bucket[order]) != 0) | (np.diff(kind[order]) != 0)
-    return order, first
+def _firsts(bucket, kind, ids, tie, start) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (bucket, kind, document, start) without what is listed twice, and which rows are the first of their kind."""
+    order = np.lexsort((start, tie, ids, kind, bucket))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(bucket[order]) != 0) | (np.diff(kind[order]) != 0)
+    new = fresh.copy()
+    for column in (ids, tie, start):
+        new[1:] |= np.diff(column[order]) != 0
+    return order[new], fresh[new]
 
 
-_FIELDS = (("ids", np.int64), ("start", np.int32), ("more", np.uint8), ("bucket", np.uint64), ("kind", np.uint64))
+_FIELDS = (("ids", np.int64), ("tie", np.int64), ("start", np.int32), ("more", np.uint16), ("bucket", np.uint64), ("kind", np.uint64))
 _PACKED = pa.schema([("part", pa.int32()), ("sure", pa.bool_()), *((n, pa.binary()) for n, _ in _FIELDS)])
-_PACKED_SQL = "part int, sure boolean, ids binary, start binary, more binary, bucket binary, kind binary"
-_FOUND_SQL = "doc_id long, start int, more int, bucket long"
+_PACKED_SQL = "part int, sure boolean, ids binary, tie binary, start binary, more binary, bucket binary, kind binary"
+_FOUND_SQL = "ids long, tie long, start int, more int, bucket long"
 
 
 def _pack(part: int, sure: bool, arrays: dict[str, np.ndarray]) -> tuple:
@@ -104,7 +120,7 @@ def _collecting(length: int, parts: int, hot: np.ndarray):
 
     def settle(held: list[dict]) -> pa.RecordBatch:
         every = {n: np.concatenate([h[n] for h in held]) for n, _ in _FIELDS}
-        order, first = _firsts(every["bucket"], every["kind"], every["ids"], every["start"])
+        order, first = _firsts(every["bucket"], every["kind"], every["ids"], every["tie"], every["start"])
         every = {n: v[order] for n, v in every.items()}
         rows = []
         part = (every["bucket"] % np.uint64(parts)).astype(np.int64)
@@ -118,17 +134,17 @@ def _collecting(length: int, parts: int, hot: np.ndarray):
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, bounds in bt.slices(batch.column(1)):
+            ids, tie = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, data, bounds in bt.slices(batch.column(2)):
                 doc, first, more, bucket, kind, sums = _runs(data, bounds, length)
                 if len(hot) and len(doc):
                     split = np.isin(bucket, hot)
                     if split.any():
-                        single = _strings(sums, doc[split], first[split], more[split], length)
+                        single = _strings(sums, doc[split], first[split], more[split], bucket[split], length)
                         whole = (doc[~split], first[~split], more[~split], bucket[~split], kind[~split])
                         doc, first, more, bucket, kind = (np.concatenate(x) for x in zip(whole, single, strict=True))
                 if len(doc):
-                    held.append({"ids": ids[row + doc], "start": (first - bounds[doc]).astype(np.int32), "more": more.astype(np.uint8), "bucket": bucket, "kind": kind})
+                    held.append({"ids": ids[row + doc], "tie": tie[row + doc], "start": (first - bounds[doc]).astype(np.int32), "more": more.astype(np.uint16), "bucket": bucket, "kind": kind})
                     count += len(doc)
                 if count >= FLUSH:
                     yield settle(held)
@@ -144,7 +160,7 @@ def _sampling(length: int):
 
     def run(batches):
         for batch in batches:
-            for _, data, bounds in bt.slices(batch.column(1)):
+            for _, data, bounds in bt.slices(batch.column(2)):
                 _, _, _, bucket, kind, _ = _runs(data, bounds, length)
                 both = np.unique(np.stack([bucket, kind], 1), axis=0)[:, 0]
                 value, times = np.unique(both, return_counts=True)
@@ -161,7 +177,7 @@ def _merging(table: pa.Table) -> pa.Table:
         every[n] = [np.frombuffer(x, t) for x in table[n].to_pylist()]
     known = {n: np.concatenate([v for v, s in zip(every[n], sure, strict=True) if s] or [np.zeros(0, t)]) for n, t in _FIELDS}
     open_ = {n: np.concatenate([v for v, s in zip(every[n], sure, strict=True) if not s] or [np.zeros(0, t)]) for n, t in _FIELDS}
-    order, first = _firsts(open_["bucket"], open_["kind"], open_["ids"], open_["start"])
+    order, first = _firsts(open_["bucket"], open_["kind"], open_["ids"], open_["tie"], open_["start"])
     open_ = {n: v[order] for n, v in open_.items()}
     kinds = np.flatnonzero(first)
     bucket = open_["bucket"][kinds]
@@ -175,7 +191,8 @@ def _merging(table: pa.Table) -> pa.Table:
     shown = np.concatenate([np.zeros(len(known["ids"]) + len(repeats), np.int64), open_["bucket"][unsettled].view(np.int64) | 1])
     return pa.table(
         {
-            "doc_id": pa.array(rows("ids")),
+            "ids": pa.array(rows("ids")),
+            "tie": pa.array(rows("tie")),
             "start": pa.array(rows("start")),
             "more": pa.array(rows("more").astype(np.int32)),
             "bucket": pa.array(shown),
@@ -191,6 +208,7 @@ def bucket_pointers(data: np.ndarray, at: np.ndarray, depth: int, first: int = 8
     bytes again; the last step overlaps to end at ``depth`` exactly. Suffixes
     that are alone in their bucket need no further step and keep their number.
     """
+    first = min(first, depth)
     padded = np.concatenate([data, np.zeros(depth, np.uint8)])
     code = np.zeros(len(data), np.uint64)
     for j in range(first):
@@ -216,79 +234,89 @@ def bucket_pointers(data: np.ndarray, at: np.ndarray, depth: int, first: int = 8
 def _refining(length: int, most: int = 1 << 22):
     """Repeated strings among the kinds of a part's buckets, by bucket-pointer refinement."""
 
-    def refine(table: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def refine(table: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         body = table["body"].take(pa.array(rows))
-        ids, start, more = (table[c].to_numpy()[rows] for c in ("doc_id", "start", "more"))
+        ids, tie, start, more = (table[c].to_numpy()[rows] for c in ("ids", "tie", "start", "more"))
         blob = [np.frombuffer(b, np.uint8) for b in body.to_pylist()]
         data = np.concatenate(blob)
         base = np.concatenate([[0], np.cumsum([len(b) for b in blob])[:-1]])
         times = more + 1
         shift = np.arange(times.sum()) - np.repeat(np.concatenate([[0], np.cumsum(times)[:-1]]), times)
         at = np.repeat(base, times) + shift
-        doc, place = np.repeat(ids, times), np.repeat(start, times) + shift
-        bucket = bucket_pointers(data, at, length)
-        order = np.lexsort((place, doc, bucket))
-        again = np.zeros(len(order), bool)
-        again[1:] = np.diff(bucket[order]) == 0
-        return doc[order[again]], place[order[again]]
+        ids, tie, place = np.repeat(ids, times), np.repeat(tie, times), np.repeat(start, times) + shift
+        order, first = _firsts(bucket_pointers(data, at, length), np.zeros(len(at), np.int64), ids, tie, place)
+        again = order[~first]
+        return ids[again], tie[again], place[again]
 
     def run(table: pa.Table) -> pa.Table:
         bucket, size = table["bucket"].to_numpy(), table["more"].to_numpy() + length
         order = np.argsort(bucket, kind="stable")
         ends = np.concatenate([np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
         total = np.cumsum(size[order])
-        docs, places, lo = [], [], 0
+        out, lo = [], 0
         while lo < len(order):  # whole buckets, about ``most`` bytes at a time
             want = total[lo - 1] + most if lo else most
             hi = int(ends[min(np.searchsorted(total[ends - 1], want), len(ends) - 1)])
             hi = int(ends[np.searchsorted(ends, lo, "right")]) if hi <= lo else hi
-            d, p = refine(table, order[lo:hi])
-            docs.append(d)
-            places.append(p)
+            out.append(refine(table, order[lo:hi]))
             lo = hi
-        docs, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, places))
-        order = np.lexsort((places, docs))
-        docs, places = docs[order], places[order].astype(np.int64)
-        fresh = np.ones(len(docs), bool)
-        fresh[1:] = (np.diff(docs) != 0) | (np.diff(places) != 1)
+        ids, tie, places = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
+        order = np.lexsort((places, tie, ids))
+        ids, tie, places = ids[order], tie[order], places[order].astype(np.int64)
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (np.diff(ids) != 0) | (np.diff(tie) != 0) | (np.diff(places) != 1)
         first = np.flatnonzero(fresh)
-        more = np.diff(np.concatenate([first, [len(docs)]])) - 1
-        return pa.table({"doc_id": pa.array(docs[first]), "start": pa.array(places[first].astype(np.int32)), "more": pa.array(more.astype(np.int32)), "bucket": pa.array(np.zeros(len(first), np.int64))})
+        more = np.diff(np.concatenate([first, [len(ids)]])) - 1
+        columns = {"ids": ids[first], "tie": tie[first], "start": places[first].astype(np.int32), "more": more.astype(np.int32), "bucket": np.zeros(len(first), np.int64)}
+        return pa.table({n: pa.array(c) for n, c in columns.items()})
 
     return run
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows with ``ids``, in which null comes after all, and ``tie``, the hash of their text."""
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return out.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ids"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tie"), "text", "doc_id")
+
+
+def _hot(plain: DataFrame, length: int, parts: int) -> np.ndarray:
+    """Q-grams of which one would take up a part, judged by a sample of documents."""
+    sample = plain.where(F.pmod(F.xxhash64("ids", "tie"), F.lit(SAMPLE)) == 0)
+    runs = keep(sample.mapInArrow(_sampling(length), "bucket long, runs long").groupBy("bucket").agg(F.sum("runs").alias("runs")), "suffix-sample")
+    every = runs.agg(F.sum("runs")).first()[0] or 0
+    often = runs.where((F.col("runs") >= HOT_RUNS) & (F.col("runs") * HOT_SHARE * parts >= every)).select("bucket").toArrow()
+    forget(runs)
+    return often["bucket"].to_numpy().view(np.uint64)
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans): byte ranges covered by strings of ``length`` bytes that also start earlier.
+    """Documents with the byte ranges covered by strings of ``length`` bytes that also start earlier.
 
-    Earlier is a smaller id, or a smaller place in the same text. Ranges are
-    maximal, in order, as packed pairs of start and end. Documents without any
-    have no row. Ids are taken as unique and not null; see :func:`suffix_dedup`.
+    Returns (ids, tie, doc_id, text, copies, spans): one row for each different
+    pair of id and text, and how many rows have it. Earlier is a smaller id, then
+    a smaller hash of the text, then a smaller place in the same text. Ranges are
+    in order of their starts; there are none (null) if nothing repeats.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    sample = plain.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0)
-    often = sample.mapInArrow(_sampling(length), "bucket long, runs long").groupBy("bucket").agg(F.sum("runs").alias("runs"))
-    often = often.where(F.col("runs") >= HOT_RUNS).orderBy(F.desc("runs"), "bucket").limit(HOT_MOST)
-    hot = np.array([r.bucket for r in often.select("bucket").collect()], np.int64).view(np.uint64)
-    parts = 4 * shuffle_partitions(spark)
-    packed = plain.mapInArrow(_collecting(length, parts, hot), _PACKED_SQL)
+    if not 2 <= length < 1 << 16:
+        raise ValueError("strings have 2 to 65535 bytes")
+    plain = _keyed(docs, doc_id, text)
+    size = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(4 * shuffle_partitions(docs.sparkSession), int(size // PART_BYTES))
+    packed = plain.select("ids", "tie", "text").mapInArrow(_collecting(length, parts, _hot(plain, length, parts)), _PACKED_SQL)
     found = keep(packed.groupBy("part").applyInArrow(_merging, _FOUND_SQL), "suffix-found")
-    open_ = found.where("bucket != 0")
-    bodies = open_.join(plain, "doc_id").select(
-        "doc_id", "start", "more", "bucket", F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("more") + length).alias("body")
+    whole = plain.groupBy("ids", "tie").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    bodies = found.where("bucket != 0").join(whole.where("copies > 0"), ["ids", "tie"]).select(
+        "ids", "tie", "start", "more", "bucket", F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("more") + length).alias("body")
     )
     refined = bodies.groupBy(F.pmod("bucket", F.lit(parts)).alias("part")).applyInArrow(
         lambda table: _refining(length)(table), _FOUND_SQL
     )
     every = found.where("bucket = 0").unionByName(refined)
-    spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("more") + length).alias("end"))))
-    return every.groupBy("doc_id").agg(spans.alias("spans"))
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("more") + length).alias("end"))))
+    return whole.join(every.groupBy("ids", "tie").agg(spans.alias("spans")), ["ids", "tie"], "left")
 
 
 def _cutting(batches):
-    import hashlib
-
     for batch in batches:
         out = []
         for row in range(batch.num_rows):
@@ -308,10 +336,11 @@ def _cutting(batches):
                 upto = e
             kept.append(body[upto:])
             rest = b"".join(kept)
-            out.append((batch.column(0)[row].as_py(), len(body), removed, runs, hashlib.sha256(rest).hexdigest(), rest))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((batch.column(0)[row].as_py(), len(body), removed, runs, hashlib.sha256(rest).hexdigest(), rest, batch.column(3)[row].as_py()))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64())
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "copies"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,13 +352,25 @@ def suffix_dedup(docs: DataFrame, length: int = 100, *, doc_id: str = "doc_id",
     documents.
 
     Null and empty texts have no bytes; texts shorter than ``length`` stay whole.
-    Of equal texts the least id keeps its bytes. A row with a null id is not
-    compared and stays whole. Ids are expected to be unique: rows that repeat an
-    id count as one document at the same place, so none repeats the other. No
-    rows give no rows; other columns play no part.
+    Of equal texts the least id keeps its bytes. Rows that repeat an id with
+    other texts are documents of their own, in the order of a hash of the text;
+    of rows that repeat id and text one keeps its bytes and the others count as
+    later. Rows without an id come after all others. No rows give no rows; other
+    columns play no part.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(plain, length)
-    return plain.join(spans, "doc_id", "left").mapInArrow(
-        _cutting, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    found = repeated_spans(docs, length, doc_id=doc_id, text=text).select("doc_id", "text", "spans", "copies").mapInArrow(
+        _cutting, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, copies long"
+    )
+    # one row for each copy; all but one are repeats throughout if they are long enough
+    step = 1 << 16
+    some = found.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / step))))
+    each = some.withColumn("copy", F.explode(F.sequence(F.col("lot") * step, F.least(F.col("copies"), (F.col("lot") + 1) * step) - 1)))
+    gone = (F.col("copy") > 0) & (F.col("n_bytes") >= length)
+    return each.select(
+        "doc_id",
+        "n_bytes",
+        F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
