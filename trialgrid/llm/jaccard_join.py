@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .components import connected_components
-from .store import keep, shuffle_partitions
+from .groups import whole_groups
+from .store import forget, keep
 
 TREES, DEPTH, SHARED = 32, 8, 3
 BLOCK = 512
@@ -130,10 +131,13 @@ def _groups(table: pa.Table) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(change)[1:])
 
 
+_PAIR = ["cell", "lo", "hi"]
+
+
 def _choosing(trees: int, shared: int):
     """Of the members of each block pair, those with a candidate that the tree owns."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def choose(table: pa.Table) -> pa.Table:
         keys, wanted = _unpack(table["labels"].combine_chunks(), trees), []
         cell, lo, hi = (table[c].to_numpy() for c in ("cell", "lo", "hi"))
         side = table["side"].to_numpy()
@@ -142,7 +146,11 @@ def _choosing(trees: int, shared: int):
                 pairs = _owned(keys[rows], side[rows], lo[rows[0]] == hi[rows[0]], int(cell[rows[0]] & 63), shared)
                 wanted.append(rows[pairs.any(0) | pairs.any(1)])
         wanted = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
-        return table.take(pa.array(np.sort(wanted))).drop_columns(["bin"])
+        return table.take(pa.array(np.sort(wanted)))
+
+    def run(batches):
+        for table in whole_groups(batches, _PAIR):
+            yield from choose(table).to_batches()
 
     return run
 
@@ -191,9 +199,9 @@ def _first_true(values: np.ndarray, sizes: np.ndarray, sid: np.ndarray) -> np.nd
 
 
 def _verifying(words: int, trees: int, shared: int, similarity: float):
-    def run(table: pa.Table) -> pa.Table:
+    def verify(table: pa.Table) -> pa.Table:
         keys = _unpack(table["labels"].combine_chunks(), trees)
-        cell, lo, hi = (table[c].to_numpy() for c in ("cell", "lo", "hi"))
+        cell, lo, hi = (table[c].to_numpy() for c in _PAIR)
         side, sid, copies = (table[c].to_numpy() for c in ("side", "sid", "copies"))
         text = table["text"].combine_chunks()
         out = []
@@ -217,6 +225,10 @@ def _verifying(words: int, trees: int, shared: int, similarity: float):
         columns = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else [()] * 4)]
         return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("sid", "texts", "docs", "root"), columns, strict=True)})
 
+    def run(batches):
+        for table in whole_groups(batches, _PAIR, 1):
+            yield from verify(table).to_batches()
+
     return run
 
 
@@ -247,7 +259,6 @@ def jaccard_join(
     row without an id has no links. No rows give no rows; other columns play no
     part.
     """
-    spark = docs.sparkSession
     depth = prefix_depth(similarity, recall)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = keep(
@@ -264,16 +275,15 @@ def jaccard_join(
     side = F.pmod(F.xxhash64("sid"), blocks)
     placed = cells.join(busy, "cell").select("sid", "cell", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     placed = placed.select("sid", "cell", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    bins = 4 * shuffle_partitions(spark)
-    placed = placed.join(sets, "sid").withColumn("bin", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(bins)))
+    # a block pair is a group of rows that come one after another; a task holds one at a time
     shape = "sid long, cell long, side long, lo long, hi long, rep long, copies long, labels binary"
     columns = ["sid", "cell", "side", "lo", "hi", "rep", "copies", "labels"]
-    chosen = keep(placed.select(*columns, "bin").groupBy("bin").applyInArrow(_choosing(TREES, SHARED), shape), "jaccard-candidates")
-    bodies = plain
-    to_check = chosen.join(bodies, chosen["rep"] == bodies["doc_id"]).drop("doc_id")
-    to_check = to_check.withColumn("bin", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(bins)))
-    checked = to_check.groupBy("bin").applyInArrow(_verifying(words, TREES, SHARED, similarity), "sid long, texts long, docs long, root long")
+    placed = placed.join(sets, "sid").select(*columns).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    chosen = keep(placed.mapInArrow(_choosing(TREES, SHARED), shape), "jaccard-candidates")
+    to_check = chosen.join(plain, chosen["rep"] == plain["doc_id"]).drop("doc_id").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    checked = to_check.mapInArrow(_verifying(words, TREES, SHARED, similarity), "sid long, texts long, docs long, root long")
     checked = keep(checked, "jaccard-links")
+    forget(chosen)
     degree = checked.groupBy("sid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("others"))
     label = connected_components(checked.where("sid != root").select(F.col("sid").alias("u"), F.col("root").alias("v")))
     classes = sets.join(degree, "sid", "left").join(label.select(F.col("node").alias("sid"), "component"), "sid", "left")
