@@ -106,6 +106,33 @@ def test_secret_network(spark):
     assert 0.5 <= model.threshold <= 1
 
 
+def test_secret_network_reads_long_tokens_whole(spark):
+    """A key in the middle of a token of hundreds of characters, and one beside what a rule found, are seen; tokens without digits as well."""
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("0123456789abcdefABCDEFGHJKMPQRSTXYZ") for _ in range(n))
+    learn = [f'{_prose(rng, 5)} token = "{made(40)}" {_prose(rng, 5)}' for _ in range(150)]
+    learn += [f"{_prose(rng, 5)} see {'/'.join(rng.choice(WORDS) for _ in range(rng.randrange(3, 30)))}/page{rng.randrange(9)}.html {_prose(rng, 5)}" for _ in range(150)]
+    path = lambda n: "/".join(rng.choice(WORDS) for _ in range(n))
+    new = [f"{_prose(rng, 4)} {path(40)}/{made(48)}/{path(40)} {_prose(rng, 4)}" for _ in range(20)]
+    new += [f"{_prose(rng, 4)} {path(80)}/page7.html {_prose(rng, 4)}" for _ in range(20)]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id long, text string")
+    out = {r.doc_id: r.n_cnn for r in scan_secrets(frame(new), learn_from=frame(learn)).collect()}
+    assert sum(out[k] > 0 for k in range(20)) >= 18 and sum(out[k] > 0 for k in range(20, 40)) <= 2
+    cleaned = {r.doc_id: r.text for r in redact(frame(learn + new)).collect()}
+    listed = {r.doc_id: r.n_assign + r.n_access + r.n_hex + r.n_cnn for r in scan_secrets(frame(learn + new)).collect()}
+    assert all(cleaned[k].count("[SECRET]") <= n and ("[SECRET]" in cleaned[k]) == (n > 0) for k, n in listed.items())
+
+
+def test_secret_candidates():
+    found = [m.group() for m in secret_scan._CANDIDATE.finditer(b"Plain words, Mr.Smith well-known ABCDEFGHIJ. fooBarBaz abcdefg1 short1 aGVsbG8gd29ybGQ= x")]
+    assert found == [b"fooBarBaz", b"abcdefg1", b"aGVsbG8gd29ybGQ="]
+    body = b"password=hunter22;" + b"a1/" * 100
+    base = secret_scan.base_spans(body)
+    assert [body[s:e] for s, e, k in secret_scan.candidates(body, base) if k == secret_scan.OTHER] == [b"a1/" * 100]
+    shown = b"".join(v[secret_scan.AROUND : -secret_scan.AROUND] for v in secret_scan.views(b"x" * 300, 0, 300))
+    assert shown.count(b"x") >= 300 and len(secret_scan.views(b"x" * 56, 0, 56)) == 1
+
+
 def test_pitman_yor_base_and_perplexity(docs, rows):
     out = score_documents(docs).collect()
     tokens = {r[0]: re.findall("[^\x20\x09-\x0d]+", (r[1] or "").translate({c: c + 32 for c in range(65, 91)})) + ["\0end"] for r in rows}
@@ -129,7 +156,7 @@ def test_pitman_yor_sums_to_one():
     row = {"sizes": py.pack(np.array([2, 1, 1], np.int32)), "contexts": np.array([0, 1, 0, 1], np.uint16).tobytes(), "counts": py.pack(counts), "seats": [], "parents": [], "bucket": 0}
     customers = np.zeros(py.CONTEXTS, np.int64)
     customers[:2] = [5, 6]
-    totals = py.Totals(customers, 3, 11, (0.5, 0.4), 1.0)
+    totals = py.Totals(customers, 3, 11, (0.5, 0.4), 1.0, 4, 3)
     b = py.Bucket(row)
     seats, parents = b.sweep(totals, np.random.default_rng(1))
     assert (seats >= 1).all() and (seats <= counts).all()
@@ -140,6 +167,51 @@ def test_pitman_yor_sums_to_one():
     assert parent.sum() + unseen == pytest.approx(1)
 
 
+def test_tables_follow_the_exact_law():
+    """Drawn numbers of tables against all seatings listed one by one, and against the recursion for many customers."""
+    import numpy as np
+
+    from trialgrid.llm.tables import Weights, draw_tables
+
+    def seatings(c, d):
+        """Weight of all seatings by number of tables: customers come one after another to sizes held as a tuple."""
+        now = {(1,): 1.0}
+        for _ in range(c - 1):
+            then = Counter()
+            for sizes, weight in now.items():
+                for k, size in enumerate(sizes):
+                    then[tuple(sorted((*sizes[:k], size + 1, *sizes[k + 1 :])))] += weight * (size - d)
+                then[tuple(sorted((*sizes, 1)))] += weight
+            now = then
+        out = Counter()
+        for sizes, weight in now.items():
+            out[len(sizes)] += weight
+        return np.array([out[t] for t in range(1, c + 1)])
+
+    def recursion(c, d):
+        t, s = np.arange(c + 1), np.full(c + 1, -np.inf)
+        s[0] = 0
+        with np.errstate(divide="ignore"):
+            for n in range(c):
+                stay = s + np.log(np.maximum(n - d * t, 0))
+                s = np.concatenate([[-np.inf], np.logaddexp(stay[1:], s[:-1])])
+        return s[1:]
+
+    rng = np.random.default_rng(4)
+    for d in (0.3, 0.75):
+        for c in (2, 5, 9, 20, 64, 65, 150, 600):
+            for first, top, bottom, start in ((1, 0.01, 1, 0.01), (10, 5, 1000, 0.005), (100, 3, 10, 0.3), (4, -0.3, 50, 0.001)):
+                n = 4000
+                drawn = draw_tables(np.full(n, c), Weights(np.full(n, first), d, np.full(n, top), np.full(n, bottom), np.full(n, start)), d, rng)
+                law = np.log(seatings(c, d)) if c < 10 else recursion(c, d)
+                law = law + np.cumsum([math.log(first) + math.log(start), *(math.log((first + k * d) * (top + k) / (bottom + k)) for k in range(1, c))])
+                law = np.exp(law - law.max())
+                law /= law.sum()
+                mean = (law * np.arange(1, c + 1)).sum()
+                spread = math.sqrt((law * np.arange(1, c + 1) ** 2).sum() - mean**2)
+                assert abs(drawn.mean() - mean) < max(0.02 * mean, 4.5 * spread / math.sqrt(n)), (d, c, first)
+
+
 def test_pitman_yor_keeps_contexts_apart(spark):
     """Two words whose hashes agree in 16 bits: as contexts, each predicts its own follower."""
     import numpy as np
@@ -156,19 +228,51 @@ def test_pitman_yor_keeps_contexts_apart(spark):
     assert out[1001] - out[1000] > 1.5
 
 
-def test_suffix_dedup(docs, rows):
-    out = {r.doc_id: r for r in suffix_dedup(docs).collect()}
-    seen = set()
-    for k, text, *_ in rows:
-        body = (text or "").encode()
+def _without_repeats(rows, length):
+    """(id, bytes, removed, spans, digest of the rest) by a set of all strings, in the order of id and hash of the text."""
+    seen, out = set(), []
+    for k, _, text in sorted(((k, h, t or "") for k, h, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        body = text.encode()
         mark = bytearray(len(body))
-        for p in range(len(body) - 99):
-            if body[p : p + 100] in seen:
-                mark[p : p + 100] = b"\1" * 100
-            seen.add(body[p : p + 100])
+        for p in range(len(body) - length + 1):
+            if body[p : p + length] in seen:
+                mark[p : p + length] = b"\1" * length
+            seen.add(body[p : p + length])
         kept = bytes(x for x, m in zip(body, mark, strict=True) if not m)
-        assert (out[k].n_bytes, out[k].n_removed, out[k].n_spans) == (len(body), sum(mark), len(re.findall(b"\1+", bytes(mark))))
-        assert out[k].kept_sha256 == hashlib.sha256(kept).hexdigest()
+        out.append((k, len(body), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+def _deduplicated(df, length):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(df, length).collect())
+
+
+@pytest.mark.parametrize("length", [20, 40, 100, 400])
+def test_suffix_dedup(docs, rows, length):
+    assert _deduplicated(docs, length) == _without_repeats([(k, 0, t) for k, t, *_ in rows], length)
+
+
+def test_suffix_dedup_goes_by_row(spark):
+    """Ids that repeat or are missing: nothing is lost that did not occur before."""
+    rng = random.Random(12)
+    a, b, c, d = (_prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, c + a[:150]), (None, c), (None, d), (None, d), (None, b + d), (7, d), (7, d), (7, d), (8, ""), (8, ""), (9, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = df.selectExpr("doc_id", "xxhash64(coalesce(text, ''), doc_id is null) AS h", "text").collect()
+    assert _deduplicated(df, 100) == _without_repeats([tuple(r) for r in hashed], 100)
+
+
+def test_suffix_dedup_deals_out_frequent_strings(spark, monkeypatch):
+    """Lines that very many texts share are dealt out by whole strings, with the same result."""
+    from trialgrid.llm import suffix_dedup as module
+
+    rng = random.Random(13)
+    line = _prose(rng, 25)
+    rows = [(k, f"{_prose(rng, rng.randrange(1, 20))} {line} {_prose(rng, rng.randrange(1, 20))}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(module, "SAMPLE", 1)
+    assert len(module._hot(module._keyed(df, "doc_id", "text"), 100, 16)) > 0
+    assert _deduplicated(df, 100) == _without_repeats([(k, 0, t) for k, t in rows], 100)
 
 
 def test_bucket_pointers():

@@ -3,8 +3,11 @@
 Words are dishes. Each context, the previous word, has a restaurant in which a
 word's occurrences sit at tables; the tables of all contexts are the customers of
 one parent restaurant, whose base is uniform over the known words and one more.
-Seats are sampled by Gibbs sweeps, and the probabilities that the sampled seatings
-predict are averaged.
+Seats are sampled by Gibbs sweeps: a sweep takes all customers of a word in a
+context away and seats them anew by their exact conditional law, given all other
+seats (:mod:`.tables`). The probabilities that the sampled seatings predict are
+averaged. Buckets work side by side: what others seat meanwhile is held at the
+last sweep's values; inside a bucket the words' contexts take turns in two halves.
 
 All that belongs to a word lies in one bucket: its counts by context, its tables
 and its parent's customers. A bucket needs of the rest only the totals of the
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .store import forget, keep, shuffle_partitions
+from .tables import Weights, draw_tables
 
 #: Contexts are told apart by all 64 bits; a bucket numbers those it holds, and so many numbers fit the low half of one.
 CONTEXTS = 1 << 16
 BLOCK_BYTES = 8 << 20
+#: Text bytes for each bucket of words.
+BUCKET_BYTES = 8 << 20
 FLUSH_TOKENS = 900_000
 _END, _START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
@@ -43,6 +49,15 @@ def unpack(body: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """:func:`pack` in 32 bits where all values fit."""
+    return pack(values.astype(np.int32 if not len(values) or values.max() < 1 << 31 else np.int64))
+
+
+def unpack_counts(body: bytes, n: int) -> np.ndarray:
+    return unpack(body, np.int64 if n and len(body) == 8 * n else np.int32)
+
+
 def _stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids with an end after each document, the context before each, and bounds by document."""
     low = bt.LOWER[data]
@@ -93,7 +108,7 @@ def _asking(buckets: int):
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 s, e = cut[a], cut[b]
                 own, place = np.unique(contexts[s:e], return_inverse=True)
-                rows.append((int(home[a]), block, words[a:b].tobytes(), pack(sizes[a:b].astype(np.int32)), keys[own].tobytes(), pack(place.astype(np.int32)), pack(counts[s:e].astype(np.int32))))
+                rows.append((int(home[a]), block, words[a:b].tobytes(), pack(sizes[a:b].astype(np.int32)), keys[own].tobytes(), pack(place.astype(np.int32)), pack_counts(counts[s:e])))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=_ASK_NAMES)
 
     def run(batches):
@@ -142,7 +157,7 @@ def _merged(table: pa.Table, parts: int) -> pa.Table:
     word = [np.frombuffer(x, np.uint64) for x in rows["words"]]
     size = [unpack(x, np.int32) for x in rows["sizes"]]
     context = [np.frombuffer(k, np.uint64)[unpack(x, np.int32)] for k, x in zip(rows["keys"], rows["contexts"], strict=True)]
-    count = [unpack(x, np.int32) for x in rows["counts"]]
+    count = [unpack_counts(x, len(c)) for x, c in zip(rows["counts"], context, strict=True)]
     words, sizes, keys, contexts, counts, _, back = _distinct(
         np.concatenate([np.repeat(w, s) for w, s in zip(word, size, strict=True)]),
         np.concatenate(context),
@@ -165,7 +180,7 @@ def _merged(table: pa.Table, parts: int) -> pa.Table:
         return np.array([len(p) for p in parts], np.int64).tobytes()
 
     row = [
-        table["bucket"][0].as_py(), pack(sizes.astype(np.int32)), (contexts % CONTEXTS).astype(np.uint16).tobytes(), pack((contexts // CONTEXTS).astype(np.uint16)), pack(counts.astype(np.int32)),
+        table["bucket"][0].as_py(), pack(sizes.astype(np.int32)), (contexts % CONTEXTS).astype(np.uint16).tobytes(), pack((contexts // CONTEXTS).astype(np.uint16)), pack_counts(counts),
         pack(np.bincount(_bucket(keys, parts), minlength=parts).astype(np.int32)), keys.tobytes(), np.array(blocks, np.int64).tobytes(), steps(places), lengths(places), steps(word_places), lengths(word_places),
     ]
     return pa.table([pa.array([v], pa.binary() if k else pa.int64()) for k, v in enumerate(row)], names=_MERGED_NAMES)
@@ -189,29 +204,6 @@ class Totals:
         self.parent_customers, self.parent_tables = parent_customers, parent_tables
 
 
-def seat(counts: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating ``counts`` customers one after another, all rows at once.
-
-    ``new_weight`` is (rows, 2): a new table has weight ``w[0] + tables * w[1]``
-    against ``seated - discount * tables`` for the tables there are. The first 64
-    customers are seated one by one, later ones in groups of a sixteenth of those
-    seated, for which the odds are held.
-    """
-    tables = np.minimum(counts, 1).astype(np.float64)
-    order = np.argsort(-counts, kind="stable")
-    ranked = counts[order]
-    seated, most = 1, int(ranked[0]) if len(ranked) else 0
-    while seated < most:
-        active = order[: np.searchsorted(-ranked, -seated, "left")]
-        group = np.minimum(max(1, seated // 16) if seated >= 64 else 1, counts[active] - seated)
-        t = tables[active]
-        w = new_weight[active, 0] + t * new_weight[active, 1]
-        p = w / (w + np.maximum(seated - discount * t, 1e-12))
-        tables[active] += rng.binomial(group, p) if seated >= 64 else rng.random(len(active)) < p
-        seated += max(1, seated // 16) if seated >= 64 else 1
-    return tables.astype(np.int64)
-
-
 class Bucket:
     """One bucket's contexts and counts, unpacked. Tables are kept for pairs that occur more than once."""
 
@@ -221,7 +213,7 @@ class Bucket:
         self.contexts = np.frombuffer(row["contexts"], np.uint16).astype(np.int32)
         if row.get("high"):
             self.contexts += unpack(row["high"], np.uint16).astype(np.int32) * CONTEXTS
-        self.counts = unpack(row["counts"], np.int32)
+        self.counts = unpack_counts(row["counts"], len(self.contexts))
         self.words = len(self.sizes)
         self.owner = np.repeat(np.arange(self.words, dtype=np.int32), self.sizes)
         self.word_counts = np.bincount(self.owner, self.counts, self.words).astype(np.int64)
@@ -230,8 +222,8 @@ class Bucket:
     def state(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Tables by pair and by word after sweep ``k``."""
         seats = np.minimum(self.counts, 1)
-        seats[self.several] = unpack(self.row["seats"][k], np.int32)
-        return seats, unpack(self.row["parents"][k], np.int32)
+        seats[self.several] = unpack_counts(self.row["seats"][k], len(self.several))
+        return seats, unpack_counts(self.row["parents"][k], self.words)
 
     def parent(self, seats: np.ndarray, parents: np.ndarray, totals: Totals) -> np.ndarray:
         """Predictive probability of each word in the parent restaurant."""
@@ -247,23 +239,29 @@ class Bucket:
         return [(k, self.row["bucket"], pack(x)) for k, x in enumerate(np.split(sums, np.cumsum(parts)[:-1])) if len(x)]
 
     def sweep(self, totals: Totals, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Seat every word of every context again, given the tables of the last sweep elsewhere."""
-        some = self.several
-        seats = np.minimum(self.counts, 1)
+        """Seat every word of every context again, then every word in the parent, given the tables of the last sweep elsewhere."""
         if self.row["seats"]:
-            old, parents = self.state(-1)
+            seats, parents = self.state(-1)
         else:
-            old, parents = seats, np.minimum(self.word_counts, 1)
-        p = self.parent(old, parents, totals)
-        d = totals.context_discount
-        elsewhere = np.maximum(totals.tables[self.contexts[some]] - old[some], 0)
-        weight = np.stack([(totals.strength + d * elsewhere) * p[self.owner[some]], d * p[self.owner[some]]], 1)
-        seats[some] = seat(self.counts[some], weight, d, rng)
-        customers = np.bincount(self.owner, seats, self.words).astype(np.int64)
+            seats, parents = np.minimum(self.counts, 1), np.minimum(self.word_counts, 1)
+        seats = seats.astype(np.int64)
+        d, up, strength = totals.context_discount, totals.parent_discount, totals.strength
         base = 1.0 / (totals.vocabulary + 1)
-        d = totals.parent_discount
-        weight = np.stack([np.full(len(customers), (totals.strength + d * totals.parent_tables) * base), np.full(len(customers), d * base)], 1)
-        return seats, seat(customers, weight, d, rng)
+        fresh = (strength + up * totals.parent_tables) * base
+        customers = np.bincount(self.owner, seats, self.words).astype(np.int64)
+        for half in (0, 1):
+            rows = self.several[half::2]
+            own, word = seats[rows], self.owner[rows]
+            others = customers[word] - own
+            elsewhere = np.maximum(totals.tables[self.contexts[rows]] - own, 0)
+            # a further table's share in the parent: what others have there and this dish's tables so far
+            top = others - up * np.minimum(parents[word], np.maximum(others, 1)) + fresh
+            bottom = np.maximum(strength + totals.parent_customers - own, strength)
+            start = np.where(others > 0, top, fresh) / bottom
+            seats[rows] = draw_tables(self.counts[rows], Weights(strength + d * elsewhere, d, top, bottom, start), d, rng)
+            customers += np.bincount(word, seats[rows] - own, self.words).astype(np.int64)
+        tables = np.maximum(totals.parent_tables - parents, 0)
+        return seats, draw_tables(customers, Weights.constant(strength + up * tables, up, base, self.words), up, rng)
 
     def log10(self, states: list[Totals], first: int) -> np.ndarray:
         """Mean predictive probability of each pair over the kept sweeps, as a logarithm."""
@@ -341,7 +339,7 @@ def _counting(batches):
     for row in _rows(batches):
         b = Bucket(row)
         kinds = np.bincount(b.owner, b.counts > 0, b.words)
-        extra = [(b.word_counts > 0).sum(), b.word_counts.sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
+        extra = [(b.word_counts > 0).sum(), b.word_counts.sum(), (b.counts == 1).sum(), (b.counts == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum(), (b.counts > 0).sum()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(extra))), pa.array(np.array(extra, np.int64))], names=["key", "n"])
 
 
@@ -360,8 +358,8 @@ def _sweeping(scalars: tuple, number: int, seed: int):
         for row in _rows(states.to_batches()):
             b = Bucket(row)
             seats, parents = b.sweep(totals, np.random.default_rng([seed, number, row["bucket"]]))
-            row["seats"] = [*row["seats"], pack(seats[b.several].astype(np.int32))]
-            row["parents"] = [*row["parents"], pack(parents.astype(np.int32))]
+            row["seats"] = [*row["seats"], pack_counts(seats[b.several])]
+            row["parents"] = [*row["parents"], pack_counts(parents)]
             out.append(row)
         return pa.table([pa.array([r[n] for r in out], t) for n, t in zip(_STATE_NAMES, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
 
@@ -476,7 +474,7 @@ def score_documents(
     rows = max(1, math.ceil(size.n / blocks))
     block = F.coalesce(F.pmod(F.floor(F.col("doc_id") / rows), F.lit(blocks)), F.lit(0)).cast("long")
     plain = plain.withColumn("block", block)
-    buckets, parts = 4 * shuffle_partitions(spark), math.ceil(blocks / 4)
+    buckets, parts = max(4 * shuffle_partitions(spark), math.ceil((size.b or 0) / BUCKET_BYTES)), math.ceil(blocks / 4)
     asked = plain.select("doc_id", "text", "block", (~F.col("held_out")).alias("train")).mapInArrow(_asking(buckets), _ASK)
     merged = keep(asked.groupBy("bucket").applyInArrow(_merging(parts), _MERGED), "pitman-yor-counts")
     known = merged.select("bucket", "parts", "keys").mapInArrow(_knowing, "part long, bucket long, keys binary")
@@ -484,13 +482,13 @@ def score_documents(
     empty = F.array().cast("array<binary>")
     state = merged.select(*_STATE_NAMES[:6], empty.alias("seats"), empty.alias("parents"))
     extra = _collected(state.mapInArrow(_counting, "key long, n long"))
-    vocabulary, tokens, n1, n2, m1, m2 = (extra.get(k, 0) for k in range(6))
+    vocabulary, tokens, n1, n2, m1, m2, pairs = (extra.get(k, 0) for k in range(7))
     discounts = tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ((n1, n2), (m1, m2)))
     model = (vocabulary, tokens, discounts, strength)
     customers = _exchange(state.mapInArrow(_own_shares("customers"), _SHARE), directory, "pitman-yor-customers").withColumn("sweep", F.lit(-1))
-    scalars, shares, kept, every = model, customers, [], customers
+    # before any sweep each pair has one table, and each word one in the parent
+    scalars, shares, kept, every = (*model, pairs, vocabulary), customers, [], customers
     for k in range(burn_in + sweeps):
-        # a restart: the parent's totals before any sweep are those of one table for each pair
         swept = state.groupBy("bucket").cogroup(shares.groupBy("bucket")).applyInArrow(_sweeping(scalars, k, seed), _STATE)
         before, state = state, keep(swept, "pitman-yor-seats")
         if k:
