@@ -3,11 +3,12 @@
 import bisect
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trialgrid.functions import bins, columns
-from trialgrid.operators import asof, gaze, intervals, maps, ordered, surfaces, trials, units
+from trialgrid.operators import asof, gaze, intervals, maps, ordered, signals, surfaces, trials, units
 from trialgrid.sources import io
 
 
@@ -55,8 +56,6 @@ def test_point_labels(spark):
 
 
 def test_known_ray(spark):
-    import numpy as np
-
     vx, vy = (float((np.float32(v) - np.float32(n / 2)) / np.float32(n)) for v, n in ((950.4, 1919.0), (1069.1, 1079.0)))
     df = spark.createDataFrame([(vx, vy, 0.0, 0.0, -10.0, surfaces.CAMERA_HEIGHT)], "vx double, vy double, dir double, px double, py double, pz double")
     dx, dy, dz = gaze.gaze_direction(F.col("vx"), F.col("vy"), F.col("dir"))
@@ -206,3 +205,125 @@ def test_materialize(spark, tmp_path):
     assert io.materialize(spark, spark.range(3), path).count() == 3
     assert io.materialize(spark, spark.range(5), path).count() == 3
     assert io.materialize(spark, spark.range(5), path, redo=True).count() == 5
+
+
+def _matrix(n=40, d=6, seed=3):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, d)) @ np.diag(np.arange(d, 0, -1)) + rng.normal(size=d)
+
+
+def test_features_follow_numpy(spark):
+    """Principal components, singular vectors and both by channel, up to signs."""
+    x = _matrix()
+    rows = [(k, k % 2, w.tolist()) for k, w in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, channel int, wave array<double>")
+
+    def told(found):
+        return np.array([r.features for r in sorted(found.collect(), key=lambda r: r.id)])
+
+    def pca(m):
+        c = m - m.mean(0)
+        return c @ np.linalg.svd(c, full_matrices=False)[2][:3].T
+
+    assert np.allclose(np.abs(told(units.pca_features(df, "id"))), np.abs(pca(x)), atol=1e-6)
+    assert np.allclose(np.abs(told(units.svd_features(df, "id"))), np.abs(np.linalg.svd(x, full_matrices=False)[0][:, :3]), atol=1e-6)
+    each = units.features_by_channel(df, "id")
+    for channel in (0, 1):
+        assert np.allclose(np.abs(told(each.where(f"channel = {channel}"))), np.abs(pca(x[channel::2])), atol=1e-6)
+    assert units.features_by_channel(df.where("false"), "id").count() == 0
+
+
+def test_spectrum_in_blocks(spark):
+    """Blocks give what the whole series gives, and both what the direct sum of a wavelet gives."""
+    n, fs, beta = 700, 16.0, 1.5
+    v = np.random.default_rng(5).normal(size=n)
+    df = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(v)] + [("b", 0, 1.0)], "s string, t long, v double")
+    whole = {(r.s, r.t, r.freq): complex(r.re, r.im) for r in signals.spectrum(df, ["s"], fs).collect()}
+    parts = {(r.s, r.t, r.freq): complex(r.re, r.im) for r in signals.spectrum(df, ["s"], fs, block=128).collect()}
+    assert whole.keys() == parts.keys() and max(abs(whole[k] - parts[k]) for k in whole if k[2] <= fs / 4) < 1e-5
+    f = max(freq for s, _, freq in whole if s == "a" and freq <= 4)
+    at = (np.arange(n) - 350) / fs
+    # the wavelet in time is the transform of its spectrum: a Gaussian of width beta / f under a carrier
+    wavelet = 2 * f / (beta * np.sqrt(2 * np.pi)) * np.exp(-0.5 * (at * f / beta) ** 2) * np.exp(-2j * np.pi * f * at) / fs
+    assert abs((v * wavelet).sum() - whole["a", 350, f]) < 1e-3
+
+
+def test_aligned_spectrum(spark):
+    rng = np.random.default_rng(6)
+    waves = rng.normal(size=(9, 16))
+    rows = [(e, o - 8, float(waves[e, o])) for e in range(9) for o in range(16)]
+    df = spark.createDataFrame(rows, "trial int, offset int, v double")
+    reach = signals._margin(16.0, 1.5, 1.0)
+    logs = []
+    for w in waves:
+        freqs, c = signals.morlet(np.pad(w, reach), 16.0)
+        logs.append(np.log(np.abs(c[reach : reach + 16])))
+    mean, deviation = np.mean(logs, 0), np.std(logs, 0)
+    out = signals.aligned_spectrum(df, ["trial"], 16.0).collect()
+    assert len(out) == 16 * len(freqs)
+    for r in out:
+        k = int(np.argmin(np.abs(freqs - r.freq)))
+        assert abs(r["mean"] - mean[r.offset + 8, k]) < 1e-6 and abs(r.deviation - deviation[r.offset + 8, k]) < 1e-6
+    turned = signals.aligned_spectrum(df, ["trial"], 16.0, seed=2).collect()
+    assert len(turned) == len(out) and any(abs(a["mean"] - b["mean"]) > 1e-3 for a, b in zip(sorted(out), sorted(turned), strict=True))
+
+
+def test_surface_points(spark):
+    arena = surfaces.arena_surfaces(spark)
+    points = surfaces.surface_points(arena)
+    sizes = {r.surface_id: (len(r.ex), len(r.ey), len(r.ez), r.normal) for r in arena.collect()}
+    counts = {r.surface_id: r["count"] for r in points.groupBy("surface_id").count().collect()}
+    for k, (nx, ny, nz, normal) in sizes.items():
+        free = [n for n, v in zip((nx, ny, nz), normal, strict=True) if v == 0]
+        assert counts[k] == free[0] * free[1]
+    ceiling = arena.where("kind = 'ceiling'").first()
+    assert {r.z for r in points.where("kind = 'ceiling'").select("z").distinct().collect()} == {ceiling.ez[0]}
+    assert points.where("surface_id = 1").agg({"n": "max"}).first()[0] == counts[1]
+    assert surfaces.surface_points(arena, ["pillars", "walls"]).select("kind").distinct().count() == 2
+    assert surfaces.unique_points(points.unionByName(points)).count() == points.select("x", "y", "z").distinct().count()
+
+
+def test_short_trio_fails(spark):
+    df = spark.createDataFrame([(1, k, m, float(k)) for k, m in enumerate([84, 11, 21, 31, 12])], "s int, seq int, marker int, t double")
+    with pytest.raises(Exception, match="Inconsistent number of markers"):
+        trials.reshape_triggers(df, ["s"]).collect()
+
+
+def test_eye_recording(spark):
+    """Screen, eyes, fixations, saccades, trials and samples of a recording."""
+    said = [("GAZE_COORDS 0.00 0.00 1919.00 1079.00", 0), ("Start Trial 11", 10), ("GAZE_COORDS 1 1 1 1", 20), ("Cue Offset 21", 1000), ("End Trial 31", 50000)]
+    events = [(1, k, "messageevent", m, t, None, None, None, None, None) for k, (m, t) in enumerate(said)]
+    events += [(1, 9, "endfix", None, 100, 200, None, None, None, None), (1, 10, "endsacc", None, 200, 220, 5.0, 79.0, 6.0, 1000.0)]
+    shape = "s int, seq int, eventtype string, message string, sttime long, entime long, gstx double, gsty double, genx double, geny double"
+    samples = [(1, eye, t, 10.0 if eye == 1 else -32768.0, 9.0) for eye in (1, 2) for t in range(3)]
+    got = io.extract_eye(spark.createDataFrame(events, shape), spark.createDataFrame(samples, "s int, eye int, t long, gx double, gy double"), ["s"])
+    assert got["screen"].first()[1:] == (0.0, 0.0, 1919.0, 1079.0) and [r.eye for r in got["eyes"].collect()] == [1]
+    assert got["fixations"].first()[1:] == (100, 200) and got["saccades"].first()[3:] == (5.0, 1000.0, 6.0, 79.0)
+    trial = got["triggers"].first()
+    assert (trial.trig1, trial.trig2, trial.trig3, trial.t1, trial.t2, trial.t3) == (11, 21, 31, 10, 1000, 50000)
+    assert {r.gy for r in got["gaze"].collect()} == {1070.0}
+
+
+def test_log_folders(spark, tmp_path):
+    (tmp_path / "a" / "RawData_T1").mkdir(parents=True)
+    log = "Date: now\nMazeName: Maze Donk\nPosterLocations: \nname: Poster-hippo\nposterPosition: (1.0, 1.2, 3.0)\n16 0.1 1 2 3\n26 0.2 1.5 2 3\n"
+    (tmp_path / "a" / "RawData_T1" / "session_1.txt").write_text(log)
+    (tmp_path / "a" / "other.txt").write_text("x")
+    found = io.discover(spark, str(tmp_path), "session_*.txt").collect()
+    assert len(found) == 1 and found[0].path.endswith("a/RawData_T1/session_1.txt")
+    poster = io.read_posters(spark, found[0].path).collect()
+    assert [(r.maze, r.name, r.x, r.y, r.z) for r in poster] == [("Maze Donk", "Poster-hippo", 1.0, 1.2, 3.0)]
+    assert [(r.seq, r.marker, r.x) for r in io.read_positions(spark, found[0].path).orderBy("seq").collect()] == [(1, 16.0, 1.0), (2, 26.0, 1.5)]
+
+
+def test_zip_trials(spark):
+    a = spark.createDataFrame([(1, 1, 5.0), (1, 1, 2.0), (1, 2, 1.0)], "s int, trial int, t double")
+    b = spark.createDataFrame([(1, 1, 31), (2, 1, 32)], "s int, trial int, marker int")
+    out = trials.zip_trials(["s"], spikes=a, markers=b).collect()
+    assert len(out) == 1 and [r.t for r in out[0].spikes] == [2.0, 5.0] and out[0].markers[0].marker == 31
+    assert trials.trial_of(a, 2).count() == 1
+
+
+def test_points_that_repeat_a_key_keep_their_rows(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 4.93), (2, 99.0, 0.0, 0.0)], "k int, x double, y double, z double")
+    assert sorted(r.kind for r in surfaces.label_points(points, surfaces.arena_surfaces(spark), ["k"]).collect()) == ["ceiling", "floor"]

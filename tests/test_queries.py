@@ -49,19 +49,6 @@ def test_entry_without_llm(monkeypatch):
     assert not any(q.startswith("op") for q in entry.queries())
 
 
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the test tables")
-def test_whole_queries_take_all(spark, db):
-    """All points are traced, as stepping does it; all trials and events count."""
-    told = db.execute(ORACLES["ray_hit"].replace(" WHERE event_id % 4 = 0", "")).df().sort_values("event_id").reset_index(drop=True)
-    out = QUERIES["ray_hit_all"](spark, SF_DIR).toPandas().sort_values("event_id").reset_index(drop=True)
-    assert out["event_id"].equals(told["event_id"]) and (out["event_id"] % 4 > 0).any()
-    assert (out - told).abs().max().max() < 1e-3
-    for name in ("clock_consistency", "waveform_windows"):
-        assert QUERIES[f"{name}_all"](spark, SF_DIR).count() > QUERIES[name](spark, SF_DIR).count()
-    orders, sessions = db.execute("SELECT count(*), count(DISTINCT o_orderstatus) FROM orders").fetchone()
-    assert {r.offset: r.n for r in QUERIES["event_windows_all"](spark, SF_DIR).collect()} == {k: orders - sessions * abs(k) for k in range(-4, 4)}
-
-
 def test_long_trials_count(spark, tmp_path):
     rows = [(1, 10, "2024-01-01", "click"), (2, 10, "2024-01-10", "view"), (3, 10, "2024-01-28", "purchase")]
     events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").selectExpr("event_id", "user_id", "CAST(ts AS timestamp) AS ts", "event_type", "1D AS value", "'1' AS props")

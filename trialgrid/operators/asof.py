@@ -72,7 +72,7 @@ def spikes_at_positions(spikes: DataFrame, trials: DataFrame, samples: DataFrame
     return asof_join(inside, samples, [session, "trial"], "t", values, direction)
 
 
-def fixated_views(spikes: DataFrame, gaze: DataFrame, keys: Sequence[str]) -> DataFrame:
+def fixated_views(spikes: DataFrame, gaze: DataFrame, keys: Sequence[str], *, bucket: float | None = None) -> DataFrame:
     """Spikes with the gaze point that follows, where that sample lies in a fixation."""
-    found = asof_join(spikes, gaze, keys, "t", ("x", "y", "z", "fixated"), "forward")
+    found = asof_join(spikes, gaze, keys, "t", ("x", "y", "z", "fixated"), "forward", bucket=bucket)
     return found.where("fixated").drop("fixated")

@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import clean_sample
+from .asof import asof_join
+from .intervals import interval_mask
 from .surfaces import BOUNDS, PILLAR_HEIGHT, PILLARS, WALL_HEIGHT, Box
+from .trials import trial_slice
 
 INFINITY = float("inf")
 
@@ -73,3 +77,28 @@ def override_objects(labels: DataFrame, objects: DataFrame, keys: Sequence[str])
 def slice_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The most frequent object and the mean position of each slice; of equally frequent objects the least."""
     return df.groupBy(*keys).agg(F.mode("object", True).alias("object"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def eye_trial(samples: DataFrame, trials: DataFrame, fixations: DataFrame, recorded: DataFrame, keys: Sequence[str], *, bucket: float | None = None) -> DataFrame:
+    """Gaze of the recorded eyes by trial: (keys, eye, t, gx, gy, trial, fixated), lost samples null.
+
+    ``samples`` is (keys, eye, t, gx, gy); a trial runs as in
+    :func:`~trialgrid.operators.trials.trial_slice`, and a sample is fixated as
+    in :func:`~trialgrid.operators.intervals.interval_mask`. ``recorded`` lists
+    the eyes (keys, eye) that count.
+    """
+    keys = list(keys)
+    own = samples.join(recorded.select(*keys, "eye"), [*keys, "eye"], "left_semi").withColumns({c: clean_sample(F.col(c)) for c in ("gx", "gy")})
+    eyes = recorded.select(*keys, "eye")
+    marked = interval_mask(own, fixations.join(eyes, keys), [*keys, "eye"], bucket=bucket)
+    cut = trial_slice(marked, trials.join(eyes, keys), [*keys, "eye"], bucket=bucket)
+    # a trial's first sample is fixated if any fixation began before, as no sample comes before it
+    begun = fixations.where("t_end >= t_start").groupBy(*keys).agg(F.min("t_start").alias("__begun"))
+    first = F.col("t") == F.min("t").over(Window.partitionBy(*keys, "eye", "trial"))
+    out = cut.join(begun, keys, "left").withColumn("fixated", F.when(first, F.coalesce(F.col("__begun") <= F.col("t"), F.lit(False))).otherwise(F.col("fixated")))
+    return out.drop("__begun")
+
+
+def gaze_with_pose(gaze: DataFrame, positions: DataFrame, keys: Sequence[str], pose: Sequence[str] = ("px", "py", "dir"), *, bucket: float | None = None) -> DataFrame:
+    """Gaze samples with the last head pose at or before each."""
+    return asof_join(gaze, positions, keys, "t", pose, "backward", bucket=bucket).drop("t_match")

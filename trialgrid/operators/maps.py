@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import Edges, bin_left_closed, bin_right_closed, in_bins
+from .asof import asof_join
 from .ordered import neighbour
 
 
@@ -119,3 +120,15 @@ def smooth_map(df: DataFrame, nx: int, ny: int, kernel: Sequence[tuple[int, int,
         lambda s, k: s + k["w"],
     )
     return sent.withColumn("__w", w).where("__w > 0").groupBy(*by, F.col("tx").alias("ix"), F.col("ty").alias("iy")).agg(F.sum(F.col("__v") * F.col("__w")).alias("smooth"))
+
+
+def signal_map(signal: DataFrame, positions: DataFrame, keys: Sequence[str], xedges: Sequence[float], yedges: Sequence[float], value: str = "v", *, bucket: float | None = None) -> DataFrame:
+    """Share of a signal's absolute values by the place where they fell, over the share of samples there.
+
+    A sample falls where the first position at or after it is; ``value`` may be
+    the signal or one band of its spectrum. Returns (ix, iy, n, share,
+    occ_share, preference).
+    """
+    placed = asof_join(signal.select(*keys, "t", F.col(value).alias("__v")), positions, keys, bucket=bucket)
+    shares = fraction_map(placed, xedges, yedges, F.abs(F.col("__v")))
+    return preference_map(shares, fraction_map(placed, xedges, yedges))

@@ -90,6 +90,30 @@ def surface_bins(surfaces: DataFrame) -> DataFrame:
     return out.select("surface_id", "kind", "obj", "side", "ix", "iy", "iz", *[centre(c).alias(f"c{c}") for c in "xyz"])
 
 
+def surface_points(surfaces: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    """Edge points (surface_id, kind, obj, side, n, x, y, z) of each surface's inner face, numbered with x fastest.
+
+    The inner face is the one its normal points to: at the first edge of the
+    thin axis for a negative component, at the last one for a positive. Kinds
+    in ``exclude`` are left out.
+    """
+    out = surfaces.where(~F.col("kind").isin(*exclude)) if exclude else surfaces
+    axis = {"x": 1, "y": 2, "z": 3}
+    for c, k in axis.items():
+        n = F.element_at("normal", k)
+        face = F.when(n < 0, F.slice(f"e{c}", 1, 1)).when(n > 0, F.slice(f"e{c}", F.size(f"e{c}"), F.lit(1))).otherwise(F.col(f"e{c}"))
+        out = out.withColumn(f"f{c}", face)
+    for c in "zyx":
+        out = out.select("*", F.posexplode(f"f{c}").alias(f"k{c}", c))
+    n = F.col("kx") + F.size("fx") * (F.col("ky") + F.size("fy") * F.col("kz")) + 1
+    return out.select("surface_id", "kind", "obj", "side", n.alias("n"), "x", "y", "z")
+
+
+def unique_points(points: DataFrame) -> DataFrame:
+    """Different points (x, y, z) with the least surface that has each."""
+    return points.groupBy("x", "y", "z").agg(F.min("surface_id").alias("surface_id"))
+
+
 def bin_count(surfaces: DataFrame) -> DataFrame:
     return surfaces.agg(F.sum(_bins_along("ex") * _bins_along("ey") * _bins_along("ez")).cast("long").alias("n_bins"))
 
@@ -100,17 +124,23 @@ def physical_size(surfaces: DataFrame) -> DataFrame:
     return surfaces.agg(*[(F.max(F.array_max(long(f"e{c}"))) - F.min(F.array_min(long(f"e{c}")))).alias(f"size_{c}") for c in "xyz"])
 
 
+def _longer(surfaces: DataFrame) -> DataFrame:
+    """Surfaces with one more bin on every axis, and the extent (x0, x1, ...) of all bins."""
+    out = surfaces.withColumns({f"e{c}": F.concat(F.col(f"e{c}"), F.array(F.element_at(f"e{c}", -1) * 2 - F.element_at(f"e{c}", -2))) for c in "xyz"})
+    return out.withColumns({f"{c}{k}": F.element_at(f"e{c}", at) for c in "xyz" for k, at in ((0, 1), (1, -1))})
+
+
 def locate(points: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Points with every surface bin that holds them; a point can lie in several.
 
-    One more bin is appended to every axis. Surfaces are a fixed, small table.
+    One more bin is appended to every axis. Surfaces are a fixed, small table:
+    a point is compared with their extents, and its bins are found in those that
+    hold it alone.
     """
-    number = {f"i{c}": bin_left_closed(F.col(c), F.col(f"e{c}")) for c in "xyz"}
-    longer = surfaces.withColumns({f"e{c}": F.concat(F.col(f"e{c}"), F.array(F.element_at(f"e{c}", -1) * 2 - F.element_at(f"e{c}", -2))) for c in "xyz"})
-    out = points.crossJoin(F.broadcast(longer)).withColumns(number)
-    for c in "xyz":
-        out = out.where(F.col(f"i{c}").between(F.lit(1), F.size(f"e{c}") - 1))
-    return out.drop("ex", "ey", "ez", "normal")
+    inside = [(F.col(f"__p.{c}") >= F.col(f"{c}0")) & (F.col(f"__p.{c}") < F.col(f"{c}1")) for c in "xyz"]
+    out = points.select(F.struct("*").alias("__p")).join(F.broadcast(_longer(surfaces)), inside[0] & inside[1] & inside[2])
+    number = {f"i{c}": bin_left_closed(F.col(f"__p.{c}"), F.col(f"e{c}")) for c in "xyz"}
+    return out.select("__p.*", "surface_id", "kind", "obj", "side", *[v.alias(k) for k, v in number.items()])
 
 
 def surface_histogram(points: DataFrame, surfaces: DataFrame, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -120,10 +150,22 @@ def surface_histogram(points: DataFrame, surfaces: DataFrame, weight: str | None
 
 
 def label_points(points: DataFrame, surfaces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One label per point (keys..., kind, surface_id, ix, iy, iz); points on no surface are left out."""
+    """One label per point (keys..., kind, surface_id, ix, iy, iz); points on no surface are left out.
+
+    All surfaces go along with every point as one array, so points are neither
+    paired nor shuffled, and those that repeat a key keep a row each.
+    """
     rank = F.array_position(F.array(*[F.lit(k) for k in PRIORITY]), F.col("kind"))
-    best = F.min_by(F.struct("kind", "surface_id", "ix", "iy", "iz"), F.struct(rank, "surface_id"))
-    return locate(points, surfaces).groupBy(*keys).agg(best.alias("l")).select(*keys, "l.*")
+    fields = ["surface_id", "kind", "ex", "ey", "ez", *[f"{c}{k}" for c in "xyz" for k in (0, 1)]]
+    all_ = _longer(surfaces).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), *fields))).alias("__s"))
+
+    def holds(s: Column) -> Column:
+        held = [(F.col(c) >= s[f"{c}0"]) & (F.col(c) < s[f"{c}1"]) for c in "xyz"]
+        return held[0] & held[1] & held[2]
+
+    out = points.crossJoin(F.broadcast(all_)).withColumn("__l", F.get(F.filter("__s", holds), F.lit(0))).where("__l is not null")
+    bins = [bin_left_closed(F.col(c), F.col(f"__l.e{c}")).alias(f"i{c}") for c in "xyz"]
+    return out.select(*keys, F.col("__l.kind").alias("kind"), F.col("__l.surface_id").alias("surface_id"), *bins)
 
 
 def dwell_histogram(gaze: DataFrame, surfaces: DataFrame, keys: Sequence[str], time: str = "t", *, fixations_only: bool = False, by: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
@@ -153,10 +195,14 @@ def collapse_thin(hist: DataFrame, surfaces: DataFrame, value: str = "weight") -
 
 
 def nearest_wall(points: DataFrame, walls: DataFrame, key: str) -> DataFrame:
-    """The wall whose centre (cx, cy) lies nearest to each point; ``walls`` is a small table (wall_id, cx, cy)."""
-    d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    best = F.min_by("wall_id", F.struct(d2, F.col("wall_id")))
-    return points.crossJoin(F.broadcast(walls)).groupBy(key).agg(best.alias("wall_id"))
+    """The wall whose centre (cx, cy) lies nearest to each point, by row; ``walls`` is a small table (wall_id, cx, cy)."""
+    all_ = walls.agg(F.collect_list(F.struct("wall_id", "cx", "cy")).alias("__w"))
+
+    def apart(w: Column) -> Column:
+        return F.struct(((F.col("x") - w["cx"]) * (F.col("x") - w["cx"]) + (F.col("y") - w["cy"]) * (F.col("y") - w["cy"])).alias("d2"), w["wall_id"].alias("wall_id"))
+
+    best = F.array_min(F.transform("__w", apart))
+    return points.crossJoin(F.broadcast(all_)).select(key, best["wall_id"].alias("wall_id"))
 
 
 def bin_distances(bins: DataFrame, cutoff: float, key: str = "bin_id") -> DataFrame:

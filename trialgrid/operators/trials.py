@@ -47,7 +47,8 @@ def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker",
 
     The tens digits of a trio are 1, 2 and 3 or 4 and its unit digits are equal;
     otherwise the query fails with "Inconsistent main markers" or "Inconsistent
-    cue markers".
+    cue markers". So it does with "Inconsistent number of markers" if a key's
+    last trio is not whole.
     """
     rows = df.select(*keys, F.col(marker).cast("int").alias("marker"), F.col(time).alias("t"), F.col(order).alias("__order"))
     if positive_only:
@@ -61,7 +62,8 @@ def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker",
     main = (tens("trig1") == 1) & tens("trig3").isin(3, 4)
     cue = (tens("trig2") == 2) & (F.col("trig1") % 10 == F.col("trig2") % 10) & (F.col("trig1") % 10 == F.col("trig3") % 10)
     fail = lambda text: F.raise_error(F.lit(text)).cast("int")
-    judged = F.when(~F.coalesce(main, F.lit(False)), fail("Inconsistent main markers")).when(~F.coalesce(cue, F.lit(False)), fail("Inconsistent cue markers")).otherwise(F.col("trial"))
+    short = F.col("trig1").isNull() | F.col("trig2").isNull() | F.col("trig3").isNull()
+    judged = F.when(short, fail("Inconsistent number of markers")).when(~F.coalesce(main, F.lit(False)), fail("Inconsistent main markers")).when(~F.coalesce(cue, F.lit(False)), fail("Inconsistent cue markers")).otherwise(F.col("trial"))
     return out.withColumn("trial", judged)
 
 
@@ -132,3 +134,25 @@ def compare_clocks(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame
     left = a.select(*keys, "trial", F.struct(*cols).alias("a"))
     right = b.select(*keys, "trial", F.struct(*cols).alias("b"))
     return left.join(right, [*keys, "trial"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def rows_between(samples: DataFrame, low: float, high: float, index: str = "idx") -> DataFrame:
+    """A time slice: rows whose number or time lies in [low, high]."""
+    return samples.where(F.col(index).between(low, high))
+
+
+def trial_of(df: DataFrame, trial: int) -> DataFrame:
+    return df.where(F.col("trial") == trial)
+
+
+def zip_trials(keys: Sequence[str], **streams: DataFrame) -> DataFrame:
+    """Streams of a trial side by side: (keys, trial, <name> array of structs in time order), for trials that all have.
+
+    Meant for streams of a few rows a trial, such as spikes and markers.
+    """
+    out = None
+    for name, df in streams.items():
+        rest = [c for c in df.columns if c not in (*keys, "trial")]
+        own = df.groupBy(*keys, "trial").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+        out = own if out is None else out.join(own, [*keys, "trial"])
+    return out

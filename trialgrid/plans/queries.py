@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.bins import mean_step, soft_range, soft_range_column
 from ..operators import asof, gaze, intervals, maps, signals, surfaces, trials, units
+from ..sources import io
 
 HOUR = 3_600_000_000
 #: Long sessions are dealt out by 30 days.
@@ -176,31 +177,32 @@ def trial_count(spark, d):
     return trials.count_trials(_trials(spark, d).where("t3 is not null"), ["user_id"])
 
 
-def _short_trials(spark, d):
-    return _trials(spark, d).where(F.col("t3").between(F.col("t1"), F.col("t1") + 24 * 20 * HOUR))
+def _whole_trials(spark, d):
+    return _trials(spark, d).where("t3 >= t1")
 
 
-_SHORT = f"{_TRIALS}, sh AS (SELECT * FROM tr WHERE t3 BETWEEN t1 AND t1 + {24 * 20 * HOUR})"
+#: A trial that ends before it starts has no interval.
+_WHOLE = f"{_TRIALS}, sh AS (SELECT * FROM tr WHERE t3 >= t1)"
 
 
-@query(f"""WITH {_SHORT}, lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM pos)
+@query(f"""WITH {_WHOLE}, lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM pos)
 SELECT sh.user_id, sh.trial, count(*) AS n, min(lg.t) AS first_t, max(lg.t) AS last_t FROM sh JOIN lg ON sh.user_id = lg.user_id AND lg.t >= sh.t1 AND coalesce(lg.b < sh.t3, true) GROUP BY ALL""")
 def trial_slice(spark, d):
-    out = trials.trial_slice(positions(spark, d), _short_trials(spark, d), ["user_id"], bucket=BUCKET)
+    out = trials.trial_slice(positions(spark, d), _whole_trials(spark, d), ["user_id"], bucket=BUCKET)
     return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-@query(f"""WITH {_SHORT} SELECT sh.user_id, sh.trial, count(*) AS n, CAST(sum(pos.t - sh.t1) AS BIGINT) AS total FROM sh JOIN pos ON sh.user_id = pos.user_id AND pos.t BETWEEN sh.t1 - {HOUR} AND sh.t3 + {2 * HOUR} GROUP BY ALL""")
+@query(f"""WITH {_WHOLE} SELECT sh.user_id, sh.trial, count(*) AS n, CAST(sum(pos.t - sh.t1) AS BIGINT) AS total FROM sh JOIN pos ON sh.user_id = pos.user_id AND pos.t BETWEEN sh.t1 - {HOUR} AND sh.t3 + {2 * HOUR} GROUP BY ALL""")
 def trial_buffered(spark, d):
-    out = trials.trial_window(positions(spark, d), _short_trials(spark, d), ["user_id"], pre=HOUR, post=2 * HOUR, bucket=BUCKET)
+    out = trials.trial_window(positions(spark, d), _whole_trials(spark, d), ["user_id"], pre=HOUR, post=2 * HOUR, bucket=BUCKET)
     return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
 
 
-@query(f"""WITH {_SHORT}, other AS (SELECT user_id, trial, CASE WHEN user_id % 10 = 0 THEN 12 ELSE trig1 END AS trig1, trig2, trig3 FROM sh WHERE trial % 5 <> 0)
+@query(f"""WITH {_TRIALS}, sh AS (SELECT * FROM tr), other AS (SELECT user_id, trial, CASE WHEN user_id % 10 = 0 THEN 12 ELSE trig1 END AS trig1, trig2, trig3 FROM sh WHERE trial % 5 <> 0)
 SELECT coalesce(sh.user_id, o.user_id) AS user_id, coalesce(sh.trial, o.trial) AS trial, o.trial IS NULL AS missing
 FROM sh FULL JOIN other o ON sh.user_id = o.user_id AND sh.trial = o.trial WHERE (sh.trig1, sh.trig2, sh.trig3) IS DISTINCT FROM (o.trig1, o.trig2, o.trig3) OR o.trial IS NULL OR sh.trial IS NULL""")
 def clock_consistency(spark, d):
-    own = _short_trials(spark, d)
+    own = _trials(spark, d)
     other = own.where("trial % 5 != 0").withColumn("trig1", F.when(F.col("user_id") % 10 == 0, 12).otherwise(F.col("trig1")))
     return trials.compare_clocks(own, other, ["user_id"]).select("user_id", "trial", F.col("b").isNull().alias("missing"))
 
@@ -237,12 +239,18 @@ def firing_rate(spark, d):
     return out.select("user_id", *[F.round(F.col(c) * 1e12, 4).alias(c) for c in ("max_rate", "mean_rate")])
 
 
+#: Orders stand for recorded samples; a session holds so many order keys.
+SESSION = 512
+
+
 def _series(spark, d):
-    n = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1
-    return _read(spark, d, "orders").select(F.col("o_orderstatus").alias("session"), n.cast("long").alias("idx"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"), "o_orderpriority", "o_custkey")
+    session = F.floor(F.col("o_orderkey") / SESSION)
+    n = F.row_number().over(Window.partitionBy("session").orderBy("o_orderkey")) - 1
+    orders = _read(spark, d, "orders").withColumn("session", session)
+    return orders.select("session", n.cast("long").alias("idx"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"), "o_orderpriority", "o_custkey")
 
 
-_SERIES = "se AS (SELECT o_orderstatus AS session, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS idx, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_orderpriority, o_custkey FROM orders)"
+_SERIES = f"se AS (SELECT o_orderkey // {SESSION} AS session, row_number() OVER (PARTITION BY o_orderkey // {SESSION} ORDER BY o_orderkey) - 1 AS idx, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_orderpriority, o_custkey FROM orders)"
 
 
 @query(f"""WITH {_SERIES}, dl AS (SELECT session, idx, v, unnest(CASE WHEN idx % 15 = 0 AND idx > 0 THEN [idx // 15 - 1, idx // 15] ELSE [idx // 15] END) AS chunk FROM se),
@@ -285,15 +293,15 @@ def spikes_per_unit(spark, d):
     return units.spike_counts(_firings(spark, d))
 
 
-@query(f"""WITH {_SERIES}, f AS (SELECT session, idx, CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END AS unit FROM se WHERE o_custkey % 7 = 0),
-w AS (SELECT f.session, f.unit, f.idx, se.v, se.idx AS spot FROM f JOIN se ON se.session = f.session AND se.idx BETWEEN f.idx - 1 - f.unit + 1 AND f.idx - 1 - f.unit + 5)
+@query(f"""WITH {_SERIES}, f AS (SELECT session, idx, CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END AS unit FROM se),
+k AS (SELECT *, idx - 1 - unit + unnest([1, 2, 3, 4, 5]) AS spot FROM f), w AS (SELECT k.*, v FROM k JOIN se ON se.session = k.session AND se.idx = k.spot)
 SELECT session, unit, idx, count(*) AS points, list(v ORDER BY spot)[1] AS first_v, list(v ORDER BY spot)[5] AS last_v, CAST(sum(v) AS BIGINT) AS total FROM w GROUP BY ALL HAVING count(*) = 5""")
 def waveform_windows(spark, d):
     series = _series(spark, d)
     unit = F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(2)
-    firings = series.where("o_custkey % 7 = 0").select("session", "idx", unit.alias("unit"))
-    triggers = spark.createDataFrame([(1, 2, 5), (2, 3, 5)], "unit int, trigger int, points int")
-    waves = units.cut_waveforms(firings, series.select("session", F.lit(1).alias("channel"), "idx", "v"), triggers)
+    firings = series.select("session", "idx", unit.alias("unit"))
+    templates = spark.createDataFrame([(u, p, -9.0 if p == u + 1 else float(p)) for u in (1, 2) for p in range(1, 6)], "unit int, pt int, v double")
+    waves = units.cut_waveforms(firings, series.select("session", F.lit(1).alias("channel"), "idx", "v"), units.trigger_points(templates))
     total = F.aggregate("wave", F.lit(0).cast("long"), lambda s, x: s + x)
     return waves.select("session", "unit", "idx", F.size("wave").cast("long").alias("points"), F.element_at("wave", 1).alias("first_v"), F.element_at("wave", -1).alias("last_v"), total.alias("total"))
 
@@ -399,12 +407,12 @@ def disk_smooth(spark, d):
 _PILLAR_SQL = " OR ".join(f"(x BETWEEN {b[0]} AND {b[2]} AND y BETWEEN {b[1]} AND {b[3]} AND z <= 3.11)" for b in surfaces.PILLARS)
 
 
-@query(f"""WITH {_SPACE}, r AS (SELECT event_id, event_id % 24 - 12.03 AS px, -9.97 AS py, 1.5::DOUBLE AS pz, sin(radians(event_id % 360 + 0.37::DOUBLE)) AS dx, cos(radians(event_id % 360 + 0.37::DOUBLE)) AS dy, (event_id % 7) / 20.3::DOUBLE AS dz FROM sp WHERE event_id % 4 = 0),
+@query(f"""WITH {_SPACE}, r AS (SELECT event_id, event_id % 24 - 12.03 AS px, -9.97 AS py, 1.5::DOUBLE AS pz, sin(radians(event_id % 360 + 0.37::DOUBLE)) AS dx, cos(radians(event_id % 360 + 0.37::DOUBLE)) AS dy, (event_id % 7) / 20.3::DOUBLE AS dz FROM sp),
 s AS (SELECT r.*, n, px + n * 0.01 * dx AS x, py + n * 0.01 * dy AS y, pz + n * 0.01 * dz AS z FROM r, range(0, 3600) g(n)),
 h AS (SELECT event_id, min(n) AS n FROM s WHERE {_PILLAR_SQL} OR NOT (x BETWEEN -12.5 AND 12.5 AND y BETWEEN -12.5 AND 12.5 AND z BETWEEN 0 AND 4.93) GROUP BY event_id)
 SELECT r.event_id, round(px + greatest(n - 1, 0) * 0.01 * dx, 4) AS gx, round(py + greatest(n - 1, 0) * 0.01 * dy, 4) AS gy, round(pz + greatest(n - 1, 0) * 0.01 * dz, 4) AS gz FROM r JOIN h USING (event_id)""")
 def ray_hit(spark, d):
-    e = _space(spark, d).where("event_id % 4 = 0")
+    e = _space(spark, d)
     a = F.radians(F.col("event_id") % 360 + 0.37)
     rays = e.select("event_id", (F.col("event_id") % 24 - 12.03).alias("px"), F.lit(-9.97).alias("py"), F.lit(1.5).alias("pz"), F.sin(a).alias("dx"), F.cos(a).alias("dy"), (F.col("event_id") % 7 / 20.3).alias("dz"))
     return gaze.ray_hit(rays).select("event_id", *[F.round(c, 4).alias(c) for c in ("gx", "gy", "gz")])
@@ -451,89 +459,351 @@ def soft_ranges(spark, d):
     return part.select("p_partkey", edges.alias("e")).select("p_partkey", F.size("e").alias("n"), F.round(mean_step(F.col("e")), 8).alias("step"))
 
 
-@query(f"""WITH {_SERIES}, o AS (SELECT session, idx AS onset FROM se WHERE o_custkey % 50 = 0), w AS (SELECT o.session, o.onset, CAST(se.idx - o.onset AS INTEGER) AS "offset", v FROM o JOIN se ON se.session = o.session AND se.idx >= o.onset - 4 AND se.idx < o.onset + 4)
+@query(f"""WITH {_SERIES}, o AS (SELECT session, idx AS onset, unnest(range(-4, 4)) AS k FROM se), w AS (SELECT CAST(k AS INTEGER) AS "offset", v FROM o JOIN se ON se.session = o.session AND se.idx = o.onset + o.k)
 SELECT "offset", count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM w GROUP BY ALL""")
 def event_windows(spark, d):
     s = _series(spark, d)
-    found = s.where("o_custkey % 50 = 0").select("session", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
+    found = s.select("session", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
     out = trials.event_windows(s.select("session", "idx", "v"), found, ["session"], 4, 4)
     return out.groupBy("offset").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+def _waves(spark, d):
+    return _read(spark, d, "embeddings").withColumnRenamed("embedding", "wave")
+
+
 @query()
 def waveform_pca(spark, d):
-    df = _read(spark, d, "embeddings").withColumnRenamed("embedding", "wave")
     sized = F.transform("features", lambda v: F.round(F.abs(v), 4))
-    return units.pca_features(df).select("vec_id", "label", sized.alias("features"))
+    return units.pca_features(_waves(spark, d), "vec_id").select("vec_id", sized.alias("features"))
 
 
 @query()
 def waveform_svd(spark, d):
-    df = _read(spark, d, "embeddings").withColumnRenamed("embedding", "wave")
-    return units.svd_features(df, "vec_id").select("vec_id", F.transform("features", lambda v: F.round(F.abs(v), 6)).alias("features"))
+    return units.svd_features(_waves(spark, d), "vec_id").select("vec_id", F.transform("features", lambda v: F.round(F.abs(v), 6)).alias("features"))
+
+
+@query()
+def channel_pca(spark, d):
+    found = units.features_by_channel(_waves(spark, d).withColumnRenamed("label", "channel"), "vec_id")
+    return found.select("channel", "vec_id", F.transform("features", lambda v: F.round(F.abs(v), 4)).alias("features"))
+
+
+def _numbered(spark, d):
+    """Every user's events as one series, numbered from 0."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("t")) - 1
+    return _events(spark, d).select("user_id", n.cast("long").alias("idx"), "t", "event_type", "x", "y")
 
 
 @query()
 def wavelet_band(spark, d):
-    per_user = _events(spark, d).select("user_id", "t", F.col("x").alias("v"))
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("t"))
-    spec = signals.spectrum(per_user.select("user_id", n.alias("t"), "v"), ["user_id"], fs=32.0)
+    series = _numbered(spark, d).select("user_id", F.col("idx").alias("t"), F.col("x").alias("v"))
+    spec = signals.spectrum(series, ["user_id"], fs=32.0, block=4096)
     return signals.band(signals.up_to(spec, 12.0), 4.0, ["user_id"]).withColumn("v", F.round("v", 6))
 
 
-# The queries above that take a part of the points, trials or events keep their SQL; those below take all of them.
-# A trial that ends before it starts has no interval.
+@query()
+def aligned_spectrum(spark, d):
+    """Log amplitudes about every purchase, and those of windows turned round."""
+    series = _numbered(spark, d)
+    ends = series.where("event_type = 'purchase'").select("user_id", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
+    windows = trials.event_windows(series.select("user_id", "idx", F.col("x").alias("v")), ends, ["user_id"], 8, 8).drop("idx")
+    whole = windows.groupBy("user_id", "trial").agg(F.count("*").alias("n")).where("n = 16").drop("n")
+    windows = windows.join(whole, ["user_id", "trial"], "left_semi")
+    out = None
+    for name, seed in (("aligned", None), ("turned", 7)):
+        own = signals.aligned_spectrum(windows, ["user_id", "trial"], 16.0, seed).withColumn("kind", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out.select("kind", "offset", "freq", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+def _codes(spark, d):
+    """Markers of all whole trials in trios, after one session marker, among others that mean nothing."""
+    whole = _trials(spark, d).dropna(subset=["t1", "t2", "t3"])
+    trio = F.explode(F.array(*[F.struct((F.col("trial") * 8 + k).alias("seq"), F.col(f"trig{k}").alias("marker"), F.col(f"t{k}").alias("t")) for k in (1, 2, 3)]))
+    trios = whole.select("user_id", trio.alias("m")).select("user_id", "m.*")
+    starts = whole.select("user_id").distinct().select("user_id", F.lit(0).alias("seq"), F.lit(84).alias("marker"), F.lit(0).cast("long").alias("t"))
+    pauses = whole.select("user_id", (F.col("trial") * 8 + 5).alias("seq"), F.lit(-1).alias("marker"), F.col("t3").alias("t"))
+    return trios.unionByName(starts).unionByName(pauses)
 
 
-def _whole_trials(spark, d):
-    return _trials(spark, d).where("t3 >= t1")
+@query(f"WITH {_TRIALS} SELECT * FROM tr WHERE t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL")
+def trial_trios(spark, d):
+    numbered = trials.reshape_triggers(_codes(spark, d), ["user_id"], positive_only=True)
+    return numbered.select("user_id", "trial", "trig1", "trig2", "trig3", "t1", "t2", "t3")
 
 
-_WHOLE = f"{_TRIALS}, sh AS (SELECT * FROM tr WHERE t3 >= t1)"
+def _messages(spark, d):
+    """Eye tracker messages: every user's first event tells the screen, all others tell triggers or nothing."""
+    text = F.when(F.col("event_type") == "click", "Start Trial 11").when(F.col("event_type") == "view", "Cue Offset 21").when(F.col("event_type") == "purchase", F.concat(F.lit("End Trial  "), F.col("event_id") % 9 + 31))
+    e = _events(spark, d).withColumn("message", F.coalesce(text, F.concat(F.lit("GAZE_COORDS 0.0 0.0 "), F.col("event_id") % 100 + 1000, F.lit(" "), F.col("event_id") % 50 + 900))).withColumn("seq", F.col("t"))
+    return e.select("event_id", "user_id", "seq", "message")
 
 
-@query(ORACLES["trial_slice"].replace(_SHORT, _WHOLE))
-def trial_slice_all(spark, d):
-    out = trials.trial_slice(positions(spark, d), _whole_trials(spark, d), ["user_id"], bucket=BUCKET)
-    return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+_MESSAGES = f"""{_BASE}, ms AS (SELECT event_id, user_id, t, CASE event_type WHEN 'click' THEN 'Start Trial 11' WHEN 'view' THEN 'Cue Offset 21' WHEN 'purchase' THEN 'End Trial  ' || (event_id % 9 + 31)
+  ELSE 'GAZE_COORDS 0.0 0.0 ' || (event_id % 100 + 1000) || ' ' || (event_id % 50 + 900) END AS message FROM ev)"""
 
 
-@query(ORACLES["trial_buffered"].replace(_SHORT, _WHOLE))
-def trial_buffered_all(spark, d):
-    out = trials.trial_window(positions(spark, d), _whole_trials(spark, d), ["user_id"], pre=HOUR, post=2 * HOUR, bucket=BUCKET)
+@query(f"WITH {_MESSAGES} SELECT event_id, CAST(regexp_extract(message, '([0-9]+)$', 1) AS INTEGER) AS marker FROM ms WHERE message NOT LIKE 'GAZE%'")
+def message_markers(spark, d):
+    return _messages(spark, d).select("event_id", C.message_marker(F.col("message")).alias("marker")).where("marker is not null")
+
+
+@query(f"""WITH {_MESSAGES}, f AS (SELECT user_id, arg_min(message, t) AS m FROM ms WHERE message LIKE 'GAZE%' GROUP BY user_id)
+SELECT user_id, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, CAST(split_part(m, ' ', 4) AS DOUBLE) AS x1, CAST(split_part(m, ' ', 5) AS DOUBLE) AS y1 FROM f""")
+def screen_geometry(spark, d):
+    return io.gaze_coordinates(_messages(spark, d), ["user_id"])
+
+
+def _gaze(spark, d):
+    """Samples of two eyes; one eye of every fifth user is not recorded, and some samples are lost."""
+    eye = F.col("event_id") % 2
+    gx = F.when((F.col("user_id") % 5 == 0) & (eye == 1), -32768.0).when(F.col("event_id") % 11 == 0, 1e8).otherwise(F.col("x"))
+    return _events(spark, d).select("event_id", "user_id", eye.alias("eye"), "t", gx.alias("gx"), F.col("y").alias("gy"))
+
+
+_GAZE = f"""sm AS (SELECT event_id, user_id, event_id % 2 AS eye, t, CASE WHEN user_id % 5 = 0 AND event_id % 2 = 1 THEN -32768 WHEN event_id % 11 = 0 THEN 1e8 ELSE x END AS gx FROM ev),
+rec AS (SELECT user_id, eye FROM sm GROUP BY ALL HAVING min(gx) > -32768)"""
+
+
+@query(f"WITH {_BASE}, {_GAZE} SELECT user_id, eye FROM rec")
+def recorded_eyes(spark, d):
+    return io.recorded_eyes(_gaze(spark, d), ["user_id"]).select("user_id", "eye")
+
+
+@query(f"""WITH {_WHOLE}, {_GAZE}, lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id, eye ORDER BY t) AS b FROM sm SEMI JOIN rec ON sm.user_id = rec.user_id AND sm.eye = rec.eye),
+ct AS (SELECT lg.*, trial FROM lg JOIN sh ON sh.user_id = lg.user_id AND lg.t >= sh.t1 AND coalesce(lg.b < sh.t3, true)), m AS (SELECT *, lag(t) OVER (PARTITION BY user_id, eye, trial ORDER BY t) AS c FROM ct),
+fx AS (SELECT *, max(t_end) OVER (PARTITION BY user_id ORDER BY t_start) AS latest FROM fix), k AS (SELECT m.*, fx.latest FROM m ASOF LEFT JOIN fx ON fx.user_id = m.user_id AND m.t >= fx.t_start)
+SELECT user_id, eye, trial, count(*) AS n, count(*) FILTER (gx < 1e8) AS seen, count(*) FILTER (latest IS NOT NULL AND (c IS NULL OR c < latest)) AS fixated FROM k GROUP BY ALL""")
+def eye_trials(spark, d):
+    eyes = io.recorded_eyes(_gaze(spark, d), ["user_id"]).select("user_id", "eye")
+    out = gaze.eye_trial(_gaze(spark, d), _whole_trials(spark, d), fixations(spark, d), eyes, ["user_id"], bucket=BUCKET)
+    return out.groupBy("user_id", "eye", "trial").agg(F.count("*").alias("n"), F.count("gx").alias("seen"), F.count_if("fixated").alias("fixated"))
+
+
+#: Every sixteenth row of a user's series starts a trial of ten rows.
+_ROWS = """nm AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS idx FROM ev), rt AS (SELECT user_id, idx // 16 AS trial, idx AS i1, idx + 9 AS i3 FROM nm WHERE idx % 16 = 0 AND EXISTS (SELECT 1 FROM nm o WHERE o.user_id = nm.user_id AND o.idx = nm.idx + 9))"""
+
+
+def _row_trials(spark, d):
+    own = _numbered(spark, d)
+    starts = own.where("idx % 16 = 0").select("user_id", F.floor(F.col("idx") / 16).alias("trial"), F.col("idx").alias("i1"), (F.col("idx") + 9).alias("i3"))
+    return starts.join(own.select("user_id", F.col("idx").alias("i3")), ["user_id", "i3"], "left_semi")
+
+
+@query(f"""WITH {_BASE}, {_ROWS}, b AS (SELECT rt.user_id, rt.trial, s.t AS zero, s.t - {HOUR} AS lo, e.t + {HOUR} AS hi FROM rt JOIN nm s ON s.user_id = rt.user_id AND s.idx = rt.i1 JOIN nm e ON e.user_id = rt.user_id AND e.idx = rt.i3),
+lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS before FROM nm)
+SELECT b.user_id, b.trial, count(*) AS n, CAST(sum(lg.t - b.zero) AS BIGINT) AS total FROM b JOIN lg ON lg.user_id = b.user_id AND lg.t >= b.lo AND coalesce(lg.before < b.hi, true) GROUP BY ALL""")
+def index_trials(spark, d):
+    rows = _row_trials(spark, d).select("user_id", "trial", F.col("i1").alias("t1"), F.col("i3").alias("t3"))
+    out = trials.index_window(_numbered(spark, d), rows, ["user_id"], index="idx", pre=HOUR, post=HOUR, bucket=BUCKET)
     return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
 
 
-@query(ORACLES["clock_consistency"].replace(_SHORT, f"{_TRIALS}, sh AS (SELECT * FROM tr)"))
-def clock_consistency_all(spark, d):
-    own = _trials(spark, d)
-    other = own.where("trial % 5 != 0").withColumn("trig1", F.when(F.col("user_id") % 10 == 0, 12).otherwise(F.col("trig1")))
-    return trials.compare_clocks(own, other, ["user_id"]).select("user_id", "trial", F.col("b").isNull().alias("missing"))
+@query(f"""WITH {_BASE}, {_ROWS} SELECT rt.user_id, rt.trial, min(nm.idx) AS first_row, max(nm.idx) AS last_row, count(*) AS n FROM rt JOIN nm ON nm.user_id = rt.user_id AND nm.idx BETWEEN rt.i1 - 5 AND rt.i3 + 5 GROUP BY ALL""")
+def clamped_trials(spark, d):
+    out = trials.clamped_window(_numbered(spark, d), _row_trials(spark, d), ["user_id"], margin=5, bucket=4096)
+    return out.groupBy("user_id", "trial").agg(F.min("idx").alias("first_row"), F.max("idx").alias("last_row"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_SERIES}, f AS (SELECT session, idx, CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 2 END AS unit FROM se),
-k AS (SELECT *, idx - 1 - unit + unnest([1, 2, 3, 4, 5]) AS spot FROM f), w AS (SELECT k.*, v FROM k JOIN se ON se.session = k.session AND se.idx = k.spot)
-SELECT session, unit, idx, count(*) AS points, list(v ORDER BY spot)[1] AS first_v, list(v ORDER BY spot)[5] AS last_v, CAST(sum(v) AS BIGINT) AS total FROM w GROUP BY ALL HAVING count(*) = 5""")
-def waveform_windows_all(spark, d):
-    series = _series(spark, d)
-    unit = F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(2)
-    triggers = spark.createDataFrame([(1, 2, 5), (2, 3, 5)], "unit int, trigger int, points int")
-    waves = units.cut_waveforms(series.select("session", "idx", unit.alias("unit")), series.select("session", F.lit(1).alias("channel"), "idx", "v"), triggers)
-    total = F.aggregate("wave", F.lit(0).cast("long"), lambda s, x: s + x)
-    return waves.select("session", "unit", "idx", F.size("wave").cast("long").alias("points"), F.element_at("wave", 1).alias("first_v"), F.element_at("wave", -1).alias("last_v"), total.alias("total"))
+@query(f"""WITH {_WHOLE}, z AS (SELECT user_id, min(t) AS zero FROM ev GROUP BY user_id), f AS (SELECT user_id, min(t1) AS t0 FROM sh GROUP BY user_id)
+SELECT sh.user_id, sh.trial, count(*) AS n, CAST(sum(ev.t - z.zero - (sh.t1 - f.t0)) AS BIGINT) AS total FROM sh JOIN f USING (user_id) JOIN z USING (user_id) JOIN ev ON ev.user_id = sh.user_id AND ev.t - z.zero BETWEEN sh.t1 - f.t0 AND sh.t3 - f.t0 GROUP BY ALL""")
+def raytrace_trials(spark, d):
+    """Trials of one clock on a stream of another, both counted from their first."""
+    whole = _whole_trials(spark, d)
+    first = whole.groupBy("user_id").agg(F.min("t1").alias("t0"))
+    zeroed = whole.join(first, "user_id").select("user_id", "trial", (F.col("t1") - F.col("t0")).alias("t1"), (F.col("t3") - F.col("t0")).alias("t3"))
+    out = trials.trial_window(trials.shift_clock(_events(spark, d), ["user_id"]), zeroed, ["user_id"], bucket=BUCKET)
+    return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
 
 
-@query()
-def ray_hit_all(spark, d):
-    a = F.radians(F.col("event_id") % 360 + 0.37)
-    rays = _space(spark, d).select("event_id", (F.col("event_id") % 24 - 12.03).alias("px"), F.lit(-9.97).alias("py"), F.lit(1.5).alias("pz"), F.sin(a).alias("dx"), F.cos(a).alias("dy"), (F.col("event_id") % 7 / 20.3).alias("dz"))
-    return gaze.ray_hit(rays).select("event_id", *[F.round(c, 4).alias(c) for c in ("gx", "gy", "gz")])
+@query(f"WITH {_BASE}, nm AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS idx FROM ev) SELECT user_id, count(*) AS n, round(sum(x), 4) AS total FROM nm WHERE idx BETWEEN 10 AND 19 GROUP BY user_id")
+def time_slice(spark, d):
+    return trials.rows_between(_numbered(spark, d), 10, 19).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("total"))
 
 
-@query(f"""WITH {_SERIES}, o AS (SELECT session, idx AS onset, unnest(range(-4, 4)) AS k FROM se), w AS (SELECT CAST(k AS INTEGER) AS "offset", v FROM o JOIN se ON se.session = o.session AND se.idx = o.onset + o.k)
-SELECT "offset", count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM w GROUP BY ALL""")
-def event_windows_all(spark, d):
-    s = _series(spark, d)
-    found = s.select("session", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
-    out = trials.event_windows(s.select("session", "idx", "v"), found, ["session"], 4, 4)
-    return out.groupBy("offset").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+_FIXED = f"""{_SPACE}, fx AS (SELECT *, max(t_end) OVER (PARTITION BY user_id ORDER BY t_start) AS latest FROM fix), lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM sp),
+fm AS (SELECT lg.*, latest IS NOT NULL AND (b IS NULL OR b < latest) AS fixated FROM lg ASOF LEFT JOIN fx ON fx.user_id = lg.user_id AND lg.t >= fx.t_start),
+fv AS (SELECT spk.user_id, spk.t, fm.t AS t_match, fm.x, fm.y, fm.z FROM spk ASOF JOIN fm ON spk.user_id = fm.user_id AND spk.t <= fm.t WHERE fixated)"""
+
+
+def _fixated_gaze(spark, d):
+    return intervals.interval_mask(_space(spark, d), fixations(spark, d), ["user_id"], bucket=BUCKET)
+
+
+@query(f"WITH {_FIXED} SELECT user_id, t, t_match, x, y, z FROM fv")
+def fixated_views(spark, d):
+    return asof.fixated_views(spikes(spark, d), _fixated_gaze(spark, d), ["user_id"], bucket=BUCKET)
+
+
+def _placed(source: str) -> str:
+    """Bins of a table of points on the arena's surfaces, as ``_surface_sql`` finds those of ``sp``."""
+    text = _surface_sql()
+    return text[text.index("sf(surface_id"):].replace("SELECT sp.*,", f"SELECT {source}.*,").replace("FROM sp, sf", f"FROM {source}, sf")
+
+
+@query(f"""WITH {_FIXED}, dw AS (SELECT event_id, user_id, x, y, z, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS dt FROM sp), {_placed('dw')},
+oc AS (SELECT surface_id, ix, iy, iz, CAST(sum(dt) AS BIGINT) AS occ FROM ins WHERE dt IS NOT NULL GROUP BY ALL),
+{_placed('fv').replace('sf(surface_id', 's2(surface_id').replace(', sf)', ', s2)').replace('loc AS', 'l2 AS').replace('FROM loc', 'FROM l2').replace('ins AS', 'i2 AS').replace('FROM fv, sf', 'FROM fv, s2')},
+ct AS (SELECT surface_id, ix, iy, iz, count(*) AS weight FROM i2 GROUP BY ALL)
+SELECT coalesce(oc.surface_id, ct.surface_id) AS surface_id, coalesce(oc.ix, ct.ix) AS ix, coalesce(oc.iy, ct.iy) AS iy, coalesce(oc.iz, ct.iz) AS iz, coalesce(weight, 0) AS weight, coalesce(occ, 0) AS occ,
+  round(coalesce(weight, 0) / nullif(coalesce(occ, 0), 0) * 1e12, 6) AS rate FROM oc FULL JOIN ct ON oc.surface_id = ct.surface_id AND oc.ix = ct.ix AND oc.iy = ct.iy AND oc.iz = ct.iz""")
+def view_map(spark, d):
+    arena = surfaces.arena_surfaces(spark, 1.25)
+    events = asof.fixated_views(spikes(spark, d), _fixated_gaze(spark, d), ["user_id"], bucket=BUCKET)
+    occ = surfaces.dwell_histogram(_space(spark, d), arena, ["user_id"], bucket=BUCKET)
+    return surfaces.view_map(events, arena, occ).withColumn("rate", F.round(F.col("rate") * 1e12, 6))
+
+
+@query(f"""WITH {_FIXED}, dw AS (SELECT event_id, user_id, x, y, z, fixated, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS dt FROM fm), {_placed('dw')}
+SELECT surface_id, ix, iy, iz, CAST(sum(dt) AS BIGINT) AS occ FROM ins WHERE dt IS NOT NULL AND fixated GROUP BY ALL""")
+def fixated_dwell(spark, d):
+    return surfaces.dwell_histogram(_fixated_gaze(spark, d), surfaces.arena_surfaces(spark, 1.25), ["user_id"], fixations_only=True, bucket=BUCKET)
+
+
+@query(f"""WITH {_surface_sql()}, lb AS (SELECT event_id, arg_min(kind, ((CASE kind WHEN 'pillars' THEN 1 WHEN 'walls' THEN 2 WHEN 'ceiling' THEN 3 ELSE 4 END), surface_id)) AS kind FROM ins GROUP BY event_id)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Poster ' || event_id % 7 ELSE kind END AS kind FROM lb""")
+def object_labels(spark, d):
+    """Surface labels, with the object that the recording itself names for a part of the samples."""
+    labels = surfaces.label_points(_space(spark, d), surfaces.arena_surfaces(spark, 1.25), ["event_id"])
+    named = _events(spark, d).where("event_id % 3 = 0").select("event_id", F.concat(F.lit("Poster "), F.col("event_id") % 7).alias("object"))
+    return gaze.override_objects(labels, named, ["event_id"]).select("event_id", "kind")
+
+
+@query(f"""WITH {_surface_sql()}, h AS (SELECT surface_id, ix, iy, iz, nx, ny, nz, count(*) AS weight FROM ins GROUP BY ALL)
+SELECT surface_id, CASE WHEN nx = 3 THEN iy ELSE ix END AS u, CASE WHEN nz = 3 THEN iy ELSE iz END AS v, CAST(sum(weight) AS BIGINT) AS weight FROM h GROUP BY ALL""")
+def collapsed_surfaces(spark, d):
+    arena = surfaces.arena_surfaces(spark, 1.25)
+    return surfaces.collapse_thin(surfaces.surface_histogram(_space(spark, d), arena), arena)
+
+
+@query(f"""WITH {_surface_sql()}, h AS (SELECT surface_id, ix, iy, iz, count(*) AS weight FROM ins GROUP BY ALL), t AS (SELECT surface_id, iz, sum(weight) AS s FROM h GROUP BY ALL),
+b AS (SELECT surface_id, arg_max(iz, (s, -iz)) AS iz FROM t GROUP BY surface_id) SELECT h.* FROM h JOIN b ON b.surface_id = h.surface_id AND b.iz = h.iz""")
+def busier_sides(spark, d):
+    return surfaces.busier_side(surfaces.surface_histogram(_space(spark, d), surfaces.arena_surfaces(spark, 1.25)), ["surface_id"])
+
+
+@query(f"""WITH {_BASE}, e AS (SELECT event_id, user_id, t FROM ev WHERE event_type <> 'view') SELECT e.event_id, pos.x AS px, pos.y AS py FROM e ASOF JOIN pos ON pos.user_id = e.user_id AND e.t >= pos.t""")
+def gaze_pose(spark, d):
+    samples = _events(spark, d).where("event_type != 'view'").select("event_id", "user_id", "t")
+    pose = positions(spark, d).withColumnsRenamed({"x": "px", "y": "py"})
+    return gaze.gaze_with_pose(samples, pose, ["user_id"], ("px", "py"), bucket=BUCKET).select("event_id", "px", "py")
+
+
+@query(f"""WITH {_BASE}, g AS (SELECT user_id, t, x - 250 AS v FROM ev WHERE event_type <> 'view'), p AS (SELECT g.user_id, g.v, pos.x, pos.y FROM g ASOF JOIN pos ON g.user_id = pos.user_id AND g.t <= pos.t),
+c AS (SELECT {_RIGHT}, sum(abs(v)) AS n, count(*) AS k FROM p WHERE {_RINSIDE} GROUP BY ALL), f AS (SELECT *, n / sum(n) OVER () AS share, k / sum(k) OVER () AS occ FROM c)
+SELECT ix, iy, round(share, 9) AS share, round(occ, 9) AS occ_share, round(share / occ, 7) AS preference FROM f""")
+def signal_map(spark, d):
+    signal = _events(spark, d).where("event_type != 'view'").select("user_id", "t", (F.col("x") - 250).alias("v"))
+    out = maps.signal_map(signal, positions(spark, d), ["user_id"], XEDGES, YEDGES, bucket=BUCKET)
+    return out.select("ix", "iy", F.round("share", 9).alias("share"), F.round("occ_share", 9).alias("occ_share"), F.round("preference", 7).alias("preference"))
+
+
+@query(f"""WITH {_WHOLE}, sm AS (SELECT pos.user_id, sh.trial, pos.t - sh.t1 AS t, x, y, max(pos.t - sh.t1) OVER (PARTITION BY pos.user_id, sh.trial) AS last FROM pos JOIN sh ON sh.user_id = pos.user_id AND pos.t BETWEEN sh.t1 AND sh.t3),
+i AS (SELECT spk.user_id, sh.trial, spk.t - sh.t1 AS t FROM spk JOIN sh ON sh.user_id = spk.user_id AND spk.t BETWEEN sh.t1 AND sh.t3),
+k AS (SELECT i.user_id, i.trial, i.t, sm.t AS t_match, sm.x FROM i ASOF JOIN (SELECT * FROM sm WHERE t < last) sm ON sm.user_id = i.user_id AND sm.trial = i.trial AND i.t <= sm.t)
+SELECT user_id, trial, count(*) AS n, CAST(sum(t_match - t) AS BIGINT) AS waited, round(sum(x), 4) AS x FROM k GROUP BY ALL""")
+def spikes_in_trials(spark, d):
+    whole = _whole_trials(spark, d)
+    samples = trials.trial_window(positions(spark, d), whole, ["user_id"], bucket=BUCKET)
+    out = asof.spikes_at_positions(spikes(spark, d), whole, samples, "user_id", exclude_last=True, bucket=BUCKET)
+    return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum(F.col("t_match") - F.col("t")).alias("waited"), F.round(F.sum("x"), 4).alias("x"))
+
+
+@query(f"""WITH {_BASE}, c AS (SELECT user_id, (t - {_DAY0}) // {24 * HOUR} AS k, count(*) AS n FROM spk WHERE t >= {_DAY0} AND t < {_DAY0 + 30 * 24 * HOUR} GROUP BY ALL),
+r AS (SELECT user_id, max(n / ((k + 1) * {24 * HOUR})) AS m, sum(n / ((k + 1) * {24 * HOUR})) AS s FROM c GROUP BY user_id)
+SELECT u.user_id, round(coalesce(m, 0) * 1e12, 4) AS max_rate, round(coalesce(s, 0) / 30 * 1e12, 4) AS mean_rate FROM (SELECT DISTINCT user_id FROM spk) u LEFT JOIN r USING (user_id)""")
+def cumulative_rate(spark, d):
+    out = intervals.firing_rate(spikes(spark, d), ["user_id"], _DAY0, 24 * HOUR, 30, cumulative=True)
+    return out.select("user_id", *[F.round(F.col(c) * 1e12, 4).alias(c) for c in ("max_rate", "mean_rate")])
+
+
+@query(f"""WITH {_SPACE} SELECT event_id, round(z, 6) AS y, round(y, 6) AS z, {_PILLAR_SQL.replace('z <= 3.11', 'z < 3.11')} OR NOT (x BETWEEN -12.5 AND 12.5 AND y BETWEEN -12.5 AND 12.5 AND z BETWEEN 0 AND 4.93) AS hits,
+x BETWEEN -5 AND 5 AND y BETWEEN -5 AND 5 AS central, round(sqrt(x * x + y * y), 6) AS amplitude, round(ln(sqrt(x * x + y * y)), 6) AS level, t // 1000 / 1000 AS seconds FROM sp WHERE x * x + y * y > 0""")
+def point_columns(spark, d):
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    e = _space(spark, d).where(x * x + y * y > 0)
+    hits = C.impacts(x, y, z, surfaces.PILLARS, surfaces.PILLAR_HEIGHT, surfaces.BOUNDS, surfaces.WALL_HEIGHT)
+    e = e.select("event_id", "x", "y", "z", hits.alias("hits"), C.inside_box(x, y, (-5.0, -5.0, 5.0, 5.0)).alias("central"), F.round(C.amplitude(x, y), 6).alias("amplitude"), F.round(C.log_amplitude(x, y), 6).alias("level"), C.seconds(F.floor(F.col("t") / 1000)).alias("seconds"))
+    swapped = C.swap_yz(e)
+    return swapped.select("event_id", F.round("y", 6).alias("y"), F.round("z", 6).alias("z"), "hits", "central", "amplitude", "level", "seconds")
+
+
+@query("SELECT o_orderkey, '2018' || lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || '06' AS day, lpad(CAST(o_custkey % 130 + 1 AS VARCHAR), 3, '0') AS channel, lpad(CAST(o_orderkey % 9 + 1 AS VARCHAR), 2, '0') AS cell FROM orders")
+def cell_names(spark, d):
+    day = F.concat(F.lit("2018"), F.lpad((F.col("o_orderkey") % 12 + 1).cast("string"), 2, "0"), F.lit("06"))
+    name = F.concat(day, F.lit("ch"), F.col("o_custkey") % 130 + 1, F.lit("c"), F.col("o_orderkey") % 9 + 1)
+    return _read(spark, d, "orders").select("o_orderkey", io.parse_cell(name).alias("c")).select("o_orderkey", "c.*")
+
+
+@query("""WITH b AS (SELECT CAST(max(l_suppkey) AS BIGINT) AS top FROM lineitem), u AS (SELECT l_suppkey AS unit, l_quantity FROM lineitem UNION ALL SELECT l_suppkey + top, l_quantity FROM lineitem, b)
+SELECT CAST(unit AS INTEGER) AS unit, count(*) AS n, sum(l_quantity) AS total FROM u GROUP BY unit""")
+def concatenated_units(spark, d):
+    """Two sorts with the same unit numbers as one."""
+    own = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("unit"), "l_quantity")
+    firings = units.concatenate([(own.select("unit").distinct(), own)] * 2)[1]
+    return firings.groupBy("unit").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+
+
+def _logs(spark, d):
+    """Session logs written from the positions: a header and a line for each sample, one folder a user."""
+    e = _events(spark, d, "view").where("y is not null")
+    line = F.concat_ws(" ", F.col("event_id") % 30, F.col("event_id") / 8, "x", "y", F.col("event_id") % 360)
+    samples = e.select("user_id", F.col("t").alias("at"), line.alias("value"))
+    head = ["concat('MazeName: User ', user_id, ' Donk')", "'PosterLocations: P1(-5,1.5,-7.55) P2(-7.55,1.5,5)'", "'name: Poster-hippo'", "concat('posterPosition: (', user_id, '.5, 1.5, -2.0)')"]
+    heads = e.select("user_id").distinct().selectExpr("user_id", f"posexplode(array({', '.join(head)})) AS (k, value)").selectExpr("user_id", "CAST(k AS bigint) AS at", "value")
+    rows = heads.unionByName(samples).repartition("user_id").sortWithinPartitions("user_id", "at")
+    return io.written(rows.select("user_id", "value"), "session-logs", "text", ["user_id"])
+
+
+def _of_user(df: DataFrame) -> DataFrame:
+    return df.withColumn("user_id", F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long")).drop("file")
+
+
+@query(f"""WITH {_BASE} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t) AS seq, CAST(event_id % 30 AS DOUBLE) AS marker, event_id / 8 AS dt, x, y, CAST(event_id % 360 AS DOUBLE) AS dir FROM ev WHERE event_type = 'view' AND y IS NOT NULL""")
+def session_logs(spark, d):
+    return _of_user(io.read_positions(spark, _logs(spark, d)))
+
+
+@query(f"""WITH {_BASE}, u AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'view' AND y IS NOT NULL) SELECT user_id, 'User ' || user_id || ' Donk' AS maze, 1 AS poster, '' AS name, -5.0::DOUBLE AS x, 1.5::DOUBLE AS y, -7.55::DOUBLE AS z FROM u
+UNION ALL SELECT user_id, 'User ' || user_id || ' Donk', 2, '', -7.55, 1.5, 5.0 FROM u UNION ALL SELECT user_id, 'User ' || user_id || ' Donk', 0, 'Poster-hippo', user_id + 0.5, 1.5, -2.0 FROM u""")
+def session_posters(spark, d):
+    return _of_user(io.read_posters(spark, _logs(spark, d)).fillna(0, "poster").fillna("", "name"))
+
+
+@query(f"""WITH {_BASE} SELECT user_id, ' User ' || user_id || ' Donk' AS maze, ' (' || user_id || '.5, 1.5, -2.0)' AS spot FROM (SELECT DISTINCT user_id FROM ev WHERE event_type = 'view' AND y IS NOT NULL)""")
+def session_headers(spark, d):
+    return _of_user(io.read_headers(spark, _logs(spark, d))).select("user_id", F.col("header")["MazeName"].alias("maze"), F.col("header")["posterPosition"].alias("spot"))
+
+
+@query(f"""WITH {_BASE} SELECT event_id / 4 AS t, event_type AS object, x AS px, x + 2 AS py, x + 1 AS pz, round(radians(event_id % 360), 9) AS angle, y AS gx, y + 2 AS gy, y + 1 AS gz FROM ev WHERE y IS NOT NULL""")
+def raytrace_rows(spark, d):
+    """A traced gaze in CSV, written and read; samples without gaze go."""
+    x, y = F.col("x"), F.col("y")
+    e = _events(spark, d).select(F.lit(1), F.col("event_id") / 4, "event_type", F.lit(0), F.lit(0), x, x + 1, x + 2, F.col("event_id") % 360, y, y + 1, y + 2)
+    named = e.toDF(*[f"c{k}" for k in range(1, 13)])
+    return io.read_raytrace(spark, io.written(named, "raytrace", "csv")).withColumn("angle", F.round("angle", 9))
+
+
+@query(f"WITH {_BASE} SELECT user_id, count(*) AS n, CAST(sum(t) AS BIGINT) AS total FROM spk GROUP BY user_id")
+def spike_files(spark, d):
+    """Spike times in ms, a file for each user, written and read."""
+    path = io.written(spikes(spark, d).select("user_id", F.col("t") / 1000), "spikes", "csv", ["user_id"])
+    found = io.read_spikes(spark, f"{path}/user_id=*").select(F.col("_metadata.file_path").alias("file"), "t_ms")
+    return _of_user(found).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("t_ms") * 1000).cast("long")).alias("total"))
+
+
+@query("SELECT l_suppkey % 4 AS session, l_linenumber AS channel, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_suppkey % 4 = 2 GROUP BY ALL")
+def leveled_store(spark, d):
+    """A table kept by levels; one session's part is loaded, and the sums are kept and loaded again."""
+    line = _read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("session"), F.col("l_linenumber").alias("channel"), "l_quantity")
+    root = io.scratch(spark, "levels")
+    io.write_levels(line, f"{root}/firings")
+    sums = io.load(spark, root, "firings", session=2).groupBy("session", "channel").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+    sums = io.materialize(spark, sums, f"{root}/sums")
+    return io.materialize(spark, sums.where("false"), f"{root}/sums").select(F.col("session").cast("long").alias("session"), "channel", "n", "total")
+
+
+# Names under which whole tables were also registered.
+for _name in ("trial_slice", "trial_buffered", "clock_consistency", "waveform_windows", "ray_hit", "event_windows"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

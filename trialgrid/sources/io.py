@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.columns import message_marker
+from ..operators.trials import reshape_triggers
+
 _NUMBER = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files with their file and number; a file is one row until it is split."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    """Lines of all files with their file and ``line``, by which a file's lines are ordered; files of any size are split."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+    return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("line"), "text")
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +42,31 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return kept.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("header"))
 
 
+def read_posters(spark: SparkSession, path: str) -> DataFrame:
+    """Posters of session logs: (file, maze, poster, name, x, y, z).
+
+    Old logs list them in one ``PosterLocations`` line; new ones have a ``name``
+    line for each, and its position in the line after. ``maze`` is the last
+    ``MazeName`` before.
+    """
+    rows = _lines(spark, path).where(~F.col("text").rlike(r"^\s*\d") & F.col("text").contains(":"))
+    pair = F.split("text", ":", 2)
+    w = Window.partitionBy("file").orderBy("line")  # a file's header lines
+    rows = rows.select("file", "line", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v"))
+    maze = F.last(F.when(F.col("k") == "MazeName", F.col("v")), ignorenulls=True).over(w)
+    rows = rows.withColumns({"maze": maze, "after": F.lead("v").over(w)})
+    old = rows.where("k = 'PosterLocations'").select("file", "maze", F.explode(posters(F.col("v"))).alias("p"))
+    old = old.select("file", "maze", F.col("p.poster").alias("poster"), F.lit(None).cast("string").alias("name"), "p.x", "p.y", "p.z")
+    new = rows.where("k = 'name'").select("file", "maze", F.lit(None).cast("int").alias("poster"), F.col("v").alias("name"), triple(F.col("after")).alias("p"))
+    return old.unionByName(new.select("file", "maze", "poster", "name", "p.x", "p.y", "p.z"))
+
+
+def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files under ``root``, at any depth, whose names match a glob pattern: (path, length)."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    return found.select("path", "length")
+
+
 def posters(text: Column) -> Column:
     """Posters named in a text: array of struct(poster, x, y, z) for each ``P<n>(x,y,z)``."""
     pattern = rf"P(\d+)\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)"
@@ -59,17 +89,20 @@ def poster_image(mazes: DataFrame, images: DataFrame, name: str = "maze") -> Dat
     return mazes.withColumn("__w", word).join(F.broadcast(images), F.contains(F.lower(F.col("image")), F.col("__w")), "left").drop("__w")
 
 
-def read_raytrace(spark: SparkSession, path: str) -> DataFrame:
-    """Traced gaze from CSV without header: time, object, position, angle (radians), gaze; y and z swapped, rows without gaze left out."""
-    schema = ", ".join(f"c{k} string" for k in range(1, 13))
-    df = spark.read.csv(path, schema=schema, header=False)
-    num = lambda k: F.col(f"c{k}").try_cast("double")
+def raytrace_columns(df: DataFrame) -> DataFrame:
+    """Traced gaze from a table of at least twelve columns: time, object, position, angle (radians), gaze; y and z swapped, rows without gaze left out."""
+    num = lambda k: F.col(df.columns[k - 1]).try_cast("double")
     return df.select(
-        num(2).alias("t"), F.col("c3").alias("object"), num(6).alias("px"), num(8).alias("py"), num(7).alias("pz"),
+        num(2).alias("t"), F.col(df.columns[2]).alias("object"), num(6).alias("px"), num(8).alias("py"), num(7).alias("pz"),
         F.radians(num(9)).alias("angle"), num(10).alias("gx"), num(12).alias("gy"), num(11).alias("gz"),
     ).dropna(subset=["gx", "gy", "gz"])
 
 
+def read_raytrace(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`raytrace_columns` of CSV files without header."""
+    return raytrace_columns(spark.read.csv(path, schema=", ".join(f"c{k} string" for k in range(1, 13)), header=False))
+
+
 def align_clock(gaze: DataFrame, trials: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gaze times moved so that the first falls on the first trial's start."""
     zero = gaze.groupBy(*keys).agg(F.min("t").alias("__g")).join(trials.groupBy(*keys).agg(F.min("t1").alias("__t")), list(keys))
@@ -80,7 +113,9 @@ def read_spikes(spark: SparkSession, path: str) -> DataFrame:
     """Spike times in ms, one a line; no rows if there is no such file."""
     try:
         return spark.read.schema("t_ms double").csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "t_ms double")
 
 
@@ -108,15 +143,41 @@ def materialize(spark: SparkSession, df: DataFrame, path: str, *, redo: bool = F
     if not redo:
         try:
             return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the session has none and runs in one process, it lies in a temporary folder.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        told = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{told.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, form: str, by: Sequence[str] = ()) -> str:
+    """The path of a new folder of files in this format, parted by ``by``."""
+    path = scratch(df.sparkSession, label)
+    writer = df.write.format(form)
+    (writer.partitionBy(*by) if by else writer).save(path)
+    return path
+
+
 def gaze_coordinates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Screen limits from each session's first GAZE_COORDS message (keys, x0, y0, x1, y1)."""
-    first = events.where(F.col("message").contains("GAZE_COORDS")).groupBy(*keys).agg(F.min_by("message", "seq").alias("m"))
+    first = events.where(F.col("message").startswith("GAZE_COORDS")).groupBy(*keys).agg(F.min_by("message", "seq").alias("m"))
     part = F.split(F.trim(F.regexp_extract("m", r"GAZE_COORDS\s+(.*)$", 1)), r"\s+")
     return first.select(*keys, *[part[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
 
@@ -124,3 +185,26 @@ def gaze_coordinates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 def recorded_eyes(gaze: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Eyes whose least gaze value is not the mark of a lost signal."""
     return gaze.groupBy(*keys, "eye").agg(F.min("gx").alias("__m")).where("__m > -32768").drop("__m")
+
+
+def extract_eye(events: DataFrame, samples: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """What a recording of eye events (keys, seq, eventtype, message, sttime, entime, gstx, gsty, genx, geny) and samples (keys, eye, t, gx, gy) holds.
+
+    ``screen``: limits; ``eyes``: recorded ones; ``fixations`` and ``saccades``
+    with starts, ends and, for saccades, both points; ``triggers``: trials from
+    messages; ``gaze``: samples. Rows count from the bottom of the screen.
+    """
+    keys = list(keys)
+    messages = events.where("eventtype = 'messageevent'")
+    screen = gaze_coordinates(messages, keys)
+    height = screen.select(*keys, F.col("y1").alias("__h"))
+    saccades = events.where("eventtype = 'endsacc'").join(height, keys, "left")
+    markers = messages.withColumn("marker", message_marker(F.col("message"))).where("marker is not null")
+    return {
+        "screen": screen,
+        "eyes": recorded_eyes(samples, keys),
+        "fixations": events.where("eventtype = 'endfix'").select(*keys, F.col("sttime").alias("t_start"), F.col("entime").alias("t_end")),
+        "saccades": saccades.select(*keys, F.col("sttime").alias("t_start"), F.col("entime").alias("t_end"), F.col("gstx").alias("x0"), (F.col("__h") - F.col("gsty")).alias("y0"), F.col("genx").alias("x1"), (F.col("__h") - F.col("geny")).alias("y1")),
+        "triggers": reshape_triggers(markers, keys, time="sttime"),
+        "gaze": samples.join(height, keys, "left").withColumn("gy", F.col("__h") - F.col("gy")).drop("__h"),
+    }
