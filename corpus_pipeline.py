@@ -1,45 +1,43 @@
-"""A training corpus from ``documents``: five stages, each written and read again."""
+"""A training corpus from ``documents``: five stages, each written and read again.
+
+An empty table stays empty through all stages; further columns travel along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trialgrid.llm.decontaminate import decontaminate
 from trialgrid.llm.jaccard_join import drop_near_copies
-from trialgrid.llm.mixing import mix_sources
+from trialgrid.llm.mixing import mix_documents
 from trialgrid.llm.secret_scan import redact
 from trialgrid.llm.store import keep
 from trialgrid.llm.toxicity import drop_toxic
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go; rows are judged one by one, null and empty texts stay."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one of least id."""
+    """One document of each near-duplicate class stays, the one of least id; rows with null or repeated ids are compared by their texts."""
     return drop_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, row by row; null texts stay, as do all if there are no items."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark where they lie; all documents stay, null texts as they are."""
     return redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of copies and of words."""
-    taken = mix_sources(docs).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("long").alias("copies"), "taken", "target"
-    ).dropDuplicates(["__id"])
-    names = [c for c in docs.columns if c not in ("copies", "taken", "target")]
-    return docs.select(*names).join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """Documents that the mix takes, with the number of copies and of words; each row by itself, whatever its id."""
+    return mix_documents(docs)
 
 
 STAGES = [
