@@ -10,6 +10,7 @@ pair occurs in some item, so only such runs are streamed.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .store import keep
+from .store import forget, fresh, keep
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:int,end:int>>, contaminated boolean"
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -188,19 +189,26 @@ class Matcher:
             yield size, sum(e - s for s, e in merged), in_bytes, names
 
 
-def _shards(items: DataFrame, item_id: str, text: str, most_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in lists of about ``most_words`` words, streamed from Spark partition by partition."""
+def _shards(items: DataFrame, item_id: str, text: str, most_words: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The items in lists of about ``most_words`` words, and whether a list is the last.
+
+    They are streamed from Spark partition by partition; no more than two lists
+    are held. Without items there is one empty list.
+    """
     shard: list[tuple[str, str]] = []
-    held = 0
+    ready, held = None, 0
     rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string"), F.col(text))
     for name, body in rows.toLocalIterator():
         shard.append((name if name is not None else "", body))
         held += len(body) // 4 + 1
         if held >= most_words:
-            yield shard
-            shard, held = [], 0
-    if shard:
-        yield shard
+            if ready is not None:
+                yield ready, False
+            ready, shard, held = shard, [], 0
+    if shard and ready is not None:
+        yield ready, False
+        ready = None
+    yield (shard if ready is None else ready), True
 
 
 def benchmark_hits(
@@ -222,31 +230,31 @@ def benchmark_hits(
     items_sha256, spans, contaminated), one row per input row; ``spans`` are
     code points of the text that windows cover, end exclusive.
 
-    The automaton goes to the executors as a task's own data: items are cut
-    into shards of ``shard_words`` words, whatever their number, and the
-    documents are read once for each shard.
+    Items are cut into shards of ``shard_words`` words, whatever their number.
+    One automaton at a time is broadcast, and every shard passes over the
+    documents once; what it finds travels on with them.
 
     Null and empty texts have no words and no hits; null items are left out;
     items without words have no window; no items leave every document clean;
     equal items under two ids are both listed; rows that repeat an id are
     judged one by one; other columns of either table play no part.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shards = list(_shards(items, item_id, item_text, shard_words))
-    if len(shards) <= 1:
-        return plain.mapInArrow(_matching(shards[0] if shards else [], window), REPORT)
-    # rows keep a number of their own, so that those that repeat an id stay apart
-    numbered = keep(plain.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text")), "benchmark-rows")
-    by_row = numbered.select(F.col("row").alias("doc_id"), "text")
-    every = by_row.mapInArrow(_matching(shards[0], window), REPORT)
-    for shard in shards[1:]:
-        every = every.unionByName(by_row.mapInArrow(_matching(shard, window), REPORT))
-    merged = every.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
-    return merged.join(numbered, "row").select("doc_id", "text", "n_words", "items", "spans").mapInArrow(_recount, REPORT)
+    none = [F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(_SPANS).alias("spans")]
+    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *none)
+    context, before = docs.sparkSession.sparkContext, None
+    for shard, last in _shards(items, item_id, item_text, shard_words):
+        tag = uuid.uuid4().hex
+        if last:
+            return marked.mapInArrow(_reporting(context.broadcast(shard), tag, window), REPORT)
+        marked = keep(marked.mapInArrow(_marking(context.broadcast(shard), tag, window, 1), marked.schema), "benchmark-marked")
+        before = _replace(before, marked)
+    raise AssertionError("there is always a last shard")
+
+
+def _replace(before: DataFrame | None, now: DataFrame) -> DataFrame:
+    if before is not None:
+        forget(before)
+    return now
 
 
 def _row(name, size: int, hit: int, spans: list[tuple[int, int]], names) -> tuple:
@@ -290,28 +298,41 @@ def _covered(spans: list[dict], body: str) -> tuple[list[list[int]], int]:
     return merged, sum(_count_words(body[s:e]) for s, e in merged)
 
 
-def _recount(batches):
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            merged, hit = _covered(r["spans"], r["text"] or "")
-            rows.append(_row(r["doc_id"], r["n_words"], hit, merged, r["items"]))
-        yield _batch(rows)
+_last: dict[str, Matcher] = {}
+
+
+def _matcher(shared, tag: str, window: int) -> Matcher:
+    """The automaton of a broadcast shard; a worker builds it once."""
+    if tag not in _last:
+        _last.clear()
+        _last[tag] = Matcher(shared.value, window)
+    return _last[tag]
+
+
+def _found(matcher: Matcher, column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int]], set[str]]]:
+    """For every text its words, hit words, spans hit in code points, and items."""
+    for _, data, bounds in bt.slices(column):
+        for k, (size, hit, spans, names) in enumerate(matcher.match(data, bounds)):
+            if spans:
+                lead = np.concatenate([[0], np.cumsum((data[bounds[k] : bounds[k + 1]] & 0xC0) != 0x80)])
+                spans = [(int(lead[s]), int(lead[e])) for s, e in spans]
+            yield size, hit, spans, names
+
 
+def _reporting(shared, tag: str, window: int):
+    """The report, from the last shard and what earlier ones have found."""
 
-def _matching(items: list[tuple[str, str]], window: int):
     def run(batches):
-        matcher = Matcher(items, window)
+        matcher = _matcher(shared, tag, window)
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for first, data, bounds in bt.slices(batch.column(1)):
-                for k, (size, hit, spans, names) in enumerate(matcher.match(data, bounds)):
-                    points = []
-                    if spans:
-                        own = data[bounds[k] : bounds[k + 1]]
-                        lead = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-                        points = [(int(lead[s]), int(lead[e])) for s, e in spans]
-                    rows.append(_row(ids[first + k].as_py(), size, hit, points, names))
+            rows = []
+            for k, (size, hit, spans, names) in enumerate(_found(matcher, batch.column(1))):
+                earlier = batch.column(3)[k].as_py()
+                if earlier:
+                    every = sorted([*earlier, *({"start": s, "end": e} for s, e in spans)], key=lambda s: (s["start"], s["end"]))
+                    merged, hit = _covered(every, batch.column(1)[k].as_py())
+                    spans, names = [tuple(s) for s in merged], names | set(batch.column(2)[k].as_py())
+                rows.append(_row(batch.column(0)[k].as_py(), size, hit, spans, names))
             yield _batch(rows)
 
     return run
@@ -320,29 +341,28 @@ def _matching(items: list[tuple[str, str]], window: int):
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _dropping(items: list[tuple[str, str]], window: int, at: int):
+def _dropping(shared, tag: str, window: int, at: int):
     def run(batches):
-        matcher = Matcher(items, window)
+        matcher = _matcher(shared, tag, window)
         for batch in batches:
-            keep_ = np.ones(batch.num_rows, bool)
-            for first, data, bounds in bt.slices(batch.column(at)):
-                for k, (_, hit, _, _) in enumerate(matcher.match(data, bounds)):
-                    keep_[first + k] = not hit
-            yield batch.filter(pa.array(keep_))
+            yield batch.filter(pa.array([not hit for _, hit, _, _ in _found(matcher, batch.column(at))], pa.bool_()))
 
     return run
 
 
-def _marking(items: list[tuple[str, str]], window: int, at: int):
-    """Adds what this shard's windows cover, in code points, to the last column."""
-    find = _matching(items, window)
+def _marking(shared, tag: str, window: int, at: int):
+    """Adds this shard's items and what its windows cover, in code points, to the last two columns."""
 
     def run(batches):
+        matcher = _matcher(shared, tag, window)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc_id", "text"])
-            more = [r for found in find([texts]) for r in found.column(6).to_pylist()]
-            spans = [(a or []) + b for a, b in zip(batch.columns[-1].to_pylist(), more, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, batch.columns[-1].type)], schema=batch.schema)
+            items, spans = (c.to_pylist() for c in batch.columns[-2:])
+            for k, (_, _, more, names) in enumerate(_found(matcher, batch.column(at))):
+                if more:
+                    spans[k] = [*(spans[k] or ()), *({"start": s, "end": e} for s, e in more)]
+                    items[k] = sorted({*(items[k] or ()), *names})
+            last = [pa.array(v, c.type) for v, c in zip((items, spans), batch.columns[-2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *last], schema=batch.schema)
 
     return run
 
@@ -358,8 +378,8 @@ def _cutting(at: int, max_coverage: float):
                 keep_[k] = hit / _count_words(texts[k]) <= max_coverage
                 edges = [0, *[e for span in merged for e in span], len(texts[k])]
                 texts[k] = "".join(texts[k][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep_))
+            columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : -2]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2]).filter(pa.array(keep_, pa.bool_()))
 
     return run
 
@@ -381,15 +401,17 @@ def decontaminate(
     A document of which windows cover more than ``max_coverage`` of its words is
     dropped; from the others the covered text is cut out. With the default 0
     every contaminated document goes. Rows are judged one by one by their texts;
-    ids, null or repeated, play no part.
+    ids, null or repeated, play no part, and any names of columns may occur. Null
+    and empty texts stay; no items leave all documents; no rows give no rows.
     """
-    at = docs.columns.index(text)
-    shards = list(_shards(items, item_id, item_text, shard_words))
-    if max_coverage <= 0:
-        for shard in shards:
-            docs = docs.mapInArrow(_dropping(shard, window, at), docs.schema)
-        return docs
-    schema, marked = docs.schema, docs.withColumn("__spans", F.lit(None).cast(_SPANS))
-    for shard in shards:
-        marked = marked.mapInArrow(_marking(shard, window, at), marked.schema)
-    return marked.mapInArrow(_cutting(at, max_coverage), schema)
+    at, schema, context = docs.columns.index(text), docs.schema, docs.sparkSession.sparkContext
+    whole, before = max_coverage <= 0, None
+    if not whole:
+        docs = docs.select("*", F.lit(None).cast("array<string>").alias(fresh("items", docs.columns)), F.lit(None).cast(_SPANS).alias(fresh("spans", docs.columns)))
+    work = _dropping if whole else _marking
+    for shard, last in _shards(items, item_id, item_text, shard_words):
+        docs = docs.mapInArrow(work(context.broadcast(shard), uuid.uuid4().hex, window, at), docs.schema)
+        if not last:
+            docs = keep(docs, "decontaminate")
+            before = _replace(before, docs)
+    return docs if whole else docs.mapInArrow(_cutting(at, max_coverage), schema)
