@@ -92,10 +92,14 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 OP7_SQL = r"""
-WITH sized AS (
+WITH based AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))) AS base
   FROM documents),
+sized AS (
+  SELECT doc_id, source, size,
+    CAST('0x' || substr(md5(concat(base, '|', CAST(row_number() OVER (PARTITION BY source, base) AS VARCHAR))), 1, 15) AS BIGINT) AS k
+  FROM based),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),
