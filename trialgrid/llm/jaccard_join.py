@@ -307,17 +307,18 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, *
     Rows are told apart by a key of their own, whatever their ids: rows that
     repeat an id, or have none, are compared by their texts like all others. Null
     ids come after all ids. Texts without words stay; those that repeat an id
-    with the same text count once.
+    with the same text count once. No rows give no rows; any names of columns may
+    occur.
     """
-    rows = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "near-copies-rows")
-    classes = jaccard_join(rows, similarity, words, doc_id="__row", text=text)
-    members = classes.where("n_links > 0 or n_shingles = 0").select(F.col("doc_id").alias("__row"), "class_id", "n_links")
-    members = members.join(rows.select("__row", F.col(doc_id).alias("__id"), F.col(text).alias("__text")), "__row")
-    linked = F.col("n_links") > 0
-    keys = [F.when(linked | F.col("__id").isNull(), F.col("class_id")), *[F.when(~linked, F.col(c)) for c in ("__id", "__text")]]
-    members = members.select("__row", "__id", *[k.alias(f"__k{n}") for n, k in enumerate(keys)])
-    least = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__row")))["__row"]
-    members = keep(members, "near-copies-members")
-    first = members.groupBy("__k0", "__k1", "__k2").agg(least.alias("__row")).select("__row")
-    losers = members.select("__row").join(first, "__row", "left_anti")
-    return rows.join(losers, "__row", "left_anti").select(*docs.columns)
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "near-copies-rows")
+    own = rows.select("row", F.col("doc")[doc_id].alias("id"), F.col("doc")[text].alias("text"))
+    classes = jaccard_join(own, similarity, words, doc_id="row", text="text")
+    members = classes.where("n_links > 0 or n_shingles = 0").select(F.col("doc_id").alias("row"), "class_id", (F.col("n_links") > 0).alias("linked"))
+    members = members.join(own, "row")
+    keys = [F.when(F.col("linked") | F.col("id").isNull(), F.col("class_id")), *[F.when(~F.col("linked"), F.col(c)) for c in ("id", "text")]]
+    members = keep(members.select("row", "id", *[k.alias(f"k{n}") for n, k in enumerate(keys)]), "near-copies-members")
+    least = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row")))["row"]
+    first = members.groupBy("k0", "k1", "k2").agg(least.alias("row")).select("row")
+    losers = keep(members.select("row").join(first, "row", "left_anti"), "near-copies-losers")
+    forget(members)
+    return rows.join(losers, "row", "left_anti").select("doc.*")

@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_c
     Those are the ones of least hash. Each stands for as many labels of its value
     as there are for one in the sample, so that probabilities are those of all
     labels, whatever their number. Rows with a null label or text are left
-    out; without both values of the target there is no chain.
+    out; of several texts for an id one counts; without both values of the target
+    there is no chain.
     """
     told = labels.select(F.col("doc_id").alias("__id"), *[F.col(c).cast("int").alias(f"__{c}") for c in categories]).dropna()
     # of several labels for an id the greatest counts, in the sample as in the shares
@@ -143,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_c
     few = [told.where(F.col(f"__{target}") == v).orderBy("__h", "__id").limit(per_class) for v in (0, 1)]
     sample = few[0].unionByName(few[1])
     joined = docs.where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    rows = joined.select("text", "__id", "__h", *[f"__{c}" for c in categories])
+    # one text for each id, so that what comes to the driver is bounded
+    rows = joined.groupBy("__id", "__h", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "__id", "__h", *names)
     shape = "features binary, __id long, __h long, " + ", ".join(f"__{c} int" for c in categories)
     table = rows.mapInArrow(_gathering, shape).toArrow()
     order = sorted(range(table.num_rows), key=lambda i: (table["__h"][i].as_py(), table["__id"][i].as_py()))
@@ -202,7 +204,12 @@ def score_toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), limit: float = 0.3, per_class: int = 1500) -> DataFrame:
-    """Documents that :func:`score_toxicity` does not reject; all columns kept, rows judged one by one."""
+    """Documents that :func:`score_toxicity` does not reject, all columns kept.
+
+    Rows are judged one by one where they lie, whatever their ids; null and empty
+    texts are judged by the prior; without labels, or rows, nothing is rejected;
+    any names of columns may occur.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     chain = train(plain, labels, categories, per_class)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
