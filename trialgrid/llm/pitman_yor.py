@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .store import forget, keep, shuffle_partitions
-from .tables import Weights, draw_tables
+from .tables import Weights, draw_tables, lattice, prime
 
 #: Contexts are told apart by all 64 bits; a bucket numbers those it holds, and so many numbers fit the low half of one.
 CONTEXTS = 1 << 16
@@ -352,8 +352,9 @@ def _given(shares: pa.Table, sweep: int, scalars: tuple) -> Totals:
     return totals
 
 
-def _sweeping(scalars: tuple, number: int, seed: int):
+def _sweeping(scalars: tuple, number: int, seed: int, lattices: dict[float, np.ndarray]):
     def run(states: pa.Table, shares: pa.Table) -> pa.Table:
+        prime(lattices)
         out, totals = [], _given(shares, number - 1, scalars)
         for row in _rows(states.to_batches()):
             b = Bucket(row)
@@ -485,11 +486,12 @@ def score_documents(
     vocabulary, tokens, n1, n2, m1, m2, pairs = (extra.get(k, 0) for k in range(7))
     discounts = tuple(min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in ((n1, n2), (m1, m2)))
     model = (vocabulary, tokens, discounts, strength)
+    lattices = {d: lattice(d) for d in discounts}
     customers = _exchange(state.mapInArrow(_own_shares("customers"), _SHARE), directory, "pitman-yor-customers").withColumn("sweep", F.lit(-1))
     # before any sweep each pair has one table, and each word one in the parent
     scalars, shares, kept, every = (*model, pairs, vocabulary), customers, [], customers
     for k in range(burn_in + sweeps):
-        swept = state.groupBy("bucket").cogroup(shares.groupBy("bucket")).applyInArrow(_sweeping(scalars, k, seed), _STATE)
+        swept = state.groupBy("bucket").cogroup(shares.groupBy("bucket")).applyInArrow(_sweeping(scalars, k, seed, lattices), _STATE)
         before, state = state, keep(swept, "pitman-yor-seats")
         if k:
             forget(before)  # its seats are in the new table too

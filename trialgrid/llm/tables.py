@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Up to so many customers the numbers S come from a table.
 SMALL = 64
 #: Table numbers looked at for a dish with many customers.
 GRID = 64
@@ -92,7 +93,7 @@ _FROM, _PER_OCTAVE, _ACROSS = 5, 2, 160
 
 
 @lru_cache(maxsize=8)
-def _lattice(discount: float) -> np.ndarray:
+def lattice(discount: float) -> np.ndarray:
     """log S less its main part, by (customers, tables)."""
     c = 2.0 ** (_FROM + np.arange(44 * _PER_OCTAVE) / _PER_OCTAVE)
     share = np.arange(_ACROSS + 1) / _ACROSS
@@ -111,17 +112,33 @@ def _cubic(x: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return at, [-(u - 1) * (u - 2) * (u - 3) / 6, u * (u - 2) * (u - 3) / 2, -u * (u - 1) * (u - 3) / 2, u * (u - 1) * (u - 2) / 6]
 
 
-def log_stirling_large(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
-    """log S(c, t) for ``c`` above ``SMALL`` and t from 1 to c."""
-    c, t = np.broadcast_arrays(np.asarray(c, float), np.asarray(t, float))
-    lattice = _lattice(discount)
-    row, by_row = _cubic((np.log2(c) - _FROM) * _PER_OCTAVE, lattice.shape[0])
-    column, by_column = _cubic(np.log(t) / np.log(c) * _ACROSS, lattice.shape[1])
-    rest = np.zeros(c.shape)
-    for i in range(4):
-        for j in range(4):
-            rest += by_row[i] * by_column[j] * lattice[row + i, column + j]
-    return rest + _main_part(c, t, discount)
+def prime(lattices: dict[float, np.ndarray]) -> None:
+    """Hand lattices worked out elsewhere to this process."""
+    _known.update(lattices)
+
+
+_known: dict[float, np.ndarray] = {}
+
+
+class LogStirling:
+    """log S(c, t) for rows of ``c`` above ``SMALL`` customers."""
+
+    def __init__(self, c: np.ndarray, discount: float):
+        self.c, self.d = np.asarray(c, float)[:, None], discount
+        every = _known.get(discount)
+        every = lattice(discount) if every is None else every
+        at, weights = _cubic((np.log2(self.c[:, 0]) - _FROM) * _PER_OCTAVE, len(every))
+        self.rest = sum(w[:, None] * every[at + i] for i, w in enumerate(weights))
+        self.nodes = np.clip(self.c ** (np.arange(0, _ACROSS + 1, 4) / _ACROSS), 1, self.c)
+
+    def at_nodes(self) -> np.ndarray:
+        return self.rest[:, ::4] + _main_part(self.c, self.nodes, self.d)
+
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        """At t (rows, places) from 1 to c."""
+        at, weights = _cubic(np.log(t) / np.log(self.c) * _ACROSS, _ACROSS + 1)
+        rest = sum(w * np.take_along_axis(self.rest, at + j, 1) for j, w in enumerate(weights))
+        return rest + _main_part(self.c, t, self.d)
 
 
 def _pick(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -167,36 +184,23 @@ class Weights:
 
 
 def _draw_many(c: np.ndarray, w: Weights, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with many customers: the law's values on a grid about its mode."""
-    d = discount
-    value = lambda t: log_stirling_large(c[:, None], t, d) + w.total(t)
-    # the mode: by thirds, as the law is log-concave
-    low, high = np.ones(len(c)), c.astype(float)
-    for _ in range(60):
-        if (high - low < 3).all():
-            break
-        a, b = low + (high - low) / 3, high - (high - low) / 3
-        v = value(np.stack([a, b], 1))
-        left = v[:, 0] > v[:, 1]
-        low, high = np.where(left, low, a), np.where(left, b, high)
-    near = np.clip(np.floor(low)[:, None] + np.arange(5), 1, c[:, None])
-    v = value(near)
-    mode, height = near[np.arange(len(c)), v.argmax(1)], v.max(1)[:, None]
-    # how far the law reaches to either side
-    reach = np.full((len(c), 2), 4.0)
-    for _ in range(60):
-        ends = np.clip(mode[:, None] + reach * np.array([-1, 1]), 1, c[:, None])
-        more = (value(ends) > height - 30) & (ends > 1) & (ends < c[:, None])
-        if not more.any():
+    """Tables of dishes with many customers: the law on ever finer grids about its mode."""
+    stirling, top, rows = LogStirling(c, discount), c.astype(float)[:, None], np.arange(len(c))
+    logs, places, width = stirling.at_nodes() + w.total(stirling.nodes), stirling.nodes, None
+    for _ in range(3):
+        # from the place before the first that counts to the one after the last
+        counts = logs > logs.max(1, keepdims=True) - 40
+        first = np.maximum(counts.argmax(1) - 1, 0)
+        last = np.minimum(places.shape[1] - counts[:, ::-1].argmax(1), places.shape[1] - 1)
+        start = np.floor(places[rows, first])
+        end = np.minimum(np.ceil(places[rows, last]) + (0 if width is None else width - 1), c)
+        width = np.maximum(1.0, np.ceil((end - start + 1) / GRID))
+        places = start[:, None] + np.arange(GRID) * width[:, None]
+        middle = np.minimum(places + (width[:, None] - 1) / 2, top)
+        logs = np.where(places <= top, stirling(middle) + w.total(middle), -np.inf)
+        if (width == 1).all():
             break
-        reach = np.where(more, 2 * reach, reach)
-    # whole numbers where the grid can hold all of them, evenly wide places beyond
-    start, end = ends[:, 0], ends[:, 1]
-    width = np.maximum(1.0, np.ceil((end - start + 1) / GRID))
-    places = start[:, None] + np.arange(GRID) * width[:, None]
-    middle = places + (width[:, None] - 1) / 2
-    logs = np.where(places <= c[:, None], value(np.minimum(middle, c[:, None])), -np.inf)
-    got = places[np.arange(len(c)), _pick(logs, rng)] + np.floor(rng.random(len(c)) * width)
+    got = places[rows, _pick(logs, rng)] + np.floor(rng.random(len(c)) * width)
     return np.clip(got, 1, c).astype(np.int64)
 
 
