@@ -379,6 +379,32 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - share[s]) <= largest for s in share)
 
 
+def test_mixing_goes_by_row(spark):
+    """Without ids, with one id for all, and with one row many times over, sources still come near their targets."""
+    rng = random.Random(9)
+    rows = [(None, _prose(rng, 10), "a") for _ in range(60)] + [(7, _prose(rng, 10), "b") for _ in range(60)] + [(1, "the same ten words " * 3, "c")] * 90
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    for ids in (None, 7, 1):
+        mine = [r for r in out if r.doc_id == ids]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+
+
+def test_stages_keep_clashing_columns(spark):
+    rng = random.Random(10)
+    names = ["__id", "__row", "row", "doc", "items", "spans", "copies", "taken", "target", "id", "k0", "label", "carried", "size"]
+    rows = [(k, _prose(rng, 30), "s", *[f"{n}{k}" for n in names]) for k in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    items = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+    from trialgrid.llm.mixing import mix_documents
+
+    for out in (drop_toxic(df, labels), drop_near_copies(df), decontaminate(df, items), decontaminate(df, items, max_coverage=0.5), redact(df)):
+        assert out.columns == df.columns and all(r["copies"] == f"copies{r.doc_id}" and r["__id"] == f"__id{r.doc_id}" for r in out.collect())
+    mixed = mix_documents(df)
+    assert mixed.columns == [*df.columns, "copies_", "taken_", "target_"] and all(r["taken"] == f"taken{r.doc_id}" for r in mixed.collect())
+
+
 def test_pages(spark):
     page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav>
     <div class="cookie-notice"><p>We use cookies, and more, on this site, as all do, to be sure.</p></div>

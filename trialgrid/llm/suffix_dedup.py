@@ -34,7 +34,7 @@ PART_BYTES = 4 << 20
 #: A sample of one document in so many tells which q-grams are so frequent that one would take up
 #: a part: those with a share of 1 in so many parts of all runs, at least so many of them. Shares
 #: add up to 1, so there are no more of these than parts. They are dealt out by whole strings.
-SAMPLE, HOT_SHARE, HOT_RUNS = 64, 4, 16
+SAMPLE, HOT_SHARE, HOT_RUNS = 64, 4, 256
 
 
 def _least_positions(h: np.ndarray, span: int) -> np.ndarray:
