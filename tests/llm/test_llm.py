@@ -547,6 +547,37 @@ def test_pipeline_stages(spark):
         docs = out
 
 
+def test_classifiers_on_held_out_rows(spark):
+    """Languages of documents that were not learned from, and labels of every second labelled document."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    lang = identify_languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred != 'und'")
+    right = [r.lang == r.lang_pred for r in lang.collect()]
+    assert right and sum(right) >= 0.95 * len(right)
+    seen, unseen = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("told"))
+    flags = [(r.told, r.toxic) for r in score_toxicity(docs, seen).join(unseen, "doc_id").collect()]
+    assert flags and sum(told == int(flag) for told, flag in flags) >= 0.9 * len(flags)
+
+
+def test_forest_recall_by_similarity():
+    """Pairs of sets of known similarity: at the threshold and above none is missed, below few are."""
+    import numpy as np
+
+    from trialgrid.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(11)
+    depth = jj.prefix_depth(0.8, 0.9999999)
+    for similarity in (0.6, 0.8, 0.95):
+        n, found = 300, 0
+        for _ in range(n):
+            both = round(200 * similarity)
+            values = rng.integers(1, 1 << 62, 200, dtype=np.uint64)
+            a, b = values[: both + (200 - both) // 2], np.concatenate([values[:both], values[both + (200 - both) // 2 :]])
+            keys = jj._minhash(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), jj.TREES, depth)
+            found += (keys[0] == keys[1]).sum() >= jj.SHARED
+        assert found >= n * (jj.expected_recall(depth, similarity) - 0.05) and (similarity < 0.8 or found == n)
+
+
 def test_queries_are_registered():
     names = list(queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
