@@ -160,7 +160,7 @@ def _following(docs: DataFrame) -> DataFrame:
     up a whole range by themselves, and null ones, are cut into 64 ranges by the
     hash. A range's last row takes the first row of the next range that has any.
     """
-    ranges = 2 * shuffle_partitions(docs.sparkSession)
+    ranges = 4 * shuffle_partitions(docs.sparkSession)
     cuts = [int(x) for x in docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)]
     limits, hot = sorted(set(cuts)), sorted({x for x in cuts if cuts.count(x) > 1})
     above = F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x > F.col("doc_id"))) if limits else F.lit(0)
@@ -177,7 +177,8 @@ def _following(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc()]
     inside = _sketched(docs.repartition("range")).withColumn("next", F.lead(row).over(Window.partitionBy("range").orderBy(*order)))
     tops = docs.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("top"))
-    heads = docs.join(tops, "range").where(F.struct("doc_id", "hash").eqNullSafe(F.col("top")))
+    # one row per range, whose number does not grow with the data
+    heads = docs.join(F.broadcast(tops), "range").where(F.struct("doc_id", "hash").eqNullSafe(F.col("top")))
     heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(*order))).where("nth = 1")
     heads = _sketched(heads.select("range", "text"))
     ring = Window.orderBy("range")  # one row per range
