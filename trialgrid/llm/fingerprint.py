@@ -21,7 +21,7 @@ from .store import shuffle_partitions
 #: beginnings, so that a cut depends on the two words alone and not on what stands before; if there
 #: is no such place, after so many characters. The first ``HEAD`` pieces are finer, so that short
 #: texts have several.
-FINE, COARSE, HEAD = (r"[nteo.]\s+(?=[a-mA-M])", 160), (r"[te.]\s+(?=[dlDL])", 600), 6
+FINE, COARSE, HEAD = (r"[nteo.]\s+(?=[a-mA-M])", 160), (r"[nteo.]\s+(?=[dlDL])", 600), 6
 #: Cells of each sub-table of the fingerprint itself. The first retry has room for ROOM times all
 #: digests, as empty cells cost nothing; any further one has GROWTH times as many.
 WIDTH, ROOM, GROWTH, RETRIES, ROUNDS = 8, 16, 4, 4, 20
