@@ -199,7 +199,7 @@ def test_tables_follow_the_exact_law():
 
     rng = np.random.default_rng(4)
     for d in (0.3, 0.75):
-        for c in (2, 5, 9, 20, 64, 65, 150, 600):
+        for c in (2, 5, 9, 20, 64, 65, 150, 512, 513, 900):
             for first, top, bottom, start in ((1, 0.01, 1, 0.01), (10, 5, 1000, 0.005), (100, 3, 10, 0.3), (4, -0.3, 50, 0.001)):
                 n = 4000
                 drawn = draw_tables(np.full(n, c), Weights(np.full(n, first), d, np.full(n, top), np.full(n, bottom), np.full(n, start)), d, rng)
