@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits
+from .filter_audit import audit_filters
 from .fingerprint import compare_with_edits
 from .html_extract import extract_pages
 from .jaccard_join import jaccard_join
@@ -14,6 +16,8 @@ from .language_id import identify_languages
 from .mixing import mix_sources
 from .pitman_yor import score_documents
 from .secret_scan import scan_secrets
+from .sentencepiece_codec import encode_documents, read_model
+from .spelling import group_spellings
 from .suffix_dedup import suffix_dedup
 from .toxicity import score_toxicity
 
@@ -64,10 +68,27 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    coded = encode_documents(_table(spark, sf_dir, "documents"), read_model(public_tokenizers.path(model)))
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan, op2_pitman_yor, op3_suffix_dedup, op4_language_id, op5_toxicity,
         op6_decontamination, op7_mixing, op8_html_extract, op9_jaccard_join, op10_fingerprint,
+        op11_spelling, op12_filter_audit, op13_sentencepiece,
     )
     return {f.__name__: f for f in every}
 
@@ -138,5 +159,42 @@ FROM d LEFT JOIN keyed USING (doc_id) LEFT JOIN sets ON sets.h = keyed.h LEFT JO
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+lowered AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(0, length(h), 2), lambda i: CAST('0x' || substring(h, i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS s FROM (SELECT *, hex(encode(id || ':' || run)) AS h FROM lowered), steps),
+cut AS (SELECT CASE WHEN s % 31 = 0 THEN substring(run, 1, CAST(s % length(run) AS INTEGER)) || substring(run, CAST(s % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM summed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+without AS (SELECT word, n, k, substring(word, 1, k) || substring(word, k + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM v)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM without a JOIN without b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, a.n, v.word, v.n FROM without a JOIN v ON v.word = a.rest UNION SELECT v.word, v.n, a.word, a.n FROM without a JOIN v ON v.word = a.rest),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word, n),
+forms AS (SELECT word, other AS form, m AS form_n FROM best WHERE m >= 10 * n),
+chain(word, stop, depth) AS (SELECT word, form, 1 FROM forms UNION ALL SELECT chain.word, forms.form, depth + 1 FROM chain JOIN forms ON forms.word = chain.stop),
+ends AS (SELECT word, arg_max(stop, depth) AS root FROM chain GROUP BY word)
+SELECT v.word, forms.form, coalesce(ends.root, v.word) AS root, v.n, coalesce(best.n_near, 0) AS n_near, forms.form_n
+FROM v LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT t.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text),
+  'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)} AS fails FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+a(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT p.x || q.x || r.x || s.x || u.x AS o FROM a p, a q, a r, a s, a u WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+steps AS (SELECT o, CAST(k AS INTEGER) AS step, o[k] AS own, o[:k - 1] AS before FROM orders, range(1, 6) s(k)),
+run AS (SELECT g.*, o, step, own, fails[own] AS hit, len(list_filter(string_split(before, ''), lambda x: x <> '' AND fails[x])) > 0 AS gone,
+  len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) = 1 AS alone FROM g, steps),
+sums AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+  coalesce(sum(n) FILTER (hit AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS toxic_lost FROM run GROUP BY ALL)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op7_mixing": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op6_decontamination": OP6_SQL, "op7_mixing": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op11_spelling": OP11_SQL, "op12_filter_audit": OP12_SQL}
