@@ -144,6 +144,52 @@ def test_band_join_has_no_nested_loop(spark):
     assert [(r.t, r.t_later) for r in out.collect()] == [(1.0, 2.0)]
 
 
+@pytest.mark.parametrize("bucket", [None, 9.0])
+def test_lag_counts_without_pairs(spark, bucket):
+    """Ties, lags on an edge, an edge above 0, null times and keys, a single point."""
+    rng = random.Random(4)
+    times = [rng.randrange(60) for _ in range(50)] + [7, 7, 7]
+    rows = [("a", float(t)) for t in times] + [(None, float(t)) for t in times[:9]] + [("b", 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, t double")
+    for edges in ([0.0, 1.0, 3.0, 10.0], [2.0, 4.0, 40.0]):
+        want = {}
+        for key, own in (("a", times), (None, times[:9])):
+            for a in own:
+                for b in own:
+                    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False), 1):
+                        if b > a and lo < b - a <= hi:
+                            want[key, k] = want.get((key, k), 0) + 1
+        out = intervals.lag_counts(df, ["k"], edges, bucket=bucket)
+        assert {(r.k, r.bin): r.n for r in out.collect()} == want
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bucket", [None, 4, F])
+def test_ranked(spark, bucket):
+    """Numbers and totals by key, null orders first, null keys, a sort by two columns; no window sorts a key alone."""
+    rng = random.Random(9)
+    rows = [(rng.choice((1, 2, None)), rng.choice((None, *range(40))), k) for k in range(90)]
+    df = spark.createDataFrame(rows, "k int, t int, n int")
+    bucket = F.floor(F.col("t") / 7) if bucket is F else bucket
+    out = ordered.ranked(df, ["k"], ["t", "n"], "place", total="of", bucket=bucket)
+    assert out.columns == ["k", "t", "n", "place", "of"]
+    for key in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert sorted((r.place, r.t, r.n, r.of) for r in out.collect() if r.k == key) == [(i, t, n, len(own)) for i, (_, t, n) in enumerate(own, 1)]
+    assert ordered.ranked(df.where("false"), ["k"], "t").count() == 0
+    window = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line and "windowspec" in line]
+    assert window and all("__bucket" in line for line in window)
+
+
+def test_cover_is_small_and_exact(spark):
+    rng = random.Random(2)
+    spans = [(0, 9999), (1, 10000), (-37, -37), (-5, 900), (5, 4)] + [(a, a + rng.randrange(3000)) for a in (rng.randrange(-500, 500) for _ in range(40))]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", ordered.cover(F.col("a"), F.col("b")).alias("c"))
+    for r in df.collect():
+        held = [b for c in r.c for b in range(c.cell << c.level, (c.cell + 1) << c.level)]
+        assert sorted(held) == list(range(r.a, r.b + 1)) and len(r.c) < 40
+
+
 def test_disk_and_border(spark):
     kernel = maps.disk_kernel(1)
     assert len(kernel) == 5 and all(w == 0.2 for _, _, w in kernel)

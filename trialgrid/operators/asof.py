@@ -25,9 +25,8 @@ def asof_join(
 
     ``forward`` takes the first sample at or after the event, ``backward`` the
     last at or before it. Both streams go through one window; nothing is paired
-    that does not match. With ``bucket``, a width in units of time, a key's rows
-    are dealt into time buckets, so that a long session does not stand in one
-    task (see :func:`~trialgrid.operators.ordered.in_buckets`).
+    that does not match. A key's rows are dealt into time buckets, ``bucket``
+    wide, so that a long session does not stand in one task (see :func:`~trialgrid.operators.ordered.in_buckets`).
 
     Events without a match are dropped unless told otherwise. Of samples at the
     same time, the one with the greatest values is taken going backward, the
@@ -41,10 +40,9 @@ def asof_join(
     sample = F.struct(F.col(time).alias("t_match"), *values)
     left = events.select(*keys, F.col(time).alias("__t"), F.struct(F.lit(1).alias("__one"), *extra).alias("__event"))
     right = samples.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("__t"), sample.alias("__sample"))
-    both, parts = left.unionByName(right, allowMissingColumns=True), keys
-    if bucket is not None:
-        both = in_buckets(both, keys, "__t", bucket, ["__sample"], pick=F.min if forward else F.max, later=forward)
-        parts = [*keys, "__bucket"]
+    both = left.unionByName(right, allowMissingColumns=True)
+    both = in_buckets(both, keys, "__t", bucket, ["__sample"], pick=F.min if forward else F.max, later=forward)
+    parts = [*keys, "__bucket"]
     # the window runs towards the event, so a running value is enough; a sample at the event's time comes before it
     event = F.col("__event").isNotNull()
     order = [F.col("__t").desc_nulls_first(), event, F.col("__sample").desc()] if forward else [F.col("__t"), event, F.col("__sample")]
@@ -69,7 +67,7 @@ def spikes_at_positions(spikes: DataFrame, trials: DataFrame, samples: DataFrame
     if exclude_last:
         last = Window.partitionBy(session, "trial")
         samples = samples.withColumn("__last", F.max("t").over(last)).where("t < __last").drop("__last")
-    return asof_join(inside, samples, [session, "trial"], "t", values, direction)
+    return asof_join(inside, samples, [session, "trial"], "t", values, direction, bucket=bucket)
 
 
 def fixated_views(spikes: DataFrame, gaze: DataFrame, keys: Sequence[str], *, bucket: float | None = None) -> DataFrame:

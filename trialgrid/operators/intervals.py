@@ -27,9 +27,7 @@ def interval_mask(samples: DataFrame, intervals: DataFrame, keys: Sequence[str],
     keys = list(keys)
     rows = packed(samples, keys, time).withColumn("__at", F.col(time))
     starts = intervals.where("t_end >= t_start").select(*keys, F.col("t_start").alias(time), F.col("t_end").alias("__end"))
-    both, parts = rows.unionByName(starts, allowMissingColumns=True), keys
-    if bucket is not None:
-        both, parts = in_buckets(both, keys, time, bucket, ["__at", "__end"]), [*keys, "__bucket"]
+    both, parts = in_buckets(rows.unionByName(starts, allowMissingColumns=True), keys, time, bucket, ["__at", "__end"]), [*keys, "__bucket"]
     w = Window.partitionBy(*parts).orderBy(time, F.col("__row").isNotNull())
     both = both.withColumns({"__before": F.max("__at").over(w.rowsBetween(Window.unboundedPreceding, -1)), "__latest": F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     tied = Window.partitionBy(*parts, time)
@@ -53,14 +51,33 @@ def band_self_join(points: DataFrame, keys: Sequence[str], width: float, time: s
     return early.join(late, [*keys, "__bucket"]).withColumn("lag", lag).where((F.col("lag") > 0) & (F.col("lag") <= width)).drop("__bucket")
 
 
-def autocorrelogram(spikes: DataFrame, keys: Sequence[str], edges: Sequence[float], time: str = "t", *, normalize: bool = False) -> DataFrame:
-    """Counts of lags between a unit's spikes by right-closed bin (keys, bin, n[, share])."""
-    from ..functions.bins import bin_right_closed, in_bins
+def lag_counts(points: DataFrame, keys: Sequence[str], edges: Sequence[float], time: str = "t", *, bucket: float | None = None) -> DataFrame:
+    """Numbers of ordered pairs of points of one key by the bin of their lag (keys, bin, n), bins closed on the right.
 
+    No pair is made. Of the points that follow one at t, those within a lag e
+    are the points up to t + e less those up to t. So every point asks, at
+    t + e for each edge e, how many points there are up to then; points and
+    questions go through one window of running counts, with buckets of time, and
+    a bin's number is the difference of two edges' sums. Rows: points x edges.
+    """
+    keys = list(keys)
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(max(float(e), 0.0)).alias("e")) for k, e in enumerate(edges)]))
+    known = points.where(F.col(time).isNotNull())
+    asked = known.select(*keys, F.col(time).cast("double").alias("__t"), at.alias("__a")).select(*keys, (F.col("__t") + F.col("__a.e")).alias("__t"), F.col("__a.k").alias("__k"))
+    both = known.select(*keys, F.col(time).cast("double").alias("__t"), F.lit(1).cast("long").alias("__one")).unionByName(asked, allowMissingColumns=True)
+    dealt = in_buckets(both, keys, "__t", bucket, ["__one"], pick=F.sum)
+    # points up to and with the question's time: they stand before it
+    w = Window.partitionBy(*keys, "__bucket").orderBy("__t", F.col("__k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("__upto", F.coalesce(F.sum("__one").over(w), F.lit(0))).where("__k is not null")
+    sums = found.groupBy(*keys).agg(*[F.sum(F.when(F.col("__k") == k, F.col("__upto")).cast("decimal(38,0)")).alias(f"__s{k}") for k in range(len(edges))])
+    bins = F.array(*[F.struct(F.lit(k).alias("bin"), (F.col(f"__s{k}") - F.col(f"__s{k - 1}")).cast("long").alias("n")) for k in range(1, len(edges))])
+    return sums.select(*keys, F.explode(bins).alias("__b")).select(*keys, "__b.bin", "__b.n").where("n > 0")
+
+
+def autocorrelogram(spikes: DataFrame, keys: Sequence[str], edges: Sequence[float], time: str = "t", *, normalize: bool = False, bucket: float | None = None) -> DataFrame:
+    """Counts of lags between a unit's spikes by right-closed bin (keys, bin, n[, share]); see :func:`lag_counts`."""
     keys = list(keys)
-    pairs = band_self_join(spikes, keys, float(edges[-1]), time)
-    counts = pairs.withColumn("bin", bin_right_closed(F.col("lag"), edges)).where(in_bins(F.col("bin"), len(edges) - 1))
-    counts = counts.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counts = lag_counts(spikes, keys, edges, time, bucket=bucket)
     if normalize:
         counts = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
     return counts

@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import marker_class
 from .asof import asof_join
-from .ordered import between_join, in_buckets, neighbour, packed, unpacked
+from .ordered import between_join, in_buckets, neighbour, packed, ranked, unpacked
 
 
 def cumulative_clock(df: DataFrame, keys: Sequence[str], dt: str = "dt", order: str = "seq", name: str = "t", *, bucket: float | None = None) -> DataFrame:
     """Running sum of time steps; ``bucket``, a width of the order column, deals out long keys."""
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(dt).over(w))
     rows = packed(df, keys, order).withColumn("__dt", F.col(f"__row.{dt}"))
     dealt = in_buckets(rows, keys, order, bucket, ["__dt"], pick=F.sum)
     w = Window.partitionBy(*keys, "__bucket").orderBy(order, F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -28,13 +25,14 @@ def _wide(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys, "trial").agg(*[pick("marker", k).alias(f"trig{k}") for k in (1, 2, 3)], *[pick("t", k).alias(f"t{k}") for k in (1, 2, 3)])
 
 
-def pair_markers(df: DataFrame, keys: Sequence[str], marker: str = "marker", time: str = "t", order: str = "seq", *, check: bool = True) -> DataFrame:
+def pair_markers(df: DataFrame, keys: Sequence[str], marker: str = "marker", time: str = "t", order: str = "seq", *, check: bool = True, bucket: float | None = None) -> DataFrame:
     """Trials (keys, trial, trig1..3, t1..3): the k-th start, cue and end markers form trial k.
 
-    With ``check`` a key whose three counts differ raises an error.
+    With ``check`` a key whose three counts differ raises an error. ``bucket``
+    is a width of the order column (see :func:`~trialgrid.operators.ordered.ranked`).
     """
     marked = df.select(*keys, F.col(marker).cast("int").alias("marker"), F.col(time).alias("t"), F.col(order).alias("__order")).withColumn("part", marker_class(F.col("marker"))).where("part is not null")
-    marked = marked.withColumn("trial", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("__order")))
+    marked = ranked(marked, [*keys, "part"], "__order", "trial", bucket=bucket).withColumn("trial", F.col("trial").cast("int"))
     out = _wide(marked, keys)
     if check:
         whole = F.col("t1").isNotNull() & F.col("t2").isNotNull() & F.col("t3").isNotNull()
@@ -42,7 +40,7 @@ def pair_markers(df: DataFrame, keys: Sequence[str], marker: str = "marker", tim
     return out
 
 
-def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker", time: str = "t", order: str = "seq", *, positive_only: bool = False) -> DataFrame:
+def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker", time: str = "t", order: str = "seq", *, positive_only: bool = False, bucket: float | None = None) -> DataFrame:
     """Trials from markers in trios, after a leading 84 is dropped.
 
     The tens digits of a trio are 1, 2 and 3 or 4 and its unit digits are equal;
@@ -53,9 +51,8 @@ def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker",
     rows = df.select(*keys, F.col(marker).cast("int").alias("marker"), F.col(time).alias("t"), F.col(order).alias("__order"))
     if positive_only:
         rows = rows.where("marker > 0")
-    w = Window.partitionBy(*keys).orderBy("__order")
-    rows = rows.withColumn("n", F.row_number().over(w)).where("not (n = 1 and marker = 84)")
-    rows = rows.withColumn("n", F.row_number().over(w) - 1)
+    rows = ranked(rows, keys, "__order", bucket=bucket).where("not (n = 1 and marker = 84)")
+    rows = ranked(rows, keys, "__order", bucket=bucket).withColumn("n", F.col("n") - 1)
     rows = rows.withColumn("trial", (F.floor(F.col("n") / 3) + 1).cast("int")).withColumn("part", F.col("n") % 3 + 1)
     out = _wide(rows, keys)
     tens = lambda c: F.floor(F.col(c) / 10)
@@ -70,15 +67,13 @@ def reshape_triggers(df: DataFrame, keys: Sequence[str], marker: str = "marker",
 def trial_slice(samples: DataFrame, trials: DataFrame, keys: Sequence[str], time: str = "t", start: str = "t1", end: str = "t3", *, bucket: float | None = None) -> DataFrame:
     """Samples from the first at or after a trial's start up to and with the first at or after its end.
 
-    Past the data the last sample ends the trial. Times stay as they are. With
-    ``bucket``, a width in units of time, long keys are dealt into buckets, and
-    a trial meets the samples of the buckets it touches alone.
+    Past the data the last sample ends the trial. Times stay as they are. Long
+    keys are dealt into buckets (see :func:`~trialgrid.operators.ordered.in_buckets`),
+    and a trial meets the samples of the buckets it touches alone.
     """
     marked = neighbour(samples, keys, time, "__before", bucket=bucket)
     bounds = trials.select(*keys, "trial", F.col(start).alias("__start"), F.col(end).alias("__end"))
     before_end = F.coalesce(F.col("__before") < F.col("__end"), F.col("__end").isNotNull())
-    if bucket is None:
-        return marked.join(bounds, list(keys)).where((F.col(time) >= F.col("__start")) & before_end).drop("__before", "__start", "__end")
     # the sample that ends a trial may lie in a later bucket
     last = asof_join(bounds.withColumnRenamed("__end", time), samples.select(*keys, time), keys, time, (), bucket=bucket, drop_unmatched=False)
     last = last.withColumnRenamed(time, "__end").withColumn("__stop", F.coalesce("t_match", "__end")).drop("t_match")

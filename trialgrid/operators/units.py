@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def spike_counts(firings: DataFrame, keys: Sequence[str] = ("unit",)) -> DataFrame:
     return firings.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -82,15 +84,14 @@ def channel_offsets(samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return ranges.withColumn("__step", step).withColumn("offset", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
-def first_per_unit(df: DataFrame, keys: Sequence[str], most: int = 1000, order: str = "t") -> DataFrame:
-    """At most ``most`` rows of each unit, in order."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("__n") <= most).drop("__n")
+def first_per_unit(df: DataFrame, keys: Sequence[str], most: int = 1000, order: str = "t", *, bucket: float | None = None) -> DataFrame:
+    """At most ``most`` rows of each unit, in order; ``bucket`` is a width of the order column."""
+    return ranked(df, keys, order, "__n", bucket=bucket).where(F.col("__n") <= most).drop("__n")
 
 
-def even_thin(df: DataFrame, keys: Sequence[str], most: int = 16383, order: str = "t") -> DataFrame:
+def even_thin(df: DataFrame, keys: Sequence[str], most: int = 16383, order: str = "t", *, bucket: float | None = None) -> DataFrame:
     """At most ``most`` rows of each key, evenly spread, the first and the last among them."""
-    w = Window.partitionBy(*keys)
-    marked = df.withColumns({"__k": F.row_number().over(w.orderBy(order)), "__n": F.count("*").over(w)})
+    marked = ranked(df, keys, order, "__k", total="__n", bucket=bucket)
     # row k is taken if some j in 0..most-1 has round(1 + j (n - 1) / (most - 1)) = k
     place = lambda j: F.floor(1.5 + j * (F.col("__n") - 1) / (most - 1))
     guess = F.floor((F.col("__k") - 1) * (most - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))

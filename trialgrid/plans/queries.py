@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.bins import mean_step, soft_range, soft_range_column
-from ..operators import asof, gaze, intervals, maps, signals, surfaces, trials, units
+from ..operators import asof, gaze, intervals, maps, ordered, signals, surfaces, trials, units
 from ..sources import io
 
 HOUR = 3_600_000_000
@@ -47,8 +47,8 @@ def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = _events(spark, sf_dir, "click")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("t")) - 1
-    pairs = clicks.withColumn("k", F.floor(n / 2)).groupBy("user_id", "k")
+    numbered = ordered.ranked(clicks, ["user_id"], "t", bucket=BUCKET)
+    pairs = numbered.withColumn("k", F.floor((F.col("n") - 1) / 2)).groupBy("user_id", "k")
     return pairs.agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count("*").alias("n")).where("n = 2").select("user_id", "t_start", "t_end")
 
 
@@ -157,7 +157,7 @@ def _markers(spark, d):
 
 
 def _trials(spark, d):
-    return trials.pair_markers(_markers(spark, d), ["user_id"], order="t", check=False)
+    return trials.pair_markers(_markers(spark, d), ["user_id"], order="t", check=False, bucket=BUCKET)
 
 
 _TRIALS = f"""{_BASE},
@@ -225,7 +225,7 @@ LAGS = [6.0 * HOUR * k for k in range(9)]
 @query(f"""WITH {_BASE}, p AS (SELECT a.user_id, b.t - a.t AS lag FROM spk a JOIN spk b ON a.user_id = b.user_id AND b.t > a.t AND b.t - a.t <= {48 * HOUR}),
 c AS (SELECT user_id, CAST(ceil(lag / {6 * HOUR}) AS INTEGER) AS bin, count(*) AS n FROM p GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY user_id), 8) AS share FROM c""")
 def autocorrelogram(spark, d):
-    return intervals.autocorrelogram(spikes(spark, d), ["user_id"], LAGS, normalize=True).withColumn("share", F.round("share", 8))
+    return intervals.autocorrelogram(spikes(spark, d), ["user_id"], LAGS, normalize=True, bucket=BUCKET).withColumn("share", F.round("share", 8))
 
 
 _DAY0 = 1_704_067_200_000_000
@@ -244,10 +244,9 @@ SESSION = 512
 
 
 def _series(spark, d):
-    session = F.floor(F.col("o_orderkey") / SESSION)
-    n = F.row_number().over(Window.partitionBy("session").orderBy("o_orderkey")) - 1
-    orders = _read(spark, d, "orders").withColumn("session", session)
-    return orders.select("session", n.cast("long").alias("idx"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"), "o_orderpriority", "o_custkey")
+    orders = _read(spark, d, "orders").withColumn("session", F.floor(F.col("o_orderkey") / SESSION))
+    orders = ordered.ranked(orders.select("session", "o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey"), ["session"], "o_orderkey", bucket=SESSION / 4)
+    return orders.select("session", (F.col("n") - 1).alias("idx"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"), "o_orderpriority", "o_custkey")
 
 
 _SERIES = f"se AS (SELECT o_orderkey // {SESSION} AS session, row_number() OVER (PARTITION BY o_orderkey // {SESSION} ORDER BY o_orderkey) - 1 AS idx, CAST(round(o_totalprice * 100) AS BIGINT) AS v, o_orderpriority, o_custkey FROM orders)"
@@ -316,13 +315,13 @@ def channel_offsets(spark, d):
 @query("SELECT l_suppkey AS unit, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem) WHERE n <= 20")
 def top_rows_per_unit(spark, d):
     df = _firings(spark, d).withColumn("t", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return units.first_per_unit(df, ["unit"], 20).drop("t")
+    return units.first_per_unit(df, ["unit"], 20, bucket=1 << 16).drop("t")
 
 
 @query(f"""WITH {_SERIES}, n AS (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM se)
 SELECT session, idx, v FROM n WHERE n <= 300 OR (idx + 1) IN (SELECT floor(1.5 + j * (n.n - 1) / 299) FROM range(300) g(j))""")
 def even_thin(spark, d):
-    return units.even_thin(_series(spark, d).select("session", "idx", "v"), ["session"], 300, "idx")
+    return units.even_thin(_series(spark, d).select("session", "idx", "v"), ["session"], 300, "idx", bucket=128)
 
 
 def _space(spark, d):
@@ -491,8 +490,8 @@ def channel_pca(spark, d):
 
 def _numbered(spark, d):
     """Every user's events as one series, numbered from 0."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("t")) - 1
-    return _events(spark, d).select("user_id", n.cast("long").alias("idx"), "t", "event_type", "x", "y")
+    rows = ordered.ranked(_events(spark, d), ["user_id"], "t", bucket=BUCKET)
+    return rows.select("user_id", (F.col("n") - 1).alias("idx"), "t", "event_type", "x", "y")
 
 
 @query()
@@ -529,7 +528,7 @@ def _codes(spark, d):
 
 @query(f"WITH {_TRIALS} SELECT * FROM tr WHERE t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL")
 def trial_trios(spark, d):
-    numbered = trials.reshape_triggers(_codes(spark, d), ["user_id"], positive_only=True)
+    numbered = trials.reshape_triggers(_codes(spark, d), ["user_id"], positive_only=True, bucket=4096)
     return numbered.select("user_id", "trial", "trig1", "trig2", "trig3", "t1", "t2", "t3")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import message_marker
+from ..operators.ordered import ranked
 from ..operators.trials import reshape_triggers
 
 _NUMBER = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
@@ -30,7 +31,7 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).where(F.col("text").rlike(r"^\s*\d"))
     parts = F.split(F.trim("text"), r"\s+")
     rows = rows.select("file", "line", F.when(F.size(parts) >= 6, F.slice(parts, 2, 5)).otherwise(parts).alias("p"))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("line")).cast("long"))
+    rows = ranked(rows, ["file"], "line", "seq", bucket=F.col("line.block"))  # a bucket for each piece of a file
     return rows.select("file", "seq", *[F.col("p")[k].cast("double").alias(n) for k, n in enumerate(("marker", "dt", "x", "y", "dir"))])
 
 
