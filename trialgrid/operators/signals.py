@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_right_closed, in_bins
-from ..functions.columns import log_amplitude, phase, phase_difference
+from ..functions.columns import phase, phase_difference
 
 
 def _frequencies(n: int, fs: float, per_octave: int, low: float) -> np.ndarray:
@@ -93,16 +94,80 @@ def phase_differences(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFram
     return left.join(right, list(on)).select(*on, phase_difference(F.col("__a"), F.col("__b")).alias("difference"))
 
 
+def wavelet_kernels(size: int, fs: float, beta: float = 1.5, low: float = 1.0, per_octave: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies, and what a sample adds to the coefficients of a series of ``size`` samples: (frequency, 2 * size - 1).
+
+    Entry ``size - 1 + m`` of a row is the weight of a sample for the coefficient
+    ``m`` samples later. With zeros at both ends of a series, as many as a
+    wavelet reaches over, its coefficients are sums of samples by these weights.
+    """
+    reach = _margin(fs, beta, low)
+    impulse = np.zeros(size + 2 * reach)
+    impulse[0] = 1.0
+    freqs, answer = morlet(impulse, fs, beta, low, per_octave)
+    return freqs, answer[np.arange(1 - size, size)].T
+
+
+def _moments(size: int, fs: float):
+    """Numbers, means and summed squares about them of log amplitudes, by offset and frequency, of all windows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freqs, kernels = wavelet_kernels(size, fs)
+        n, mean, m2 = (np.zeros((len(freqs), size)) for _ in range(3))
+        lag = np.arange(size)[None, :] - np.arange(size)[:, None] + size - 1  # row: sample, column: offset
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            waves = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
+            for k in range(len(freqs) if len(waves) else 0):
+                matrix = kernels[k][lag]
+                with np.errstate(divide="ignore"):
+                    level = 0.5 * np.log((waves @ matrix.real) ** 2 + (waves @ matrix.imag) ** 2)
+                good = np.isfinite(level)
+                count = good.sum(0)
+                level = np.where(good, level, 0.0)
+                own = level.sum(0) / np.maximum(count, 1)
+                spread = (np.where(good, level - own, 0.0) ** 2).sum(0)
+                both, apart = np.maximum(n[k] + count, 1), own - mean[k]
+                m2[k] += spread + apart**2 * n[k] * count / both
+                mean[k] += apart * count / both
+                n[k] += count
+        at = np.argwhere(n > 0)
+        k, o = at[:, 0], at[:, 1]
+        yield pa.RecordBatch.from_arrays([pa.array(o.astype(np.int32)), pa.array(freqs[k]), pa.array(n[k, o].astype(np.int64)), pa.array(mean[k, o]), pa.array(m2[k, o])], names=["at", "freq", "n", "mean", "m2"])
+
+    return run
+
+
+def aligned_spectrum_of(waves: DataFrame, keys: Sequence[str], fs: float, size: int, first: int = 0, seed: int | None = None, wave: str = "wave") -> DataFrame:
+    """:func:`aligned_spectrum` of windows that are arrays of ``size`` values in one row each; ``first`` is the first offset.
+
+    A task multiplies its windows, the rows of a matrix, by the matrix of each
+    frequency's wavelet at all offsets, and sends three numbers for each offset
+    and frequency. There is no group of an event, and nothing else is shuffled.
+    """
+    held = waves.where(F.size(wave) == size)
+    row = F.col(wave).cast("array<double>")
+    if seed is not None:
+        turn = F.conv(F.substring(F.md5(F.concat_ws("|", *keys, F.lit(seed))), 1, 8), 16, 10).cast("long") % size
+        row = F.concat(F.slice(row, (size - turn + 1).cast("int"), turn.cast("int")), F.slice(row, F.lit(1), (size - turn).cast("int")))
+    parts = held.select(row.alias("w")).mapInArrow(_moments(size, fs), "at int, freq double, n long, mean double, m2 double")
+    sums = parts.groupBy("at", "freq").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("m2").alias("m2"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
+    mean = F.col("s") / F.col("n")
+    spread = F.greatest(F.col("m2") + F.col("q") - F.col("n") * mean * mean, F.lit(0.0)) / F.col("n")
+    return sums.select((F.col("at") + first).alias("offset"), "freq", mean.alias("mean"), F.sqrt(spread).alias("deviation"))
+
+
 def aligned_spectrum(windows: DataFrame, keys: Sequence[str], fs: float, seed: int | None = None) -> DataFrame:
     """Mean and population deviation of log amplitudes by (offset, freq) over events.
 
-    ``windows`` is (keys, offset, v). With ``seed`` every event's window is first
-    turned round by a number drawn from it: a control with no alignment.
+    ``windows`` is (keys, offset, v); all windows are as long as the longest, and
+    shorter ones, or ones with gaps, are left out. With ``seed`` every event's
+    window is first turned round by a number drawn from it: a control with no
+    alignment. Values of amplitude 0 have no logarithm and do not count.
     """
-    if seed is not None:
-        size = windows.agg(F.min("offset").alias("lo"), (F.max("offset") - F.min("offset") + 1).alias("n"))
-        turn = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.col("n"))
-        windows = windows.crossJoin(F.broadcast(size)).withColumn("offset", (F.pmod(F.col("offset") - F.col("lo") + turn, F.col("n")) + F.col("lo")).cast("int")).drop("lo", "n")
-    spec = spectrum(windows, keys, fs, "offset")
-    level = log_amplitude(F.col("re"), F.col("im"))
-    return spec.groupBy("offset", "freq").agg(F.avg(level).alias("mean"), F.stddev_pop(level).alias("deviation"))
+    packed = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("offset", "v"))).alias("__s"))
+    size = packed.agg(F.max(F.size("__s")), F.min(F.element_at("__s", 1)["offset"])).first()  # two numbers
+    if size[0] is None:
+        return windows.sparkSession.createDataFrame([], "offset int, freq double, mean double, deviation double")
+    waves = packed.select(*keys, F.transform("__s", lambda s: s["v"]).alias("wave"))
+    return aligned_spectrum_of(waves, keys, fs, size[0], size[1], seed)

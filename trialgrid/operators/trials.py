@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import marker_class
 from .asof import asof_join
+from .blocks import BLOCK, cut_windows
 from .ordered import between_join, in_buckets, neighbour, packed, ranked, unpacked
 
 
@@ -111,12 +112,26 @@ def shift_clock(samples: DataFrame, keys: Sequence[str], time: str = "t") -> Dat
     return samples.join(zero, list(keys)).withColumn(time, F.col(time) - F.col("__zero")).drop("__zero")
 
 
-def event_windows(samples: DataFrame, trials: DataFrame, keys: Sequence[str], before: int = 500, after: int = 500, index: str = "idx", onset: str = "i3", rewarded: Column | None = None) -> DataFrame:
+def event_windows(samples: DataFrame, trials: DataFrame, keys: Sequence[str], before: int = 500, after: int = 500, index: str = "idx", onset: str = "i3", rewarded: Column | None = None, *, block: int = BLOCK) -> DataFrame:
     """Samples around rewarded ends: index in [onset - before, onset + after), as ``offset``."""
+    values = [c for c in samples.columns if c not in (*keys, index)]
+    found = _onset_windows(samples, trials, keys, before, after, index, onset, rewarded, values, block)
+    rows = found.select(*keys, "trial", "__onset", F.explode("__window").alias("__s"))
+    return rows.select(*keys, F.col(f"__s.{index}").alias(index), "trial", (F.col(f"__s.{index}") - F.col("__onset")).cast("int").alias("offset"), *[F.col(f"__s.`{c}`").alias(c) for c in values])
+
+
+def _onset_windows(samples, trials, keys, before, after, index, onset, rewarded, values, block) -> DataFrame:
     rewarded = rewarded if rewarded is not None else (F.col("trig3") > 30) & (F.col("trig3") < 40)
     wanted = trials.where(rewarded).select(*keys, "trial", F.col(onset).alias("__onset"))
-    wanted = wanted.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after - 1)))).withColumn(index, F.col("__onset") + F.col("offset"))
-    return wanted.drop("__onset").join(samples, [*keys, index])
+    around = F.col("__onset") - before, F.col("__onset") + (after - 1)
+    return cut_windows(wanted, samples, list(keys), "__onset", index, values, before, max(after - 1, 0), *around, block=block)
+
+
+def event_waves(samples: DataFrame, trials: DataFrame, keys: Sequence[str], before: int = 500, after: int = 500, index: str = "idx", onset: str = "i3", value: str = "v", rewarded: Column | None = None, *, block: int = BLOCK) -> DataFrame:
+    """:func:`event_windows` of one value as arrays (keys, trial, wave), one row an event; windows that leave the data are dropped."""
+    found = _onset_windows(samples, trials, keys, before, after, index, onset, rewarded, [value], block)
+    wave = F.transform("__window", lambda s: s[value].cast("double")).alias("wave")
+    return found.where(F.size("__window") == before + after).select(*keys, "trial", wave)
 
 
 def count_trials(trials: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BLOCK, cut_windows
 from .ordered import ranked
 
 
@@ -47,17 +48,21 @@ def trigger_points(templates: DataFrame, keys: Sequence[str] = ("unit",)) -> Dat
     return templates.groupBy(*keys).agg(F.max_by("pt", F.struct(F.abs("v"), -F.col("pt"))).alias("trigger"), F.max("pt").alias("points"))
 
 
-def cut_waveforms(firings: DataFrame, samples: DataFrame, triggers: DataFrame, on: Sequence[str] = ("session",), unit: str = "unit") -> DataFrame:
+def cut_waveforms(firings: DataFrame, samples: DataFrame, triggers: DataFrame, on: Sequence[str] = ("session",), unit: str = "unit", *, block: int = BLOCK) -> DataFrame:
     """Waveforms (session, channel, unit, idx, wave): samples idx - trigger + 1 up to idx - trigger + points.
 
-    Spikes whose window leaves the data are dropped. Rows meet by sample number,
-    so that a task needs no more of a recording than its own share.
+    Spikes whose window leaves the data are dropped. Samples are arrays in blocks
+    with margins as wide as the widest template, and a waveform is a slice: each
+    spike is one row throughout, and samples are shuffled once.
     """
-    wanted = firings.join(triggers, unit).withColumn("pt", F.explode(F.sequence(F.lit(1), F.col("points"))))
-    wanted = wanted.withColumn("__at", F.col("idx") - F.col("trigger") + F.col("pt"))
-    found = wanted.join(samples.select(*on, "channel", F.col("idx").alias("__at"), "v"), [*on, "__at"])
-    waves = found.groupBy(*on, "channel", unit, "idx", "points").agg(F.transform(F.array_sort(F.collect_list(F.struct("pt", "v"))), lambda s: s["v"]).alias("wave"))
-    return waves.where(F.size("wave") == F.col("points")).drop("points")
+    before = triggers.agg(F.coalesce(F.max("trigger") - 1, F.lit(0))).scalar()  # two numbers of a small table
+    after = triggers.agg(F.coalesce(F.greatest(F.max(F.col("points") - F.col("trigger")), F.lit(0)), F.lit(0))).scalar()
+    first = F.col("idx") - F.col("trigger") + 1
+    wanted = firings.select(*on, unit, "idx").join(triggers, unit).withColumns({"__low": first, "__high": first + F.col("points") - 1})
+    told = samples.select(*on, "channel", F.col("idx").alias("__at"), "v")
+    found = cut_windows(wanted, told, list(on), "idx", "__at", ["v"], before, after, F.col("__low"), F.col("__high"), within=["channel"], block=block)
+    whole = found.where(F.size("__window") == F.col("points"))
+    return whole.select(*on, "channel", unit, "idx", F.transform("__window", lambda s: s["v"]).alias("wave"))
 
 
 def minmax_downsample(samples: DataFrame, keys: Sequence[str], window: int, index: str = "idx", value: str = "v") -> DataFrame:

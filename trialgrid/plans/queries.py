@@ -494,24 +494,36 @@ def _numbered(spark, d):
     return rows.select("user_id", (F.col("n") - 1).alias("idx"), "t", "event_type", "x", "y")
 
 
-@query()
+@query(f"""WITH {_BASE}, nm AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS t, x FROM ev),
+kn AS (SELECT m, 2 * 4 / (1.5 * sqrt(2 * pi())) * exp(-0.5 * power(m / 32.0::DOUBLE * 4 / 1.5, 2)) * cos(2 * pi() * 4 * m / 32.0::DOUBLE) / 32 AS w FROM range(-120, 121) r(m))
+SELECT a.user_id, a.t, round(sum(b.x * w), 6) AS v FROM nm a JOIN kn ON true JOIN nm b ON b.user_id = a.user_id AND b.t = a.t - kn.m GROUP BY ALL""")
 def wavelet_band(spark, d):
     series = _numbered(spark, d).select("user_id", F.col("idx").alias("t"), F.col("x").alias("v"))
     spec = signals.spectrum(series, ["user_id"], fs=32.0, block=4096)
     return signals.band(signals.up_to(spec, 12.0), 4.0, ["user_id"]).withColumn("v", F.round("v", 6))
 
 
-@query()
+#: Windows of 16 samples at 16 a second, with 144 zeros on either side; every fourth of an octave from 1 up to 8.
+_PAD, _WIDE = 144, 16
+_KERNEL = f"""nm AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS idx FROM ev),
+fr AS (SELECT power(2, j / 4) AS freq FROM range(13) r(j)), sp AS (SELECT freq, i * 16.0::DOUBLE / {_WIDE + 2 * _PAD} AS w, i FROM fr, range(1, {(_WIDE + 2 * _PAD) // 2}) g(i)),
+bk AS (SELECT freq, i, 2 * exp(-0.5 * power((w / freq - 1) * 2 * pi() * 1.5, 2)) AS b FROM sp),
+kn AS (SELECT freq, m, sum(b * cos(2 * pi() * i * m / {_WIDE + 2 * _PAD})) / {_WIDE + 2 * _PAD} AS re, sum(b * sin(2 * pi() * i * m / {_WIDE + 2 * _PAD})) / {_WIDE + 2 * _PAD} AS im FROM bk, range({1 - _WIDE}, {_WIDE}) q(m) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BASE}, {_KERNEL}, wd AS (SELECT e.user_id, e.idx AS trial, s.idx - e.idx AS o, s.x AS v, count(*) OVER (PARTITION BY e.user_id, e.idx) AS n FROM nm e JOIN nm s ON s.user_id = e.user_id AND s.idx BETWEEN e.idx - 8 AND e.idx + 7 WHERE e.event_type = 'purchase'),
+both_ AS (SELECT 'aligned' AS kind, user_id, trial, o + 8 AS j, v FROM wd WHERE n = 16 UNION ALL
+  SELECT 'turned', user_id, trial, (o + 8 + CAST('0x' || substr(md5(user_id || '|' || trial || '|7'), 1, 8) AS BIGINT)) % 16, v FROM wd WHERE n = 16),
+cf AS (SELECT kind, user_id, trial, kn.freq, b.j + kn.m AS spot, sum(v * re) AS re, sum(v * im) AS im FROM both_ b JOIN kn ON b.j + kn.m BETWEEN 0 AND 15 GROUP BY ALL)
+SELECT kind, CAST(spot - 8 AS INTEGER) AS "offset", freq, round(avg(ln(sqrt(re * re + im * im))), 6) AS mean, round(stddev_pop(ln(sqrt(re * re + im * im))), 6) AS deviation FROM cf GROUP BY ALL""")
 def aligned_spectrum(spark, d):
     """Log amplitudes about every purchase, and those of windows turned round."""
     series = _numbered(spark, d)
     ends = series.where("event_type = 'purchase'").select("user_id", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
-    windows = trials.event_windows(series.select("user_id", "idx", F.col("x").alias("v")), ends, ["user_id"], 8, 8).drop("idx")
-    whole = windows.groupBy("user_id", "trial").agg(F.count("*").alias("n")).where("n = 16").drop("n")
-    windows = windows.join(whole, ["user_id", "trial"], "left_semi")
+    waves = trials.event_waves(series.select("user_id", "idx", F.col("x").alias("v")), ends, ["user_id"], 8, 8)
     out = None
     for name, seed in (("aligned", None), ("turned", 7)):
-        own = signals.aligned_spectrum(windows, ["user_id", "trial"], 16.0, seed).withColumn("kind", F.lit(name))
+        own = signals.aligned_spectrum_of(waves, ["user_id", "trial"], 16.0, _WIDE, -8, seed).withColumn("kind", F.lit(name))
         out = own if out is None else out.unionByName(own)
     return out.select("kind", "offset", "freq", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
