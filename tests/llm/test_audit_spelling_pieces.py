@@ -182,7 +182,9 @@ def test_chunk_table(model):
     own = sentencepiece.SentencePieceProcessor(model_proto=model)
     text = "some  words ▁ and more\n words, 漢字  in  blocks" * 20
     for most, block in ((1 << 17, 1 << 20), (5, 7), (3, 1)):
-        assert sentencepiece_codec.ChunkTable(own, most).encode(text, block) == own.encode(text)
+        texts = [text, "", text[:50], "  "]
+        found = sentencepiece_codec.ChunkTable(own, most).encode(texts, block)
+        assert [list(memoryview(ids).cast("i")) for ids in found] == own.encode(texts)
     assert sentencepiece_codec.separable(model)
     changed = sentencepiece_model_pb2.ModelProto.FromString(model)
     changed.pieces[400].piece = "of▁the"

@@ -11,10 +11,11 @@ of every text would be shuffled, several times the input.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ _BORDER = re.compile(f"[^ {MARK}](?=[ {MARK}])")
 #: Characters of a text that are cut into chunks at a time.
 BLOCK = 1 << 20
 #: Distinct chunks that a task's table holds before it starts anew.
-TABLE = 1 << 17
+TABLE = 1 << 18
 #: Bytes of a model file that is sent to the tasks, at most.
 MODEL_BYTES = 64 << 20
 
@@ -67,8 +68,12 @@ def _blocks(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class ChunkTable:
-    """Ids of distinct chunks, segmented by the library when first seen."""
+    """Ids of distinct chunks as 4-byte numbers, segmented by the library when first seen."""
 
     def __init__(self, processor, most: int = TABLE):
         self.processor, self.most = processor, most
@@ -76,51 +81,69 @@ class ChunkTable:
 
     def _begin(self) -> None:
         # a marker alone is the piece itself; the library gives nothing for an empty string
-        self.ids = {m: [self.processor.piece_to_id(MARK)] for m in (" ", MARK)}
-
-    def encode(self, text: str, block: int = BLOCK) -> list[int]:
-        """Ids of a whole text, without an end id."""
-        if not text:
-            return []
-        found: list[int] = []
-        for part in _blocks(" " + text, block):
-            chunks = _CHUNK.findall(part)
-            new = list(set(chunks).difference(self.ids))
-            if len(self.ids) + len(new) > self.most:
-                self._begin()
-                new = list(set(chunks).difference(self.ids))
-            # the library puts a marker in front, which stands for the chunk's first
-            self.ids.update(zip(new, self.processor.encode([c[1:] for c in new], num_threads=1), strict=True))
-            found.extend(chain.from_iterable(map(self.ids.__getitem__, chunks)))
-        return found
-
-
-def _added(batches: Iterator[pa.RecordBatch], column: int, work, name: str, kind: pa.DataType, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Batches with a column that ``work`` makes of another, row by row; about ``most`` entries of it go out at a time."""
-    for batch in batches:
-        start, held, size = 0, [], 0
-        for k in range(batch.num_rows):
-            held.append(work(batch.column(column)[k].as_py()))
-            size += len(held[-1])
-            if size >= most or k == batch.num_rows - 1:
-                columns = [c.slice(start, len(held)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(held, kind)], names=[*batch.schema.names, name])
-                start, held, size = k + 1, [], 0
-
-
-def _encoding(model, chunked: bool, column: int, name: str):
+        self.ids = {m: _packed([self.processor.piece_to_id(MARK)]) for m in (" ", MARK)}
+
+    def encode(self, texts: Sequence[str], block: int = BLOCK) -> list[bytes]:
+        """Ids of whole texts, without end ids; the library is called once for a ``block`` of characters, about."""
+        found: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            for part in _blocks(" " + text, block) if text else ():
+                held.append((k, _CHUNK.findall(part)))
+                size += len(part)
+                if size >= block:
+                    self._look_up(held, found)
+                    held, size = [], 0
+        self._look_up(held, found)
+        return [b"".join(parts) for parts in found]
+
+    def _look_up(self, held: list[tuple[int, list[str]]], found: list[list[bytes]]) -> None:
+        new = set().union(*[chunks for _, chunks in held]).difference(self.ids)
+        if len(self.ids) + len(new) > self.most:
+            self._begin()
+            new = set().union(*[chunks for _, chunks in held]).difference(self.ids)
+        if new:  # the library puts a marker in front, which stands for the chunk's first
+            self.ids.update(zip(new, map(_packed, self.processor.encode([c[1:] for c in new], num_threads=1)), strict=True))
+        for k, chunks in held:
+            found[k].append(b"".join(map(self.ids.__getitem__, chunks)))
+
+
+def _encoding(model, chunked: bool, column: int, name: str, most: int = 1 << 20):
+    """Adds the arrays of ids, of about ``most`` characters of text at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = _processor(model.value)
-        encode = ChunkTable(processor).encode if chunked else processor.encode
-        return _added(batches, column, lambda text: [*encode(text or ""), processor.eos_id()], name, pa.list_(pa.int32()))
+        end = _packed([processor.eos_id()])
+        encode = ChunkTable(processor).encode if chunked else lambda texts: [_packed(processor.encode(t)) for t in texts]
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for k in range(batch.num_rows):
+                held.append(batch.column(column)[k].as_py() or "")
+                size += len(held[-1])
+                if size >= most or k == batch.num_rows - 1:
+                    each = [ids + end for ids in encode(held)]
+                    ends = np.cumsum([0, *map(len, each)]) // len(end)
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(ids)) for c in batch.columns), ids], names=[*batch.schema.names, name])
+                    start, held, size = k + 1, [], 0
 
     return run
 
 
-def _decoding(model, column: int, name: str):
+def _decoding(model, column: int, name: str, most: int = 1 << 22):
+    """Adds the decoded texts; about ``most`` characters of them go out at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = _processor(model.value)
-        return _added(batches, column, lambda ids: processor.decode(ids or []), name, pa.string())
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for k in range(batch.num_rows):
+                ids = batch.column(column)[k].values
+                held.append(processor.decode(ids.to_numpy().tolist()) if ids is not None and len(ids) else "")
+                size += len(held[-1])
+                if size >= most or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, len(held)) for c in batch.columns), pa.array(held, pa.string())], names=[*batch.schema.names, name])
+                    start, held, size = k + 1, [], 0
 
     return run
 
