@@ -373,3 +373,102 @@ def test_zip_trials(spark):
 def test_points_that_repeat_a_key_keep_their_rows(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 4.93), (2, 99.0, 0.0, 0.0)], "k int, x double, y double, z double")
     assert sorted(r.kind for r in surfaces.label_points(points, surfaces.arena_surfaces(spark), ["k"]).collect()) == ["ceiling", "floor"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_surfaces_by_a_grid(spark):
+    """10,000 surfaces: an equi-join, and the bins and labels that the extents say."""
+    rng = random.Random(7)
+    rows, kinds = [], ["pillars", "walls", "ceiling", "floor"]
+    for k in range(10_000):
+        x, y, z = (rng.uniform(0, 100) for _ in range(3))
+        thin = k % 3
+        axes = [[v, v + 0.5, v + 1.0] if a != thin else [v, v + 0.1] for a, v in enumerate((x, y, z))]
+        rows.append((k, kinds[k % 4], 1, 1, *axes, [0.0, 0.0, 1.0]))
+    points = [(k, *(rng.uniform(-5, 105) for _ in range(3))) for k in range(300)] + [(k + 300, *(a[0] for a in rows[k][4:7])) for k in range(50)] + [(999, None, 1.0, 1.0)]
+    arena = spark.createDataFrame(rows, surfaces.SURFACE_SCHEMA)
+    df = spark.createDataFrame(points, "k int, x double, y double, z double")
+    want, label = set(), {}
+    for k, *p in points:
+        if None in p:
+            continue
+        for sid, kind, _, _, *axes, _ in rows:
+            longer = [[*e, 2 * e[-1] - e[-2]] for e in axes]
+            if all(e[0] <= v < e[-1] for v, e in zip(p, longer, strict=True)):
+                want.add((k, sid, *(sum(c <= v for c in e[:]) for v, e in zip(p, axes, strict=True))))
+                label[k] = min(label.get(k, (9, 0)), (kinds.index(kind), sid))
+    out = surfaces.locate(df, arena)
+    assert {(r.k, r.surface_id, r.ix, r.iy, r.iz) for r in out.collect()} == want and len(want) > 50
+    assert {r.k: (kinds.index(r.kind), r.surface_id) for r in surfaces.label_points(df, arena, ["k"]).collect()} == label
+    for plan in (_plan(out), _plan(surfaces.label_points(df, arena, ["k"])), _plan(surfaces.surface_histogram(df, arena))):
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_distances_along_surfaces(spark):
+    """The default arena's bins: shortest ways by Dijkstra from some of them, and farther than straight lines."""
+    import heapq
+    import math
+
+    arena = surfaces.arena_surfaces(spark, 2.6, 2.6)
+    bins = {r.id: r for r in surfaces.surface_bins(arena).select(surfaces.bin_number(F.col("surface_id"), F.col("ix"), F.col("iy"), F.col("iz")).alias("id"), "surface_id", "cx", "cy", "cz").collect()}
+    half = {r.surface_id: [(e[-1] - e[0]) / (len(e) - 1) / 2 for e in (r.ex, r.ey, r.ez)] for r in arena.collect()}
+    near = {}
+    for a in bins.values():
+        for b in bins.values():
+            gap = [abs(p - q) for p, q in zip((a.cx, a.cy, a.cz), (b.cx, b.cy, b.cz), strict=True)]
+            if a.id != b.id and all(g <= p + q + 1e-6 for g, p, q in zip(gap, half[a.surface_id], half[b.surface_id], strict=True)):
+                near.setdefault(a.id, []).append((b.id, math.sqrt(sum(g * g for g in gap))))
+    assert {(r.i, r.j) for r in surfaces.adjacent_bins(arena).collect()} == {(a, b) for a, own in near.items() for b, _ in own}
+    found = {}
+    for r in surfaces.surface_distances(arena, 9.0).collect():
+        found.setdefault(r.i, {})[r.j] = r.d
+    assert len(found) == len(near)
+    for start in list(near)[::29]:
+        best, heap = {start: 0.0}, [(0.0, start)]
+        while heap:
+            d, at = heapq.heappop(heap)
+            for b, w in near[at]:
+                if d <= best[at] and d + w < best.get(b, 9.0 + 1e-9):
+                    best[b] = d + w
+                    heapq.heappush(heap, (d + w, b))
+        assert found[start].keys() == best.keys() and all(abs(found[start][b] - d) < 1e-9 for b, d in best.items())
+
+
+def test_band_is_that_of_the_spectrum(spark):
+    """One band by blocks against the whole transform, with what is carried along and a series that starts elsewhere."""
+    v = np.random.default_rng(2).normal(size=500)
+    df = spark.createDataFrame([("a", k + 1000, float(x), -k) for k, x in enumerate(v)] + [("b", 3, 2.0, 7)], "s string, idx long, v double, t int")
+    whole = signals.band(signals.spectrum(df.where("s = 'a'"), ["s"], 64.0, "idx"), 5.0, ["s"], "idx")
+    want = {r.idx: r.v for r in whole.collect()}
+    got = signals.band_signal(df, ["s"], 64.0, 5.0, carried=["t"], block=64).collect()
+    assert {r.idx for r in got if r.s == "a"} == want.keys() and max(abs(want[r.idx] - r.v) for r in got if r.s == "a") < 1e-5
+    assert all(r.t == 1000 - r.idx for r in got if r.s == "a") and len(got) == 501
+
+
+def test_windows_are_slices(spark):
+    """Blocks with margins give every window, also where numbers are missing or repeated; one shuffle of the samples, no pairs by sample."""
+    rng = random.Random(3)
+    numbers = {"whole": list(range(200)), "gaps": sorted(rng.sample(range(200), 120)), "twice": sorted([*range(200), 50, 51])}
+    df = spark.createDataFrame([(s, i, i * 10) for s, own in numbers.items() for i in own], "s string, idx long, v int")
+    ends = spark.createDataFrame([(s, k, k, 35) for s in numbers for k in range(-3, 205, 4)] + [("none", 1, 1, 35), ("whole", 1, None, 35), ("whole", 2, 2, 41)], "s string, trial int, i3 long, trig3 int")
+    out = trials.event_windows(df, ends, ["s"], 4, 5, block=16)
+    assert _plan(out).count("Exchange") == 2  # the samples' and the events'
+    want = sorted((s, k, i, i - k, i * 10) for s, own in numbers.items() for k in range(-3, 205, 4) for i in own if k - 4 <= i < k + 5)
+    assert sorted((r.s, r.trial, r.idx, r.offset, r.v) for r in out.collect()) == want
+    waves = trials.event_waves(df, ends, ["s"], 4, 5, block=16).where("s = 'whole'").collect()
+    assert {r.trial: r.wave for r in waves} == {k: [10.0 * i for i in range(k - 4, k + 5)] for k in range(-3, 205, 4) if k >= 4 and k + 5 <= 200}
+
+
+def test_streams_of_a_trial(spark):
+    """Each stream is cut on its own numbering and margin, and zeroed at its own first row."""
+    fast = spark.createDataFrame([(1, k, 1000 + 2 * k, k) for k in range(100)], "s int, idx long, t long, v int")
+    slow = spark.createDataFrame([(1, k, 50 * k, k) for k in range(10)], "s int, idx long, t long, x int")
+    cut = trials.cut_streams(["s"], {
+        "fast": trials.Stream(fast, spark.createDataFrame([(1, 1, 10, 20), (1, 2, 95, 99), (1, 3, 200, 300)], "s int, trial int, i1 long, i3 long"), margin=3),
+        "slow": trials.Stream(slow, spark.createDataFrame([(1, 1, 0, 2)], "s int, trial int, i1 long, i3 long"), margin=1),
+    })
+    assert sorted((r.trial, r.idx, r.t) for r in cut["fast"].collect()) == [(1, k, 2 * (k - 10)) for k in range(7, 24)] + [(2, k, 2 * (k - 95)) for k in range(92, 100)]
+    assert sorted((r.trial, r.idx, r.t) for r in cut["slow"].collect()) == [(1, k, 50 * k) for k in range(4)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.bins import Edges, bin_left_closed, bin_right_closed, in_bins
 from .asof import asof_join
 from .ordered import neighbour
+from .signals import band_signal
+from .trials import Stream, cut_streams
 
 
 def bin_xy(df: DataFrame, xedges: Sequence[float], yedges: Sequence[float], x: str = "x", y: str = "y", *, right_closed: bool = False) -> DataFrame:
@@ -132,3 +135,22 @@ def signal_map(signal: DataFrame, positions: DataFrame, keys: Sequence[str], xed
     placed = asof_join(signal.select(*keys, "t", F.col(value).alias("__v")), positions, keys, bucket=bucket)
     shares = fraction_map(placed, xedges, yedges, F.abs(F.col("__v")))
     return preference_map(shares, fraction_map(placed, xedges, yedges))
+
+
+def band_map(positions: Stream, signal: Stream, keys: Sequence[str], fs: float, frequency: float | None, xedges: Sequence[float], yedges: Sequence[float], value: str = "v", *, block: int = 4096) -> DataFrame:
+    """Where a band of a signal is strong: (ix, iy, n, share, occ_share, preference) over all trials.
+
+    Both streams are cut by trial, each on its own clock. The band is that of
+    each trial's piece of signal by itself; without a ``frequency`` the signal
+    stands for it. A sample falls where the trial's first position at or after
+    it is, and weighs by its absolute value; ``occ_share`` is the share of the
+    trials' positions.
+    """
+    keys = [*keys, "trial"]
+    cut = cut_streams(keys[:-1], {"positions": positions, "signal": signal})
+    told = cut["signal"].withColumnRenamed(value, "v")
+    if frequency is not None:
+        told = band_signal(told, keys, fs, frequency, signal.index, "v", [signal.time], block=block)
+    placed = asof_join(told.select(*keys, F.col(signal.time).alias("t"), F.col("v").alias("__v")), cut["positions"].withColumnRenamed(positions.time, "t"), keys, bucket=math.inf)
+    shares = fraction_map(placed, xedges, yedges, F.abs(F.col("__v")))
+    return preference_map(shares, fraction_map(cut["positions"], xedges, yedges))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import bin_right_closed, in_bins
 from ..functions.columns import phase, phase_difference
+from .blocks import BLOCK, halo_blocks
 
 
 def _frequencies(n: int, fs: float, per_octave: int, low: float) -> np.ndarray:
@@ -79,6 +80,39 @@ def band(spec: DataFrame, frequency: float, keys: Sequence[str], time: str = "t"
     return spec.where(F.col("freq") >= frequency).groupBy(*keys, time).agg(F.min_by("re", "freq").alias("v"))
 
 
+def band_signal(samples: DataFrame, keys: Sequence[str], fs: float, frequency: float, index: str = "idx", value: str = "v", carried: Sequence[str] = (), beta: float = 1.5, low: float = 1.0, per_octave: int = 4, *, block: int = BLOCK) -> DataFrame:
+    """One band of each key's series: (keys, index, carried, v), the real part at the first frequency of the grid at or above ``frequency``.
+
+    It is :func:`band` of :func:`spectrum`, but no other frequency is computed:
+    the series are arrays in blocks with margins as wide as the wavelet, and a
+    task folds each block with the wavelet. Numbers go up by one and start
+    anywhere; zeros follow at both ends of a series, and stand in its gaps.
+    """
+    freq = low * 2.0 ** (int(np.ceil(np.log2(frequency / low) * per_octave - 1e-9)) / per_octave)
+    reach = int(np.ceil((REACH + 2) * beta / freq * fs))
+    at = np.arange(-reach, reach + 1) / fs
+    # the wavelet in time: a Gaussian of width beta / freq under a carrier
+    kernel = 2 * freq / (beta * np.sqrt(2 * np.pi)) * np.exp(-0.5 * (at * freq / beta) ** 2) * np.cos(2 * np.pi * freq * at) / fs
+    keys, carried = list(keys), list(carried)
+    held = halo_blocks(samples, keys, index, [value, *carried], reach, reach, block=block)
+    cells = held.select(*keys, "__block", F.col(f"__samples.{index}").alias("__i"), F.transform("__samples", lambda s: s[value].cast("double")).alias("__v"), "__samples")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for numbers, values in zip(batch.column("__i"), batch.column("__v"), strict=True):
+                i, v = numbers.values.to_numpy(), np.nan_to_num(values.values.to_numpy(zero_copy_only=False).astype(float))
+                series = np.zeros(i[-1] - i[0] + 1)
+                np.add.at(series, i - i[0], v)
+                out.append(np.convolve(series, kernel)[reach : reach + len(series)][i - i[0]])
+            yield batch.drop_columns(["__i", "__v"]).append_column("__b", pa.array(out, pa.list_(pa.float64())))
+
+    shape = cells.drop("__i", "__v").withColumn("__b", F.lit(None).cast("array<double>")).schema
+    rows = cells.mapInArrow(folded, shape).select(*keys, "__block", F.explode(F.arrays_zip("__samples", "__b")).alias("__z"))
+    own = rows.where(F.floor(F.col(f"__z.__samples.{index}") / block) == F.col("__block"))
+    return own.select(*keys, F.col(f"__z.__samples.{index}").alias(index), *[F.col(f"__z.__samples.{c}").alias(c) for c in carried], F.col("__z.__b").alias("v"))
+
+
 def up_to(spec: DataFrame, frequency: float) -> DataFrame:
     return spec.where(F.col("freq") <= frequency)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_left_closed, mean_step, soft_range
+from ..sources.io import remove, written
 from .ordered import neighbour
 
 SURFACE_SCHEMA = "surface_id int, kind string, obj int, side int, ex array<double>, ey array<double>, ez array<double>, normal array<float>"
@@ -130,15 +131,43 @@ def _longer(surfaces: DataFrame) -> DataFrame:
     return out.withColumns({f"{c}{k}": F.element_at(f"e{c}", at) for c in "xyz" for k, at in ((0, 1), (1, -1))})
 
 
+class _Grid:
+    """A grid of cells over the extent of all surfaces: about as many cells as there are surfaces."""
+
+    def __init__(self, surfaces: DataFrame):
+        self.surfaces = _longer(surfaces)
+        stats = self.surfaces.agg(F.ceil(F.cbrt(F.count("*"))).cast("double").alias("n"), *[f(f"{c}{k}").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
+        self.lows = {c: stats.select(f"{c}0").scalar() for c in "xyz"}  # six numbers
+        self.widths = {c: stats.select(((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("n")).alias("w")).scalar() for c in "xyz"}
+
+    def cell(self, c: str, at: Column) -> Column:
+        return F.floor(F.try_divide(at - self.lows[c], self.widths[c]))
+
+    def listed(self) -> DataFrame:
+        """Surfaces by each cell (gx, gy, gz) that their extent touches."""
+        out = self.surfaces
+        for c in "xyz":
+            out = out.withColumn(f"g{c}", F.explode(F.sequence(self.cell(c, F.col(f"{c}0")), self.cell(c, F.col(f"{c}1")))))
+        return out
+
+    def placed(self, points: DataFrame) -> DataFrame:
+        """Points as ``__p`` with their cell; those beyond all surfaces have cells that no surface touches."""
+        return points.select(F.struct("*").alias("__p"), *[self.cell(c, F.col(c).cast("double")).alias(f"g{c}") for c in "xyz"])
+
+
+_CELL = ["gx", "gy", "gz"]
+
+
 def locate(points: DataFrame, surfaces: DataFrame) -> DataFrame:
     """Points with every surface bin that holds them; a point can lie in several.
 
-    One more bin is appended to every axis. Surfaces are a fixed, small table:
-    a point is compared with their extents, and its bins are found in those that
-    hold it alone.
+    One more bin is appended to every axis. Surfaces are listed by the cells of a
+    grid that their extents touch and meet the points of these cells alone, by
+    an equi-join, which Spark broadcasts if the list is small enough for it.
     """
+    grid = _Grid(surfaces)
     inside = [(F.col(f"__p.{c}") >= F.col(f"{c}0")) & (F.col(f"__p.{c}") < F.col(f"{c}1")) for c in "xyz"]
-    out = points.select(F.struct("*").alias("__p")).join(F.broadcast(_longer(surfaces)), inside[0] & inside[1] & inside[2])
+    out = grid.placed(points).join(grid.listed(), _CELL).where(inside[0] & inside[1] & inside[2])
     number = {f"i{c}": bin_left_closed(F.col(f"__p.{c}"), F.col(f"e{c}")) for c in "xyz"}
     return out.select("__p.*", "surface_id", "kind", "obj", "side", *[v.alias(k) for k, v in number.items()])
 
@@ -152,20 +181,22 @@ def surface_histogram(points: DataFrame, surfaces: DataFrame, weight: str | None
 def label_points(points: DataFrame, surfaces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One label per point (keys..., kind, surface_id, ix, iy, iz); points on no surface are left out.
 
-    All surfaces go along with every point as one array, so points are neither
-    paired nor shuffled, and those that repeat a key keep a row each.
+    Each cell of a grid has its surfaces as one array, the kinds that come first
+    in front, and a point meets its cell's alone: rows are neither paired nor
+    multiplied, and those that repeat a key keep a row each.
     """
+    grid = _Grid(surfaces)
     rank = F.array_position(F.array(*[F.lit(k) for k in PRIORITY]), F.col("kind"))
     fields = ["surface_id", "kind", "ex", "ey", "ez", *[f"{c}{k}" for c in "xyz" for k in (0, 1)]]
-    all_ = _longer(surfaces).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), *fields))).alias("__s"))
+    cells = grid.listed().groupBy(*_CELL).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), *fields))).alias("__s"))
 
     def holds(s: Column) -> Column:
-        held = [(F.col(c) >= s[f"{c}0"]) & (F.col(c) < s[f"{c}1"]) for c in "xyz"]
+        held = [(F.col(f"__p.{c}") >= s[f"{c}0"]) & (F.col(f"__p.{c}") < s[f"{c}1"]) for c in "xyz"]
         return held[0] & held[1] & held[2]
 
-    out = points.crossJoin(F.broadcast(all_)).withColumn("__l", F.get(F.filter("__s", holds), F.lit(0))).where("__l is not null")
-    bins = [bin_left_closed(F.col(c), F.col(f"__l.e{c}")).alias(f"i{c}") for c in "xyz"]
-    return out.select(*keys, F.col("__l.kind").alias("kind"), F.col("__l.surface_id").alias("surface_id"), *bins)
+    out = grid.placed(points).join(cells, _CELL).withColumn("__l", F.get(F.filter("__s", holds), F.lit(0))).where("__l is not null")
+    bins = [bin_left_closed(F.col(f"__p.{c}"), F.col(f"__l.e{c}")).alias(f"i{c}") for c in "xyz"]
+    return out.select(*[F.col(f"__p.`{k}`").alias(k) for k in keys], F.col("__l.kind").alias("kind"), F.col("__l.surface_id").alias("surface_id"), *bins)
 
 
 def dwell_histogram(gaze: DataFrame, surfaces: DataFrame, keys: Sequence[str], time: str = "t", *, fixations_only: bool = False, by: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
@@ -219,6 +250,69 @@ def bin_distances(bins: DataFrame, cutoff: float, key: str = "bin_id") -> DataFr
     return left.join(right, ["kx", "ky", "kz"]).select("i", "j", F.sqrt(d2).alias("d")).where(F.col("d") <= cutoff)
 
 
+def bin_number(surface: Column, ix: Column, iy: Column, iz: Column) -> Column:
+    """One number for a surface bin; an axis has fewer than 4,096 bins."""
+    return ((surface.cast("long") * 4096 + ix) * 4096 + iy) * 4096 + iz
+
+
+def adjacent_bins(surfaces: DataFrame) -> DataFrame:
+    """Bins that touch, on one surface or across an edge that two share, both ways: (i, j, d), with d between their centres.
+
+    Bins are dealt into cells twice as wide as the widest half bin, so those
+    that touch lie in the same cell or in one beside it.
+    """
+    steps = surfaces.select("surface_id", *[(mean_step(F.col(f"e{c}")) / 2).alias(f"h{c}") for c in "xyz"])
+    cell = steps.agg((F.max(F.greatest("hx", "hy", "hz")) * 2 + 1e-6).alias("w")).scalar()  # one number of a small table
+    bins = surface_bins(surfaces).join(steps, "surface_id")
+    named = bins.select(bin_number(F.col("surface_id"), F.col("ix"), F.col("iy"), F.col("iz")).alias("id"), *[f"{k}{c}" for k in "ch" for c in "xyz"], *[F.floor(F.col(f"c{c}") / cell).alias(f"k{c}") for c in "xyz"])
+    left = named.select(F.col("id").alias("i"), *[F.col(f"{k}{c}").alias(f"a{k}{c}") for k in "ch" for c in "xyz"], "kx", "ky", "kz")
+    right = named.select(F.col("id").alias("j"), *[F.col(f"{k}{c}").alias(f"b{k}{c}") for k in "ch" for c in "xyz"], "kx", "ky", "kz")
+    for c in "xyz":
+        right = right.withColumn("__o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"k{c}", F.col(f"k{c}") + F.col("__o")).drop("__o")
+    touch = [F.abs(F.col(f"ac{c}") - F.col(f"bc{c}")) <= F.col(f"ah{c}") + F.col(f"bh{c}") + 1e-6 for c in "xyz"]
+    d2 = sum(((F.col(f"ac{c}") - F.col(f"bc{c}")) * (F.col(f"ac{c}") - F.col(f"bc{c}")) for c in "xyz"), F.lit(0.0))
+    return left.join(right, ["kx", "ky", "kz"]).where((F.col("i") != F.col("j")) & touch[0] & touch[1] & touch[2]).select("i", "j", F.sqrt(d2).alias("d"))
+
+
+def path_distances(edges: DataFrame, cutoff: float) -> DataFrame:
+    """Lengths (i, j, d) of the shortest ways along edges (i, j, d), up to ``cutoff``, both ends of an edge and i = j included.
+
+    All sources go forward together: each round lengthens the ways found last
+    by one edge, keeps the least for each pair, and goes on with those that got
+    shorter. Rounds are written to the shared folder; there are as many as a
+    shortest way has edges, at most, and no more rows than pairs in reach.
+    """
+    spark = edges.sparkSession
+    shape = "i long, j long, d double, fresh boolean"
+    steps = written(edges.where(F.col("d") <= cutoff).select("i", F.col("j").alias("k"), F.col("d").alias("w")), "edges", "parquet")
+    step = spark.read.schema("i long, k long, w double").parquet(steps)
+    ends = step.select(F.col("i")).union(step.select(F.col("k"))).distinct()
+    path = written(ends.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh")), "paths", "parquet")
+    while True:
+        held = spark.read.schema(shape).parquet(path)
+        if not held.where("fresh").take(1):
+            return held.select("i", "j", "d")
+        on = step.withColumnRenamed("i", "j")
+        found = held.where("fresh").join(on, "j").select("i", F.col("k").alias("j"), (F.col("d") + F.col("w")).alias("n")).where(F.col("n") <= cutoff)
+        least = found.groupBy("i", "j").agg(F.min("n").alias("n"))
+        better = F.col("d").isNull() | (F.col("n") < F.col("d") - 1e-12)
+        merged = held.drop("fresh").join(least, ["i", "j"], "full").select("i", "j", F.when(better, F.coalesce("n", "d")).otherwise(F.col("d")).alias("d"), F.coalesce(better & F.col("n").isNotNull(), F.lit(False)).alias("fresh"))
+        before, path = path, written(merged, "paths", "parquet")
+        remove(spark, before)
+
+
+def surface_distances(surfaces: DataFrame, cutoff: float) -> DataFrame:
+    """Distances (i, j, d) of bins along the surfaces, from centre to centre of bins that touch, up to ``cutoff``."""
+    return path_distances(adjacent_bins(surfaces), cutoff)
+
+
+def bin_weights(hist: DataFrame, surfaces: DataFrame, value: str = "weight") -> DataFrame:
+    """A histogram by the bins of :func:`surface_bins` (bin_id, value): both layers of a thin axis count as its one bin."""
+    thin = surfaces.select("surface_id", *[(F.size(f"e{c}") == 2).alias(f"t{c}") for c in "xyz"])
+    at = [F.when(F.col(f"t{c}"), F.lit(1)).otherwise(F.col(f"i{c}")) for c in "xyz"]
+    return hist.join(thin, "surface_id").groupBy(bin_number(F.col("surface_id"), *at).alias("bin_id")).agg(F.sum(value).alias(value))
+
+
 def kernel_smooth(values: DataFrame, distances: DataFrame, sigma: float = 5.5, key: str = "bin_id", value: str = "weight") -> DataFrame:
     """``sum_j exp(-d_ij**2 / (2 sigma**2)) value_j`` for every bin i that a distance leads to."""
     weight = F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,11 +102,48 @@ def index_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], ind
 
 def clamped_window(samples: DataFrame, trials: DataFrame, keys: Sequence[str], index: str = "idx", margin: int = 1000, start: str = "i1", end: str = "i3", *, bucket: float | None = None) -> DataFrame:
     """Rows whose number lies within ``margin`` of a trial's rows, cut at the ends of the data."""
+    return _clamped(samples, trials, keys, index, margin, start, end, [], bucket)
+
+
+def _clamped(samples: DataFrame, trials: DataFrame, keys: Sequence[str], index: str, margin: int, start: str, end: str, carried: Sequence[str], bucket: float | None) -> DataFrame:
     limits = samples.groupBy(*keys).agg(F.min(index).alias("__lo"), F.max(index).alias("__hi"))
-    bounds = trials.join(limits, list(keys)).select(*keys, "trial", F.greatest(F.col(start) - margin, "__lo").alias("__a"), F.least(F.col(end) + margin, "__hi").alias("__b"))
+    bounds = trials.join(limits, list(keys)).select(*keys, "trial", *carried, F.greatest(F.col(start) - margin, "__lo").alias("__a"), F.least(F.col(end) + margin, "__hi").alias("__b"))
     return between_join(samples, bounds, keys, index, "__a", "__b", bucket=bucket).drop("__a", "__b")
 
 
+@dataclass(frozen=True)
+class Stream:
+    """A stream of rows with its own numbering and clock, and the trials in its row numbers.
+
+    ``samples`` is (keys, ``index``, ``time``, values) and ``trials`` (keys,
+    trial, i1, i3): the rows at which a trial begins and ends in this stream.
+    ``margin`` rows more are taken on either side, as far as there are any.
+    """
+
+    samples: DataFrame
+    trials: DataFrame
+    index: str = "idx"
+    time: str = "t"
+    margin: int = 0
+    bucket: float | None = None
+
+
+def cut_streams(keys: Sequence[str], streams: Mapping[str, Stream]) -> dict[str, DataFrame]:
+    """Every stream cut by trial: (keys, trial, index, time, values), time zeroed at the row with which the trial begins.
+
+    Each stream is cut on its own numbering (see :func:`clamped_window`), so
+    streams of different rates meet on (keys, trial) and time in the trial.
+    Trials that begin at a row which is not there are left out.
+    """
+    keys, out = list(keys), {}
+    for name, s in streams.items():
+        starts = s.samples.select(*keys, F.col(s.index).alias("i1"), F.col(s.time).alias("__zero"))
+        bounds = s.trials.select(*keys, "trial", "i1", "i3").join(starts, [*keys, "i1"])
+        cut = _clamped(s.samples, bounds, keys, s.index, s.margin, "i1", "i3", ["__zero"], s.bucket)
+        out[name] = cut.withColumn(s.time, F.col(s.time) - F.col("__zero")).drop("__zero")
+    return out
+
+
 def shift_clock(samples: DataFrame, keys: Sequence[str], time: str = "t") -> DataFrame:
     """Samples with time zeroed at their first, to fit trials whose clock starts at the first trial."""
     zero = samples.groupBy(*keys).agg(F.min(time).alias("__zero"))

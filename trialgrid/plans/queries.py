@@ -395,6 +395,25 @@ def kernel_smooth(spark, d):
     return surfaces.kernel_smooth(bins, surfaces.bin_distances(bins, 120.0), 40.0).withColumn("smooth", F.round("smooth", 6))
 
 
+#: Bins of the arena's surfaces, one across a thin axis, and the ways along them.
+_WAYS = """bn AS (SELECT surface_id, ix, iy, iz, ((surface_id::BIGINT * 4096 + ix) * 4096 + iy) * 4096 + iz AS id, ex[ix] + hx AS cx, ey[iy] + hy AS cy, ez[iz] + hz AS cz, hx, hy, hz FROM
+  (SELECT *, (ex[-2] - ex[1]) / (len(ex) - 2) / 2 AS hx, (ey[-2] - ey[1]) / (len(ey) - 2) / 2 AS hy, (ez[-2] - ez[1]) / (len(ez) - 2) / 2 AS hz FROM sf),
+  range(1, 60) a(ix), range(1, 60) b(iy), range(1, 60) c(iz) WHERE ix <= CASE len(ex) WHEN 3 THEN 1 ELSE len(ex) - 1 END AND iy <= CASE len(ey) WHEN 3 THEN 1 ELSE len(ey) - 1 END AND iz <= CASE len(ez) WHEN 3 THEN 1 ELSE len(ez) - 1 END),
+ed AS (SELECT a.id AS i, b.id AS j, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.cz - b.cz) ** 2) AS w FROM bn a JOIN bn b ON a.id <> b.id
+  AND abs(a.cx - b.cx) <= a.hx + b.hx + 1e-6 AND abs(a.cy - b.cy) <= a.hy + b.hy + 1e-6 AND abs(a.cz - b.cz) <= a.hz + b.hz + 1e-6),
+ways(i, j, d) USING KEY (i, j) AS (SELECT id, id, 0.0::DOUBLE FROM bn UNION
+  SELECT ways.i, ed.j, min(ways.d + ed.w) FROM ways JOIN ed ON ed.i = ways.j LEFT JOIN recurring.ways r ON r.i = ways.i AND r.j = ed.j WHERE ways.d + ed.w <= 3.0 AND (r.d IS NULL OR ways.d + ed.w < r.d - 1e-12) GROUP BY ways.i, ed.j)"""
+
+
+@query(f"""WITH RECURSIVE {_surface_sql()}, {_WAYS}, h AS (SELECT ((surface_id::BIGINT * 4096 + CASE nx WHEN 3 THEN 1 ELSE ix END) * 4096 + CASE ny WHEN 3 THEN 1 ELSE iy END) * 4096 + CASE nz WHEN 3 THEN 1 ELSE iz END AS id, count(*) AS weight FROM ins GROUP BY ALL)
+SELECT ways.i AS bin_id, round(sum(exp(-ways.d * ways.d / (2 * 1.5 * 1.5)) * h.weight), 6) AS smooth FROM ways JOIN h ON h.id = ways.j GROUP BY ways.i""")
+def surface_smooth(spark, d):
+    """Points by surface bin, smoothed over distances along the surfaces."""
+    arena = surfaces.arena_surfaces(spark, 1.25)
+    weights = surfaces.bin_weights(surfaces.surface_histogram(_space(spark, d), arena), arena)
+    return surfaces.kernel_smooth(weights, surfaces.surface_distances(arena, 3.0), 1.5).withColumn("smooth", F.round("smooth", 6))
+
+
 @query(f"""WITH {_MAPS}, k(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)), g AS (SELECT a.i AS ix, b.i AS iy FROM range(1, 11) a(i), range(1, 11) b(i))
 SELECT CAST(g.ix AS INTEGER) AS ix, CAST(g.iy AS INTEGER) AS iy, round(sum(0.2 * weight), 8) AS smooth FROM g, k JOIN cnt ON cnt.ix = greatest(1, least(10, g.ix + dx)) AND cnt.iy = greatest(1, least(10, g.iy + dy)) GROUP BY ALL""")
 def disk_smooth(spark, d):
@@ -528,6 +547,48 @@ def aligned_spectrum(spark, d):
     return out.select("kind", "offset", "freq", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
+#: Signal rows are all of a user's events, position rows the views; each is numbered by itself.
+_STREAMS = f"""nm AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS idx FROM ev), pn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS idx FROM pos),
+st AS (SELECT user_id, idx // 16 AS trial, idx AS i1, idx + 9 AS i3, t AS t1, (SELECT t FROM nm e WHERE e.user_id = nm.user_id AND e.idx = nm.idx + 9) AS t3 FROM nm WHERE idx % 16 = 0),
+sg AS (SELECT s.user_id, s.trial, n.idx, n.t - s.t1 AS t, n.x AS v FROM st s JOIN nm n ON n.user_id = s.user_id AND n.idx BETWEEN s.i1 - 5 AND s.i3 + 5 WHERE s.t3 IS NOT NULL),
+pt AS (SELECT s.user_id, s.trial, min(p.idx) AS i1, max(p.idx) AS i3, min(p.t) AS zero FROM st s JOIN pn p ON p.user_id = s.user_id AND p.t BETWEEN s.t1 AND s.t3 GROUP BY ALL),
+po AS (SELECT p.user_id, p.trial, n.t - p.zero AS t, n.x, n.y FROM pt p JOIN pn n ON n.user_id = p.user_id AND n.idx BETWEEN p.i1 - 1 AND p.i3 + 1),
+kn AS (SELECT m, 2 * 4 / (1.5 * sqrt(2 * pi())) * exp(-0.5 * power(m / 32.0::DOUBLE * 4 / 1.5, 2)) * cos(2 * pi() * 4 * m / 32.0::DOUBLE) / 32 AS w FROM range(-40, 41) r(m)),
+bd AS (SELECT a.user_id, a.trial, a.t, sum(b.v * w) AS v FROM sg a JOIN sg b ON b.user_id = a.user_id AND b.trial = a.trial JOIN kn ON kn.m = a.idx - b.idx GROUP BY a.user_id, a.trial, a.t, a.idx)"""
+
+
+def _streams(spark, d) -> tuple[trials.Stream, trials.Stream]:
+    signal, places = _numbered(spark, d), ordered.ranked(positions(spark, d), ["user_id"], "t", "idx", bucket=BUCKET).withColumn("idx", F.col("idx") - 1)
+    rows = _row_trials(spark, d)
+    times = rows.join(signal.select("user_id", F.col("idx").alias("i1"), F.col("t").alias("t1")), ["user_id", "i1"]).join(signal.select("user_id", F.col("idx").alias("i3"), F.col("t").alias("t3")), ["user_id", "i3"])
+    inside = ordered.between_join(places.select("user_id", "idx", "t"), times.select("user_id", "trial", "t1", "t3"), ["user_id"], "t", "t1", "t3", bucket=BUCKET)
+    own = inside.groupBy("user_id", "trial").agg(F.min("idx").alias("i1"), F.max("idx").alias("i3"))
+    return trials.Stream(places, own, margin=1, bucket=4096), trials.Stream(signal.select("user_id", "idx", "t", F.col("x").alias("v")), rows, margin=5, bucket=4096)
+
+
+@query(f"""WITH {_BASE}, {_STREAMS} SELECT user_id, trial, 'signal' AS stream, count(*) AS n, CAST(sum(t) AS BIGINT) AS total FROM sg GROUP BY ALL
+UNION ALL SELECT user_id, trial, 'positions', count(*), CAST(sum(t) AS BIGINT) FROM po GROUP BY ALL""")
+def trial_streams(spark, d):
+    """Two streams of their own numbering and clock cut to the same trials, with margins of their own."""
+    places, signal = _streams(spark, d)
+    out = None
+    for name, cut in trials.cut_streams(["user_id"], {"signal": signal, "positions": places}).items():
+        own = cut.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total")).select("user_id", "trial", F.lit(name).alias("stream"), "n", "total")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""WITH {_BASE}, {_STREAMS}, k AS (SELECT bd.v, po.x, po.y FROM bd ASOF JOIN po ON po.user_id = bd.user_id AND po.trial = bd.trial AND bd.t <= po.t),
+c AS (SELECT {_RIGHT}, sum(abs(v)) AS n FROM k WHERE {_RINSIDE} GROUP BY ALL), o AS (SELECT {_RIGHT}, count(*) AS n FROM po WHERE {_RINSIDE} GROUP BY ALL),
+f AS (SELECT *, n / sum(n) OVER () AS share FROM c), g AS (SELECT *, n / sum(n) OVER () AS occ FROM o)
+SELECT f.ix, f.iy, round(share, 8) AS share, round(occ, 9) AS occ_share, round(share / occ, 6) AS preference FROM f JOIN g ON g.ix = f.ix AND g.iy = f.iy""")
+def band_map(spark, d):
+    """Where the four-a-second band of each trial's signal is strong."""
+    places, signal = _streams(spark, d)
+    out = maps.band_map(places, signal, ["user_id"], 32.0, 4.0, XEDGES, YEDGES)
+    return out.select("ix", "iy", F.round("share", 8).alias("share"), F.round("occ_share", 9).alias("occ_share"), F.round("preference", 6).alias("preference"))
+
+
 def _codes(spark, d):
     """Markers of all whole trials in trios, after one session marker, among others that mean nothing."""
     whole = _trials(spark, d).dropna(subset=["t1", "t2", "t3"])

@@ -176,6 +176,12 @@ def written(df: DataFrame, label: str, form: str, by: Sequence[str] = ()) -> str
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`written` made and that a later one has replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def gaze_coordinates(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Screen limits from each session's first GAZE_COORDS message (keys, x0, y0, x1, y1)."""
     first = events.where(F.col("message").startswith("GAZE_COORDS")).groupBy(*keys).agg(F.min_by("message", "seq").alias("m"))
