@@ -472,3 +472,23 @@ def test_streams_of_a_trial(spark):
     })
     assert sorted((r.trial, r.idx, r.t) for r in cut["fast"].collect()) == [(1, k, 2 * (k - 10)) for k in range(7, 24)] + [(2, k, 2 * (k - 95)) for k in range(92, 100)]
     assert sorted((r.trial, r.idx, r.t) for r in cut["slow"].collect()) == [(1, k, 50 * k) for k in range(4)]
+
+
+def test_wide_features(spark):
+    """4,000 values a row, more than one pass: equal to numpy, by group, with nothing joined."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 20)) @ np.diag(np.linspace(9, 1, 20)) @ rng.normal(size=(20, 4000)) + rng.normal(size=(90, 4000)) + rng.normal(size=4000)
+    df = spark.createDataFrame([(k, k % 2, w.tolist()) for k, w in enumerate(x)] + [(99, 0, None)], "id int, channel int, wave array<double>").repartition(3).cache()
+
+    def told(found):
+        return np.abs(np.array([r.features for r in sorted(found.collect(), key=lambda r: r.id)]))
+
+    c = x - x.mean(0)
+    found = units.pca_features(df, "id")
+    assert np.allclose(told(found), np.abs(c @ np.linalg.svd(c, full_matrices=False)[2][:3].T), rtol=0, atol=1e-6)
+    assert np.allclose(told(units.svd_features(df, "id")), np.abs(np.linalg.svd(x, full_matrices=False)[0][:, :3]), rtol=0, atol=1e-6)
+    assert "Join" not in _plan(found) and "Exchange" not in _plan(found).replace("Exchange RoundRobin", "").split("InMemory")[0]
+    each = units.features_by_channel(df, "id", method="svd")
+    for channel in (0, 1):
+        own = x[channel::2]
+        assert np.allclose(told(each.where(f"channel = {channel}")), np.abs(np.linalg.svd(own, full_matrices=False)[0][:, :3]), rtol=0, atol=1e-6)

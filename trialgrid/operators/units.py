@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, cut_windows
+from .factors import project
 from .ordered import ranked
 
 
@@ -117,75 +116,16 @@ def concatenate(parts: Sequence[tuple[DataFrame, DataFrame]], unit: str = "unit"
     return templates, firings
 
 
-def _gram(batches):
-    """Sums of products, sums and counts of a task's waveforms by group, as (__g, i, j, v); row 0 and column 0 stand for 1."""
-    held: dict = {}
-    for batch in batches:
-        for g, wave in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if wave.is_valid:
-                held.setdefault(g, []).append(np.asarray(wave.values.to_numpy(zero_copy_only=False), float))
-        for g in [g for g, rows in held.items() if len(rows) > 1]:
-            held[g] = _added(held[g])
-    for g, rows in held.items():
-        total = _added(rows)[0]
-        n = total.shape[0]
-        i, j = np.divmod(np.arange(n * n), n)
-        yield pa.RecordBatch.from_arrays([pa.array([g] * (n * n)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], names=["__g", "i", "j", "v"])
-
-
-def _added(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """A list of the one matrix that stands for all given ones and all given waveforms."""
-    waves = [r for r in rows if r.ndim == 1]
-    out = [r for r in rows if r.ndim == 2]
-    if waves:
-        x = np.concatenate([np.ones((len(waves), 1)), np.stack(waves)], 1)
-        out.append(x.T @ x)
-    return [sum(out[1:], out[0])]
-
-
-def _axes(k: int, centred: bool):
-    """Principal axes of a group from its sums of products."""
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j, v = (table[c].to_numpy() for c in ("i", "j", "v"))
-        g = np.zeros((i.max() + 1, i.max() + 1))
-        np.add.at(g, (i, j), v)
-        n, mean = g[0, 0], g[0, 1:] / g[0, 0]
-        values, vectors = np.linalg.eigh(g[1:, 1:] - (n * np.outer(mean, mean) if centred else 0))
-        best = np.argsort(-values)[:k]
-        scale = np.sqrt(np.maximum(values[best], 0))
-        axes = vectors[:, best].T if centred else np.divide(vectors[:, best].T, scale[:, None], out=np.zeros((len(best), len(mean))), where=scale[:, None] > 0)
-        offset = axes @ mean if centred else np.zeros(len(best))
-        return pa.table({"__g": table["__g"].slice(0, 1), "__axes": pa.array([axes.tolist()]), "__offset": pa.array([offset.tolist()])})
-
-    return run
-
-
-def _features(df: DataFrame, key: str, column: str, k: int, centred: bool, by: str | None) -> DataFrame:
-    """Waveforms projected on their group's axes; tasks send sums of products alone."""
-    group = F.col(by).cast("string") if by else F.lit("all")
-    own = df.select(group.alias("__g"), F.col(key), F.col(column).cast("array<double>").alias("__w"), *([by] if by else []))
-    sums = own.select("__g", "__w").mapInArrow(_gram, "__g string, i int, j int, v double").groupBy("__g", "i", "j").agg(F.sum("v").alias("v"))
-    axes = sums.groupBy("__g").applyInArrow(_axes(k, centred), "__g string, __axes array<array<double>>, __offset array<double>")
-
-    def along(axis: Column, at: Column) -> Column:
-        dot = F.aggregate(F.zip_with("__w", axis, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return dot - F.get("__offset", at)
-
-    found = own.join(axes, own["__g"].eqNullSafe(axes["__g"])).withColumn("features", F.transform("__axes", along))
-    return found.select(key, "features", *([by] if by else []))
-
-
 def pca_features(df: DataFrame, key: str, column: str = "wave", k: int = 3) -> DataFrame:
     """The first ``k`` principal components of centred waveforms: (key, features). Signs are free; null waveforms have none."""
-    return _features(df, key, column, k, True, None)
+    return project(df, key, column, k, True, None)
 
 
 def svd_features(df: DataFrame, key: str, column: str = "wave", k: int = 3) -> DataFrame:
     """Left singular vectors of the uncentred waveform matrix, one row per waveform: (key, features). Signs are free."""
-    return _features(df, key, column, k, False, None)
+    return project(df, key, column, k, False, None)
 
 
 def features_by_channel(df: DataFrame, key: str, column: str = "wave", k: int = 3, method: str = "pca") -> DataFrame:
     """Features of each channel's waveforms on their own: (key, features, channel). No rows give no rows."""
-    return _features(df, key, column, k, method == "pca", "channel")
+    return project(df, key, column, k, method == "pca", "channel")
