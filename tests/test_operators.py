@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions import bins, columns
 from trialgrid.operators import asof, gaze, intervals, maps, ordered, signals, surfaces, trials, units
-from trialgrid.sources import io
+from trialgrid.sources import io, levels
 
 
 def _markers(spark, values):
@@ -492,3 +492,61 @@ def test_wide_features(spark):
     for channel in (0, 1):
         own = x[channel::2]
         assert np.allclose(told(each.where(f"channel = {channel}")), np.abs(np.linalg.svd(own, full_matrices=False)[0][:, :3]), rtol=0, atol=1e-6)
+
+
+def test_products_grow_by_level(spark, tmp_path):
+    """Only levels that are not done are made; products of products; a broken run is made again; redo makes all."""
+    root, made = str(tmp_path), []
+
+    def sums(own):
+        made.append(sorted(r.session for r in own.select("session").distinct().collect()))
+        return own.groupBy("session").agg(F.sum("v").alias("v"))
+
+    total = levels.Product("sums", ("rows",), sums)
+    twice = levels.Product("twice", (total, "rows"), lambda s, rows: s.join(rows.select("session").distinct(), "session").withColumn("v", F.col("v") * 2))
+
+    def add(rows):
+        io.write_levels(spark.createDataFrame(rows, "session int, v long"), f"{root}/rows", mode="append")
+
+    add([(1, 5), (1, 6), (2, 7)])
+    assert {r.session: r.v for r in levels.produce(spark, root, total).collect()} == {1: 11, 2: 7} and made == [[1, 2]]
+    assert levels.produce(spark, root, total).count() == 2 and made == [[1, 2]]
+    add([(3, 1)])
+    assert [tuple(r) for r in levels.produce(spark, root, twice, session=3).select("session", "v").collect()] == [(3, 2)] and made[1:] == [[3]]
+    assert {r.session: r.v for r in levels.produce(spark, root, twice).collect()} == {1: 22, 2: 14, 3: 2} and made[1:] == [[3]]
+    # a level that was written but not noted as done is written again, not added to
+    spark.createDataFrame([(9, 9)], "session int, v long").write.mode("overwrite").parquet(f"{root}/sums.done")
+    assert {r.session: r.v for r in levels.produce(spark, root, total).collect()} == {1: 11, 2: 7, 3: 1}
+    add([(1, 100)])
+    assert {r.session: r.v for r in levels.produce(spark, root, total, redo=True).collect()} == {1: 111, 2: 7, 3: 1}
+    assert levels.merged(levels.produce(spark, root, total), [], ["v"]).first().v == 119
+
+
+def test_markers_of_other_numbers_fail(spark):
+    """Starts, cues and ends that differ in number are an error, unless told otherwise."""
+    df = _markers(spark, [11, 21, 31, 12, 22])
+    with pytest.raises(Exception, match="differ in number"):
+        trials.pair_markers(df, ["session"]).collect()
+    assert trials.pair_markers(df, ["session"], check=False).count() == 2
+    assert trials.pair_markers(_markers(spark, [11, 21, 31, 12, 22, 42]), ["session"], bucket=2).count() == 2
+
+
+def test_posters_bins_and_cones(spark):
+    mazes = spark.createDataFrame([("Maze one CAT",), ("two dog ",), ("bird",), (None,)], "maze string")
+    images = spark.createDataFrame([("z/cat.png",), ("a/Cat2.png",), ("hotdog.png",)], "image string")
+    assert {r.maze: r.image for r in io.poster_image(mazes, images).collect()} == {"Maze one CAT": "a/Cat2.png", "two dog ": "hotdog.png", "bird": None, None: None}
+    assert bins.uniform_edges(0.0, 1.0, 5) == [0.0, 0.25, 0.5, 0.75, 1.0]
+    arena = surfaces.arena_surfaces(spark)
+    own = {r.kind: r.bins for r in surfaces.bins_by_kind(arena).collect()}
+    normals = {r.kind: [list(s.normal) for s in r.normals] for r in surfaces.normals_by_kind(arena).collect()}
+    assert {k: len(v) for k, v in own.items()} == {"pillars": 16, "walls": 4, "floor": 9, "ceiling": 1} == {k: len(v) for k, v in normals.items()}
+    assert normals["ceiling"] == [[0.0, 0.0, -1.0]] and normals["walls"][0] == [0.0, 1.0, 0.0]
+    cone = gaze.view_cone(spark.createDataFrame([(0.0, -10.0, 0.0)], "px double, py double, dir double")).first()
+    assert cone.left_x < 0 < cone.right_x and abs(cone.left_x + cone.right_x) < 0.02
+
+
+def test_traced_gaze_by_trial(spark):
+    traced = spark.createDataFrame([(1, 100.0 + 10 * k, None if k == 3 else float(k)) for k in range(12)], "s int, t double, gx double").withColumns({"gy": F.col("gx"), "gz": F.col("gx")})
+    found = spark.createDataFrame([(1, 1, 5000.0, 5030.0), (1, 2, 5055.0, 5100.0)], "s int, trial int, t1 double, t3 double")
+    out = sorted((r.trial, round(r.t, 3), r.gx) for r in io.gaze_by_trial(traced, found, ["s"]).collect())
+    assert out == [(1, 0.0, 0.0), (1, 0.01, 1.0), (1, 0.02, 2.0), (1, 0.03, None), (2, 0.0, 6.0), (2, 0.01, 7.0), (2, 0.02, 8.0), (2, 0.03, 9.0), (2, 0.04, 10.0)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clean_sample
 from .asof import asof_join
 from .intervals import interval_mask
-from .surfaces import BOUNDS, PILLAR_HEIGHT, PILLARS, WALL_HEIGHT, Box
+from .surfaces import BOUNDS, PILLAR_HEIGHT, PILLARS, WALL_HEIGHT, Box, label_points
 from .trials import trial_slice
 
 INFINITY = float("inf")
@@ -74,6 +74,19 @@ def override_objects(labels: DataFrame, objects: DataFrame, keys: Sequence[str])
     return labels.join(objects.select(*keys, F.col("object").alias("__object")), list(keys), "left").withColumn("kind", F.coalesce("__object", "kind")).drop("__object")
 
 
+def viewed_objects(gaze: DataFrame, surfaces: DataFrame, objects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Gaze samples with ``object``: what the recording names for a sample (keys, object), or else the kind of surface it lies on.
+
+    ``keys`` name a sample. Samples on no surface that the recording says nothing
+    of have a null object.
+    """
+    keys = list(keys)
+    labels = label_points(gaze, surfaces, keys).groupBy(*keys).agg(F.min("kind").alias("__kind"))
+    named = objects.select(*keys, F.col("object").alias("__object"))
+    out = gaze.join(labels, keys, "left").join(named, keys, "left")
+    return out.withColumn("object", F.coalesce("__object", "__kind")).drop("__object", "__kind")
+
+
 def slice_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The most frequent object and the mean position of each slice; of equally frequent objects the least."""
     return df.groupBy(*keys).agg(F.mode("object", True).alias("object"), F.avg("x").alias("x"), F.avg("y").alias("y"))

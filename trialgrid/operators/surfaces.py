@@ -91,6 +91,16 @@ def surface_bins(surfaces: DataFrame) -> DataFrame:
     return out.select("surface_id", "kind", "obj", "side", "ix", "iy", "iz", *[centre(c).alias(f"c{c}") for c in "xyz"])
 
 
+def bins_by_kind(surfaces: DataFrame) -> DataFrame:
+    """Edges of all surfaces of a kind, in their order: (kind, bins array of (surface_id, ex, ey, ez))."""
+    return surfaces.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("surface_id", "ex", "ey", "ez"))).alias("bins"))
+
+
+def normals_by_kind(surfaces: DataFrame) -> DataFrame:
+    """Normals of all surfaces of a kind, in their order: (kind, normals array of (surface_id, normal))."""
+    return surfaces.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("surface_id", "normal"))).alias("normals"))
+
+
 def surface_points(surfaces: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Edge points (surface_id, kind, obj, side, n, x, y, z) of each surface's inner face, numbered with x fastest.
 

@@ -57,7 +57,8 @@ def cut_waveforms(firings: DataFrame, samples: DataFrame, triggers: DataFrame, o
     before = triggers.agg(F.coalesce(F.max("trigger") - 1, F.lit(0))).scalar()  # two numbers of a small table
     after = triggers.agg(F.coalesce(F.greatest(F.max(F.col("points") - F.col("trigger")), F.lit(0)), F.lit(0))).scalar()
     first = F.col("idx") - F.col("trigger") + 1
-    wanted = firings.select(*on, unit, "idx").join(triggers, unit).withColumns({"__low": first, "__high": first + F.col("points") - 1})
+    shared = [c for c in (*on, unit) if c in triggers.columns]
+    wanted = firings.select(*on, unit, "idx").join(triggers, shared).withColumns({"__low": first, "__high": first + F.col("points") - 1})
     told = samples.select(*on, "channel", F.col("idx").alias("__at"), "v")
     found = cut_windows(wanted, told, list(on), "idx", "__at", ["v"], before, after, F.col("__low"), F.col("__high"), within=["channel"], block=block)
     whole = found.where(F.size("__window") == F.col("points"))

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.bins import mean_step, soft_range, soft_range_column
+from ..functions.bins import bin_left_closed, in_bins, mean_step, soft_range_column, uniform_bin, uniform_edges
 from ..operators import asof, gaze, intervals, maps, ordered, signals, surfaces, trials, units
-from ..sources import io
+from ..sources import io, levels
 
 HOUR = 3_600_000_000
 #: Long sessions are dealt out by 30 days.
@@ -876,6 +876,112 @@ def leveled_store(spark, d):
     return io.materialize(spark, sums.where("false"), f"{root}/sums").select(F.col("session").cast("long").alias("session"), "channel", "n", "total")
 
 
+#: A session's sums by bin: how long a bin was occupied, and how many spikes fell there.
+SUMS = levels.Product(
+    "map_sums",
+    ("positions", "spikes"),
+    lambda seen, fired: maps.rate_map(
+        maps.event_map(asof.asof_join(fired, seen, ["session", "user_id"], bucket=BUCKET), XEDGES, YEDGES, ["session"]),
+        maps.occupancy(seen, ["session", "user_id"], XEDGES, YEDGES, by=["session"], bucket=BUCKET),
+        ["session"],
+    ).drop("rate"),
+)
+
+
+@query(f"WITH {_MAPS} SELECT ix, iy, weight, occ, round(rate * 1e12, 6) AS rate FROM rate")
+def growing_rate_map(spark, d):
+    """A rate map whose sums are kept by session; a session that comes later is the only one computed then."""
+    root = io.scratch(spark, "growing")
+    own = {"positions": positions(spark, d), "spikes": spikes(spark, d)}
+    for last in (False, True):
+        for kind, df in own.items():
+            session = df.withColumn("session", (F.col("user_id") % 8).cast("int"))
+            io.write_levels(session.where((F.col("session") == 7) == last), f"{root}/{kind}", mode="append")
+        sums = levels.produce(spark, root, SUMS)
+    total = levels.merged(sums, ["ix", "iy"], ["weight", "occ"])
+    return total.withColumn("rate", F.round(F.try_divide("weight", "occ") * 1e12, 6))
+
+
+@query("""WITH i AS (SELECT DISTINCT 'posters/' || event_type || '_' || (user_id % 3) || '.png' AS image FROM events), m AS (SELECT event_id, 'Day ' || event_id % 5 || ' ' || upper(event_type) AS maze FROM events)
+SELECT event_id, (SELECT min(image) FROM i WHERE contains(image, lower(split_part(maze, ' ', 3)))) AS image FROM m""")
+def poster_images(spark, d):
+    e = _read(spark, d, "events")
+    images = e.select(F.concat(F.lit("posters/"), "event_type", F.lit("_"), F.col("user_id") % 3, F.lit(".png")).alias("image")).distinct()
+    mazes = e.select("event_id", F.concat(F.lit("Day "), F.col("event_id") % 5, F.lit(" "), F.upper("event_type")).alias("maze"))
+    return io.poster_image(mazes, images).select("event_id", "image")
+
+
+@query(f"""WITH {_WHOLE}, tr2 AS (SELECT user_id, trial, t1 / 1000 + 5000 AS t1, t3 / 1000 + 5000 AS t3 FROM sh), g AS (SELECT user_id, t / 1000 AS t, y AS gx FROM ev),
+z AS (SELECT user_id, min(t) AS g0 FROM g GROUP BY user_id), f AS (SELECT user_id, min(t1) AS t0 FROM tr2 GROUP BY user_id),
+c AS (SELECT tr2.user_id, trial, g.t, gx, min(g.t) OVER (PARTITION BY tr2.user_id, trial) AS first FROM tr2 JOIN f USING (user_id) JOIN z USING (user_id) JOIN g ON g.user_id = tr2.user_id AND g.t BETWEEN tr2.t1 - t0 + g0 AND tr2.t3 - t0 + g0)
+SELECT user_id, trial, count(*) AS n, count(gx) AS seen, round(sum((t - first) / 1000), 3) AS seconds FROM c GROUP BY ALL""")
+def raytrace_gaze(spark, d):
+    """A raytrace table and trials of another clock as gaze by trial."""
+    ms = F.col("t") / 1000
+    table = _events(spark, d).select("user_id", ms.alias("t"), F.col("y").alias("gx"), F.col("y").alias("gy"), F.col("y").alias("gz"))
+    whole = _whole_trials(spark, d).select("user_id", "trial", *[(F.col(c) / 1000 + 5000).alias(c) for c in ("t1", "t3")])
+    out = io.gaze_by_trial(table, whole, ["user_id"])
+    return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.count("gx").alias("seen"), F.round(F.sum("t"), 3).alias("seconds"))
+
+
+@query(f"""WITH {_BASE}, u AS (SELECT CAST(floor(x / 26.25) AS INTEGER) + 1 AS bin FROM ev WHERE x IS NOT NULL) SELECT bin, count(*) AS n, count(*) AS same FROM u WHERE bin BETWEEN 1 AND 20 GROUP BY bin""")
+def uniform_bins(spark, d):
+    """Bins of evenly spaced edges by the edges and by the step."""
+    edges = uniform_edges(0.0, 525.0, 21)
+    e = _events(spark, d).where("x is not null").select(uniform_bin(F.col("x"), 0.0, 26.25).alias("bin"), bin_left_closed(F.col("x"), edges).alias("other"))
+    return e.where(in_bins(F.col("bin"), 20)).groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("bin") == F.col("other")).alias("same"))
+
+
+_NORMALS = ", ".join(f"({r[0]}, '{r[1]}', {', '.join(f'{v}::DOUBLE' for v in r[7])})" for r in _surface_rows())
+
+
+@query(f"""WITH {_surface_sql()}, nv(surface_id, kind, nx, ny, nz) AS (VALUES {_NORMALS}), h AS (SELECT surface_id, count(*) AS weight FROM ins GROUP BY ALL)
+SELECT nv.kind, nv.nx, nv.ny, nv.nz, CAST(sum(weight) AS BIGINT) AS weight FROM h JOIN nv USING (surface_id) GROUP BY ALL""")
+def facing_weights(spark, d):
+    """Points on the surfaces of a kind by the side to which they face."""
+    arena = surfaces.arena_surfaces(spark, 1.25)
+    normals = surfaces.normals_by_kind(arena).select("kind", F.explode("normals").alias("s")).select("kind", "s.surface_id", *[F.element_at("s.normal", k).cast("double").alias(f"n{c}") for k, c in enumerate("xyz", 1)])
+    hist = surfaces.surface_histogram(_space(spark, d), arena)
+    return hist.join(normals, "surface_id").groupBy("kind", "nx", "ny", "nz").agg(F.sum("weight").alias("weight"))
+
+
+_OBJECTS = f"""{_FIXED}, {_placed('sp')}, lb AS (SELECT event_id, arg_min(kind, ((CASE kind WHEN 'pillars' THEN 1 WHEN 'walls' THEN 2 WHEN 'ceiling' THEN 3 ELSE 4 END), surface_id)) AS kind FROM ins GROUP BY event_id),
+ob AS (SELECT fm.*, CASE WHEN fm.event_id % 3 = 0 THEN 'Poster ' || fm.event_id % 7 ELSE lb.kind END AS object, lead(fm.t) OVER (PARTITION BY fm.user_id ORDER BY fm.t) - fm.t AS dt FROM fm LEFT JOIN lb ON lb.event_id = fm.event_id),
+oc AS (SELECT object, surface_id, ix, iy, iz, CAST(sum(dt) AS BIGINT) AS occ FROM ob JOIN ins ON ins.event_id = ob.event_id WHERE dt IS NOT NULL GROUP BY ALL),
+sv AS (SELECT ob.event_id, ob.object FROM spk ASOF JOIN ob ON spk.user_id = ob.user_id AND spk.t <= ob.t WHERE fixated),
+ct AS (SELECT object, surface_id, ix, iy, iz, count(*) AS weight FROM sv JOIN ins ON ins.event_id = sv.event_id GROUP BY ALL)"""
+
+
+@query(f"""WITH {_OBJECTS} SELECT coalesce(oc.object, ct.object) AS object, coalesce(oc.surface_id, ct.surface_id) AS surface_id, coalesce(oc.ix, ct.ix) AS ix, coalesce(oc.iy, ct.iy) AS iy, coalesce(oc.iz, ct.iz) AS iz, coalesce(weight, 0) AS weight, coalesce(occ, 0) AS occ,
+  round(coalesce(weight, 0) / nullif(coalesce(occ, 0), 0) * 1e12, 6) AS rate FROM oc FULL JOIN ct ON oc.object = ct.object AND oc.surface_id = ct.surface_id AND oc.ix = ct.ix AND oc.iy = ct.iy AND oc.iz = ct.iz""")
+def object_view_map(spark, d):
+    """Views and their time by surface bin and by what the recording says was seen, or else the kind of surface."""
+    arena = surfaces.arena_surfaces(spark, 1.25)
+    named = _events(spark, d).where("event_id % 3 = 0").select("event_id", F.concat(F.lit("Poster "), F.col("event_id") % 7).alias("object"))
+    seen = gaze.viewed_objects(_fixated_gaze(spark, d), arena, named, ["event_id"])
+    occ = surfaces.dwell_histogram(seen, arena, ["user_id"], by=["object"], bucket=BUCKET)
+    found = asof.asof_join(spikes(spark, d), seen, ["user_id"], "t", ("x", "y", "z", "fixated", "object"), bucket=BUCKET).where("fixated")
+    return surfaces.view_map(found, arena, occ, ["object"]).withColumn("rate", F.round(F.col("rate") * 1e12, 6))
+
+
+@query(f"""WITH {_SERIES}, f AS (SELECT session % 4 AS array_, session, idx, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 3 ELSE 2 END AS unit FROM se WHERE session % 4 = 1),
+k AS (SELECT *, idx - 1 - unit + unnest([1, 2, 3, 4, 5]) AS spot FROM f WHERE unit < 3), w AS (SELECT k.session, unit, k.idx, count(*) AS n, sum(v) AS total FROM k JOIN se ON se.session = k.session AND se.idx = k.spot GROUP BY ALL HAVING count(*) = 5)
+SELECT session, unit, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM w GROUP BY ALL""")
+def sorting_waveforms(spark, d):
+    """A sort, its templates and the recording, kept by levels, found again at one of them and cut; a unit without template has no waveform."""
+    root, series = io.scratch(spark, "sorting"), _series(spark, d).withColumn("array", F.col("session") % 4)
+    unit = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 3).otherwise(2)
+    shape = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(p).alias("pt"), F.lit(-9.0 if p == u + 1 else float(p)).alias("v")) for u in (1, 2) for p in range(1, 6)]))
+    io.write_levels(series.select("array", "session", "idx", F.lit(1).alias("channel"), "v"), f"{root}/samples", ("array", "session"))
+    io.write_levels(series.select("array", "session", "idx", unit.alias("unit")), f"{root}/firings", ("array", "session"))
+    io.write_levels(series.select("array", "session").distinct().select("*", F.lit(1).alias("channel"), shape.alias("s")).select("array", "session", "channel", "s.*"), f"{root}/templates", ("array", "session"))
+    found = io.load_sorting(spark, root, array=1)
+    triggers = units.trigger_points(found["templates"], ["array", "session", "unit"])
+    waves = units.cut_waveforms(found["firings"], found["samples"], triggers, on=("array", "session"))
+    total = F.aggregate("wave", F.lit(0).cast("long"), lambda s, x: s + x)
+    return waves.groupBy(F.col("session").cast("long").alias("session"), "unit").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+
+
 # Names under which whole tables were also registered.
 for _name in ("trial_slice", "trial_buffered", "clock_consistency", "waveform_windows", "ray_hit", "event_windows"):
     QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import message_marker
-from ..operators.ordered import ranked
+from ..operators.ordered import between_join, ranked
 from ..operators.trials import reshape_triggers
 
 _NUMBER = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
@@ -85,9 +85,11 @@ def triple(text: Column) -> Column:
 
 
 def poster_image(mazes: DataFrame, images: DataFrame, name: str = "maze") -> DataFrame:
-    """The image whose file name holds the last word of a maze's name; ``images`` is a small table (image)."""
+    """The first image by name whose file name holds the last word of a maze's name, or null; ``images`` is a small table (image)."""
     word = F.lower(F.element_at(F.split(F.trim(F.col(name)), r"\s+"), -1))
-    return mazes.withColumn("__w", word).join(F.broadcast(images), F.contains(F.lower(F.col("image")), F.col("__w")), "left").drop("__w")
+    every = images.agg(F.array_sort(F.collect_set("image"))).scalar()  # a maze meets all images inside its row
+    found = F.get(F.filter("__every", lambda i: F.contains(F.lower(i), F.col("__word"))), F.lit(0))
+    return mazes.withColumns({"__every": every, "__word": word}).withColumn("image", found).drop("__every", "__word")
 
 
 def raytrace_columns(df: DataFrame) -> DataFrame:
@@ -110,6 +112,38 @@ def align_clock(gaze: DataFrame, trials: DataFrame, keys: Sequence[str]) -> Data
     return gaze.join(zero, list(keys)).withColumn("t", F.col("t") - F.col("__g") + F.col("__t")).drop("__g", "__t")
 
 
+def gaze_by_trial(traced: DataFrame, trials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Traced gaze (keys, t, gx, gy, gz) cut by trial: (keys, trial, t, gx, gy, gz, fixated), t in seconds from the trial's first sample.
+
+    The trials run on another clock, which is set so that its first trial begins
+    with the first sample (:func:`align_clock` the other way round). Samples in
+    [t1, t3] belong to a trial, those without gaze too; none counts as fixated,
+    as the table does not say. Times are in ms.
+    """
+    keys = list(keys)
+    shift = traced.groupBy(*keys).agg(F.min("t").alias("__g")).join(trials.groupBy(*keys).agg(F.min("t1").alias("__t")), keys)
+    set_ = trials.join(shift, keys).select(*keys, "trial", *[(F.col(c) - F.col("__t") + F.col("__g")).alias(f"__{c}") for c in ("t1", "t3")])
+    cut = between_join(traced, set_, keys, "t", "__t1", "__t3").drop("__t1", "__t3")
+    first = cut.groupBy(*keys, "trial").agg(F.min("t").alias("__first"))
+    zeroed = cut.join(first, [*keys, "trial"]).withColumn("t", (F.col("t") - F.col("__first")) / 1000)
+    return zeroed.select(*keys, "trial", "t", "gx", "gy", "gz", F.lit(False).alias("fixated"))
+
+
+def load_sorting(spark: SparkSession, root: str, **level) -> dict[str, DataFrame]:
+    """A sort and its recording at a level: ``templates`` (unit, channel, pt, v), ``firings`` (unit, idx) and ``samples`` (channel, idx, v).
+
+    Only firings of units that have a template are given, and templates of
+    channels that were recorded.
+    """
+    templates, firings, samples = (load(spark, root, kind, **level) for kind in ("templates", "firings", "samples"))
+    levels = [c for c in ("day", "session", "array") if all(c in t.columns for t in (templates, firings, samples))]
+    return {
+        "templates": templates.join(samples.select(*levels, "channel").distinct(), [*levels, "channel"], "left_semi"),
+        "firings": firings.join(templates.select(*levels, "unit").distinct(), [*levels, "unit"], "left_semi"),
+        "samples": samples,
+    }
+
+
 def read_spikes(spark: SparkSession, path: str) -> DataFrame:
     """Spike times in ms, one a line; no rows if there is no such file."""
     try:
@@ -126,9 +160,9 @@ def parse_cell(name: Column) -> Column:
     return F.struct(part(1).alias("day"), F.lpad(part(2), 3, "0").alias("channel"), F.lpad(part(3), 2, "0").alias("cell"))
 
 
-def write_levels(df: DataFrame, path: str, levels: Sequence[str] = ("day", "session", "array", "channel", "cell")) -> None:
-    """Parquet in folders by those levels that the table has."""
-    df.write.mode("overwrite").partitionBy(*[c for c in levels if c in df.columns]).parquet(path)
+def write_levels(df: DataFrame, path: str, levels: Sequence[str] = ("day", "session", "array", "channel", "cell"), *, mode: str = "overwrite") -> None:
+    """Parquet in folders by those levels that the table has; ``mode`` append adds to what is there."""
+    df.write.mode(mode).partitionBy(*[c for c in levels if c in df.columns]).parquet(path)
 
 
 def load(spark: SparkSession, root: str, kind: str, **filters: str) -> DataFrame:
