@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_sample
+from ..sources.io import kept
 from .asof import asof_join
 from .intervals import interval_mask
 from .surfaces import BOUNDS, PILLAR_HEIGHT, PILLARS, WALL_HEIGHT, Box, label_points
@@ -103,7 +104,7 @@ def eye_trial(samples: DataFrame, trials: DataFrame, fixations: DataFrame, recor
     keys = list(keys)
     own = samples.join(recorded.select(*keys, "eye"), [*keys, "eye"], "left_semi").withColumns({c: clean_sample(F.col(c)) for c in ("gx", "gy")})
     eyes = recorded.select(*keys, "eye")
-    marked = interval_mask(own, fixations.join(eyes, keys), [*keys, "eye"], bucket=bucket)
+    marked = kept(interval_mask(own, fixations.join(eyes, keys), [*keys, "eye"], bucket=bucket), "marked")
     cut = trial_slice(marked, trials.join(eyes, keys), [*keys, "eye"], bucket=bucket)
     # a trial's first sample is fixated if any fixation began before, as no sample comes before it
     begun = fixations.where("t_end >= t_start").groupBy(*keys).agg(F.min("t_start").alias("__begun"))

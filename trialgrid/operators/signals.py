@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import bin_right_closed, in_bins
 from ..functions.columns import phase, phase_difference
 from .blocks import BLOCK, halo_blocks
+from .ordered import ranked
 
 
 def _frequencies(n: int, fs: float, per_octave: int, low: float) -> np.ndarray:
@@ -45,32 +46,31 @@ def _margin(fs: float, beta: float, low: float) -> int:
 def spectrum(samples: DataFrame, keys: Sequence[str], fs: float, time: str = "t", value: str = "v", beta: float = 1.5, low: float = 1.0, *, block: int | None = None) -> DataFrame:
     """Wavelet coefficients of each key's series (keys, t, freq, re, im).
 
-    The series goes on with zeros at both ends. With ``block`` the time column
-    is a sample number without gaps: a long series is dealt into blocks of so
-    many samples, each with as many more on both sides as a coefficient reaches
-    over, and no task holds more than one; frequencies near half the sampling
-    rate, whose wavelets are cut off there, come out slightly different at the
-    borders. Without it a series is one group.
+    The series goes on with zeros at both ends. It is dealt into blocks of
+    ``block`` samples, each with as many more on both sides as a coefficient
+    reaches over, and no task holds more than one; frequencies near half the
+    sampling rate, whose wavelets are cut off there, come out slightly different
+    at the borders. With a ``block`` the time column is a sample number without
+    gaps; without one the samples are numbered by their time first.
     """
     keys, reach = list(keys), _margin(fs, beta, low)
+    numbered = block is not None
+    block, number = block or BLOCK, time if numbered else "__n"
 
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
         freqs, c = morlet(np.pad(pdf[value].to_numpy(float), reach), fs, beta, low)
         c = c[reach : reach + len(pdf)]
-        if block is not None:
-            own = (pdf[time] // block == pdf["__block"]).to_numpy()
-            pdf, c = pdf[own], c[own]
+        own = (pdf[number] // block == pdf["__block"]).to_numpy()
+        pdf, c = pdf[own], c[own]
         if not len(pdf):
             return pdf[[*keys, time]].assign(freq=0.0, re=0.0, im=0.0)
         out = pd.DataFrame({k: np.repeat(pdf[k].iloc[0], c.size) for k in keys})
         return out.assign(**{time: np.repeat(pdf[time].to_numpy(), len(freqs)), "freq": np.tile(freqs, len(pdf)), "re": c.real.ravel(), "im": c.imag.ravel()})
 
     fields = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in [*keys, time])
-    rows = samples.select(*keys, time, value)
-    if block is None:
-        return rows.groupBy(*keys).applyInPandas(transform, f"{fields}, freq double, re double, im double")
-    at = lambda shift: F.floor((F.col(time) + shift) / block)
+    rows = samples.select(*keys, time, value) if numbered else ranked(samples.select(*keys, time, value), keys, time, "__n")
+    at = lambda shift: F.floor((F.col(number) + shift) / block)
     rows = rows.withColumn("__block", F.explode(F.sequence(at(-reach), at(reach))))
     return rows.groupBy(*keys, "__block").applyInPandas(transform, f"{fields}, freq double, re double, im double")
 

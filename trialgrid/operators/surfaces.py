@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,12 +147,13 @@ class _Grid:
 
     def __init__(self, surfaces: DataFrame):
         self.surfaces = _longer(surfaces)
-        stats = self.surfaces.agg(F.ceil(F.cbrt(F.count("*"))).cast("double").alias("n"), *[f(f"{c}{k}").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
-        self.lows = {c: stats.select(f"{c}0").scalar() for c in "xyz"}  # six numbers
-        self.widths = {c: stats.select(((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("n")).alias("w")).scalar() for c in "xyz"}
+        told = self.surfaces.agg(F.count("*").alias("n"), *[f(f"{c}{k}").alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))]).first()  # seven numbers
+        each = math.ceil(max(told.n, 1) ** (1 / 3))
+        self.lows = {c: told[f"{c}0"] or 0.0 for c in "xyz"}
+        self.widths = {c: ((told[f"{c}1"] or 0.0) - self.lows[c]) / each or 1.0 for c in "xyz"}
 
     def cell(self, c: str, at: Column) -> Column:
-        return F.floor(F.try_divide(at - self.lows[c], self.widths[c]))
+        return F.floor((at - self.lows[c]) / self.widths[c])
 
     def listed(self) -> DataFrame:
         """Surfaces by each cell (gx, gy, gz) that their extent touches."""

@@ -17,9 +17,9 @@ def spike_counts(firings: DataFrame, keys: Sequence[str] = ("unit",)) -> DataFra
 
 
 def _renumber(df: DataFrame, unit: str) -> DataFrame:
-    """Units numbered densely from 1 in their order; there is one row per unit in the mapping."""
-    numbers = df.select(unit).distinct().withColumn("__new", F.dense_rank().over(Window.orderBy(unit)))
-    return df.join(numbers, unit).withColumn(unit, F.col("__new")).drop("__new")
+    """Units numbered densely from 1 in their order, by buckets of their numbers."""
+    numbers = ranked(df.select(unit).distinct(), [], unit, "__new", bucket=1 << 16)
+    return df.join(numbers, unit).withColumn(unit, F.col("__new").cast("int")).drop("__new")
 
 
 def keep_units(df: DataFrame, units: DataFrame, unit: str = "unit") -> DataFrame:

@@ -178,7 +178,7 @@ def trial_count(spark, d):
 
 
 def _whole_trials(spark, d):
-    return _trials(spark, d).where("t3 >= t1")
+    return io.kept(_trials(spark, d).where("t3 >= t1"), "trials")
 
 
 #: A trial that ends before it starts has no interval.
@@ -537,7 +537,7 @@ cf AS (SELECT kind, user_id, trial, kn.freq, b.j + kn.m AS spot, sum(v * re) AS
 SELECT kind, CAST(spot - 8 AS INTEGER) AS "offset", freq, round(avg(ln(sqrt(re * re + im * im))), 6) AS mean, round(stddev_pop(ln(sqrt(re * re + im * im))), 6) AS deviation FROM cf GROUP BY ALL""")
 def aligned_spectrum(spark, d):
     """Log amplitudes about every purchase, and those of windows turned round."""
-    series = _numbered(spark, d)
+    series = io.kept(_numbered(spark, d), "numbered")
     ends = series.where("event_type = 'purchase'").select("user_id", F.col("idx").alias("trial"), F.col("idx").alias("i3"), F.lit(35).alias("trig3"))
     waves = trials.event_waves(series.select("user_id", "idx", F.col("x").alias("v")), ends, ["user_id"], 8, 8)
     out = None
@@ -558,11 +558,12 @@ bd AS (SELECT a.user_id, a.trial, a.t, sum(b.v * w) AS v FROM sg a JOIN sg b ON
 
 
 def _streams(spark, d) -> tuple[trials.Stream, trials.Stream]:
-    signal, places = _numbered(spark, d), ordered.ranked(positions(spark, d), ["user_id"], "t", "idx", bucket=BUCKET).withColumn("idx", F.col("idx") - 1)
-    rows = _row_trials(spark, d)
+    signal = io.kept(_numbered(spark, d), "numbered")
+    places = io.kept(ordered.ranked(positions(spark, d), ["user_id"], "t", "idx", bucket=BUCKET).withColumn("idx", F.col("idx") - 1), "places")
+    rows = io.kept(_row_trials(signal), "row-trials")
     times = rows.join(signal.select("user_id", F.col("idx").alias("i1"), F.col("t").alias("t1")), ["user_id", "i1"]).join(signal.select("user_id", F.col("idx").alias("i3"), F.col("t").alias("t3")), ["user_id", "i3"])
     inside = ordered.between_join(places.select("user_id", "idx", "t"), times.select("user_id", "trial", "t1", "t3"), ["user_id"], "t", "t1", "t3", bucket=BUCKET)
-    own = inside.groupBy("user_id", "trial").agg(F.min("idx").alias("i1"), F.max("idx").alias("i3"))
+    own = io.kept(inside.groupBy("user_id", "trial").agg(F.min("idx").alias("i1"), F.max("idx").alias("i3")), "row-trials")
     return trials.Stream(places, own, margin=1, bucket=4096), trials.Stream(signal.select("user_id", "idx", "t", F.col("x").alias("v")), rows, margin=5, bucket=4096)
 
 
@@ -591,7 +592,7 @@ def band_map(spark, d):
 
 def _codes(spark, d):
     """Markers of all whole trials in trios, after one session marker, among others that mean nothing."""
-    whole = _trials(spark, d).dropna(subset=["t1", "t2", "t3"])
+    whole = io.kept(_trials(spark, d).dropna(subset=["t1", "t2", "t3"]), "trials")
     trio = F.explode(F.array(*[F.struct((F.col("trial") * 8 + k).alias("seq"), F.col(f"trig{k}").alias("marker"), F.col(f"t{k}").alias("t")) for k in (1, 2, 3)]))
     trios = whole.select("user_id", trio.alias("m")).select("user_id", "m.*")
     starts = whole.select("user_id").distinct().select("user_id", F.lit(0).alias("seq"), F.lit(84).alias("marker"), F.lit(0).cast("long").alias("t"))
@@ -657,8 +658,7 @@ def eye_trials(spark, d):
 _ROWS = """nm AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS idx FROM ev), rt AS (SELECT user_id, idx // 16 AS trial, idx AS i1, idx + 9 AS i3 FROM nm WHERE idx % 16 = 0 AND EXISTS (SELECT 1 FROM nm o WHERE o.user_id = nm.user_id AND o.idx = nm.idx + 9))"""
 
 
-def _row_trials(spark, d):
-    own = _numbered(spark, d)
+def _row_trials(own):
     starts = own.where("idx % 16 = 0").select("user_id", F.floor(F.col("idx") / 16).alias("trial"), F.col("idx").alias("i1"), (F.col("idx") + 9).alias("i3"))
     return starts.join(own.select("user_id", F.col("idx").alias("i3")), ["user_id", "i3"], "left_semi")
 
@@ -667,14 +667,16 @@ def _row_trials(spark, d):
 lg AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS before FROM nm)
 SELECT b.user_id, b.trial, count(*) AS n, CAST(sum(lg.t - b.zero) AS BIGINT) AS total FROM b JOIN lg ON lg.user_id = b.user_id AND lg.t >= b.lo AND coalesce(lg.before < b.hi, true) GROUP BY ALL""")
 def index_trials(spark, d):
-    rows = _row_trials(spark, d).select("user_id", "trial", F.col("i1").alias("t1"), F.col("i3").alias("t3"))
-    out = trials.index_window(_numbered(spark, d), rows, ["user_id"], index="idx", pre=HOUR, post=HOUR, bucket=BUCKET)
+    own = io.kept(_numbered(spark, d), "numbered")
+    rows = io.kept(_row_trials(own), "row-trials").select("user_id", "trial", F.col("i1").alias("t1"), F.col("i3").alias("t3"))
+    out = trials.index_window(own, rows, ["user_id"], index="idx", pre=HOUR, post=HOUR, bucket=BUCKET)
     return out.groupBy("user_id", "trial").agg(F.count("*").alias("n"), F.sum("t").alias("total"))
 
 
 @query(f"""WITH {_BASE}, {_ROWS} SELECT rt.user_id, rt.trial, min(nm.idx) AS first_row, max(nm.idx) AS last_row, count(*) AS n FROM rt JOIN nm ON nm.user_id = rt.user_id AND nm.idx BETWEEN rt.i1 - 5 AND rt.i3 + 5 GROUP BY ALL""")
 def clamped_trials(spark, d):
-    out = trials.clamped_window(_numbered(spark, d), _row_trials(spark, d), ["user_id"], margin=5, bucket=4096)
+    own = io.kept(_numbered(spark, d), "numbered")
+    out = trials.clamped_window(own, _row_trials(own), ["user_id"], margin=5, bucket=4096)
     return out.groupBy("user_id", "trial").agg(F.min("idx").alias("first_row"), F.max("idx").alias("last_row"), F.count("*").alias("n"))
 
 
@@ -700,7 +702,7 @@ fv AS (SELECT spk.user_id, spk.t, fm.t AS t_match, fm.x, fm.y, fm.z FROM spk ASO
 
 
 def _fixated_gaze(spark, d):
-    return intervals.interval_mask(_space(spark, d), fixations(spark, d), ["user_id"], bucket=BUCKET)
+    return io.kept(intervals.interval_mask(_space(spark, d), fixations(spark, d), ["user_id"], bucket=BUCKET), "fixated")
 
 
 @query(f"WITH {_FIXED} SELECT user_id, t, t_match, x, y, z FROM fv")
@@ -958,7 +960,7 @@ def object_view_map(spark, d):
     """Views and their time by surface bin and by what the recording says was seen, or else the kind of surface."""
     arena = surfaces.arena_surfaces(spark, 1.25)
     named = _events(spark, d).where("event_id % 3 = 0").select("event_id", F.concat(F.lit("Poster "), F.col("event_id") % 7).alias("object"))
-    seen = gaze.viewed_objects(_fixated_gaze(spark, d), arena, named, ["event_id"])
+    seen = io.kept(gaze.viewed_objects(_fixated_gaze(spark, d), arena, named, ["event_id"]), "seen")
     occ = surfaces.dwell_histogram(seen, arena, ["user_id"], by=["object"], bucket=BUCKET)
     found = asof.asof_join(spikes(spark, d), seen, ["user_id"], "t", ("x", "y", "z", "fixated", "object"), bucket=BUCKET).where("fixated")
     return surfaces.view_map(found, arena, occ, ["object"]).withColumn("rate", F.round(F.col("rate") * 1e12, 6))

@@ -210,6 +210,16 @@ def written(df: DataFrame, label: str, form: str, by: Sequence[str] = ()) -> str
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    Operators that deal a stream into buckets read it twice, once for a few
+    columns; where one follows another, what the first gives is kept, or all
+    before it would be computed again each time. A lost executor costs a re-read.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label, "parquet"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`written` made and that a later one has replaced."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
