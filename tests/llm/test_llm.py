@@ -566,18 +566,47 @@ def test_forest_recall_by_similarity():
     from trialgrid.llm import jaccard_join as jj
 
     rng = np.random.default_rng(11)
-    depth = jj.prefix_depth(0.8, 0.9999999)
+    depth, shared = jj.prefix_depths(0.8, 0.9999999)
+    assert (depth, shared) == (4, 3)
     for similarity in (0.6, 0.8, 0.95):
-        n, found = 300, 0
+        n, found, long = 300, 0, 0
         for _ in range(n):
             both = round(200 * similarity)
             values = rng.integers(1, 1 << 62, 200, dtype=np.uint64)
             a, b = values[: both + (200 - both) // 2], np.concatenate([values[:both], values[both + (200 - both) // 2 :]])
             keys = jj._minhash(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), jj.TREES, depth)
-            found += (keys[0] == keys[1]).sum() >= jj.SHARED
-        assert found >= n * (jj.expected_recall(depth, similarity) - 0.05) and (similarity < 0.8 or found == n)
+            found += (keys[0] >> jj._STEP == keys[1] >> jj._STEP).sum() >= shared
+            long += (keys[0] == keys[1]).any()
+        assert found >= n * (jj.expected_recall(depth - 1, similarity, shared=shared) - 0.05) and (similarity < 0.8 or found == n)
+        assert long >= n * (jj.expected_recall(depth, similarity) - 0.05) and (similarity < 0.8 or long == n)
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_forest_by_set(spark, monkeypatch, block):
+    """Many near copies under one id, and crowded prefixes kept long: the same links as by brute force, each counted once."""
+    from trialgrid.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "BLOCK", block)
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(60)] = f"x{k}"
+        texts.append(" ".join(own[rng.randrange(4) :]))
+    texts += [_prose(rng, 40) for _ in range(20)] + texts[:5]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    links = [[j for j in range(len(sets)) if j != k and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j])] for k in range(len(sets))]
+    for ids in (list(range(len(texts))), [7] * len(texts)):
+        out = jaccard_join(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+        assert sorted(r.n_links for r in out) == sorted(map(len, links))
+        if ids[1]:
+            assert {r.class_id for r in out} == ({7} if ids[0] == 7 else {r.class_id for r in out})
+        if ids[0] != 7:
+            assert [r.n_links for r in sorted(out)] == list(map(len, links))
 
 
 def test_queries_are_registered():
     names = list(queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))

@@ -1,10 +1,14 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 A document is the set of its word shingles. Each tree of the forest labels a set
-with a path of min-hashes; sets that share a path prefix in enough trees are
-candidates. The prefix starts at its full depth and is shortened until, at the
-threshold, the expected recall reaches the target. Candidates are verified by
-exact intersection. Sets found equal count once, however many copies they have.
+with a path of min-hashes; in the order of the labels, sets that share a prefix
+stand together. A match begins at full depth and is shortened until, at the
+threshold, sharing it in one tree reaches the target recall. A prefix with few
+members is shortened by one step more, and its pairs need to share as many trees
+at that depth as still reach the target: fewer of them are false. One with many
+members stays at the longer prefix, so a crowd is never compared as a whole.
+Candidates are verified by exact intersection. Sets found equal count once,
+however many copies they have.
 
 Pairs are never rows: the members of a prefix are dealt into blocks, a task
 verifies one pair of blocks by matrix products and returns counts by set and
@@ -25,28 +29,33 @@ from .components import connected_components
 from .groups import whole_groups
 from .store import forget, keep
 
-TREES, DEPTH, SHARED = 32, 8, 3
+TREES, DEPTH = 32, 8
+#: Members up to which a prefix is shortened by one step more; beyond, they are dealt into blocks of so many.
 BLOCK = 512
-_KEY_BYTES = 5
+#: A label is 40 bits of the shorter prefix and 24 of the step by which the longer one goes on.
+_STEP = np.uint64(24)
 _D1, _D2 = np.uint64(0xA5A5), np.uint64(0x5A5A5A)
 
 
-def expected_recall(depth: int, similarity: float, trees: int = TREES, shared: int = SHARED) -> float:
+def expected_recall(depth: int, similarity: float, trees: int = TREES, shared: int = 1) -> float:
     """Chance that a pair of this similarity shares ``shared`` of the trees down to ``depth``."""
     p = similarity**depth
     return 1 - sum(comb(trees, k) * p**k * (1 - p) ** (trees - k) for k in range(shared))
 
 
-def prefix_depth(similarity: float, recall: float, trees: int = TREES, shared: int = SHARED, deepest: int = DEPTH) -> int:
-    """The longest prefix that reaches the target recall at the threshold."""
+def prefix_depths(similarity: float, recall: float, trees: int = TREES, deepest: int = DEPTH) -> tuple[int, int]:
+    """The longest prefix that reaches the target recall at the threshold by one tree, and the trees to share one step above it."""
     depth = deepest
-    while depth > 1 and expected_recall(depth, similarity, trees, shared) < recall:
+    while depth > 2 and expected_recall(depth, similarity, trees) < recall:
         depth -= 1
-    return depth
+    shared = 1
+    while shared < trees and expected_recall(depth - 1, similarity, trees, shared + 1) >= recall:
+        shared += 1
+    return depth, shared
 
 
 def _minhash(values: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Tree labels, a row per nonempty set: 40-bit digests of ``depth`` min-hashes."""
+    """Tree labels, a row per nonempty set: digests of all of ``depth`` min-hashes but the last, and of the last."""
     at = bounds[:-1][np.diff(bounds) > 0]
     draws = np.random.default_rng(9).integers(1, 1 << 63, (trees * depth, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros((len(at), trees), np.uint64)
@@ -55,8 +64,9 @@ def _minhash(values: np.ndarray, bounds: np.ndarray, trees: int, depth: int) ->
         for d in range(depth):
             a, b = draws[t * depth + d]
             least = np.minimum.reduceat((values ^ b) * a, at)
-            label = label * np.uint64(0x2545F4914F6CDD1D) + least
-        out[:, t] = bt.mix(label + np.uint64(t)) >> np.uint64(64 - 8 * _KEY_BYTES)
+            if d < depth - 1:
+                label = label * np.uint64(0x2545F4914F6CDD1D) + least
+        out[:, t] = (bt.mix(label + np.uint64(t)) >> _STEP << _STEP) | (bt.mix(least) >> np.uint64(40))
     return out
 
 
@@ -73,7 +83,7 @@ def _signing(words: int, trees: int, depth: int):
                     d1[some] = np.add.reduceat(bt.mix(values ^ _D1), at[:-1][some])
                     d2[some] = np.add.reduceat(bt.mix(values ^ _D2), at[:-1][some])
                     keys = _minhash(values, at, trees, depth)
-                    labels[some] = [row.view(np.uint8).reshape(trees, 8)[:, :_KEY_BYTES].tobytes() for row in keys]
+                    labels[some] = [row.tobytes() for row in keys]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
@@ -81,18 +91,20 @@ def _signing(words: int, trees: int, depth: int):
                         pa.array(d1.view(np.int64)),
                         pa.array(d2.view(np.int64)),
                         pa.array(labels, pa.binary()),
+                        batch.column(2).slice(first, n),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "labels"],
+                    names=["doc_id", "n_shingles", "d1", "d2", "labels", "hash"],
                 )
 
     return run
 
 
 def _unpack(labels: pa.Array, trees: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(labels.to_pylist()), np.uint8).reshape(-1, trees, _KEY_BYTES)
-    out = np.zeros((len(raw), trees, 8), np.uint8)
-    out[:, :, :_KEY_BYTES] = raw
-    return out.view(np.uint64)[:, :, 0]
+    return np.frombuffer(b"".join(labels.to_pylist()), np.uint64).reshape(-1, trees)
+
+
+#: Marks the cells of the longer prefixes; a cell's last six bits are its tree.
+_LONG = 1 << 62
 
 
 def _explode_labels(trees: int):
@@ -100,23 +112,40 @@ def _explode_labels(trees: int):
         for batch in batches:
             labels = batch.column(1)
             if len(labels):
-                keys = _unpack(labels, trees).astype(np.int64) * 64 + np.arange(trees)
+                keys, tree = _unpack(labels, trees), np.arange(trees)
+                short = (keys >> _STEP).astype(np.int64) * 64 + tree
+                long = (bt.mix(keys) >> np.uint64(8)).astype(np.int64) // 64 * 64 + tree + _LONG
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), trees)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["sid", "cell"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(short.ravel()), pa.array(long.ravel())], names=["sid", "short", "long"])
 
     return run
 
 
-def _owned(keys: np.ndarray, side: np.ndarray, within: bool, tree: int, shared: int) -> np.ndarray:
-    """Pairs of a block pair that this tree owns: it is their first shared tree, and they share enough."""
-    n = len(keys)
-    earlier, count = np.zeros((n, n), bool), np.zeros((n, n), np.uint8)
+def _owned(keys: np.ndarray, crowded: np.ndarray, side: np.ndarray, within: bool, cell: int, shared: int) -> np.ndarray:
+    """Pairs of a block pair that this cell owns: in the first tree in which they are a match.
+
+    They match by the shorter prefix where it is not crowded, if they share it in
+    ``shared`` trees at least, and by the longer one where it is. ``crowded`` has
+    a bit for each tree in which a set's shorter prefix has many members.
+    """
+    n, tree = len(keys), int(cell & 63)
+    few, many, count = np.zeros((n, n), bool), np.zeros((n, n), bool), np.zeros((n, n), np.uint8)
+    short, here = keys >> _STEP, None
     for t in range(keys.shape[1]):
-        same = keys[:, t][:, None] == keys[:, t][None, :]
+        same = short[:, t][:, None] == short[:, t][None, :]
+        full = (crowded >> t & 1).astype(bool)[:, None]
         count += same
+        long = same & full
+        if long.any():
+            long &= keys[:, t][:, None] == keys[:, t][None, :]
         if t < tree:
-            earlier |= same
-    pairs = np.triu((count >= shared) & ~earlier & (keys[:, tree][:, None] == keys[:, tree][None, :]), 1)
+            few |= same & ~full
+            many |= long
+        elif t == tree:
+            here = long if cell & _LONG else same & ~full
+    enough = count >= shared
+    pairs = np.triu(here & ~(many | (few & enough)), 1)
+    pairs = pairs if cell & _LONG else pairs & enough
     return pairs if within else pairs & (side[:, None] != side[None, :])
 
 
@@ -140,10 +169,10 @@ def _choosing(trees: int, shared: int):
     def choose(table: pa.Table) -> pa.Table:
         keys, wanted = _unpack(table["labels"].combine_chunks(), trees), []
         cell, lo, hi = (table[c].to_numpy() for c in ("cell", "lo", "hi"))
-        side = table["side"].to_numpy()
+        side, crowded = table["side"].to_numpy(), table["crowded"].to_numpy()
         for rows in _groups(table):
             if len(rows) > 1:
-                pairs = _owned(keys[rows], side[rows], lo[rows[0]] == hi[rows[0]], int(cell[rows[0]] & 63), shared)
+                pairs = _owned(keys[rows], crowded[rows], side[rows], lo[rows[0]] == hi[rows[0]], int(cell[rows[0]]), shared)
                 wanted.append(rows[pairs.any(0) | pairs.any(1)])
         wanted = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
         return table.take(pa.array(np.sort(wanted)))
@@ -187,33 +216,20 @@ def _roots(pairs: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _first_true(values: np.ndarray, sizes: np.ndarray, sid: np.ndarray) -> np.ndarray:
-    """Rows whose text is the set they stand for, the first of each; ids that repeat bring in others."""
-    at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    digest = np.zeros(len(sizes), np.uint64)
-    digest[sizes > 0] = np.add.reduceat(bt.mix(values ^ _D1), at[sizes > 0])
-    true = np.flatnonzero(digest.view(np.int64) == sid)
-    out = np.zeros(len(sizes), bool)
-    out[true[np.unique(sid[true], return_index=True)[1]]] = True
-    return out
-
-
 def _verifying(words: int, trees: int, shared: int, similarity: float):
     def verify(table: pa.Table) -> pa.Table:
         keys = _unpack(table["labels"].combine_chunks(), trees)
         cell, lo, hi = (table[c].to_numpy() for c in _PAIR)
-        side, sid, copies = (table[c].to_numpy() for c in ("side", "sid", "copies"))
+        side, sid, copies, crowded = (table[c].to_numpy() for c in ("side", "sid", "copies", "crowded"))
         text = table["text"].combine_chunks()
         out = []
         for rows in _groups(table):
             if len(rows) < 2:
                 continue
-            pairs = _owned(keys[rows], side[rows], lo[rows[0]] == hi[rows[0]], int(cell[rows[0]] & 63), shared)
+            pairs = _owned(keys[rows], crowded[rows], side[rows], lo[rows[0]] == hi[rows[0]], int(cell[rows[0]]), shared)
             parts = [bt.shingles(d, b, words) for _, d, b in bt.slices(text.take(pa.array(rows)))]
             values = np.concatenate([v for v, _ in parts])
             sizes = np.concatenate([np.diff(a) for _, a in parts])
-            own = _first_true(values, sizes, sid[rows])
-            pairs &= own[:, None] & own[None, :]
             both = _intersections(values, np.concatenate([[0], np.cumsum(sizes)]))
             either = sizes[:, None] + sizes[None, :] - both
             pairs &= both >= similarity * either - 1e-6 * either
@@ -250,7 +266,7 @@ def jaccard_join(
     lower-cased runs of ASCII letters and digits and of anything beyond ASCII.
 
     ``recall`` is the expected share of pairs found at exactly the threshold,
-    more above it; verification is exact on 64-bit shingle hashes. Both parts of
+    more above it, by either prefix (see :func:`prefix_depths`); verification is exact on 64-bit shingle hashes. Both parts of
     a pair of blocks are at most about 2 x 512 sets, whatever the group's size.
 
     A text of one to four words has one shingle of all its words. A text
@@ -259,30 +275,41 @@ def jaccard_join(
     row without an id has no links. No rows give no rows; other columns play no
     part.
     """
-    depth = prefix_depth(similarity, recall)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = keep(
-        plain.mapInArrow(_signing(words, TREES, depth), "doc_id long, n_shingles int, d1 long, d2 long, labels binary"), "jaccard-sets"
-    )
+    depth, shared = prefix_depths(similarity, recall)
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    shape = "doc_id long, n_shingles int, d1 long, d2 long, labels binary, hash long"
+    signed = keep(plain.mapInArrow(_signing(words, TREES, depth), shape), "jaccard-sets")
     some = signed.where("n_shingles > 0 and doc_id is not null")
+    # a set's text is known by id and hash, as an id may have many texts
     sets = some.groupBy(F.col("d1").alias("sid"), "d2").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("labels").alias("labels")
+        F.min(F.struct("doc_id", "hash")).alias("first"), F.count("*").alias("copies"), F.max("labels").alias("labels")
     )
-    sets = keep(sets, "jaccard-distinct")
-    cells = sets.select("sid", "labels").mapInArrow(_explode_labels(TREES), "sid long, cell long")
-    busy = cells.groupBy("cell").agg(F.count("*").alias("members")).where("members > 1")
+    sets = keep(sets.select("sid", "d2", F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("hash"), "copies", "labels"), "jaccard-distinct")
+    cells = sets.select("sid", "labels").mapInArrow(_explode_labels(TREES), "sid long, short long, long long")
+    busy = cells.groupBy("short").agg(F.count("*").alias("members")).where("members > 1")
+    shared_cells = keep(cells.join(busy, "short"), "jaccard-cells")
+    crowds = shared_cells.where(F.col("members") > BLOCK)
+    within = crowds.groupBy("long").agg(F.count("*").alias("members")).where("members > 1")
+    tree = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("long") % 64).cast("int"))
+    crowded = crowds.groupBy("sid").agg(F.bit_or(tree).alias("crowded"))
+    few = shared_cells.where(F.col("members") <= BLOCK).select("sid", F.col("short").alias("cell"), "members")
     blocks = F.ceil(F.col("members") / BLOCK)
     side = F.pmod(F.xxhash64("sid"), blocks)
-    placed = cells.join(busy, "cell").select("sid", "cell", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    placed = few.unionByName(crowds.drop("members").join(within, "long").select("sid", F.col("long").alias("cell"), "members"))
+    placed = placed.select("sid", "cell", side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     placed = placed.select("sid", "cell", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     # a block pair is a group of rows that come one after another; a task holds one at a time
-    shape = "sid long, cell long, side long, lo long, hi long, rep long, copies long, labels binary"
-    columns = ["sid", "cell", "side", "lo", "hi", "rep", "copies", "labels"]
-    placed = placed.join(sets, "sid").select(*columns).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    chosen = keep(placed.mapInArrow(_choosing(TREES, SHARED), shape), "jaccard-candidates")
-    to_check = chosen.join(plain, chosen["rep"] == plain["doc_id"]).drop("doc_id").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    checked = to_check.mapInArrow(_verifying(words, TREES, SHARED, similarity), "sid long, texts long, docs long, root long")
+    shape = "sid long, cell long, side long, lo long, hi long, rep long, hash long, copies long, labels binary, crowded long"
+    columns = ["sid", "cell", "side", "lo", "hi", "rep", "hash", "copies", "labels", "crowded"]
+    told = sets.join(crowded, "sid", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0).cast("long")))
+    placed = placed.join(told, "sid").select(*columns).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    chosen = keep(placed.mapInArrow(_choosing(TREES, shared), shape), "jaccard-candidates")
+    wanted = chosen.select("sid", F.col("rep").alias("doc_id"), "hash").distinct()
+    texts = plain.join(wanted, ["doc_id", "hash"]).groupBy("sid").agg(F.min("text").alias("text"))  # rows that repeat id and text are one
+    to_check = chosen.drop("rep", "hash").join(texts, "sid").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    checked = to_check.mapInArrow(_verifying(words, TREES, shared, similarity), "sid long, texts long, docs long, root long")
     checked = keep(checked, "jaccard-links")
+    forget(shared_cells)
     forget(chosen)
     degree = checked.groupBy("sid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("others"))
     label = connected_components(checked.where("sid != root").select(F.col("sid").alias("u"), F.col("root").alias("v")))
