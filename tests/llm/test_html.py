@@ -43,3 +43,36 @@ def test_time_is_linear(body):
     started = time.time()
     main_text(body * 100_000)
     assert time.time() - started < 10
+
+
+INSIDE = {
+    '<div class="section-header"><h2>The second part</h2></div>': "The second part",
+    '<section class="related-work"><p>Others have found the same, in part.</p><p>We differ in the end.</p></section>': "Others have found the same, in part.\n\nWe differ in the end.",
+    '<p class="promotion">Her promotion came in the spring.</p>': "Her promotion came in the spring.",
+    '<p class="reply">So they said in reply.</p>': "So they said in reply.",
+    "<aside><p>A word in passing, which belongs here.</p></aside>": "A word in passing, which belongs here.",
+    '<div class="foot-notes"><p>1. As told above.</p></div>': "1. As told above.",
+    "<menu><li>First open it.</li><li>Then close it.</li></menu>": "First open it.\n\nThen close it.",
+    "<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds <svg><path d='M0'/></svg>still.</p>": "Here x=2 holds still.",
+}
+OUTSIDE = [
+    '<div class="comments"><p>First! I never read so good a thing, and I read a lot.</p></div>', '<div class="ad">Buy this now, and more of it.</div>',
+    '<aside class="related-posts"><p>More of this kind, and of that.</p></aside>', '<nav><a href="/">Home</a></nav>', "<form><p>Your name, please</p></form>",
+    '<div class="tags"><a href="/a">One tag</a> <a href="/b">Other tag</a></div>', "<aside><ul><li><a href='/c'>See the other page</a></li></ul></aside>", "<footer>All rights</footer>",
+]
+
+
+def test_names_inside_the_article():
+    """Parts of an article stay whatever they are called; what is not of it goes, by its whole name, its tag, or its links."""
+    first, last = "It began like this, on a day in May, and nobody knew.", "So it ended, as all things do, with a word."
+    for inside, text in INSIDE.items():
+        page = f'<html><body><div class="menu"><a href="/">Home</a></div><article><h1>Title</h1><p>{first}</p>{inside}<p>{last}</p></article></body></html>'
+        assert main_text(page) == "\n\n".join(["Title", first, text, last]), inside
+    for part in OUTSIDE:
+        page = f"<html><body><article><h1>Title</h1><p>{first}</p><p>{last}</p>{part}</article></body></html>"
+        assert main_text(page) == "\n\n".join(["Title", first, last]), part
+
+
+def test_a_page_without_scripts():
+    assert main_text("<html><body><noscript><p>All there is, for those without scripts.</p></noscript></body></html>") == "All there is, for those without scripts."
+    assert main_text("<body><article><p>The text, all of it, is here.</p></article><noscript><p>Turn it on.</p></noscript></body>") == "The text, all of it, is here."

@@ -8,7 +8,9 @@ all siblings on the way that are not made of links.
 
 Names and tags of page parts (menus, notices, comments ...) make an element
 suspect. A suspect is left out, unless it holds what the page is about: most of
-its points, or all that would otherwise be lost.
+its points, or all that would otherwise be lost. Inside an article or main
+element only menus, forms, footers and parts whose whole name is that of a part
+(``ad``, ``comments``, ``related-posts``) are suspect, and others if half of them is links.
 """
 
 from __future__ import annotations
@@ -32,13 +34,17 @@ _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 _ALONE = re.compile(r"(?:^|[\s\"'])/$")
 
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "math", "object", "canvas"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "object", "canvas"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "param", "source", "track", "wbr"}
 #: Never text, whatever they hold.
 _DROP = {"head", "button", "select", "input", "audio", "video"} | _RAW
+#: Sources of formulas, which stand beside what is shown.
+_SOURCES = {"annotation", "annotation-xml"}
+#: Dropped inside a line, which goes on behind them.
+_INLINE = {"svg", "canvas"}
 #: Suspect by tag.
 _PARTS = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "label", "fieldset"}
-_BLOCK = {"p", "div", "article", "section", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "figure", "figcaption", "address", "hr", "center", "details", "summary"} | _PARTS | _DROP
+_BLOCK = {"p", "div", "article", "section", "main", "body", "html", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "blockquote", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "figure", "figcaption", "address", "hr", "center", "details", "summary"} | _PARTS | (_DROP - _INLINE)
 _CLOSES_P = _BLOCK - {"label", "button", "input", "select"}
 #: Elements that an opening one of the same kind ends, and what stops the search.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -53,12 +59,17 @@ _NAMES = _READERS | {
     "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
     "share", "sharing", "social", "related", "recommended", "recommendations", "tags", "skip", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "search", "hidden",
 }
+#: Inside an article, tags that are no part of it; others, and names, speak against what is made of links.
+_NOT_ARTICLE = {"nav", "footer", "form", "dialog", "label", "fieldset"}
+#: Names that speak against a part of an article too, if nothing else is in the name but what is said of any part.
+_NOT_IN_ARTICLE = _NAMES - {"side", "footer", "foot", "header", "menu", "notice", "alert", "tags", "search", "legal", "copyright", "disclaimer", "promotion", "complementary", "contentinfo", "notification"}
+_ANY_PART = {"area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "icons", "inline", "inner", "item", "items", "links", "list", "post", "posts", "section", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
 #: A name with one of these tells of something the element has, or has not.
 _ABOUT = {"has", "have", "with", "without", "no", "not", "non", "free", "off", "is"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Degrees of suspicion.
-CLEAN, NAMED, PART, READERS = range(4)
+#: Degrees of suspicion; linked parts are left out if they are made of links.
+CLEAN, LINKED, NAMED, PART, READERS = range(5)
 
 
 class Node:
@@ -73,8 +84,14 @@ class Node:
 
 
 def _doubt(tag: str, attributes: str, in_article: bool) -> int:
-    """How much tag and names speak against an element; the head of an article does not."""
-    doubt = PART if tag in _PARTS and not (tag == "header" and in_article) else CLEAN
+    """How much tag and names speak against an element.
+
+    Inside an article they say less: its head, asides and lists belong to it, a
+    paragraph is never judged by its name, and a name counts only if all of it
+    speaks against the part. What they would count outside makes a part suspect
+    of being links.
+    """
+    doubt = PART if tag in (_NOT_ARTICLE if in_article else _PARTS) else LINKED if tag in _PARTS and tag != "header" else CLEAN
     if attributes and tag not in ("html", "body", "main"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -84,7 +101,9 @@ def _doubt(tag: str, attributes: str, in_article: bool) -> int:
                 for word in value.split():
                     parts = set(re.split(r"[_-]+", word))
                     if parts & _NAMES and not parts & _ABOUT:
-                        doubt = max(doubt, READERS if parts & _READERS else NAMED)
+                        spoken = READERS if parts & _READERS else NAMED
+                        whole = tag not in _PARAGRAPH and parts & _NOT_IN_ARTICLE and parts <= _NOT_IN_ARTICLE | _ANY_PART
+                        doubt = max(doubt, LINKED if in_article and not whole else spoken)
     return CLEAN if doubt == NAMED and tag == "article" else doubt
 
 
@@ -164,7 +183,7 @@ def parse(source: str) -> Node:
                 continue
             seen.add(tag)
         here = open_.nodes[-1]
-        node = Node(tag, here, _doubt(tag, attributes, open_.last(("article", "main")) > 0), tag in _DROP)
+        node = Node(tag, here, _doubt(tag, attributes, open_.last(("article", "main")) > 0), tag in _DROP or tag in _SOURCES)
         here.kids.append(node)
         if not alone:
             open_.push(node)
@@ -172,6 +191,7 @@ def parse(source: str) -> Node:
 
 
 _SPACE = re.compile(r"\s+")
+_NOSCRIPT = re.compile(r"</?noscript\b[^>]*>", re.I)
 
 
 def _blocks(top: Node) -> Iterator[str]:
@@ -248,6 +268,9 @@ def _measure(root: Node) -> list[Node]:
 
 def _judge(root: Node) -> None:
     """Make junk of suspects, from the outside in, unless they hold what the page is about."""
+    for node in _order(root):
+        if node.doubt == LINKED and node.words and _density(node) >= 0.5:
+            node.doubt = PART
     total = root.points
     readers, stack, told = 0.0, [root], False
     while stack:
@@ -288,6 +311,12 @@ def main_text(source: str | None) -> str:
     """The article of a page: blocks joined by an empty line; empty if there is none."""
     if not source:
         return ""
+    found = _article(source)
+    # a page for readers without scripts may have all its text in such elements
+    return found or (_article(_NOSCRIPT.sub("", source)) if _NOSCRIPT.search(source) else "")
+
+
+def _article(source: str) -> str:
     root = parse(source)
     _measure(root)
     _judge(root)
