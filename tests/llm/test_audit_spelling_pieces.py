@@ -8,7 +8,7 @@ from itertools import combinations, permutations
 import pytest
 from pyspark.sql import functions as F
 
-from trialgrid.llm import filter_audit, sentencepiece_codec, spelling
+from trialgrid.llm import filter_audit, fingerprint, sentencepiece_codec, spelling
 from trialgrid.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, word string, mask int, ids string"
@@ -200,5 +200,21 @@ def test_nothing_in(spark, model):
     assert not spelling.group_spellings(only_empty).count() and filter_audit.audit_filters(only_empty, labels).count() == 1200
 
 
+def test_cuts_hold_in_every_script(spark):
+    """One character put in front, or in the middle, of 5,000: little of the fingerprint changes, in any script or case."""
+    rng = random.Random(5)
+    made = {
+        "chinese": [chr(c) for c in range(0x4E00, 0x8000)], "arabic": [*"ابتثجحخدذرزسشصضطظعغفقكلمنهوي   "], "greek": [*"αβγδεζηθικλμνξοπρστυφχψω   "],
+        "upper": [*"EEEETTTAAAOOOIIINNNSSSHHRRDDLLUCMWFGYPBVK      "], "unbroken": [*"abcdefghijklmnopqrstuvwxyz"], "emoji": [chr(c) for c in range(0x1F300, 0x1F600)],
+    }
+    texts = {k: "".join(rng.choice(letters) for _ in range(5000)) for k, letters in made.items()}
+    rows = [(k, t, v) for k, t in texts.items() for v in ("x" + t, t[:2500] + "x" + t[2500:])]
+    df = spark.createDataFrame(rows, "k string, a string, b string").select("k", fingerprint.paragraph_digests(F.col("a")).alias("a"), fingerprint.paragraph_digests(F.col("b")).alias("b"))
+    for r in df.collect():
+        assert len(set(r.a) & set(r.b)) / len(set(r.a) | set(r.b)) > 0.9, r.k
+    tiny = spark.createDataFrame([("",), ("a",), ("\n\n",), ("é",), ("漢\n漢",)], "t string").select(F.size(fingerprint.paragraph_digests(F.col("t"))).alias("n"))
+    assert [r.n for r in tiny.collect()] == [0, 1, 0, 1, 1]
+
+
 def test_names():
     assert {"op11_spelling", "op12_filter_audit", "op13_sentencepiece"} <= set(queries())
