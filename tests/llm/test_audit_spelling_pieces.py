@@ -218,3 +218,20 @@ def test_cuts_hold_in_every_script(spark):
 
 def test_names():
     assert {"op11_spelling", "op12_filter_audit", "op13_sentencepiece"} <= set(queries())
+
+
+def test_secret_network_on_planted_tokens(spark):
+    """Keys and harmless tokens it was not taught on, in loud and punctuated surroundings too: precision and recall, not accuracy."""
+    import numpy as np
+
+    from trialgrid.llm import secret_scan
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("bdklmnrst") + rng.choice("aeiou") for _ in range(3))
+    text = lambda k: " ".join(word() if j % 9 else f"{word()}{rng.randrange(10**6)}" for j in range(40)) + (f" token = 'a{rng.randrange(16**14):x}'" if k % 3 == 0 else "")
+    found = secret_scan._found(spark.createDataFrame([(k, text(k)) for k in range(120)], "doc_id long, text string"), "doc_id", "text")
+    model = secret_scan.train(found)
+    around = [bytes(r.v) for r in found.select(F.explode("candidates").alias("c")).select(F.explode("c.views").alias("v")).limit(200).collect()]
+    pictures, kinds = secret_scan._set_in(around, 977)
+    taken, kinds = model.probabilities(secret_scan._codes(pictures)) >= model.threshold, np.array(kinds) > 0
+    assert (taken & kinds).sum() / taken.sum() > 0.97 and taken[kinds].mean() > 0.95
