@@ -1,5 +1,6 @@
 """Spelling groups, the filter audit and the tokenizer against brute force, and on awkward rows."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ from itertools import combinations, permutations
 import pytest
 from pyspark.sql import functions as F
 
-from trialgrid.llm import filter_audit, fingerprint, sentencepiece_codec, spelling
+from trialgrid.llm import filter_audit, fingerprint, sentencepiece_codec, spelling, toxicity
 from trialgrid.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, word string, mask int, ids string"
@@ -235,3 +236,13 @@ def test_secret_network_on_planted_tokens(spark):
     pictures, kinds = secret_scan._set_in(around, 977)
     taken, kinds = model.probabilities(secret_scan._codes(pictures)) >= model.threshold, np.array(kinds) > 0
     assert (taken & kinds).sum() / taken.sum() > 0.97 and taken[kinds].mean() > 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_toxicity_recall_and_precision(spark):
+    """Taught on the labels of even ids, judged on those of odd ids."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    said = toxicity.score_toxicity(docs, labels.where("doc_id % 2 = 0")).select("doc_id", F.col("toxic").alias("said"))
+    told = labels.where("doc_id % 2 = 1").select("doc_id", (F.col("toxic") == 1).alias("told"))
+    n = said.join(told, "doc_id").agg(*[F.count_if(c).alias(k) for k, c in (("both", F.col("said") & F.col("told")), ("said", F.col("said")), ("told", F.col("told")))]).first()
+    assert n.both / n.said > 0.9 and n.both / n.told > 0.85
