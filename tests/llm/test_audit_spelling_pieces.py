@@ -246,3 +246,23 @@ def test_toxicity_recall_and_precision(spark):
     told = labels.where("doc_id % 2 = 1").select("doc_id", (F.col("toxic") == 1).alias("told"))
     n = said.join(told, "doc_id").agg(*[F.count_if(c).alias(k) for k, c in (("both", F.col("said") & F.col("told")), ("said", F.col("said")), ("told", F.col("told")))]).first()
     assert n.both / n.said > 0.9 and n.both / n.told > 0.85
+
+
+def test_blocks_hold_no_crowd(spark, monkeypatch):
+    """Null ids, one id, and ids in steps: no block of texts takes in them all, and scores are those of other ids."""
+    from trialgrid.llm import pitman_yor
+
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 400)
+    sizes, kind = [], type(spark.range(0))
+    real = kind.groupBy
+
+    def watched(self, *keys):
+        if [k for k in keys if isinstance(k, str)] == ["block"] and "text" in self.columns:
+            sizes.append(max(r["count"] for r in real(self, "block").count().collect()))
+        return real(self, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", watched)
+    for ids in ([None] * 200, [5] * 200, [k * 8000 for k in range(200)], list(range(200))):
+        rows = [(i, f"word{k % 9} other{k % 5} w{k}") for k, i in enumerate(ids)]
+        out = pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert out.count() == 200 and sizes.pop() < 60

@@ -35,6 +35,8 @@ CONTEXTS = 1 << 16
 BLOCK_BYTES = 8 << 20
 #: Text bytes for each bucket of words.
 BUCKET_BYTES = 8 << 20
+#: Times the mean number of rows from which on a block is dealt out.
+CROWD = 4
 FLUSH_TOKENS = 900_000
 _END, _START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 
@@ -470,10 +472,14 @@ def score_documents(
     spark = docs.sparkSession
     remainder = F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (remainder == held_fold).alias("held_out"))
-    size = plain.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()
+    size = plain.agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 16).alias("b")).first()
     blocks = max(1, math.ceil((size.b or 0) / BLOCK_BYTES))
-    # by id and text, so that ids that are null, repeat or go in steps are dealt out like all others
-    plain = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    # ids that follow each other share words, so a block is a range of ids; one that takes in far more
+    # rows than others, as its ids are null, repeat or go in steps, is dealt out by hash
+    rows = max(1, math.ceil(size.n / blocks))
+    block = F.coalesce(F.pmod(F.floor(F.col("doc_id") / rows), F.lit(blocks)), F.lit(0)).cast("long")
+    crowded = [r.block for r in plain.groupBy(block.alias("block")).count().where(F.col("count") > CROWD * rows).collect()]
+    plain = plain.withColumn("block", F.when(block.isin(crowded), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).otherwise(block))
     buckets, parts = max(4 * shuffle_partitions(spark), math.ceil((size.b or 0) / BUCKET_BYTES)), math.ceil(blocks / 4)
     asked = plain.select("doc_id", "text", "block", (~F.col("held_out")).alias("train")).mapInArrow(_asking(buckets), _ASK)
     merged = keep(asked.groupBy("bucket").applyInArrow(_merging(parts), _MERGED), "pitman-yor-counts")
