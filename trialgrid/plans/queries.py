@@ -490,21 +490,42 @@ def _waves(spark, d):
     return _read(spark, d, "embeddings").withColumnRenamed("embedding", "wave")
 
 
-@query()
+def _sizes(places: int) -> list:
+    """The three features without their signs, which are free."""
+    return [F.round(F.abs(F.get("features", F.lit(k))), places).alias(f"f{k + 1}") for k in range(3)]
+
+
+def _factor_sql(group: str, centred: bool, places: int) -> str:
+    """Rows on the first three axes of their group: each is a column of the matrix of products squared 14 times, which is then taken out of it."""
+    parts = [f"""e AS (SELECT {group} AS ch, vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+mu AS (SELECT ch, i, {'avg(v)' if centred else '0.0::DOUBLE'} AS m FROM e GROUP BY ch, i), c AS MATERIALIZED (SELECT ch, vec_id, i, v - m AS v FROM e JOIN mu USING (ch, i)),
+g1 AS MATERIALIZED (SELECT a.ch, a.i, b.i AS j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.ch = b.ch AND a.vec_id = b.vec_id GROUP BY ALL)"""]
+    for k in (1, 2, 3):
+        parts.append(f"p{k}_0 AS MATERIALIZED (SELECT ch, i, j, v / max(abs(v)) OVER (PARTITION BY ch) AS v FROM g{k})")
+        for n in range(1, 15):
+            parts.append(f"p{k}_{n} AS MATERIALIZED (SELECT ch, i, j, v / max(abs(v)) OVER (PARTITION BY ch) AS v FROM (SELECT a.ch, a.i, b.j, sum(a.v * b.v) AS v FROM p{k}_{n - 1} a JOIN p{k}_{n - 1} b ON a.ch = b.ch AND a.j = b.i GROUP BY ALL))")
+        parts.append(f"""t{k} AS (SELECT ch, arg_max(j, (v, -j)) AS j FROM p{k}_14 WHERE i = j GROUP BY ch), v{k} AS MATERIALIZED (SELECT p.ch, p.i, p.v / sqrt(sum(p.v * p.v) OVER (PARTITION BY p.ch)) AS v FROM p{k}_14 p JOIN t{k} t ON t.ch = p.ch AND t.j = p.j),
+l{k} AS MATERIALIZED (SELECT g.ch, sum(a.v * g.v * b.v) AS l FROM g{k} g JOIN v{k} a ON a.ch = g.ch AND a.i = g.i JOIN v{k} b ON b.ch = g.ch AND b.i = g.j GROUP BY g.ch),
+g{k + 1} AS MATERIALIZED (SELECT g.ch, g.i, g.j, g.v - l * a.v * b.v AS v FROM g{k} g JOIN l{k} USING (ch) JOIN v{k} a ON a.ch = g.ch AND a.i = g.i JOIN v{k} b ON b.ch = g.ch AND b.i = g.j),
+f{k} AS (SELECT c.ch, vec_id, round(abs(sum(c.v * a.v){'' if centred else ' / sqrt(any_value(l))'}), {places}) AS f FROM c JOIN v{k} a ON a.ch = c.ch AND a.i = c.i JOIN l{k} l ON l.ch = c.ch GROUP BY c.ch, vec_id)""")
+    chosen = "f1.ch AS channel, " if group != "0" else ""
+    return "WITH " + ",\n".join(parts) + f"\nSELECT {chosen}f1.vec_id, f1.f AS f1, f2.f AS f2, f3.f AS f3 FROM f1 JOIN f2 ON f2.ch = f1.ch AND f2.vec_id = f1.vec_id JOIN f3 ON f3.ch = f1.ch AND f3.vec_id = f1.vec_id"
+
+
+@query(_factor_sql("0", True, 4))
 def waveform_pca(spark, d):
-    sized = F.transform("features", lambda v: F.round(F.abs(v), 4))
-    return units.pca_features(_waves(spark, d), "vec_id").select("vec_id", sized.alias("features"))
+    return units.pca_features(_waves(spark, d), "vec_id").select("vec_id", *_sizes(4))
 
 
-@query()
+@query(_factor_sql("0", False, 6))
 def waveform_svd(spark, d):
-    return units.svd_features(_waves(spark, d), "vec_id").select("vec_id", F.transform("features", lambda v: F.round(F.abs(v), 6)).alias("features"))
+    return units.svd_features(_waves(spark, d), "vec_id").select("vec_id", *_sizes(6))
 
 
-@query()
+@query(_factor_sql("label", True, 4))
 def channel_pca(spark, d):
     found = units.features_by_channel(_waves(spark, d).withColumnRenamed("label", "channel"), "vec_id")
-    return found.select("channel", "vec_id", F.transform("features", lambda v: F.round(F.abs(v), 4)).alias("features"))
+    return found.select("channel", "vec_id", *_sizes(4))
 
 
 def _numbered(spark, d):
