@@ -2,6 +2,7 @@
 
 import bisect
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions import bins, columns
 from trialgrid.operators import asof, gaze, intervals, maps, ordered, signals, surfaces, trials, units
+from trialgrid.plans.queries import QUERIES
 from trialgrid.sources import io, levels
 
 
@@ -241,6 +243,16 @@ def test_session_logs(spark, tmp_path):
     assert io.read_spikes(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["spike_files"])
+def test_files_do_not_grow_with_users(spark, tmp_path, monkeypatch, name):
+    rows = spark.range(400).selectExpr("id AS event_id", "id AS user_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "IF(id % 2 = 0, 'view', 'purchase') AS event_type", "1D AS value", "'1' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    paths, write = [], io.written
+    monkeypatch.setattr(io, "written", lambda *a, **k: paths.append(write(*a, **k)) or paths[-1])
+    assert QUERIES[name](spark, str(tmp_path)).count() == 200
+    assert [p for p in paths if len(list(Path(p.removeprefix("file://")).rglob("part-*"))) > 8] == []
+
+
 def test_cell_names(spark):
     out = spark.createDataFrame([("20180706ch12c1",)], "n string").select(io.parse_cell(F.col("n")).alias("c")).first().c
     assert (out.day, out.channel, out.cell) == ("20180706", "012", "01")

@@ -144,14 +144,18 @@ def load_sorting(spark: SparkSession, root: str, **level) -> dict[str, DataFrame
     }
 
 
-def read_spikes(spark: SparkSession, path: str) -> DataFrame:
-    """Spike times in ms, one a line; no rows if there is no such file."""
+def read_spikes(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
+    """Spike times in ms, one a line; no rows if there is no such file.
+
+    Where a file holds many cells, ``keys`` (``user_id long``, say) are the columns before the time.
+    """
+    schema = f"{keys}, t_ms double" if keys else "t_ms double"
     try:
-        return spark.read.schema("t_ms double").csv(path)
+        return spark.read.schema(schema).csv(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "t_ms double")
+        return spark.createDataFrame([], schema)
 
 
 def parse_cell(name: Column) -> Column:
