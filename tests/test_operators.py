@@ -243,7 +243,19 @@ def test_session_logs(spark, tmp_path):
     assert io.read_spikes(spark, str(tmp_path / "none")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["spike_files"])
+def test_logs_of_many_sessions_share_files(spark):
+    """Bundled logs read like logs of their own, and files do not grow with the sessions."""
+    lines = [(s, k, text) for s in range(300) for k, text in enumerate([f"MazeName: m {s}", "PosterLocations: P1(-5,1.5,-7.55)", "16 0.5 0.0 -10.0 0.0", f"26 0.25\t{s}.5 -9.0 2.5"])]
+    path = io.write_logs(spark.createDataFrame(lines, "s long, k int, line string"), "s", "k", "line")
+    assert len(spark.read.text(path).inputFiles()) <= 4
+    rows = {(r.file, r.seq): (r.marker, r.x) for r in io.read_positions(spark, path, bundled=True).collect()}
+    assert rows == {(str(s), q): (16, 0.0) if q == 1 else (26, s + 0.5) for s in range(300) for q in (1, 2)}
+    assert {r.file: r.header["MazeName"] for r in io.read_headers(spark, path, bundled=True).collect()} == {str(s): f" m {s}" for s in range(300)}
+    assert {(r.file, r.maze, r.poster, r.x) for r in io.read_posters(spark, path, bundled=True).collect()} == {(str(s), f"m {s}", 1, -5.0) for s in range(300)}
+    assert io.read_spikes(spark, path + "-none", "s long").columns == ["s", "t_ms"]
+
+
+@pytest.mark.parametrize("name", ["session_logs", "spike_files"])
 def test_files_do_not_grow_with_users(spark, tmp_path, monkeypatch, name):
     rows = spark.range(400).selectExpr("id AS event_id", "id AS user_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "IF(id % 2 = 0, 'view', 'purchase') AS event_type", "1D AS value", "'1' AS props")
     rows.write.parquet(f"{tmp_path}/events.parquet")

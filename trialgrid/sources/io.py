@@ -17,40 +17,57 @@ from ..operators.trials import reshape_triggers
 _NUMBER = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files with their file and ``line``, by which a file's lines are ordered; files of any size are split."""
+def _lines(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """Lines of all files with their file and ``line``, by which a file's lines are ordered; files of any size are split.
+
+    In ``bundled`` files, as :func:`write_logs` makes them, ``file`` is the session's name that stands before a line's first tab.
+    """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+    if bundled:
+        rows = rows.withColumn("__p", F.split("text", "\t", 2)).select(F.col("__p")[0].alias("file"), "block", F.get("__p", F.lit(1)).alias("text"))
     return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("line"), "text")
 
 
-def read_positions(spark: SparkSession, path: str) -> DataFrame:
+def write_logs(lines: DataFrame, session: str, order: str, text: str) -> str:
+    """The path of a new folder of session logs, many to a file: each line follows its session's name and a tab.
+
+    A session lies in one file, in order. A folder or a file for each session
+    would cost the driver, which lists and renames them one by one, more than
+    the rows; there are as many files here as tasks.
+    """
+    rows = lines.repartition(session).sortWithinPartitions(session, order)
+    return written(rows.select(F.concat_ws("\t", F.col(session).cast("string"), text).alias("value")), "session-logs", "text")
+
+
+def read_positions(spark: SparkSession, path: str, *, bundled: bool = False) -> DataFrame:
     """Position rows (file, seq, marker, dt, x, y, dir) of session logs.
 
-    Data lines begin with a digit; of six columns the first is dropped.
+    Data lines begin with a digit; of six columns the first is dropped. Of
+    ``bundled`` logs (:func:`write_logs`) ``file`` is the session's name.
     """
-    rows = _lines(spark, path).where(F.col("text").rlike(r"^\s*\d"))
+    rows = _lines(spark, path, bundled).where(F.col("text").rlike(r"^\s*\d"))
     parts = F.split(F.trim("text"), r"\s+")
     rows = rows.select("file", "line", F.when(F.size(parts) >= 6, F.slice(parts, 2, 5)).otherwise(parts).alias("p"))
     rows = ranked(rows, ["file"], "line", "seq", bucket=F.col("line.block"))  # a bucket for each piece of a file
     return rows.select("file", "seq", *[F.col("p")[k].cast("double").alias(n) for k, n in enumerate(("marker", "dt", "x", "y", "dir"))])
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_headers(spark: SparkSession, path: str, *, bundled: bool = False) -> DataFrame:
     """``key: value`` lines of session logs as a map for each file; a key's last value counts."""
-    rows = _lines(spark, path).where(~F.col("text").rlike(r"^\s*\d") & F.col("text").contains(":"))
+    rows = _lines(spark, path, bundled).where(~F.col("text").rlike(r"^\s*\d") & F.col("text").contains(":"))
     pair = F.split("text", ":", 2)
     kept = rows.select("file", "line", F.trim(pair[0]).alias("k"), pair[1].alias("v")).groupBy("file", "k").agg(F.max_by("v", "line").alias("v"))
     return kept.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("header"))
 
 
-def read_posters(spark: SparkSession, path: str) -> DataFrame:
+def read_posters(spark: SparkSession, path: str, *, bundled: bool = False) -> DataFrame:
     """Posters of session logs: (file, maze, poster, name, x, y, z).
 
     Old logs list them in one ``PosterLocations`` line; new ones have a ``name``
     line for each, and its position in the line after. ``maze`` is the last
     ``MazeName`` before.
     """
-    rows = _lines(spark, path).where(~F.col("text").rlike(r"^\s*\d") & F.col("text").contains(":"))
+    rows = _lines(spark, path, bundled).where(~F.col("text").rlike(r"^\s*\d") & F.col("text").contains(":"))
     pair = F.split("text", ":", 2)
     w = Window.partitionBy("file").orderBy("line")  # a file's header lines
     rows = rows.select("file", "line", F.trim(pair[0]).alias("k"), F.trim(pair[1]).alias("v"))
