@@ -265,6 +265,13 @@ def test_files_do_not_grow_with_users(spark, tmp_path, monkeypatch, name):
     assert [p for p in paths if len(list(Path(p.removeprefix("file://")).rglob("part-*"))) > 8] == []
 
 
+def test_levels_of_many_values_are_no_folders(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id % 2 AS array", "id % 300 AS session", "id AS v")
+    io.write_levels(df.repartition(3), f"{tmp_path}/k", ("array", "session"), within=("session",))
+    assert sorted(p.name for p in Path(f"{tmp_path}/k").rglob("*=*")) == ["array=0", "array=1"]
+    assert sorted(r.v for r in io.load(spark, str(tmp_path), "k", array=1, session=7).collect()) == list(range(7, 3000, 300))
+
+
 def test_cell_names(spark):
     out = spark.createDataFrame([("20180706ch12c1",)], "n string").select(io.parse_cell(F.col("n")).alias("c")).first().c
     assert (out.day, out.channel, out.cell) == ("20180706", "012", "01")

@@ -181,9 +181,16 @@ def parse_cell(name: Column) -> Column:
     return F.struct(part(1).alias("day"), F.lpad(part(2), 3, "0").alias("channel"), F.lpad(part(3), 2, "0").alias("cell"))
 
 
-def write_levels(df: DataFrame, path: str, levels: Sequence[str] = ("day", "session", "array", "channel", "cell"), *, mode: str = "overwrite") -> None:
-    """Parquet in folders by those levels that the table has; ``mode`` append adds to what is there."""
-    df.write.mode(mode).partitionBy(*[c for c in levels if c in df.columns]).parquet(path)
+def write_levels(df: DataFrame, path: str, levels: Sequence[str] = ("day", "session", "array", "channel", "cell"), *, within: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """Parquet in folders by those levels that the table has; ``mode`` append adds to what is there.
+
+    Levels ``within`` have too many values for folders, which the driver lists and
+    renames one by one: they stay columns, by which a folder's files are sorted, so
+    that :func:`load` skips row groups of other values.
+    """
+    folders, inside = ([c for c in levels if c in df.columns and (c in within) == own] for own in (False, True))
+    rows = df.sortWithinPartitions(*folders, *inside) if inside else df
+    rows.write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def load(spark: SparkSession, root: str, kind: str, **filters: str) -> DataFrame:
