@@ -272,6 +272,22 @@ def test_levels_of_many_values_are_no_folders(spark, tmp_path):
     assert sorted(r.v for r in io.load(spark, str(tmp_path), "k", array=1, session=7).collect()) == list(range(7, 3000, 300))
 
 
+def test_spectra_of_many_short_series(spark):
+    """Short series share batches; frequencies within bounds are those of the whole spectrum."""
+    rng = np.random.default_rng(2)
+    series = {s: rng.normal(size=int(rng.integers(1, 30))) for s in range(40)}
+    df = spark.createDataFrame([(s, k, float(x)) for s, v in series.items() for k, x in enumerate(v)], "s int, t long, v double")
+    out = signals.spectrum(df, ["s"], 32.0, block=16, within=(4.0, 12.0))
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    got = {(r.s, r.t, r.freq): complex(r.re, r.im) for r in out.collect()}
+    reach, told = signals._margin(32.0, 1.5, 1.0), {}
+    for s, v in series.items():
+        freqs, c = signals.morlet(np.pad(v, reach), 32.0)
+        told |= {(s, t, f): c[reach + t, k] for t in range(len(v)) for k, f in enumerate(freqs) if 4 <= f <= 12}
+    assert got.keys() == told.keys()
+    assert max(abs(got[k] - told[k]) for k in told) < 1e-6
+
+
 def test_cell_names(spark):
     out = spark.createDataFrame([("20180706ch12c1",)], "n string").select(io.parse_cell(F.col("n")).alias("c")).first().c
     assert (out.day, out.channel, out.cell) == ("20180706", "012", "01")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ def _frequencies(n: int, fs: float, per_octave: int, low: float) -> np.ndarray:
     return low * 2.0 ** (np.arange(octaves + 1) / per_octave)
 
 
-def morlet(values: np.ndarray, fs: float, beta: float = 1.5, low: float = 1.0, per_octave: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies, and complex coefficients (time, frequency) of a Morlet transform.
+def morlet(values: np.ndarray, fs: float, beta: float = 1.5, low: float = 1.0, per_octave: int = 4, within: tuple[float, float] = (0.0, np.inf)) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies ``within`` two bounds, and complex coefficients (time, frequency) of a Morlet transform.
 
     A wavelet at frequency f has the spectrum ``2 exp(-(w/f - 1)**2 (2 pi beta)**2 / 2)``
     over positive w: a cosine of amplitude A at f has coefficients of modulus A.
@@ -30,10 +29,14 @@ def morlet(values: np.ndarray, fs: float, beta: float = 1.5, low: float = 1.0, p
     n = len(values)
     spectrum, w = np.fft.fft(values), np.fft.fftfreq(n, 1 / fs)
     freqs = _frequencies(n, fs, per_octave, low)
+    freqs = freqs[(freqs >= within[0]) & (freqs <= within[1])]
     bank = np.where(w[None, :] > 0, 2 * np.exp(-0.5 * ((w[None, :] / freqs[:, None] - 1) * 2 * np.pi * beta) ** 2), 0)
     return freqs, np.fft.ifft(spectrum[None, :] * bank, axis=1).T
 
 
+#: Coefficients that a task gives on at a time.
+FLUSH = 1 << 18
+
 #: Wavelet widths (standard deviations in time) beyond which a sample has no weight.
 REACH = 6.0
 
@@ -43,12 +46,13 @@ def _margin(fs: float, beta: float, low: float) -> int:
     return int(np.ceil(REACH * beta / low * fs))
 
 
-def spectrum(samples: DataFrame, keys: Sequence[str], fs: float, time: str = "t", value: str = "v", beta: float = 1.5, low: float = 1.0, *, block: int | None = None) -> DataFrame:
-    """Wavelet coefficients of each key's series (keys, t, freq, re, im).
+def spectrum(samples: DataFrame, keys: Sequence[str], fs: float, time: str = "t", value: str = "v", beta: float = 1.5, low: float = 1.0, *, block: int | None = None, within: tuple[float, float] = (0.0, np.inf)) -> DataFrame:
+    """Wavelet coefficients of each key's series (keys, t, freq, re, im) at the frequencies ``within`` two bounds.
 
     The series goes on with zeros at both ends. It is dealt into blocks of
     ``block`` samples, each with as many more on both sides as a coefficient
-    reaches over, and no task holds more than one; frequencies near half the
+    reaches over; a task transforms the blocks it holds one by one, and short
+    series cost no more than their samples. Frequencies near half the
     sampling rate, whose wavelets are cut off there, come out slightly different
     at the borders. With a ``block`` the time column is a sample number without
     gaps; without one the samples are numbered by their time first.
@@ -56,23 +60,39 @@ def spectrum(samples: DataFrame, keys: Sequence[str], fs: float, time: str = "t"
     keys, reach = list(keys), _margin(fs, beta, low)
     numbered = block is not None
     block, number = block or BLOCK, time if numbered else "__n"
+    rows = samples.select(*keys, time, value) if numbered else ranked(samples.select(*keys, time, value), keys, time, "__n")
+    held = halo_blocks(rows, keys, number, [value] if numbered else [time, value], reach, reach, block=block)
+    own = lambda s: F.floor(s[number] / block) == F.col("__block")
+    held = held.where(F.exists("__samples", own))  # a margin alone has no coefficients to give
+    cells = held.select(*keys, F.transform("__samples", own).alias("__own"), F.col(f"__samples.{time}").alias("__t"), F.transform("__samples", lambda s: s[value].cast("double")).alias("__v"))
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        freqs, c = morlet(np.pad(pdf[value].to_numpy(float), reach), fs, beta, low)
-        c = c[reach : reach + len(pdf)]
-        own = (pdf[number] // block == pdf["__block"]).to_numpy()
-        pdf, c = pdf[own], c[own]
-        if not len(pdf):
-            return pdf[[*keys, time]].assign(freq=0.0, re=0.0, im=0.0)
-        out = pd.DataFrame({k: np.repeat(pdf[k].iloc[0], c.size) for k in keys})
-        return out.assign(**{time: np.repeat(pdf[time].to_numpy(), len(freqs)), "freq": np.tile(freqs, len(pdf)), "re": c.real.ravel(), "im": c.imag.ravel()})
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, ready = [], 0
+            for k, (mine, values) in enumerate(zip(batch.column("__own"), batch.column("__v"), strict=True)):
+                mine = np.flatnonzero(mine.values.to_numpy(zero_copy_only=False))
+                padded = np.pad(values.values.to_numpy(zero_copy_only=False).astype(float), reach)
+                freqs, c = morlet(padded, fs, beta, low, within=within)
+                c = c[reach + mine]
+                out.append((k, mine, freqs, c))
+                ready += c.size
+                if ready >= FLUSH:
+                    yield packed(batch, out)
+                    out, ready = [], 0
+            if out:
+                yield packed(batch, out)
+
+    def packed(batch: pa.RecordBatch, out: list) -> pa.RecordBatch:
+        row = np.repeat([k for k, *_ in out], [c.size for *_, c in out])
+        starts = batch.column("__t").offsets.to_numpy()
+        at = np.concatenate([np.repeat(starts[k] + mine, len(freqs)) for k, mine, freqs, _ in out])
+        c = np.concatenate([c.ravel() for *_, c in out])
+        freq = np.concatenate([np.tile(freqs, len(mine)) for _, mine, freqs, _ in out])
+        columns = [batch.column(k).take(pa.array(row)) for k in keys] + [batch.column("__t").values.take(pa.array(at))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(freq), pa.array(c.real), pa.array(c.imag)], names=[*keys, time, "freq", "re", "im"])
 
     fields = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in [*keys, time])
-    rows = samples.select(*keys, time, value) if numbered else ranked(samples.select(*keys, time, value), keys, time, "__n")
-    at = lambda shift: F.floor((F.col(number) + shift) / block)
-    rows = rows.withColumn("__block", F.explode(F.sequence(at(-reach), at(reach))))
-    return rows.groupBy(*keys, "__block").applyInPandas(transform, f"{fields}, freq double, re double, im double")
+    return cells.mapInArrow(transform, f"{fields}, freq double, re double, im double")
 
 
 def band(spec: DataFrame, frequency: float, keys: Sequence[str], time: str = "t") -> DataFrame:
