@@ -106,6 +106,21 @@ def test_secret_network(spark):
     assert 0.5 <= model.threshold <= 1
 
 
+def test_secret_network_learns_from_every_view(spark, monkeypatch):
+    """More than a thousand views of a kind all teach or calibrate, in several parts, and reruns agree."""
+    texts = [f"see note{k:05d}x of host{k}.mail and token = 'a{k:015x}' here" for k in range(1500)]
+    found = secret_scan._found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").persist()
+    views = {bytes(v) for r in found.collect() for c in r.candidates if c.kind != secret_scan.REST for v in c["views"]}
+    kept, keep = {}, secret_scan.keep
+    monkeypatch.setattr(secret_scan, "keep", lambda df, label: kept.setdefault(label, []).append(keep(df, label)) or kept[label][-1])
+    monkeypatch.setattr(secret_scan, "PART", 4000)
+    first, second = (secret_scan.train(found) for _ in range(2))
+    rows = kept["secret-examples"][0]
+    assert len(views) > 2500 and views <= {bytes(r.view) for r in rows.collect()}
+    assert rows.where("not held").count() > 2 * 4000
+    assert (first.state() == second.state()).all() and first.threshold == second.threshold
+
+
 def test_secret_network_reads_long_tokens_whole(spark):
     """A key in the middle of a token of hundreds of characters, and one beside what a rule found, are seen; tokens without digits as well."""
     rng = random.Random(3)
