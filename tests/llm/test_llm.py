@@ -625,3 +625,22 @@ def test_forest_by_set(spark, monkeypatch, block):
 def test_queries_are_registered():
     names = list(queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
+
+
+def test_pairs_are_numbered_as_by_sorting_contexts():
+    """Words and the words before them, numbered together, as two sorts of 64-bit numbers would number them."""
+    import numpy as np
+
+    from trialgrid.llm import pitman_yor as py
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 500):
+        word, first, train = rng.integers(0, 40, n).astype(np.uint64) << np.uint64(58), rng.random(n) < 0.1, rng.random(n) < 0.8
+        first[0] = True
+        before = np.concatenate([word[:1], word[:-1]])
+        before[first] = py._START
+        words, code = np.unique(word, return_inverse=True)
+        keys, at = np.unique(before, return_inverse=True)
+        pair, back = np.unique(code * len(keys) + at, return_inverse=True)
+        told = (words, np.bincount(pair // len(keys)), keys, pair % len(keys), np.bincount(back, train), code, back)
+        assert all((a == b).all() for a, b in zip(py._followed(word, first, train), told, strict=True))
